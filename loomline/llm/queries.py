@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .chat_trees import op10_chat_trees
+from .decontaminate import op9_decontaminate
 from .kk_sharding import op2_kk_sharding
+from .secret_ledger import op4_secret_ledger
 
 QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
+    "op4_secret_ledger": op4_secret_ledger,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_chat_trees": op10_chat_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {}
