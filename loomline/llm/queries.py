@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe_heap import op5_bpe_heap
+from .bpe_matrix import op6_bpe_matrix
 from .chat_trees import op10_chat_trees
 from .decontaminate import op9_decontaminate
 from .kk_sharding import op2_kk_sharding
@@ -10,6 +12,8 @@ from .secret_ledger import op4_secret_ledger
 QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
     "op4_secret_ledger": op4_secret_ledger,
+    "op5_bpe_heap": op5_bpe_heap,
+    "op6_bpe_matrix": op6_bpe_matrix,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
 }
