@@ -8,12 +8,14 @@ from .chat_trees import op10_chat_trees
 from .decontaminate import op9_decontaminate
 from .kk_sharding import op2_kk_sharding
 from .secret_ledger import op4_secret_ledger
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_bpe_heap": op5_bpe_heap,
     "op6_bpe_matrix": op6_bpe_matrix,
+    "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
 }

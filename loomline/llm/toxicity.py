@@ -110,8 +110,8 @@ class Network:
             h, e = self.hidden, self.embed
             draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
             self.p = {
-                # small, so that words never met in the fit say little
-                "words": np.zeros((self.word_buckets, e), np.float32), "chars": draw(self.char_buckets, e, scale=0.05),
+                # zero, so that words and n-grams never met in the fit say nothing; the last row is kept zero
+                "words": np.zeros((self.word_buckets + 1, e), np.float32), "chars": np.zeros((self.char_buckets + 1, e), np.float32),
                 "input": draw(2 * e, 6 * h, scale=0.4), "bias": np.zeros(6 * h, np.float32),
                 "forward": draw(h, 3 * h, scale=0.3), "backward": draw(h, 3 * h, scale=0.3),
                 "attend": draw(2 * h, scale=0.3), "out": draw(2 * h, scale=0.3), "shift": np.zeros(1, np.float32),
@@ -232,6 +232,7 @@ class _Adam:
             m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * d
             v = self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * d * d
             self.net.p[k][at] -= (scale * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+        self.net.p["words"][-1] = self.net.p["chars"][-1] = 0
 
 
 def _slice(feats, rows):
@@ -242,7 +243,7 @@ def _slice(feats, rows):
     return word[rows], grams[flat], n
 
 
-def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: int = 5, batch: int = 256, rate: float = 0.01) -> Network:
+def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: int = 5, batch: int = 256, rate: float = 0.01, least_docs: int = 5) -> Network:
     """Fit on (label, windows as text) of documents; the threshold is set between the classes."""
     net = net or Network()
     names: dict[bytes, int] = {b"": 0}
@@ -254,7 +255,15 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
             labels.append(y)
             index.append([names.setdefault(w, len(names)) for w in ws[:WINDOW]] + [0] * (WINDOW - min(WINDOW, len(ws))))
     owner, labels, index = np.array(owner), np.array(labels, np.float32), np.array(index, dtype=np.int64)
-    feats = features(list(names), net.word_buckets, net.char_buckets)
+    word, grams, counts = features(list(names), net.word_buckets, net.char_buckets)
+    # words and n-grams of few documents would be learnt by heart: they get the bucket that stays zero
+    held = np.unique(index.ravel() * len(docs) + np.repeat(owner, WINDOW))
+    of_word, of_doc = held // len(docs), held % len(docs)
+    common = np.bincount(of_word, minlength=len(names)) >= least_docs
+    _, flat, n = _slice((word, grams, counts), of_word)
+    held = np.unique(flat * len(docs) + np.repeat(of_doc, n)) // len(docs)
+    known = np.bincount(held, minlength=net.char_buckets) >= least_docs
+    feats = np.where(common, word, net.word_buckets), np.where(known[grams], grams, net.char_buckets), counts
     doc_y = np.array([y for y, _ in docs], dtype=np.float32)
     adam, rng = _Adam(net, rate), np.random.default_rng(net.seed)
     for k in range(passes):
@@ -274,12 +283,12 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
     score = _score(net, feats, index)
     top = np.full(len(docs), -np.inf)
     np.maximum.at(top, owner, score)
-    # the cut of fewest errors; of equal ones the middle
+    # the cut of fewest errors; of equal ones nearer to the toxic side, as texts not fitted score higher than fitted ones
     order = np.argsort(top)
     errors = np.concatenate([[0], np.cumsum(np.where(doc_y[order] == 1, 1, -1))])
     best = np.flatnonzero(errors == errors.min())
     edges = np.concatenate([[top.min() - 1], (top[order][1:] + top[order][:-1]) / 2, [top.max() + 1]])
-    net.p["shift"] = net.p["shift"] - np.float32((edges[best[0]] + edges[best[-1]]) / 2)
+    net.p["shift"] = net.p["shift"] - np.float32(edges[best[0]] + 0.7 * (edges[best[-1]] - edges[best[0]]))
     return net
 
 
