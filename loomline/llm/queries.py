@@ -6,6 +6,7 @@ from .bpe_heap import op5_bpe_heap
 from .bpe_matrix import op6_bpe_matrix
 from .chat_trees import op10_chat_trees
 from .decontaminate import op9_decontaminate
+from .jaccard_join import op8_jaccard_join
 from .kk_sharding import op2_kk_sharding
 from .secret_ledger import op4_secret_ledger
 from .toxicity import op7_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_bpe_heap": op5_bpe_heap,
     "op6_bpe_matrix": op6_bpe_matrix,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
 }
