@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_heap import op5_bpe_heap
 from .bpe_matrix import op6_bpe_matrix
 from .chat_trees import op10_chat_trees
+from .cover_tree import op3_cover_tree
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .kk_sharding import op2_kk_sharding
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
+    "op3_cover_tree": op3_cover_tree,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_bpe_heap": op5_bpe_heap,
     "op6_bpe_matrix": op6_bpe_matrix,
