@@ -9,10 +9,12 @@ from .cover_tree import op3_cover_tree
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .kk_sharding import op2_kk_sharding
+from .ngram_trie import op1_ngram_trie
 from .secret_ledger import op4_secret_ledger
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_ngram_trie": op1_ngram_trie,
     "op2_kk_sharding": op2_kk_sharding,
     "op3_cover_tree": op3_cover_tree,
     "op4_secret_ledger": op4_secret_ledger,
