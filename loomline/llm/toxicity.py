@@ -254,15 +254,17 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
             owner.append(d)
             labels.append(y)
             index.append([names.setdefault(w, len(names)) for w in ws[:WINDOW]] + [0] * (WINDOW - min(WINDOW, len(ws))))
-    owner, labels, index = np.array(owner), np.array(labels, np.float32), np.array(index, dtype=np.int64)
+    owner, labels, index = np.array(owner), np.array(labels, np.float32), np.array(index, dtype=np.int32)
     word, grams, counts = features(list(names), net.word_buckets, net.char_buckets)
     # words and n-grams of few documents would be learnt by heart: they get the bucket that stays zero
-    held = np.unique(index.ravel() * len(docs) + np.repeat(owner, WINDOW))
-    of_word, of_doc = held // len(docs), held % len(docs)
-    common = np.bincount(of_word, minlength=len(names)) >= least_docs
-    _, flat, n = _slice((word, grams, counts), of_word)
-    held = np.unique(flat * len(docs) + np.repeat(of_doc, n)) // len(docs)
-    known = np.bincount(held, minlength=net.char_buckets) >= least_docs
+    raw = (word, grams, counts)
+    docs_of_word, docs_of_gram = np.zeros(len(names), np.int64), np.zeros(net.char_buckets, np.int64)
+    first = np.searchsorted(owner, np.arange(len(docs) + 1))
+    for d in range(len(docs)):
+        own = np.unique(index[first[d] : first[d + 1]])
+        docs_of_word[own] += 1
+        docs_of_gram[np.unique(_slice(raw, own)[1])] += 1
+    common, known = docs_of_word >= least_docs, docs_of_gram >= least_docs
     feats = np.where(common, word, net.word_buckets), np.where(known[grams], grams, net.char_buckets), counts
     doc_y = np.array([y for y, _ in docs], dtype=np.float32)
     adam, rng = _Adam(net, rate), np.random.default_rng(net.seed)
