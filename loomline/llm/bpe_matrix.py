@@ -196,27 +196,27 @@ def _in_tasks(docs: DataFrame, text_col: str, path: str, pattern: str, ddl: str,
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of the text."""
 
-    def make(enc, texts):
-        ids = enc.encode(texts)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+    return _in_tasks(docs, text_col, path, pattern, "ids array<int>", lambda enc, texts: [_id_lists(enc.encode(texts))])
+
 
-    return _in_tasks(docs, text_col, path, pattern, "ids array<int>", make)
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """n_tokens, the digest of the ids, and the digest of the bytes that the ids decode to."""
+def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """n_tokens, the digest of the ids, and the digest of the bytes that the ids decode to (and the ids)."""
 
     def make(enc, texts):
         n, a, b = [], [], []
-        for ids in enc.encode(texts):
+        for ids in (encoded := enc.encode(texts)):
             n.append(len(ids))
             a.append(hashlib.sha256(b",".join(map(enc.decimal.__getitem__, ids.tolist()))).hexdigest())
             b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([_id_lists(encoded)] if with_ids else [])]
 
-    return _in_tasks(docs, text_col, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _in_tasks(docs, text_col, path, pattern, ddl, make)
 
 
 def op6_bpe_matrix(spark, sf_dir: str) -> DataFrame:
