@@ -1,9 +1,76 @@
-"""The corpus pipeline; its stages follow as their operators land."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
 
-STAGES: list = []
+1. toxicity: documents that the network scores as toxic go.
+2. near copies: of each component of the n-gram Jaccard join the smallest id stays.
+3. benchmark: contaminated documents go.
+4. secrets: every found span is replaced, the documents stay.
+5. tokens: the ids of each text, their digest, and that of the bytes they decode to.
+
+``STAGES`` are called with the documents that the stage before left, written as Parquet and read
+again; ``run`` does so itself.  A stage's scratch tables go when the next one begins, as its
+result is written by then.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import bpe_matrix, decontaminate, jaccard_join, secret_ledger, toxicity
+from loomline.llm.common import Scratch, table
+
+_held: dict[str, Scratch] = {}
+
+
+def _scratch(spark: SparkSession, stage: str) -> Scratch:
+    app = spark.sparkContext.applicationId
+    if (old := _held.pop(app, None)) is not None:
+        old.drop()
+    _held[app] = Scratch(spark, stage)
+    return _held[app]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "toxicity")
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).filter(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs, scratch=_scratch(spark, "near"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "benchmark")
+    return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_ledger.redact(docs, scratch=_scratch(spark, "secrets"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "tokens")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_matrix.digests(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("byte_level_bpe", to_tokens),
+]
+
+#: A trained network decides in the first stage, so SQL cannot give these rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = kept.write(stage(spark, docs, sf_dir), f"{i}-{name}")
     return docs
