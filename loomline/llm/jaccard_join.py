@@ -9,12 +9,12 @@ Links are pairs of documents whose sets of distinct word n-grams have
    empty in either (a row with too many empty blocks also offers these).  A block of a row is
    offered as one 64-bit value; the row blocks that meet are those with an equal value.  The
    windows of sizes overlap so that every pair of sizes that can link shares one.
-2. Rows that meet are first compared with the rows at the centre of most of their blocks, which
-   joins groups of near copies in as many comparisons as members.
-3. What still meets across components goes through the matrix product: rows are dealt to row
-   blocks of bounded size by component and size; for each pair of row blocks whose sizes can link
-   a task multiplies the two sparse blocks, accumulating overlap counts over slices of columns,
-   discards the pairs below the bound that their sizes set, and gives a spanning set of links.
+2. Rows that meet are bounded before they are compared: by their sizes, and by a sketch of SKETCH
+   parity bits, one flip a column, of which two rows cannot differ in more bits than columns.
+   First every row meets the centre (smallest member) of each of its blocks, which joins groups
+   of near copies in about as many comparisons as members.
+3. Blocks that still hold several components are multiplied out in tiles of bounded size; the
+   pairs across components that the bounds leave are compared.
 4. Links are joined to components.
 
 No pairs of equal texts are made, no pairs within a group are listed, and no link is lost.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, join_with_hot, mix, table
 from .components import connected_components
 
-#: Rows of the matrix in a row block; entries accumulated at a time.
-BLOCK_ROWS, SLICE = 512, 4_000_000
+#: Rows of one block in a tile; bits of a row's sketch; pairs in a product; its entries accumulated at a time.
+TILE, SKETCH, PAIRS, SLICE = 1024, 512, 256, 4_000_000
 #: Documents whose ids are broadcast to fetch their texts again; beyond it a shuffled join does.
 BROADCAST_IDS = 1_000_000
 CHUNK_BYTES = 1 << 20
@@ -127,8 +127,13 @@ def _slices(texts: list[bytes | None]):
         yield at, len(texts)
 
 
-def _matrix(width: int, percent: int, offer: bool):
-    """Batches of (id, text) to one row (id, set, n) a document; to offer: set and the block values."""
+def sketch(row: np.ndarray) -> bytes:
+    """Parity of the columns of each of SKETCH residues."""
+    return np.packbits((np.bincount((row & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _matrix(width: int, percent: int):
+    """Batches of (id, text) to one row a document: id, set, n, sketch and the block values."""
 
     def run(batches):
         hashes = WordHashes()
@@ -137,13 +142,19 @@ def _matrix(width: int, percent: int, offer: bool):
             texts = pc.cast(batch.column(1), pa.binary()).to_pylist()
             for lo, hi in _slices(texts):
                 rows = _rows_of(texts[lo:hi], width, hashes)
-                names = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), seed=len(r)) for r in rows], dtype=np.uint64).astype(np.int64)
-                if offer:
-                    of, value = block_values(rows, windows)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(value.astype(np.int64))], names=["set", "block"])
-                else:
-                    n = pa.array([len(r) for r in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names), n], names=["id", "set", "n"])
+                of, value = block_values(rows, windows)
+                order = np.argsort(of, kind="stable")
+                ends = np.searchsorted(of[order], np.arange(len(rows) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array([xxhash.xxh3_128_digest(r.tobytes()) if len(r) else None for r in rows], pa.binary()),
+                        pa.array([len(r) for r in rows], pa.int64()),
+                        pa.array([sketch(r) if len(r) else None for r in rows], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(value[order].astype(np.int64))),
+                    ],
+                    names=["id", "set", "n", "sketch", "blocks"],
+                )
 
     return run
 
@@ -182,55 +193,89 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(left), len(right))
 
 
-def _spanning(pairs, n: int):
-    root = list(range(n))
+def _compare_pairs(percent: int):
+    """Batches of a, b and their sets to the pairs that link: products of blocks of at most PAIRS rows a side."""
+
+    def block(a, b, x, y):
+        names_a, first_a, at_a = np.unique(a, return_index=True, return_inverse=True)
+        names_b, first_b, at_b = np.unique(b, return_index=True, return_inverse=True)
+        left, right = [np.frombuffer(x[i], np.uint64) for i in first_a], [np.frombuffer(y[i], np.uint64) for i in first_b]
+        both = overlaps(left, right)[at_a, at_b].astype(np.int64)
+        size = np.array([len(r) for r in left])[at_a] + np.array([len(r) for r in right])[at_b]
+        return 100 * both >= percent * (size - both)
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [block(a[i : i + PAIRS], b[i : i + PAIRS], x[i : i + PAIRS], y[i : i + PAIRS]) for i in range(0, len(a), PAIRS)]
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            yield a, b
+    return run
 
 
-def _compare_pairs(percent: int):
+def within_bounds(n_a, n_b, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of these sizes and sketches (as 64-bit words) can link."""
+    most = (100 - percent) * (n_a + n_b) // (100 + percent)
+    fits = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+    return fits & (np.bitwise_count(bits_a ^ bits_b).sum(axis=-1) <= most)
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
+
+
+def _bounded_pairs(percent: int):
+    """Rows a, n, bits, b, n, bits to the pairs (a, b) that the bounds leave."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if batch.num_rows:
+                n = [batch.column(i).to_numpy() for i in (1, 4)]
+                keep = within_bounds(*n, _bits(batch.column(2)), _bits(batch.column(5)), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _compare_blocks(percent: int):
-    def run(key, held):
-        import pandas as pd
-
-        left, right = held[held["side"] == 0], held[held["side"] == 1]
-        if not len(right):  # a block with itself
-            right = left
-        grams = [[np.frombuffer(g, np.uint64) for g in x["grams"]] for x in (left, right)]
-        count = overlaps(*grams)
-        size = [x["n"].to_numpy()[:, None] for x in (left, right)]
-        own = [x["component"].to_numpy()[:, None] for x in (left, right)]
-        link = (100 * count >= percent * (size[0] + size[1].T - count)) & (own[0] != own[1].T)
-        ids = [x["rep"].to_numpy() for x in (left, right)]
-        names, number = np.unique(np.concatenate(ids), return_inverse=True)
-        a, b = number[: len(ids[0])], number[len(ids[0]) :]
-        found = list(_spanning(((int(a[i]), int(b[j])) for i, j in zip(*np.nonzero(link))), len(names)))
-        return pd.DataFrame({"a": [names[x] for x, _ in found], "b": [names[y] for _, y in found]}, dtype="int64")
+def _tile_pairs(percent: int):
+    """Rows tile, side, rep, n, component, bits sorted by tile: the pairs across components that the bounds leave.
+
+    Side 0 meets side 1, or itself where a tile has one side; a tile has at most 2 * TILE rows.
+    """
+
+    def products(tile, side, rep, n, component, bits):
+        out_a, out_b = [rep[:0]], [rep[:0]]
+        first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        for lo, hi in zip(first, [*first[1:], len(tile)]):
+            left = np.arange(lo, hi)
+            right = left[side[lo:hi] == 1]
+            left = left[side[lo:hi] == 0]
+            for i in range(0, len(left), 64):
+                x = left[i : i + 64]
+                y = right if len(right) else left[i:]
+                ok = (component[x][:, None] != component[y]) & within_bounds(n[x][:, None], n[y], bits[x][:, None], bits[y], percent)
+                j, k = np.nonzero(ok)
+                out_a.append(rep[x[j]])
+                out_b.append(rep[y[k]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches):
+        rest = None  # the last tile of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(5)] + [_bits(batch.column(5))]
+            if rest is not None:
+                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            rest = [c[cut:] for c in cols]
+            if cut:
+                yield products(*[c[:cut] for c in cols])
+        if rest is not None:
+            yield products(*rest)
 
     return run
 
@@ -242,13 +287,21 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.write(texts.mapInArrow(_matrix(width, percent, False), "id long, set long, n long"), "rows")
-    sets = scratch.write(rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "sets")
+    matrix = scratch.write(
+        texts.mapInArrow(_matrix(width, percent), "id long, set binary, n long, sketch binary, blocks array<long>"), "matrix"
+    )
+    rows = matrix.select("id", "set", "n")
+    sets = scratch.write(
+        matrix.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        "sets",
+    )
+    # a row is named by 64 bits of its set here; if two sets share them, both are met and compared
+    short = F.xxhash64("set").alias("short")
     by_block = Window.partitionBy("block")
-    offered = texts.mapInArrow(_matrix(width, percent, True), "set long, block long")
-    meeting = offered.select("block", "set", F.min("set").over(by_block).alias("lo"), F.max("set").over(by_block).alias("hi")).filter("lo <> hi")
-    met = scratch.write(meeting.select("block", "set").distinct(), "met")
-    met = scratch.write(met.join(sets.select("set", "rep", "n"), "set").select("block", "rep", "n"), "members")
+    offered = matrix.filter("n > 0").select(short, F.explode("blocks").alias("block"))
+    meeting = offered.select("block", "short", F.min("short").over(by_block).alias("lo"), F.max("short").over(by_block).alias("hi")).filter("lo <> hi")
+    met = scratch.write(meeting.select("block", "short").distinct(), "met")
+    met = scratch.write(met.join(sets.select(short, "rep", "n", "sketch"), "short").select("block", "rep", "n", "sketch"), "members")
     # the sets of rows that meet others, fetched anew from their texts
     ids = met.select("rep").distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -263,9 +316,9 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
 
     # repeated ids would repeat rows: any of them carries the same or another full set, one is kept
     held = scratch.write(wanted.mapInArrow(fetch, "rep long, grams binary").dropDuplicates(["rep"]), "held")
-    links = _first_links(met, held, percent, scratch)
+    links = _compared(_centre_pairs(met, percent), held, percent, scratch, "links")
     components = connected_components(links, scratch, "near")
-    more = _block_links(met, held, components, percent, scratch)
+    more = _compared(_open_pairs(met, components, percent, scratch), held, percent, scratch, "more")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more), scratch, "all")
     of_set = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -276,49 +329,47 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _first_links(met: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links of rows with the centres (smallest members) of most of their blocks."""
-    centre = F.min("rep").over(Window.partitionBy("block"))
-    choice = Window.partitionBy("rep").orderBy(F.desc("count"), "centre")
-    pairs = (
-        met.withColumn("centre", centre).filter("rep <> centre").groupBy("rep", "centre").count()
-        .withColumn("k", F.row_number().over(choice)).filter("k <= 2").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    )
+def _compared(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link, by their sets."""
+    pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
     with_sets = pairs.join(held.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a").join(
         held.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b"
     )
-    return scratch.write(with_sets.select("a", "b", "x", "y").mapInArrow(_compare_pairs(percent), "a long, b long"), "links")
+    return scratch.write(with_sets.select("a", "b", "x", "y").mapInArrow(_compare_pairs(percent), "a long, b long"), name)
 
 
-def _block_links(met: DataFrame, held: DataFrame, components: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links across components among the rows that still meet, by products of row blocks."""
+def _centre_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Each row with the smallest member of each of its blocks, where the bounds allow a link."""
+    centre = F.min(F.struct("rep", "n", "sketch")).over(Window.partitionBy("block"))
+    pairs = met.withColumn("centre", centre).filter("rep <> centre.rep").select(
+        F.col("rep").alias("a"), "n", "sketch", F.col("centre.rep").alias("b"), F.col("centre.n").alias("n2"), F.col("centre.sketch").alias("sketch2")
+    )
+    return pairs.mapInArrow(_bounded_pairs(percent), "a long, b long")
+
+
+def _open_pairs(met: DataFrame, components: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs across components in blocks that hold several, where the bounds allow a link."""
     by_block = Window.partitionBy("block")
     labelled = met.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = scratch.write(
-        labelled.select("block", "rep", "n", "component", F.min("component").over(by_block).alias("lo"), F.max("component").over(by_block).alias("hi"), F.min("rep").over(by_block).alias("centre"))
-        .filter("lo <> hi"),
-        "open",
-    )
-    # rows that meet, directly or through others, are one group; other groups need no product
-    groups = connected_components(open_.select(F.col("rep").alias("a"), F.col("centre").alias("b")), scratch, "groups")
-    members = open_.select("rep", "n", "component").distinct().join(groups.withColumnRenamed("node", "rep").withColumnRenamed("component", "group"), "rep")
-    place = F.row_number().over(Window.partitionBy("group").orderBy("component", "n", "rep"))
-    members = scratch.write(members.withColumn("part", F.floor((place - 1) / BLOCK_ROWS).cast("int")), "dealt")
-    parts = members.groupBy("group", "part").agg(
-        F.min("n").alias("small"), F.max("n").alias("large"), F.min("component").alias("first"), F.max("component").alias("last")
-    )
-    other = parts.select("group", *[F.col(c).alias(f"{c}2") for c in ("part", "small", "large", "first", "last")])
-    can_link = (F.col("large") * 100 >= F.col("small2") * percent) & (F.col("large2") * 100 >= F.col("small") * percent)
-    one = (F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))
-    todo = parts.join(other, "group").filter((F.col("part") <= F.col("part2")) & can_link & ~one).select("group", "part", "part2")
-    sides = todo.select("group", "part", "part2", F.lit(0).alias("side"), F.col("part").alias("own")).unionByName(
-        todo.filter("part <> part2").select("group", "part", "part2", F.lit(1).alias("side"), F.col("part2").alias("own"))
+    open_ = labelled.select(
+        "block", "rep", "n", "sketch", "component", F.min("component").over(by_block).alias("lo"), F.max("component").over(by_block).alias("hi"), F.count(F.lit(1)).over(by_block).alias("size")
+    ).filter("lo <> hi")
+    # a block of several tiles is sent to each of them; a block that fits one goes once
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    part = F.pmod(F.xxhash64("rep"), parts)
+    dealt = open_.select("*", parts.alias("parts"), part.cast("int").alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select(
+        F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "n", "component", "sketch"
     )
-    rows = sides.join(members.withColumnRenamed("part", "own"), ["group", "own"]).join(held, "rep")
-    products = rows.select("group", "part", "part2", "side", "rep", "n", "component", "grams").groupBy("group", "part", "part2").applyInPandas(
-        _compare_blocks(percent), "a long, b long"
-    )
-    return scratch.write(products, "more")
+    return tiles.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_tile_pairs(percent), "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, all columns as they are."""
+    scratch = scratch or Scratch(docs.sparkSession, "keep")
+    joined = join(docs, width, percent, id_col, text_col, scratch)
+    gone = scratch.write(joined.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
