@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -197,7 +198,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     merged = out.groupBy(*keep).agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return merged.withColumn("spans", F.udf(_merge, "array<array<long>>")("spans"))
+
+    def merge_all(spans: pd.Series) -> pd.Series:
+        return spans.map(_merge)
+
+    return merged.withColumn("spans", F.pandas_udf(merge_all, "array<array<long>>")("spans"))
 
 
 def n_hit():
@@ -217,7 +222,9 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows of ``docs``; the hit words, and what stands between them, are cut from the text."""
 
-    def cut(text: str, spans: list[list[int]]) -> str:
+    def cut(text: str | None, spans: list[list[int]]) -> str | None:
+        if text is None or not len(spans):
+            return text
         raw = text.encode()
         word = np.concatenate([[False], _IS_WORD[np.frombuffer(raw, dtype=np.uint8)], [False]]).astype(np.int8)
         edge = np.diff(word)
@@ -228,10 +235,11 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
             at = ends[b - 1]
         return b"".join([*out, raw[at:]]).decode()
 
-    cutter = F.udf(cut, "string")
+    def cut_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, s) for t, s in zip(texts, spans)], dtype=object)
+
     found = scan(docs, benchmark, docs.columns, text_col)
-    new = F.when(F.size("spans") > 0, cutter(text_col, "spans")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, new).select(*docs.columns)
+    return found.withColumn(text_col, F.pandas_udf(cut_all, "string")(text_col, "spans")).select(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

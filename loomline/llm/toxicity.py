@@ -244,7 +244,10 @@ def _slice(feats, rows):
 
 
 def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: int = 5, batch: int = 256, rate: float = 0.01, least_docs: int = 5) -> Network:
-    """Fit on (label, windows as text) of documents; the threshold is set between the classes."""
+    """Fit on (label, windows as text) of documents; the threshold is set between the classes.
+
+    Few windows are taken in smaller batches and more passes, so that there are some hundred steps.
+    """
     net = net or Network()
     names: dict[bytes, int] = {b"": 0}
     owner, index, labels = [], [], []
@@ -268,8 +271,10 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
     feats = np.where(common, word, net.word_buckets), np.where(known[grams], grams, net.char_buckets), counts
     doc_y = np.array([y for y, _ in docs], dtype=np.float32)
     adam, rng = _Adam(net, rate), np.random.default_rng(net.seed)
+    batch = min(batch, max(16, len(owner) // 100))
+    passes = max(passes, min(40, 600 * batch // max(1, len(owner))))
     for k in range(passes):
-        if k < 1:
+        if k < passes // 5:
             chosen = np.arange(len(owner))
         else:  # of toxic documents only the highest window
             score = _score(net, feats, index)
