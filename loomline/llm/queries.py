@@ -10,7 +10,7 @@ from .decontaminate import op9_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .kk_sharding import op2_kk_sharding
 from .ngram_trie import op1_ngram_trie
-from .secret_ledger import op4_secret_ledger
+from .secret_ledger import RULES, op4_secret_ledger
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -26,4 +26,91 @@ QUERIES = {
     "op10_chat_trees": op10_chat_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Links (a, b) to the smallest id that each row reaches.
+_REACH = """reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    part AS (SELECT a, min(b) AS least FROM reach GROUP BY a)"""
+
+_OP3 = f"""WITH RECURSIVE
+    v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+        WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+    {_REACH},
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(part.least, vec_id)) AS component_id,
+        vec_id = least(vec_id, coalesce(part.least, vec_id)) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN part ON part.a = vec_id"""
+
+
+def _op4() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    one = [
+        f"""SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps,
+        regexp_extract_all(t, {quoted(r.pattern)}, 0) AS found, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS judged
+        FROM d WHERE regexp_matches(t, {quoted(r.pattern)})"""
+        for rank, r in enumerate(RULES)
+    ]
+    base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    span = "kind || ':' || start || ':' || stop"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(one)}),
+    p AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+    s AS (SELECT doc_id, kind, rank, least, length(judged[i]) AS n,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS a, length(found[i]) AS w FROM p),
+    k AS (SELECT doc_id, kind, rank, CAST(a AS BIGINT) AS start, CAST(a + w AS BIGINT) AS stop FROM s WHERE n >= least),
+    g AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})) AS base,
+        string_agg({span}, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+    FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+_OP8 = f"""WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    {_REACH}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(part.least, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.a = d.doc_id"""
+
+_WORDS9 = f"""regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+_OP9 = f"""WITH
+    i AS (SELECT item_id, {_WORDS9} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0))),
+    d AS (SELECT doc_id, coalesce({_WORDS9}, []) AS w FROM documents),
+    dw AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+    hit AS (SELECT doc_id, dw.k, p, item_id FROM dw JOIN win ON win.k = dw.k AND win.g = dw.g),
+    words AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM (SELECT doc_id, p, unnest(range(0, k)) AS o FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+_ESCAPE = r"regexp_replace({}, '([<\[]\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')"
+_OP10 = f"""WITH
+    c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length('<s>[INST]  [/INST] </s>') + length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")})) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id"""
+
+#: The others need a tokenizer, a fitted model, a heap or a hash that SQL lacks; they are tested against plain restatements.
+ORACLE_SQL: dict[str, str] = {
+    "op3_cover_tree": _OP3,
+    "op4_secret_ledger": _op4(),
+    "op8_jaccard_join": _OP8,
+    "op9_decontaminate": _OP9,
+    "op10_chat_trees": _OP10,
+}
