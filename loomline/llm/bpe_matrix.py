@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_heap import merges_of
-from .common import table
+from .common import in_slices, table
 
 LONGEST = 1024
 #: Pre-tokens remembered by a worker, and characters of text encoded at a time.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 CHUNK_CHARS = 1 << 20
 _NONE = np.int32(0x7FFFFFFF)
 
@@ -187,8 +187,9 @@ def _in_tasks(docs: DataFrame, text_col: str, path: str, pattern: str, ddl: str,
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make(encoder(path, pattern), texts)], names=[*keep, *names])
+            for part, raw in in_slices(batch, len(keep), 4 * CHUNK_CHARS):
+                made = make(encoder(path, pattern), [t.decode() for t in raw])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *names])
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, own + ddl)
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,18 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, where the session names none.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder.  Texts are long, so Arrow batches are made smaller than Spark's default."""
+    for key, default, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "268435456", ARROW_BYTES),
+    ):
+        if spark.conf.get(key, default) in (default, f"{default}b", "256m", "256MB"):
+            spark.conf.set(key, str(value))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,12 +91,25 @@ def join_with_hot(left: DataFrame, right: DataFrame, key: str, copies: Column, t
     )
 
 
-# ---------------------------------------------------------------- hashing in tasks
+# ---------------------------------------------------------------- in tasks
+
+def in_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """Slices of a batch with about ``most`` bytes of text each, and their texts as bytes (null: empty)."""
+    texts = pc.fill_null(pc.cast(batch.column(column), pa.binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at), texts.slice(at, end - at).to_pylist()
+        at = end
+
+
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``most`` words and then begun anew."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

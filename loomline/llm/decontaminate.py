@@ -18,11 +18,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_slices, table
 
 WIDTH = 13
 #: Bytes of item texts whose windows are broadcast at a time.
@@ -110,42 +109,30 @@ class _Ids(dict):
         return 0
 
 
-def _chunks(texts: list[bytes | None]):
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= CHUNK_BYTES:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
-def scan_texts(found_by: WindowSet, texts: list[bytes | None]):
-    """n_words, hit word spans (merged, end exclusive) and sorted item ids as text, for each text."""
+def scan_texts(found_by: WindowSet, texts: list[bytes]):
+    """n_words, hit word spans (merged, end exclusive) and sorted item ids as text, for each text of a slice."""
     ids = _Ids(found_by.ids)
-    for lo, hi in _chunks(texts):
-        counts, flat = [], []
-        for t in texts[lo:hi]:
-            w = words_of(t or b"")
-            counts.append(len(w))
-            flat += w
-            flat.append(b" ")  # no word: a window never spans two texts
-        words = np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))
-        starts = np.cumsum([0, *(c + 1 for c in counts)])
-        by_text: dict[int, list] = {}
-        for i, n, items in found_by.hits(words):
-            by_text.setdefault(int(np.searchsorted(starts, i, side="right")) - 1, []).append((i, n, items))
-        for k, c in enumerate(counts):
-            spans, names = [], set()
-            for i, n, items in sorted(by_text.get(k, ()), key=lambda x: x[0]):
-                a = i - int(starts[k])
-                names.update(map(str, items))
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], a + n)
-                else:
-                    spans.append([a, a + n])
-            yield c, spans, sorted(names)
+    counts, flat = [], []
+    for t in texts:
+        w = words_of(t)
+        counts.append(len(w))
+        flat += w
+        flat.append(b" ")  # no word: a window never spans two texts
+    words = np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))
+    starts = np.cumsum([0, *(c + 1 for c in counts)])
+    by_text: dict[int, list] = {}
+    for i, n, items in found_by.hits(words):
+        by_text.setdefault(int(np.searchsorted(starts, i, side="right")) - 1, []).append((i, n, items))
+    for k, c in enumerate(counts):
+        spans, names = [], set()
+        for i, n, items in sorted(by_text.get(k, ()), key=lambda x: x[0]):
+            a = i - int(starts[k])
+            names.update(map(str, items))
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], a + n)
+            else:
+                spans.append([a, a + n])
+        yield c, spans, sorted(names)
 
 
 _FOUND = "n_words long, spans array<array<long>>, items array<string>"
@@ -156,17 +143,22 @@ def _scan_group(docs: DataFrame, text_col: str, keep: list[str], items: list, wi
     schema = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
+    at = keep.index(text_col) if text_col in keep else len(keep)  # the text crosses to Python once
+
     def run(batches):
         for batch in batches:
-            texts = pc.cast(batch.column(batch.schema.get_field_index("_text")), pa.binary()).to_pylist()
-            found = list(scan_texts(shared.value, texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                + [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[2] for f in found], pa.list_(pa.string()))],
-                names=[*keep, "n_words", "spans", "items"],
-            )
-
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl}, {_FOUND}")
+            for part, texts in in_slices(batch, at, CHUNK_BYTES):
+                found = list(scan_texts(shared.value, texts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[: len(keep)], pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[2] for f in found], pa.list_(pa.string())),
+                    ],
+                    names=[*keep, "n_words", "spans", "items"],
+                )
+
+    sent = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    return sent.mapInArrow(run, f"{ddl}, {_FOUND}")
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:

@@ -30,12 +30,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, join_with_hot, mix, table
+from .common import Scratch, WordHashes, in_slices, join_with_hot, mix, table
 from .components import connected_components
 
 #: Rows of one block in a tile; bits of a row's sketch; pairs in a product; its entries accumulated at a time.
@@ -116,17 +115,6 @@ def _rows_of(texts: list[bytes | None], width: int, hashes: WordHashes) -> list[
     return [gram_hashes(hashes.of((t or b"").lower().split()), width) for t in texts]
 
 
-def _slices(texts: list[bytes | None]):
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= CHUNK_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def sketch(row: np.ndarray) -> bytes:
     """Parity of the columns of each of SKETCH residues."""
     return np.packbits((np.bincount((row & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
@@ -139,15 +127,14 @@ def _matrix(width: int, percent: int):
         hashes = WordHashes()
         windows = np.array(size_windows(percent, 1 << 40), dtype=np.int64)
         for batch in batches:
-            texts = pc.cast(batch.column(1), pa.binary()).to_pylist()
-            for lo, hi in _slices(texts):
-                rows = _rows_of(texts[lo:hi], width, hashes)
+            for part, texts in in_slices(batch, 1, CHUNK_BYTES):
+                rows = _rows_of(texts, width, hashes)
                 of, value = block_values(rows, windows)
                 order = np.argsort(of, kind="stable")
                 ends = np.searchsorted(of[order], np.arange(len(rows) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
+                        part.column(0),
                         pa.array([xxhash.xxh3_128_digest(r.tobytes()) if len(r) else None for r in rows], pa.binary()),
                         pa.array([len(r) for r in rows], pa.int64()),
                         pa.array([sketch(r) if len(r) else None for r in rows], pa.binary()),
@@ -311,8 +298,9 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     def fetch(batches):
         hashes = WordHashes()
         for batch in batches:
-            grams = _rows_of(pc.cast(batch.column(1), pa.binary()).to_pylist(), width, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary())], names=["rep", "grams"])
+            for part, some in in_slices(batch, 1, CHUNK_BYTES):
+                grams = [g.tobytes() for g in _rows_of(some, width, hashes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], names=["rep", "grams"])
 
     # repeated ids would repeat rows: any of them carries the same or another full set, one is kept
     held = scratch.write(wanted.mapInArrow(fetch, "rep long, grams binary").dropDuplicates(["rep"]), "held")

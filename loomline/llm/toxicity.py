@@ -21,15 +21,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_slices, table
 
 WINDOW, STRIDE = 32, 24
 #: Bytes of text scored at a time; words whose input projections a worker remembers.
-CHUNK_BYTES, REMEMBERED = 1 << 20, 200_000
+CHUNK_BYTES, REMEMBERED = 1 << 20, 60_000
 _NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -321,15 +320,8 @@ class Scorer:
         self.used = 1
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size == 0 or size < CHUNK_BYTES):
-                size += len(texts[end]) + 1
-                end += 1
-            out.append(self._chunk(texts[at:end]))
-            at = end
-        return np.concatenate(out) if out else np.zeros(0)
+        """Scores of a slice of texts (null: empty)."""
+        return self._chunk([t or b"" for t in texts]) if len(texts) else np.zeros(0)
 
     def _chunk(self, texts: list[bytes]) -> np.ndarray:
         if len(self.rows) > REMEMBERED:
@@ -342,7 +334,7 @@ class Scorer:
         ids = np.fromiter(map(self.rows.__getitem__, flat), dtype=np.int64, count=len(flat))
         if new := self.rows.new:
             if len(self.rows) + 1 > len(self.table):
-                grown = np.zeros((max(len(self.rows) + 1, 2 * len(self.table)), self.table.shape[1]), np.float32)
+                grown = np.zeros((max(len(self.rows) + 1, 3 * len(self.table) // 2), self.table.shape[1]), np.float32)
                 grown[: self.used] = self.table[: self.used]
                 self.table = grown
             for i in range(0, len(new), 20_000):
@@ -437,8 +429,8 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataF
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = [t or b"" for t in pc.cast(batch.column(at), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(texts), pa.float64())], names=[*names, "score"])
+            for part, texts in in_slices(batch, at, CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts), pa.float64())], names=[*names, "score"])
 
     return docs.mapInArrow(run, ddl)
 
