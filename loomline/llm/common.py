@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files behind written tables now, not at some later collection.
+
+        The driver still refers to the latest plan that ran, so a small one runs first.
+        """
+        self.spark.range(1).count()
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
