@@ -131,7 +131,7 @@ class Ledger:
         scans = self._read("scans")
         copies = scans.groupBy("blob").agg(F.max("copies").alias("copies"))
         paths = self._read("paths")
-        found = self.by_blob().join(copies, "blob")
+        found = copies.join(self.by_blob(), "blob", "left")  # blobs without findings too: they may be the hot ones
         return join_with_hot(paths, found, "blob", F.col("copies"), paths.count())
 
 
