@@ -16,8 +16,12 @@ Links are pairs of documents whose sets of distinct word n-grams have
 3. Blocks that still hold several components are multiplied out in tiles of bounded size; the
    pairs across components that the bounds leave are compared.
 4. Links are joined to components.
+5. Linked rows share a component, so the members of each component are dealt to tiles in which
+   every two of them meet once; those that the bounds leave are compared, and each row counts its
+   links there.  A link with a row of the matrix counts once for each of its documents.
 
-No pairs of equal texts are made, no pairs within a group are listed, and no link is lost.
+No pairs of equal texts are made and no pairs within a group are listed, but every link is counted.
+``keep_one`` needs components only and leaves out step 5.
 
 Defined cases: null, empty or wordless texts have an empty set and link with nothing; shorter
 texts than the n-gram are one n-gram; very long texts are rows like others; repeated rows are one
@@ -39,6 +43,8 @@ from .components import connected_components
 
 #: Rows of one block in a tile; bits of a row's sketch; pairs in a product; its entries accumulated at a time.
 TILE, SKETCH, PAIRS, SLICE = 1024, 512, 256, 4_000_000
+#: Rows and columns' entries of one side of a tile whose links are counted; columns of its product at a time.
+COUNTED, ENTRIES, COLUMNS = 512, 2_000_000, 4096
 #: Documents whose ids are broadcast to fetch their texts again; beyond it a shuffled join does.
 BROADCAST_IDS = 1_000_000
 CHUNK_BYTES = 1 << 20
@@ -267,10 +273,98 @@ def _tile_pairs(percent: int):
     return run
 
 
+def products(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The same overlap counts as ``overlaps``, for rows that share most columns: dense slices of columns."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    cols = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (left, right)]
+    both = np.intersect1d(*cols)
+    at = [np.searchsorted(both, c) for c in cols]
+    held = [np.flatnonzero(both[np.minimum(a, len(both) - 1)] == c) if len(both) else a[:0] for a, c in zip(at, cols)]
+    order = [h[np.argsort(a[h], kind="stable")] for a, h in zip(at, held)]
+    for begin in range(0, len(both), COLUMNS):
+        dense = []
+        for s, x in enumerate((left, right)):
+            lo, hi = np.searchsorted(at[s][order[s]], [begin, begin + COLUMNS])
+            some = order[s][lo:hi]
+            m = np.zeros((len(x), min(COLUMNS, len(both) - begin)), dtype=np.float32)
+            m[rows[s][some], at[s][some] - begin] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], ok: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs ``ok`` (a matrix) link."""
+    i, j = np.nonzero(ok)
+    if len(i) <= 64:
+        both = np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
+    else:
+        both = products(left, right)[i, j]
+    size = np.array([len(r) for r in left])[i] + np.array([len(r) for r in right])[j]
+    out = np.zeros(ok.shape, dtype=bool)
+    out[i, j] = 100 * both >= percent * (size - both)
+    return out
+
+
+def _count_links(percent: int):
+    """Rows component, lo, hi, side, rep, copies, n, sketch, grams sorted by tile (the first three): rep, links.
+
+    Side 0 meets side 1, or itself where lo = hi.
+    """
+
+    def tile(same, side, rep, copies, n, bits, grams):
+        of = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+        x, y = (of[0], of[0]) if same else of
+        links = np.zeros(len(rep), np.int64)
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        ok = np.zeros((len(x), len(y)), dtype=bool)
+        for i in range(0, len(x), 64):
+            part = x[i : i + 64]
+            ok[i : i + 64] = within_bounds(n[part][:, None], n[y], bits[part][:, None], bits[y], percent)
+        if same:
+            ok = np.triu(ok, 1)
+        if ok.any():
+            link = linked([sets[i] for i in x], [sets[i] for i in y], ok, percent)
+            links[x] += link @ copies[y]
+            links[y] += copies[x] @ link
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], names=["rep", "links"])
+
+    def run(batches):
+        rest = None  # the last tile of a batch may go on in the next
+        done = lambda c: tile(c[1][0] == c[2][0], *c[3:])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(7)] + [_bits(batch.column(7)), np.array(batch.column(8).to_pylist() + [None], dtype=object)[:-1]]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            if rest is not None:
+                if all(r[0] == c[0] for r, c in zip(rest[:3], cols)):
+                    end = int(new[0]) if len(new) else batch.num_rows
+                    rest = [np.concatenate([r, c[:end]]) for r, c in zip(rest, cols)]
+                    cols, new = [c[end:] for c in cols], new[1:] - end
+                if not len(cols[0]):
+                    continue
+                yield done(rest)
+            ends = [0, *new.tolist(), len(cols[0])]
+            for lo, hi in zip(ends[:-2], ends[1:-1]):
+                yield done([c[lo:hi] for c in cols])
+            rest = [c[ends[-2] :].copy() for c in cols]
+        if rest is not None:
+            yield done(rest)
+
+    return run
+
+
 # ---------------------------------------------------------------- the join
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id, n_shingles and component_id (smallest id reachable by links) of every row; ids are integers."""
+    """id, n_shingles, n_links (other rows it links with) and component_id (smallest id reachable by links) of every row; ids are integers."""
+    return _join(docs, width, percent, id_col, text_col, scratch, True)
+
+
+def _join(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: Scratch | None, counted: bool) -> DataFrame:
+    """The rows of ``join``; without n_links unless ``counted``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -309,12 +403,36 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     more = _compared(_open_pairs(met, components, percent, scratch), held, percent, scratch, "more")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more), scratch, "all")
-    of_set = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set", "copies", F.coalesce("component", "rep").alias("component_id")
+    part_of = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if counted:
+        part_of = part_of.join(_links_of(sets, components, held, percent, scratch), "rep", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    else:
+        part_of = part_of.withColumn("links", F.lit(0))
+    of_set = part_of.select(
+        "set", "copies", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     n = rows.count()
-    joined = join_with_hot(rows, of_set, "set", F.col("copies"), n)
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return join_with_hot(rows, of_set, "set", F.col("copies"), n).select(*out)
+
+
+def _links_of(sets: DataFrame, components: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """rep, links: how many documents of other sets the set links with."""
+    known = sets.select("rep", "copies", "n", "sketch").join(components.withColumnRenamed("node", "rep"), "rep")
+    known = scratch.write(known, "known")
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
+    parts = F.greatest(F.ceil(F.col("size") / COUNTED), F.ceil(F.col("entries") / ENTRIES)).cast("int")
+    total = known.count()
+    sized = join_with_hot(known, size.select("component", "size", parts.alias("parts")), "component", F.col("size"), total)
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = sized.join(held, "rep").select("*", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select(
+        "component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"),
+        "rep", "copies", "n", "sketch", "grams",
+    )
+    tiles = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side", "rep")
+    return scratch.write(tiles.mapInArrow(_count_links(percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")), "counted")
 
 
 def _compared(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -355,10 +473,14 @@ def _open_pairs(met: DataFrame, components: DataFrame, percent: int, scratch: Sc
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns as they are."""
     scratch = scratch or Scratch(docs.sparkSession, "keep")
-    joined = join(docs, width, percent, id_col, text_col, scratch)
+    joined = _join(docs, width, percent, id_col, text_col, scratch, False)
     gone = scratch.write(joined.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    return op8_jaccard_links(spark, sf_dir).drop("n_links")  # its SQL names no links
+
+
+def op8_jaccard_links(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from .bpe_matrix import op6_bpe_matrix
 from .chat_trees import op10_chat_trees
 from .cover_tree import op3_cover_tree
 from .decontaminate import op9_decontaminate
-from .jaccard_join import op8_jaccard_join
+from .jaccard_join import op8_jaccard_join, op8_jaccard_links
 from .kk_sharding import op2_kk_sharding
 from .ngram_trie import op1_ngram_trie
 from .secret_ledger import RULES, op4_secret_ledger
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_bpe_matrix": op6_bpe_matrix,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op8_jaccard_links": op8_jaccard_links,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
 }
@@ -80,6 +81,9 @@ _OP8 = f"""WITH RECURSIVE
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(part.least, d.doc_id)) AS component_id
     FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.a = d.doc_id"""
 
+#: The same rows, with the number of links of each.
+_OP8_LINKS = _OP8.replace("SELECT d.doc_id, coalesce(n.n, 0)", "SELECT d.doc_id, (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links, coalesce(n.n, 0)")
+
 _WORDS9 = f"""regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 _OP9 = f"""WITH
     i AS (SELECT item_id, {_WORDS9} AS w FROM benchmark),
@@ -111,6 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_cover_tree": _OP3,
     "op4_secret_ledger": _op4(),
     "op8_jaccard_join": _OP8,
+    "op8_jaccard_links": _OP8_LINKS,
     "op9_decontaminate": _OP9,
     "op10_chat_trees": _OP10,
 }

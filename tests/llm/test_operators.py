@@ -385,6 +385,38 @@ def test_jaccard_of_near_copies(spark, monkeypatch, tile):
     assert by_id(jaccard_join.join(df), "doc_id", "n_shingles", "component_id") == brute.jaccard_classes(rows)
 
 
+def link_counts(rows, threshold=85):
+    sets = [brute.shingles(t) for _, t in rows]
+    n = dict.fromkeys((d for d, _ in rows), 0)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if x and y and 100 * both >= threshold * (len(x) + len(y) - both):
+                n[rows[i][0]] += 1
+                n[rows[j][0]] += 1
+    return n
+
+
+@pytest.mark.parametrize("tile,entries", [(512, 2_000_000), (7, 300)])
+def test_jaccard_counts_every_link(spark, docs, monkeypatch, tile, entries):
+    monkeypatch.setattr(jaccard_join, "COUNTED", tile)
+    monkeypatch.setattr(jaccard_join, "ENTRIES", entries)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 50)
+    rng = random.Random(12)
+    rows = list(texts())
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range((70, 100, 90)[family])]
+        for _ in range((150, 30, 2)[family]):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(6)}"
+            rows.append((100 + len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = link_counts(rows)
+    assert len(set(want.values())) > 10
+    assert by_id(jaccard_join.join(df), "doc_id", "n_links") == {k: (v,) for k, v in want.items()}
+
+
 def test_blocks_meet():
     rng = np.random.default_rng(10)
     windows = np.array(jaccard_join.size_windows(85, 1 << 20))
