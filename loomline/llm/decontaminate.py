@@ -4,8 +4,8 @@ The windows of the test items (13 words; a shorter item is one window) become ha
 that every task holds; the words of the training texts pass by as rolling window hashes; each
 hit is verified word by word; hit documents or spans are removed.  Words are runs of letters and
 digits after lower-casing A-Z.  The set is built from at most ITEM_BYTES of item texts at a time:
-beyond that the items are split into groups of whole items, the texts are scanned once for each
-group, and the hits of a document are merged.
+beyond that the items are dealt to groups (long ones in pieces that overlap by a window less a
+word), and each row is scanned for one group after another, adding to the hits it has.
 
 Defined cases: a null text has no words and is clean; an item that is null or has no words never
 hits; repeated rows are judged one by one; empty tables give no hits; other columns stay.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, table
+from .common import Scratch, in_slices, table
 
 WIDTH = 13
 #: Bytes of item texts whose windows are broadcast at a time.
@@ -138,27 +138,29 @@ def scan_texts(found_by: WindowSet, texts: list[bytes]):
 _FOUND = "n_words long, spans array<array<long>>, items array<string>"
 
 
-def _scan_group(docs: DataFrame, text_col: str, keep: list[str], items: list, width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, width))
-    schema = docs.select(*keep).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    at = keep.index(text_col) if text_col in keep else len(keep)  # the text crosses to Python once
+def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int) -> DataFrame:
+    """Rows with n_words, spans and items, merged with those of earlier groups where the rows have them already."""
+    shared = rows.sparkSession.sparkContext.broadcast(WindowSet(items, width))
+    names = rows.columns[:n_keep]
+    later = len(rows.columns) > n_keep
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
 
     def run(batches):
         for batch in batches:
             for part, texts in in_slices(batch, at, CHUNK_BYTES):
                 found = list(scan_texts(shared.value, texts))
+                if later:
+                    before = zip(part.column(n_keep + 1).to_pylist(), part.column(n_keep + 2).to_pylist())
+                    found = [(n, _merge([*s, *spans]), sorted({*i, *names})) for (n, spans, names), (s, i) in zip(found, before)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[: len(keep)], pa.array([f[0] for f in found], pa.int64()),
+                        *part.columns[:n_keep], pa.array([f[0] for f in found], pa.int64()),
                         pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[2] for f in found], pa.list_(pa.string())),
                     ],
-                    names=[*keep, "n_words", "spans", "items"],
+                    names=[*names, "n_words", "spans", "items"],
                 )
 
-    sent = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
-    return sent.mapInArrow(run, f"{ddl}, {_FOUND}")
+    return rows.mapInArrow(run, f"{ddl}, {_FOUND}")
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -171,30 +173,55 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def pieces_of(text: bytes, most: int, width: int) -> list[bytes]:
+    """Texts of about ``most`` bytes whose windows together are those of ``text``."""
+    words, out, begin = words_of(text), [], 0
+    ends = np.cumsum([len(w) + 1 for w in words])
+    while True:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 2 * width, int(np.searchsorted(ends, before + most, side="right")))
+        out.append(b" ".join(words[begin:end]))
+        if end >= len(words):
+            return out
+        begin = end - (width - 1)
+
+
+def _split_long(items: DataFrame, most: int, width: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                raw = (text or "").encode()
+                texts = [text] if len(raw) <= most else [p.decode() for p in pieces_of(raw, most, width)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i] * len(texts))), pa.array(texts, pa.string())], names=["item", "text"]
+                )
+
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, text string")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``keep`` columns, n_words, hit word spans and items with occurring windows, for each row.
-
-    With items beyond ITEM_BYTES the rows must be told apart by ``keep``.
-    """
+    """``keep`` columns, n_words, hit word spans and items with occurring windows, for each row."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     groups = max(1, math.ceil(size / ITEM_BYTES))
     dealt = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
+    # the text crosses to Python once a group
+    sent = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
     if groups == 1:
-        return _scan_group(docs, text_col, keep, [tuple(r) for r in dealt.collect()], width)
+        return _scan_group(sent, len(sent.columns), at, [tuple(r) for r in dealt.collect()], width).select(*keep, "n_words", "spans", "items")
+    # one group after another over the same rows, each written, so that no task holds two groups
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    dealt = _split_long(dealt, ITEM_BYTES // 8, width)
     part = F.pmod(F.xxhash64("item", "text"), F.lit(groups))
-    scans = [_scan_group(docs, text_col, keep, [tuple(r) for r in dealt.filter(part == g).collect()], width) for g in range(groups)]
-    out = scans[0]
-    for s in scans[1:]:
-        out = out.unionByName(s)
-    merged = out.groupBy(*keep).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-
-    def merge_all(spans: pd.Series) -> pd.Series:
-        return spans.map(_merge)
-
-    return merged.withColumn("spans", F.pandas_udf(merge_all, "array<array<long>>")("spans"))
+    out, n = sent, len(sent.columns)
+    for g in range(groups):
+        out = _scan_group(out, n, at, [tuple(r) for r in dealt.filter(part == g).collect()], width)
+        if g < groups - 1:
+            out = scratch.write(out, f"group{g}")
+            if g:
+                scratch.remove(f"group{g - 1}")
+    return out.select(*keep, "n_words", "spans", "items")
 
 
 def n_hit():

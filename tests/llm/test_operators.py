@@ -454,6 +454,27 @@ def test_decontamination(spark, docs, monkeypatch, most):
     assert decontaminate.scan(empty(docs), items, ["doc_id"]).count() == 0
 
 
+def test_decontamination_judges_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    items = spark.createDataFrame([i for i in ITEMS if i[0] != 8], "item_id long, text string")
+    long = " ".join(f"shared{i}" for i in range(20, 45))
+    rows = [(1, PASSAGE), (1, "clean"), (1, "clean"), (None, PASSAGE), (None, PASSAGE), (None, f"a {long} b"), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.decontaminated(list(enumerate(t for _, t in rows)), [i for i in ITEMS if i[0] is not None])
+    out = decontaminate.scan(df, items, ["doc_id"]).select("doc_id", "n_words", decontaminate.n_hit().alias("hit"), F.size("items").alias("k")).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(repr((d, *want[i][:3])) for i, (d, _) in enumerate(rows))
+    assert decontaminate.drop_documents(df, items).count() == sum(not w[4] for w in want.values()) == 4
+    assert decontaminate.cut_spans(df, items).count() == len(rows)
+
+
+def test_pieces_hold_all_windows():
+    words = [b"w%d" % i for i in range(200)]
+    windows = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    for most in (1, 100, 300, 10_000):
+        pieces = [p.split() for p in decontaminate.pieces_of(b" ".join(words), most, 13)]
+        assert set().union(*map(windows, pieces)) == windows(words) and all(len(p) >= 13 for p in pieces)
+
+
 # ---------------------------------------------------------------- 10
 
 def test_escapes(spark):
