@@ -13,7 +13,7 @@ where backslashes stand there already), so the template's own marks are the only
 output and reading back removes exactly that backslash.  ``loss`` holds the spans (code points,
 end exclusive) of the assistant texts in the output.
 
-Defined cases: null role or text: empty; a parent that is missing makes a root; a table without
+Defined cases: null role or text: empty; a null tree (conv_id) is a tree like others, all its rows one; a parent that is missing makes a root; a table without
 rows gives none; messages of a cycle reach no root and are left out; other columns are ignored.
 Rows of equal turn are ordered by role, then text; exact repeats are separate messages.
 """
@@ -43,7 +43,8 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``messages`` has tree, msg (unique in its tree) and parent.
     """
-    nodes = messages.select("tree", "msg", "parent")
+    # joins never match null trees, but structs that hold them
+    nodes = messages.select(F.struct("tree").alias("tree"), "msg", "parent")
     known = nodes.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("_there"))
     # the ancestor 2^i steps up, null beyond the root
     jump = scratch.write(
@@ -66,18 +67,19 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         to = hop.select("tree", F.col("msg").alias("up"), F.col("up").alias("_next"))
         jump = scratch.write(hop.join(to, ["tree", "up"], "left").select("tree", "msg", F.col("_next").alias("up")), f"jump{i}")
         step *= 2
-    return member
+    return member.withColumn("tree", F.col("tree.tree"))
 
 
 def best_paths(messages: DataFrame, member: DataFrame, top: int | None = 1) -> DataFrame:
     """Members of the ``top`` best branches of each tree (None: of all), with role, text and rank."""
-    told = member.join(messages.select("tree", "msg", "role", "text", "score"), ["tree", "msg"])
+    key, plain = F.struct("tree").alias("tree"), F.col("tree.tree")
+    told = member.withColumn("tree", key).join(messages.select(key, "msg", "role", "text", "score"), ["tree", "msg"])
     if top is None:
-        return told
+        return told.withColumn("tree", plain)
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("n"), "leaf")
     branches = told.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.count(F.lit(1)).alias("n"))
     chosen = branches.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
-    return told.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
+    return told.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"]).withColumn("tree", plain)
 
 
 def format_paths(told: DataFrame) -> DataFrame:

@@ -503,6 +503,17 @@ def test_conversations(spark):
     assert chat_trees.format_paths(chat_trees.best_paths(none, chat_trees.paths(none, Scratch(spark, "d")))).count() == 0
 
 
+def test_null_conversation(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", "r"), (1, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    scratch = Scratch(spark, "null")
+    messages = scratch.write(chat_trees.chains(df), "m")
+    member = chat_trees.paths(messages, scratch)
+    for top in (1, None):
+        out = chat_trees.format_paths(chat_trees.best_paths(messages, member, top)).withColumn("n", F.size(chat_trees.read_back(F.col("formatted"))))
+        assert by_id(out, "tree", "n") == {None: (3,), 1: (1,)}
+
+
 def test_reply_trees(spark):
     #      1 -> 2 -> 4      1 -> 3 -> 5 -> 6       a cycle 8 <-> 9, and a lost parent 77 above 7
     rows = [(1, None, 0.0), (2, 1, 5.0), (3, 1, 1.0), (4, 2, 1.0), (5, 3, 1.0), (6, 5, 9.0), (7, 77, 2.0), (8, 9, 50.0), (9, 8, 50.0)]
