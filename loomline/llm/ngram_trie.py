@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mix, table
 
-MU, MIN_HISTORY, HOT_HISTORY = 1000.0, 2, 2_000_000
+MU, MIN_HISTORY, HOT_HISTORY = 1000.0, 1, 2_000_000
 #: Tokens in a block, and n-grams that a shard is meant to get.
 BLOCK_TOKENS, SHARD_GRAMS = 1_200_000, 1_200_000
 CHUNK_BYTES = 1 << 20
@@ -446,7 +446,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
 
     ``out`` tells the texts that are only scored (default: by a hash of the id); the others train.

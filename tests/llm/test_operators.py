@@ -111,6 +111,22 @@ def test_language_model_hot_history(spark, docs, monkeypatch):
     assert {k: round(v[0], 3) for k, v in got.items()} == {k: round(v[0], 3) for k, v in want.items()}
 
 
+def test_language_model_of_rare_contexts(spark):
+    """By default a word is scored by the two before it, though these occur once."""
+    rows = [(1, "rare context word"), (2, "other context thing"), (3, "rare context word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(ngram_trie.score(df, out=F.col("doc_id") == 3), "doc_id", "score")[3][0]
+    step = lambda count, seen, p: (count + 1000 * p) / (seen + 1000)
+    p = {w: (n + 1) / (8 + 6 + 1) for w, n in (("rare", 1), ("context", 2), ("word", 1), ("end", 2))}
+    rare = step(1, 2, step(1, 2, p["rare"]))
+    context = step(1, 1, step(1, 1, p["context"]))
+    word = step(1, 1, step(1, 2, p["word"]))
+    end = step(1, 1, step(1, 1, p["end"]))
+    assert got == pytest.approx(float(np.log10([rare, context, word, end]).sum()), abs=1e-3 / 2)
+    alone = step(1, 2, p["rare"]) * step(1, 1, p["context"]) * step(1, 2, p["word"]) * step(1, 1, p["end"])
+    assert abs(got - float(np.log10(alone))) > 2e-3
+
+
 def test_language_model_without_rows(docs):
     assert ngram_trie.score(empty(docs)).count() == 0
     assert ngram_trie.score(docs, out=F.lit(True)).filter("n_known > 0 or train_tokens > 0").count() == 0
