@@ -325,3 +325,37 @@ def q_linked(spark, d):
     c = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k")).distinct()
     s = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
     return I.linked(c, s, "k")
+
+
+# ---------------------------------------------------------------- over all rows
+
+@query("""SELECT o_orderkey, CAST((CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) + 2) // 4 AS DOUBLE) / 100 AS per_traveller FROM orders""")
+def q_per_unit_all(spark, d):
+    total = F.col("o_totalprice").cast(S.MONEY)
+    return table(spark, d, "orders").select("o_orderkey", I.per_unit(total, F.lit(4)).cast("double").alias("per_traveller"))
+
+
+def _with_blanks(spark, d):
+    """All turns, and a blank one more for every third."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return rows.unionByName(rows.filter("turn % 3 = 0").withColumn("text", F.lit(" \t ")))
+
+
+@query("""SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0') AS text FROM conversations WHERE trim(text, E' \\t\\n\\r\\u00a0') <> ''""")
+def q_trim_nonblank_all(spark, d):
+    padded = _with_blanks(spark, d).withColumn("text", F.concat(F.lit(" \t "), "text", F.lit(" ")))
+    return padded.filter(~S.is_blank(F.col("text"))).withColumn("text", S.trim_all(F.col("text")))
+
+
+@query("""SELECT conv_id, turn, coalesce(nullif(trim(text, E' \\t\\n\\r\\u00a0'), ''), 'no text') AS text FROM conversations
+       UNION ALL SELECT conv_id, turn, 'no text' FROM conversations WHERE turn % 3 = 0""")
+def q_default_if_blank_all(spark, d):
+    return _with_blanks(spark, d).select("conv_id", "turn", S.default_if_blank(F.col("text"), "no text").alias("text"))
+
+
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+       SELECT coalesce(c.k, s.k) AS k, c.k IS NOT NULL AS in_left, s.k IS NOT NULL AS in_right FROM c FULL OUTER JOIN s ON c.k = s.k""")
+def q_linked_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
+    return I.linked(c, s, "k")
