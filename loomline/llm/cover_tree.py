@@ -4,21 +4,31 @@ Vectors of one label link when their cosine is at least ``threshold``, that is w
 vectors are no farther than t = sqrt(2 - 2 threshold) apart.  Vectors are compared with vectors of
 their label and dimension only; equal vectors are one point with a weight.
 
-The topmost levels are made on the whole table: every point goes to its nearest pivot and to the
-level of its distance, levels halving towards the pivot.  Two such regions whose distance bounds
-keep all points farther than t are pruned; where the bounds keep all points within t, every pair
-links and is counted without being looked at, which is what large groups of near copies come to.
-Other regions are cut into blocks; for each pair of blocks a task builds the two cover trees
-(nested nets of halving radii, covering radii kept as measured) and descends both at once with the
-same two bounds, comparing in double precision what is left.  A task gives link counts and a
-spanning set of links, never all pairs.
-
-Pivots are at most PIVOTS points chosen by a hash (a label without one uses a fixed point); they
-steer the cost, never the result, and are all that is broadcast.
+1. Top levels.  About sqrt(N) of all N points are pivots, chosen by a hash.  Every point goes to the
+   nearest pivot of its label, and there to the level of its distance, levels halving towards the
+   pivot: a region.  The pivots of a label are put in the order of a cover tree over them, so that
+   regions that follow one another lie close together, and runs of regions become groups of at most
+   about ``group_points`` points.  A label without a pivot is cut into groups by hash.
+2. One cover tree is built for each group and written beside its points: nested nets of halving
+   radii, with the covering radii as measured.
+3. Two regions whose bounds keep all points farther than t are pruned; groups without a pair of
+   regions left never meet.  Where the bounds keep all points of two large regions within t, every
+   pair links and is counted without being looked at, which is what large groups of near copies
+   come to.
+4. For every other pair of groups the two trees are descended at once: node pairs farther than t
+   and both covering radii are pruned, node pairs within t are counted whole, and the leaves that
+   remain are compared in double precision.  A pair of groups gives link counts and a spanning set
+   of links, never all pairs.
+
+Pivots and the regions around them steer the cost, never the result.  They grow with the square
+root of the table; a sample that would pass PIVOT_BYTES is thinned.  Points without structure (far
+from each other in many dimensions) cannot be pruned above the leaves by any metric tree: within
+a label the work is then that of the matrix product, shared out over pairs of groups.
 
 Defined cases: a null label, and a null, empty or zero vector or one with null or non-finite
 components, links with nothing; equal vectors link; repeated rows are equal vectors; an empty
-table gives no rows; other columns are ignored.  ``vec_id`` is taken as the name of a vector.
+table gives no rows; other columns are ignored, whatever their names.  Labels are compared as they
+are (any atomic type).  ``vec_id`` is taken as the name of a vector.
 """
 
 from __future__ import annotations
@@ -31,281 +41,430 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, join_with_hot, table
 from .components import connected_components
 
-PIVOTS, POINTS_PER_PIVOT, BLOCK, LEAF = 2048, 1024, 1024, 16
-_SLACK = 1e-9
+#: Points of a leaf; candidates of a net and nodes of a traversal that are looked at together.
+LEAF, CHUNK = 32, 256
+#: Points and numbers of one group at most (a group is one task's work for a tree).
+GROUP, GROUP_VALUES = 2048, 1 << 20
+#: Bytes of pivots that are collected and broadcast at most.
+PIVOT_BYTES = 64 << 20
+#: Levels of halving radii around a pivot.
+LEVELS = 7
+#: Distances come from products in double precision: sqrt(2 - 2 x) is good to about 2e-8.
+_SLACK = 1e-6
 
 
-# ---------------------------------------------------------------- one pair of blocks
+def group_points(dim: int) -> int:
+    return max(256, min(GROUP, GROUP_VALUES // max(1, dim))) if GROUP >= 256 else GROUP
 
-class Node:
-    """Points of one subtree: the first is the centre; radius: the farthest from it."""
 
-    __slots__ = ("points", "radius", "children")
+# ---------------------------------------------------------------- cover trees
 
-    def __init__(self, points, radius, children):
-        self.points, self.radius, self.children = points, radius, children
+class Tree:
+    """Nodes as arrays over points in the order of the tree.
 
+    A node holds the points ``start`` to ``stop``, the first of which is its centre; ``radius`` is the
+    distance of the farthest; its children are the nodes ``low`` to ``high`` (none: a leaf).
+    """
+
+    def __init__(self, nodes: np.ndarray, radius: np.ndarray):
+        self.nodes, self.radius = nodes, radius
+        self.start, self.stop, self.low, self.high = nodes
+        self.single = self.stop - self.start == 1
 
-def build(unit: np.ndarray) -> Node:
-    """A cover tree over the rows of ``unit``: each level is a net of half the radius above."""
-    far = np.sqrt(np.maximum(2 - 2 * (unit @ unit.T), 0))
+    def children(self, i: int) -> np.ndarray:
+        return np.arange(self.low[i], self.high[i])
 
-    def node(points: np.ndarray, reach: float) -> Node:
-        radius = float(far[points[0], points].max())
-        if len(points) <= LEAF or radius < 1e-6:
-            return Node(points, radius, ())
-        while reach / 2 >= radius:
-            reach /= 2
-        children, rest = [], points
-        while len(rest):  # the first that no centre covers is the next centre
-            near = far[rest[0], rest] <= reach / 2
-            children.append(rest[near])
-            rest = rest[~near]
-        return Node(points, radius, [node(c, reach / 2) if len(c) > 1 else Node(c, 0.0, ()) for c in children])
 
-    return node(np.arange(len(unit)), 2.0)
+def _distance(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
 
-def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, same: bool, threshold: float):
-    """Yield (points of x, points of y, mask or None for all) of the pairs that link.
+def nets(unit: np.ndarray, points: np.ndarray, reach: float) -> list[np.ndarray]:
+    """Parts of ``points`` within ``reach`` of their first points, which are farther than it from each other.
 
-    With ``same`` both trees are one, and each unordered pair of nodes is met once.
+    The first point that no centre covers is the next centre; a point goes to the first that covers it.
+    """
+    least, out, rest = 1 - reach * reach / 2, [], points
+    while len(rest):
+        head = rest[:CHUNK]
+        near = unit[head] @ unit[head].T >= least
+        free, centres = np.ones(len(head), bool), []
+        for i in range(len(head)):
+            if free[i]:
+                centres.append(i)
+                free &= ~near[i]
+        covered = unit[head[centres]] @ unit[rest].T >= least
+        covered[:, centres] = np.eye(len(centres), dtype=bool)
+        covered[:, : len(head)] |= near[centres] & ~np.isin(np.arange(len(head)), centres)
+        first, some = covered.argmax(axis=0), covered.any(axis=0)
+        first[~some] = len(centres)
+        order = np.argsort(first, kind="stable")
+        ends = np.searchsorted(first[order], np.arange(len(centres) + 1))
+        for k, c in enumerate(centres):
+            own = order[ends[k] : ends[k + 1]]
+            out.append(np.concatenate([[rest[c]], rest[own[own != c]]]))
+        rest = rest[~some]
+    return out
+
+
+def build(unit: np.ndarray) -> tuple[np.ndarray, Tree]:
+    """The order of the points and the cover tree: the children of a node are a net of the next halved radius."""
+    order = np.arange(len(unit))
+    start, stop, low, high = [0], [len(unit)], [], []
+    radius = [float(_distance(unit @ unit[0]).max()) if len(unit) else 0.0]
+    i = 0
+    while i < len(start):
+        low.append(len(start))
+        if stop[i] - start[i] > LEAF and radius[i] > _SLACK:
+            reach = 2.0 ** (math.ceil(math.log2(radius[i])) - 1)
+            at = start[i]
+            parts = nets(unit, order[start[i] : stop[i]].copy(), reach)
+            for part in parts if len(parts) > 1 else ():
+                order[at : at + len(part)] = part
+                start.append(at)
+                at += len(part)
+                stop.append(at)
+                radius.append(float(_distance(unit[part] @ unit[part[0]]).max()) if len(part) > 1 else 0.0)
+        high.append(len(start))
+        i += 1
+    return order, Tree(np.array([start, stop, low, high], np.int32), np.array(radius))
+
+
+def dual(a: Tree, x: np.ndarray, b: Tree, y: np.ndarray, same: bool, threshold: float):
+    """Yield (points of x, points of y, mask) of pairs that link; mask None: all of them, "each": pair by pair.
+
+    With ``same`` both trees are one, and each unordered pair of points is met once; a mask of the
+    points of one node with themselves is whole.
     """
     t = math.sqrt(2 - 2 * threshold)
-    stack = [(a, b)]
+    stack = [(0, 0)] if len(x) and len(y) else []
     while stack:
         p, q = stack.pop()
-        if not p.children and not q.children:
-            yield p.points, q.points, x[p.points] @ y[q.points].T >= threshold
+        leaf_p, leaf_q = a.low[p] == a.high[p], b.low[q] == b.high[q]
+        if leaf_p and leaf_q:
+            i, j = np.arange(a.start[p], a.stop[p]), np.arange(b.start[q], b.stop[q])
+            yield i, j, x[i] @ y[j].T >= threshold
             continue
-        if same and p is q:
-            own, other = p.children, p.children
-        else:
-            own = p.children if p.children and (p.radius >= q.radius or not q.children) else (p,)
-            other = q.children if q.children and (q.radius >= p.radius or not p.children) else (q,)
-        cx, cy = x[[n.points[0] for n in own]], y[[n.points[0] for n in other]]
-        gap = np.sqrt(np.maximum(2 - 2 * (cx @ cy.T), 0))
-        reach = np.array([n.radius for n in own])[:, None] + np.array([n.radius for n in other])
-        open_ = gap <= reach + t + _SLACK
-        if same and p is q:
-            open_ = np.triu(open_)
-        for i, j in zip(*np.nonzero(open_)):
-            if gap[i, j] + reach[i, j] <= t - _SLACK and not (same and own[i] is other[j]):
-                yield own[i].points, other[j].points, None
+        itself = same and p == q
+        own = a.children(p) if itself or not leaf_p and (leaf_q or a.radius[p] >= b.radius[q]) else np.array([p])
+        other = b.children(q) if itself or not leaf_q and (leaf_p or b.radius[q] >= a.radius[p]) else np.array([q])
+        for begin in range(0, len(own), CHUNK):
+            part = own[begin : begin + CHUNK]
+            dots = x[a.start[part]] @ y[b.start[other]].T
+            gap, reach = _distance(dots), a.radius[part][:, None] + b.radius[other]
+            open_ = gap <= reach + t + _SLACK
+            if itself:
+                open_ &= other >= part[:, None]
+            one = a.single[part][:, None] & b.single[other]
+            if itself:
+                diagonal = part[:, None] == other
+                open_ &= ~(one & diagonal)
+                whole = open_ & ~diagonal & (gap + reach <= t - _SLACK) & ~one
             else:
-                stack.append((own[i], other[j]))
+                whole = open_ & (gap + reach <= t - _SLACK) & ~one
+            i, j = np.nonzero(open_ & one & (dots >= threshold))
+            if len(i):
+                yield a.start[part[i]], b.start[other[j]], "each"
+            for i, j in zip(*np.nonzero(whole)):
+                p2, q2 = part[i], other[j]
+                yield np.arange(a.start[p2], a.stop[p2]), np.arange(b.start[q2], b.stop[q2]), None
+            stack += [(part[i], other[j]) for i, j in zip(*np.nonzero(open_ & ~one & ~whole))]
 
 
-def compare(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, same: bool, threshold: float):
-    """Weighted link counts of both sides, and a spanning set of links (i, j)."""
-    n_x, n_y, links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-    if not len(x) or not len(y):
-        return n_x, n_y, links
-    tree = build(x)
-    base = 0 if same else len(x)
-    root = list(range(len(x) + (0 if same else len(y))))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def tie(i, j):
-        a, b = find(i), find(j + base)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            links.append((i, j))
-
-    for p, q, mask in dual(tree, x, tree if same else build(y), y, same, threshold):
-        if mask is None:
-            n_x[p] += wy[q].sum()
-            n_y[q] += wx[p].sum()
-            for i in p.tolist():
-                tie(i, int(q[0]))
-            for j in q.tolist():
-                tie(int(p[0]), j)
-        else:
-            if same and p is q:
-                mask = np.triu(mask, 1)
-            if mask.any():
-                n_x[p] += mask @ wy[q]
-                n_y[q] += mask.T @ wx[p]
-                for i, j in zip(*np.nonzero(mask)):
-                    tie(int(p[i]), int(q[j]))
-    return n_x, n_y, links
-
+class _Parts:
+    """Components of the points of a tile, and the links that made them."""
 
-# ---------------------------------------------------------------- on Spark
+    def __init__(self, n: int, base: int):
+        self.of, self.base, self.links = np.arange(n), base, []
 
-def _usable(v) -> np.ndarray | None:
-    if v is None or not len(v) or any(x is None for x in v):
-        return None
-    v = np.asarray(v, dtype=np.float64)
-    return v if np.isfinite(v).all() and v.any() else None
+    def tie(self, i: int, others: np.ndarray) -> None:
+        """Point i of the left side links with ``others`` of the right one."""
+        found, first = np.unique(self.of[others + self.base], return_index=True)
+        new = found != self.of[i]
+        if new.any():
+            self.links += [(i, int(others[k])) for k in first[new]]
+            joined = np.append(found[new], self.of[i])
+            self.of[np.isin(self.of, joined)] = joined.min()
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max()
-    return v / np.linalg.norm(v)
+def compare(a: Tree, x: np.ndarray, wx: np.ndarray, b: Tree, y: np.ndarray, wy: np.ndarray, same: bool, threshold: float):
+    """Weighted link counts of both sides, and a spanning set of links (i, j)."""
+    n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    parts = _Parts(len(x) + (0 if same else len(y)), 0 if same else len(x))
+    for i, j, mask in dual(a, x, b, y, same, threshold):
+        if mask is None:
+            n_x[i] += wy[j].sum()
+            n_y[j] += wx[i].sum()
+            parts.tie(int(i[0]), j)
+            for k in i[1:].tolist():
+                parts.tie(k, j[:1])
+        elif isinstance(mask, str):
+            np.add.at(n_x, i, wy[j])
+            np.add.at(n_y, j, wx[i])
+            for k, m in zip(i.tolist(), j):
+                parts.tie(k, np.array([m]))
+        else:
+            if same and i[0] == j[0]:
+                mask = np.triu(mask, 1)
+            n_x[i] += mask @ wy[j]
+            n_y[j] += wx[i] @ mask
+            for k in np.flatnonzero(mask.any(axis=1)):
+                parts.tie(int(i[k]), j[mask[k]])
+    return n_x, n_y, parts.links
+
+
+# ---------------------------------------------------------------- points
+
+def _units(lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """(vector, unit vector) of every usable one."""
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+    ends = lists.offsets.to_numpy()
+    there = lists.is_valid().to_numpy(zero_copy_only=False)
+    out: list = []
+    for lo, hi, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), there.tolist()):
+        v = flat[lo:hi]
+        most = np.abs(v).max() if ok and hi > lo else 0.0
+        if not (np.isfinite(most) and most > 0):
+            out.append(None)
+            continue
+        u = v / most
+        out.append((v, u / math.sqrt(u @ u)))
+    return out
 
 
 def _keyed(batches):
     for batch in batches:
         ids, vectors, labels = (batch.column(i) for i in range(3))
-        keys, units, dims = [], [], []
-        for v, label in zip(vectors.to_pylist(), labels.to_pylist()):
-            v = _usable(v) if label is not None else None
-            if v is None:
-                keys.append(None), units.append(None), dims.append(None)
-            else:
-                u = _unit(v)
-                keys.append(xxhash.xxh3_128_digest(v.tobytes() + repr(label).encode()))
-                units.append(u.tobytes())
-                dims.append(len(v))
+        found = [None if label is None else u for u, label in zip(_units(vectors), labels.to_pylist())]
+        keys = [u and xxhash.xxh3_128_digest(u[0].tobytes() + f"\0{label}".encode()) for u, label in zip(found, labels.to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [ids, labels, pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())],
+            [
+                ids, labels, pa.array([u and len(u[0]) for u in found], pa.int32()), pa.array(keys, pa.binary()),
+                pa.array([u and u[1].tobytes() for u in found], pa.binary()),
+            ],
             names=["id", "label", "dim", "key", "unit"],
         )
 
 
-def _fixed(dim: int) -> np.ndarray:
-    return np.eye(1, dim)
+def _stack(units: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), dim)
+
+
+_PLACED = "key binary, rep long, copies long, label string, dim int, cell int, level int, gap double, unit binary"
 
 
 def _placed(pivots):
-    """(rep, label, dim, copies, unit) to its nearest pivot and the level of its distance."""
+    """Points with their nearest pivot (-1: their label has none) and the level of its distance."""
 
     def run(frames):
         for f in frames:
-            cell, gap = np.zeros(len(f), np.int32), np.zeros(len(f))
+            cell, gap = np.full(len(f), -1, np.int32), np.zeros(len(f))
             for (label, dim), at in f.groupby(["label", "dim"]).indices.items():
-                u = np.frombuffer(b"".join(f["unit"].iloc[at]), np.float64).reshape(len(at), dim)
-                p = pivots.value.get((int(label), int(dim)))
-                p = _fixed(dim) if p is None else p
-                d = np.sqrt(np.maximum(2 - 2 * (u @ p.T), 0))
-                cell[at] = d.argmin(axis=1)
-                gap[at] = np.linalg.norm(u - p[cell[at]], axis=1)
-            level = np.clip(np.floor(1 - np.log2(np.maximum(gap, 1e-3))), 0, 6).astype(np.int32)
-            yield f.assign(cell=cell, level=level, gap=gap)[["rep", "label", "dim", "copies", "cell", "level", "gap", "unit"]]
+                p = pivots.value.get((label, int(dim)))
+                if p is not None:
+                    u = _stack(f["unit"].iloc[at], dim)
+                    cell[at] = (u @ p.T).argmax(axis=1)
+                    gap[at] = np.linalg.norm(u - p[cell[at]], axis=1)
+            level = np.clip(np.floor(1 - np.log2(np.maximum(gap, 1e-3))), 0, LEVELS - 1).astype(np.int32)
+            yield f.assign(cell=cell, level=level, gap=gap)[["key", "rep", "copies", "label", "dim", "cell", "level", "gap", "unit"]]
+
+    return run
+
+
+# ---------------------------------------------------------------- regions and groups
+
+class Regions:
+    """The regions of one label around its pivots, in the order of a cover tree over the pivots.
+
+    Region r has the groups ``first_group[r]`` and the ``parts[r]`` - 1 after it; regions of half a group and more
+    (``large``) have groups of their own.
+    """
+
+    def __init__(self, pivots: np.ndarray, stats: pd.DataFrame):
+        rank = np.empty(len(pivots), np.int64)
+        rank[build(pivots)[0]] = np.arange(len(pivots))
+        stats = stats.assign(rank=rank[stats["cell"]]).sort_values(["rank", "level"], kind="stable")
+        self.cell, self.level = stats["cell"].to_numpy(), stats["level"].to_numpy()
+        self.near, self.far = stats["near"].to_numpy(), stats["far"].to_numpy()
+        self.weight, self.first = stats["weight"].to_numpy(), stats["first"].to_numpy()
+        self.centres = pivots[self.cell]
+        size, most = stats["size"].to_numpy(), group_points(pivots.shape[1])
+        self.large = size * 2 >= most
+        self.parts = np.where(self.large, -(-size // most), 1)
+        self.first_group = np.zeros(len(size), np.int64)
+        group, room = -1, 0
+        for r in range(len(size)):
+            if self.large[r]:
+                self.first_group[r], room = group + 1, 0
+                group += int(self.parts[r])
+            else:
+                if room < size[r]:
+                    group, room = group + 1, most
+                self.first_group[r] = group
+                room -= size[r]
+        self.place = {k: r for r, k in enumerate(zip(self.cell.tolist(), self.level.tolist()))}
+
+    def open_to(self, r: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """The regions from r on that are not pruned, and whether all pairs with them link."""
+        rest = np.arange(r, len(self.cell))
+        between = np.linalg.norm(self.centres[rest] - self.centres[r], axis=1)
+        # |x - y| >= |p - q| - far - far; about one pivot, rings of it: >= near - far
+        least = between - self.far[rest] - self.far[r]
+        one = self.cell[rest] == self.cell[r]
+        least[one] = np.maximum(self.near[rest] - self.far[r], self.near[r] - self.far[rest])[one]
+        whole = (between + self.far[rest] + self.far[r] <= t - _SLACK) & self.large[rest] & self.large[r]
+        keep = least <= t + _SLACK
+        return rest[keep], whole[keep]
+
+
+def _meetings(regions, t: float):
+    """Rows label, dim, cell, level of regions: the pairs of groups they open, and the pairs of regions that link whole (r, s)."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for label, dim, cell, level in zip(f["label"], f["dim"], f["cell"], f["level"]):
+                held = regions.value[(label, int(dim))]
+                r = held.place[(cell, level)]
+                with_, whole = held.open_to(r, t)
+                out += [(label, dim, None, None, r, s) for s in with_[whole].tolist()]
+                met = set()
+                for s in with_[~whole].tolist():
+                    for g in range(held.first_group[r], held.first_group[r] + held.parts[r]):
+                        met.update((min(g, h), max(g, h)) for h in range(held.first_group[s], held.first_group[s] + held.parts[s]))
+                out += [(label, dim, g, h, None, None) for g, h in sorted(met)]
+            frame = pd.DataFrame(out, columns=["label", "dim", "g", "h", "r", "s"])
+            yield frame.astype({"dim": "int32", "g": "Int64", "h": "Int64", "r": "Int64", "s": "Int64"})
 
     return run
 
 
-def _judged(pivots, t: float):
-    """Pairs of regions that are not pruned; whole: all their pairs link."""
+def _grouped(regions):
+    """Adds the group of every point whose label has regions, and the number of its region."""
 
     def run(frames):
         for f in frames:
-            between = np.zeros(len(f))
+            group, region = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
             for (label, dim), at in f.groupby(["label", "dim"]).indices.items():
-                p = pivots.value.get((int(label), int(dim)))
-                if p is not None:
-                    between[at] = np.linalg.norm(p[f["cell"].to_numpy()[at]] - p[f["cell2"].to_numpy()[at]], axis=1)
-            # from the centre's distance to the region: |x - y| >= |p - q| - r - s, and by rings of one pivot >= near - far
-            low = between - f["far"] - f["far2"]
-            one = (f["cell"] == f["cell2"]).to_numpy()
-            low = np.where(one, np.maximum(f["near"] - f["far2"], f["near2"] - f["far"]), low)
-            f["whole"] = between + f["far"] + f["far2"] <= t - _SLACK
-            yield f[low <= t + _SLACK].drop(columns=["near", "near2", "far", "far2"])
+                held = regions.value[(label, int(dim))]
+                r = np.array([held.place[k] for k in zip(f["cell"].iloc[at].tolist(), f["level"].iloc[at].tolist())])
+                hashed = np.array([xxhash.xxh3_64_intdigest(k) % p for k, p in zip(f["key"].iloc[at], held.parts[r].tolist())])
+                group[at], region[at] = held.first_group[r] + hashed, r
+            yield f.assign(g=group, region=region)[["rep", "copies", "label", "dim", "unit", "g", "region"]]
 
     return run
 
 
-def _pair(threshold: float):
-    def run(held: pd.DataFrame) -> pd.DataFrame:
-        left, right = held[held["side"] == 0], held[held["side"] == 1]
-        same = not len(right)
-        right = left if same else right
-        x, y = (np.frombuffer(b"".join(s["unit"]), np.float64).reshape(len(s), -1) for s in (left, right))
-        n_x, n_y, links = compare(x, left["copies"].to_numpy(), y, right["copies"].to_numpy(), same, threshold)
-        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        out = [pd.DataFrame({"a": a, "b": None, "n": n_x}), pd.DataFrame({"a": b, "b": None, "n": n_y})]
-        out.append(pd.DataFrame({"a": [a[i] for i, _ in links], "b": [b[j] for _, j in links], "n": 0}))
-        out = pd.concat(out).astype({"a": "int64", "b": "Int64", "n": "int64"})
-        return out[(out["n"] > 0) | out["b"].notna()]
+_PACKED = "label string, dim int, g long, reps binary, copies binary, units binary, nodes binary, radii binary"
+
+
+def _pack(f: pd.DataFrame) -> pd.DataFrame:
+    """One row for a group: its points in the order of its tree, and the tree."""
+    f = f.sort_values("rep")
+    unit = _stack(f["unit"], int(f["dim"].iloc[0]))
+    order, tree = build(unit)
+    row = [f["label"].iloc[0], f["dim"].iloc[0], f["g"].iloc[0]]
+    row += [f["rep"].to_numpy(np.int64)[order].tobytes(), f["copies"].to_numpy(np.int64)[order].tobytes(), unit[order].tobytes()]
+    row += [tree.nodes.tobytes(), tree.radius.tobytes()]
+    return pd.DataFrame([row], columns=["label", "dim", "g", "reps", "copies", "units", "nodes", "radii"])
+
+
+def _unpack(row: dict, side: str):
+    reps, copies = (np.frombuffer(row[f"{c}{side}"], np.int64) for c in ("reps", "copies"))
+    unit = np.frombuffer(row[f"units{side}"], np.float64).reshape(len(reps), -1)
+    tree = Tree(np.frombuffer(row[f"nodes{side}"], np.int32).reshape(4, -1), np.frombuffer(row[f"radii{side}"], np.float64))
+    return reps, copies, unit, tree
+
+
+def _tiles(threshold: float):
+    """Rows of two packed groups (the second null: the first with itself) to a, b, n: links counted at a, or a link."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                same = row["reps2"] is None
+                a, wx, x, tree = _unpack(row, "")
+                b, wy, y, other = (a, wx, x, tree) if same else _unpack(row, "2")
+                n_x, n_y, links = compare(tree, x, wx, other, y, wy, same, threshold)
+                some, more = np.flatnonzero(n_x), np.flatnonzero(n_y)
+                i, j = np.array(links, np.int64).reshape(-1, 2).T
+                ends = np.concatenate([a[some], b[more], a[i]]), np.concatenate([n_x[some], n_y[more], np.zeros(len(i), np.int64)])
+                to = pa.concat_arrays([pa.nulls(len(some) + len(more), pa.int64()), pa.array(b[j], pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), to, pa.array(ends[1])], names=["a", "b", "n"])
 
     return run
 
 
+# ---------------------------------------------------------------- the operator
+
+def _label(rows: DataFrame, column: str):
+    kind = rows.schema[column].dataType
+    label = F.col(column) + F.lit(0.0) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(column)  # -0.0 is 0.0
+    return label.cast("string").alias("label")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", scratch: Scratch | None = None) -> DataFrame:
     """id, n_links, component_id (smallest id reachable) and kept, for every row; ids are integers."""
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
     t = math.sqrt(2 - 2 * threshold)
-    vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
-    keyed = vectors.mapInArrow(_keyed, "id long, label long, dim int, key binary, unit binary")
-    ids = scratch.write(keyed.select("id", "key"), "ids")
-    points = scratch.write(
-        keyed.filter("key is not null").groupBy("key").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")
-        ),
-        "points",
-    )
-    chosen = points.filter(F.pmod(F.xxhash64("key"), F.lit(POINTS_PER_PIVOT)) == 0).orderBy(F.xxhash64("key", F.lit(1)), "key").limit(PIVOTS)
-    held: dict[tuple, list] = {}
-    for r in chosen.select("label", "dim", "unit").collect():
-        held.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(bytes(r["unit"]), np.float64))
-    pivots = spark.sparkContext.broadcast({k: np.array(v) for k, v in held.items()})
-    placed = scratch.write(
-        points.select("rep", "label", "dim", "copies", "unit").mapInPandas(
-            _placed(pivots), "rep long, label long, dim int, copies long, cell int, level int, gap double, unit binary"
-        ),
-        "placed",
-    )
-    region = ["label", "dim", "cell", "level"]
-    regions = scratch.write(
-        placed.groupBy(*region).agg(
-            F.count(F.lit(1)).alias("size"), F.sum("copies").alias("weight"), F.min("gap").alias("near"), F.max("gap").alias("far"), F.min("rep").alias("first")
-        ),
-        "regions",
-    )
-    own = regions.select("label", "dim", "cell", "level", "size", "weight", "near", "far", "first")
-    two = own.join(own.select("label", "dim", *[F.col(c).alias(f"{c}2") for c in own.columns[2:]]), ["label", "dim"]).filter(
-        "cell < cell2 or (cell = cell2 and level <= level2)"
-    )
-    kinds = ("label long, dim int, cell int, level int, size long, weight long, first long, "
-             "cell2 int, level2 int, size2 long, weight2 long, first2 long, whole boolean")
-    ordered = two.select("label", "dim", *[f"{c}{s}" for s in ("", "2") for c in ("cell", "level", "size", "weight", "first", "near", "far")])
-    judged = scratch.write(ordered.mapInPandas(_judged(pivots, t), kinds), "judged")
-
-    # regions all of whose pairs link: counts by weight, and a star of links
-    same = (F.col("cell") == F.col("cell2")) & (F.col("level") == F.col("level2"))
-    whole = judged.filter("whole")
-    stars = whole.select(*region, F.col("weight2").alias("w"), F.col("first2").alias("centre"), same.alias("itself")).unionByName(
-        whole.filter(~same).select("label", "dim", F.col("cell2").alias("cell"), F.col("level2").alias("level"), F.col("weight").alias("w"), F.col("first").alias("centre"), F.lit(False).alias("itself"))
-    )
-    in_stars = placed.select("rep", "copies", *region).join(stars, region).select(
-        F.col("rep").alias("a"), F.col("centre").alias("b"), F.when(F.col("itself"), F.col("w") - F.col("copies")).otherwise(F.col("w")).alias("n")
+    vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), _label(rows, label_col))
+    keyed = scratch.write(vectors.mapInArrow(_keyed, "id long, label string, dim int, key binary, unit binary"), "keyed")
+    ids = keyed.select("id", "key")
+
+    held = _choose_pivots(keyed)
+    pivots = spark.sparkContext.broadcast(held)
+    points = keyed.filter("key is not null").groupBy("key").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")
     )
+    placed = scratch.write(points.mapInPandas(_placed(pivots), _PLACED), "placed")
 
-    # other regions: pairs of blocks
-    cuts = lambda c: F.sequence(F.lit(0), F.ceil(F.col(c) / BLOCK).cast("int") - 1)
-    todo = (
-        judged.filter(~F.col("whole")).withColumn("i", F.explode(cuts("size"))).withColumn("j", F.explode(cuts("size2")))
-        .filter(~same | (F.col("i") <= F.col("j"))).withColumn("itself", same & (F.col("i") == F.col("j")))
-        .withColumn("pair", F.xxhash64("label", "dim", "cell", "level", "i", "cell2", "level2", "j"))
+    # at most LEVELS regions a pivot
+    own = placed.filter("cell >= 0").groupBy("label", "dim", "cell", "level").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("copies").alias("weight"), F.min("gap").alias("near"), F.max("gap").alias("far"), F.min("rep").alias("first")
     )
-    group = ["pair", "label", "dim", "cell", "level", "i", "cell2", "level2", "j"]
-    named = F.struct(*group).alias("work")
-    sides = todo.select(named, F.lit(0).alias("side"), *region, F.col("i").alias("part")).unionByName(
-        todo.filter(~F.col("itself")).select(named, F.lit(1).alias("side"), "label", "dim", F.col("cell2").alias("cell"), F.col("level2").alias("level"), F.col("j").alias("part"))
+    stats = own.toPandas()
+    by_label = {(k[0], int(k[1])): Regions(held[k], f) for k, f in stats.groupby(["label", "dim"])}
+    regions = spark.sparkContext.broadcast(by_label)
+    named = spark.createDataFrame(stats[["label", "dim", "cell", "level"]], "label string, dim int, cell int, level int")
+    met = scratch.write(
+        named.repartition(max(1, len(stats) // 500)).mapInPandas(_meetings(regions, t), "label string, dim int, g long, h long, r long, s long").distinct(), "met"
     )
-    parted = placed.join(regions.select(*region, "size"), region).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    work = parted.select("rep", "copies", "unit", *region, "part").join(sides, [*region, "part"])
-    compared = work.select("work", "side", "rep", "copies", "unit").groupBy("work").applyInPandas(_pair(threshold), "a long, b long, n long")
-    found = scratch.write(compared.unionByName(in_stars), "found")
 
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
+    # labels without a pivot: groups by hash, all of which meet
+    plain = placed.filter("cell < 0")
+    most = F.greatest(F.lit(min(256, GROUP)), F.least(F.lit(GROUP), F.floor(F.lit(GROUP_VALUES) / F.greatest("dim", F.lit(1)))))
+    counts = plain.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / most).cast("long"))
+    dealt = plain.join(counts.select("label", "dim", "groups"), ["label", "dim"]).select(
+        "rep", "copies", "label", "dim", "unit", F.pmod(F.xxhash64("key"), F.col("groups")).alias("g")
+    )
+    numbers = lambda lo: F.explode(F.sequence(lo, F.col("groups") - 1))
+    pairs = counts.withColumn("g", numbers(F.lit(0).cast("long"))).withColumn("h", numbers(F.col("g"))).select("label", "dim", "g", "h")
+
+    grouped = placed.filter("cell >= 0").mapInPandas(_grouped(regions), "rep long, copies long, label string, dim int, unit binary, g long, region long")
+    all_groups = grouped.drop("region").unionByName(dealt)
+    packed = scratch.write(all_groups.groupBy("label", "dim", "g").applyInPandas(_pack, _PACKED), "packed")
+    meetings = met.filter("g is not null").select("label", "dim", "g", "h").unionByName(pairs)
+    second = packed.select("label", "dim", F.col("g").alias("h"), *[F.col(c).alias(f"{c}2") for c in packed.columns[3:]])
+    tiles = meetings.filter("g < h").join(packed, ["label", "dim", "g"]).join(second, ["label", "dim", "h"])
+    alone = meetings.filter("g = h").join(packed, ["label", "dim", "g"])
+    names = ["label", "dim", "g", "h", *packed.columns[3:], *[f"{c}2" for c in packed.columns[3:]]]
+    work = tiles.select(*names).unionByName(alone.select(*names[:9]), allowMissingColumns=True)
+    compared = work.mapInArrow(_tiles(threshold), "a long, b long, n long")
+
+    found = scratch.write(compared.unionByName(_whole(met, grouped, by_label)), "found")
+    n_links = found.groupBy("a").agg(F.sum("n").alias("n"))
     components = connected_components(found.filter("b is not null").select("a", "b"), scratch, "near")
     by_key = (
-        points.select("key", "rep", "copies")
-        .join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        placed.select("key", "rep", "copies")
+        .join(n_links.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     out = join_with_hot(ids, by_key, "key", F.col("copies"), ids.count())
@@ -314,5 +473,33 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     ).withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
+def _choose_pivots(keyed: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """About the square root of the points, by a hash of them, as unit vectors by label and dimension."""
+    usable = keyed.filter("key is not null")
+    n, size = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()
+    rate = max(1, math.isqrt(n))
+    rate = max(rate, math.ceil(size / PIVOT_BYTES))  # expected bytes: size / rate
+    chosen = usable.filter(F.pmod(F.xxhash64("key"), F.lit(rate)) == 0).select("label", "dim", "key", "unit").dropDuplicates(["key"])
+    held: dict[tuple[str, int], list] = {}
+    for r in chosen.collect() if n > 1 else ():
+        held.setdefault((r["label"], r["dim"]), []).append((bytes(r["key"]), np.frombuffer(bytes(r["unit"]), np.float64)))
+    return {k: np.array([u for _, u in sorted(v, key=lambda x: x[0])]) for k, v in held.items()}
+
+
+def _whole(met: DataFrame, grouped: DataFrame, by_label: dict[tuple[str, int], Regions]) -> DataFrame:
+    """a, b, n of the pairs of regions all of whose points link: counts by weight, and a star of links."""
+    spark = met.sparkSession
+    told = [(*k, r, int(v.weight[r]), int(v.first[r])) for k, v in by_label.items() for r in np.flatnonzero(v.large).tolist()]
+    large = spark.createDataFrame(told, "label string, dim int, region long, weight long, first long")
+    pairs = met.filter("r is not null").select("label", "dim", "r", "s")
+    both = pairs.select("label", "dim", F.col("r").alias("region"), F.col("s").alias("other")).unionByName(
+        pairs.filter("r <> s").select("label", "dim", F.col("s").alias("region"), F.col("r").alias("other"))
+    )
+    stars = both.join(F.broadcast(large.withColumnRenamed("region", "other")), ["label", "dim", "other"])
+    members = grouped.select("rep", "copies", "label", "dim", "region").join(stars, ["label", "dim", "region"])
+    n = F.when(F.col("region") == F.col("other"), F.col("weight") - F.col("copies")).otherwise(F.col("weight"))
+    return members.select(F.col("rep").alias("a"), F.col("first").alias("b"), n.alias("n"))
+
+
 def op3_cover_tree(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))

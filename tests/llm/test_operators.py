@@ -179,9 +179,9 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("pivot,block,leaf", [(1024, 1024, 16), (4, 7, 2)])
-def test_vectors(spark, monkeypatch, pivot, block, leaf):
-    for k, v in (("POINTS_PER_PIVOT", pivot), ("BLOCK", block), ("LEAF", leaf)):
+@pytest.mark.parametrize("group,leaf,chunk,pivots", [(2048, 32, 256, 64 << 20), (7, 2, 5, 64 << 20), (7, 2, 5, 1)])
+def test_vectors(spark, monkeypatch, group, leaf, chunk, pivots):
+    for k, v in (("GROUP", group), ("LEAF", leaf), ("CHUNK", chunk), ("PIVOT_BYTES", pivots)):
         monkeypatch.setattr(cover_tree, k, v)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("key", F.lit("clash")).repartition(3)
@@ -189,20 +189,52 @@ def test_vectors(spark, monkeypatch, pivot, block, leaf):
     assert cover_tree.near_duplicates(empty(df)).count() == 0
 
 
+def test_vectors_of_any_label(spark):
+    v = [1.0, 2.0, 3.0]
+    for kind, labels in (("double", [0.2, 0.7, 0.2, -0.0, 0.0]), ("string", ["a", "b", "a", "", ""])):
+        rows = [(i, v, x) for i, x in enumerate(labels)]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+        assert by_id(cover_tree.near_duplicates(df), "vec_id", "n_links", "component_id") == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (1, 3), 4: (1, 3)}
+
+
 def test_dual_traversal():
     rng = np.random.default_rng(4)
     x = np.concatenate([c + rng.standard_normal((40, 5)) * s for c in rng.standard_normal((5, 5)) for s in (0.01, 0.1, 0.5)])
     x /= np.linalg.norm(x, axis=1)[:, None]
     w = rng.integers(1, 5, len(x))
     link = x @ x.T >= 0.98
-    n, m, links = cover_tree.compare(x, w, x, w, True, 0.98)
+    order, tree = cover_tree.build(x)
+    x, w = x[order], w[order]
+    link = x @ x.T >= 0.98
+    n, m, links = cover_tree.compare(tree, x, w, tree, x, w, True, 0.98)
     assert (n + m == (link & ~np.eye(len(x), dtype=bool)) @ w).all()
     assert all(link[i, j] for i, j in links)
     part = brute.components(range(len(x)), links)
     assert part == brute.components(range(len(x)), list(zip(*np.nonzero(link))))
-    a, b = x[:300], x[300:]
-    n, m, _ = cover_tree.compare(a, w[:300], b, w[300:], False, 0.98)
-    assert (n == link[:300, 300:] @ w[300:]).all() and (m == link[300:, :300] @ w[:300]).all()
+    i, one = cover_tree.build(x[:300])
+    j, two = cover_tree.build(x[300:])
+    j = j + 300
+    n, m, _ = cover_tree.compare(one, x[i], w[i], two, x[j], w[j], False, 0.98)
+    assert (n == link[np.ix_(i, j)] @ w[j]).all() and (m == link[np.ix_(j, i)] @ w[i]).all()
+
+
+def test_tree_covers():
+    """Every level is a net: children cover their parent's points within half its scale, and their centres lie apart."""
+    rng = np.random.default_rng(14)
+    x = np.concatenate([c + rng.standard_normal((50, 6)) * s for c in rng.standard_normal((4, 6)) for s in (0.01, 0.2)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order, tree = cover_tree.build(x)
+    x = x[order]
+    assert sorted(order.tolist()) == list(range(len(x)))
+    for k, (start, stop, low, high) in enumerate(tree.nodes.T.tolist()):
+        far = np.linalg.norm(x[start:stop] - x[start], axis=1)
+        assert far.max() == pytest.approx(tree.radius[k], abs=1e-7)
+        if low < high:
+            reach = 2.0 ** (np.ceil(np.log2(tree.radius[k])) - 1)
+            assert tree.start[low] == start and tree.stop[high - 1] == stop and (tree.radius[low:high] <= reach + 1e-7).all()
+            centres = x[tree.start[low:high]]
+            gaps = np.linalg.norm(centres[:, None] - centres, axis=2)[np.triu_indices(high - low, 1)]
+            assert (gaps > reach - 1e-7).all()
 
 
 def test_components(spark):
