@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -21,7 +20,11 @@ ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder.  Texts are long, so Arrow batches are made smaller than Spark's default."""
+    """A table of the data folder.
+
+    Texts are long, so Arrow batches are made smaller than Spark's default; this setting of the session
+    stays, as frames run later than they are made.  A session that names its own keeps it.
+    """
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", "268435456", ARROW_BYTES),
@@ -36,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a temporary folder is made.
+    Only in local mode, where the setting is absent, a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     kept = getattr(spark.sparkContext, "_loomline_shared", None)
     if kept is None:
         kept = spark.sparkContext._loomline_shared = tempfile.mkdtemp(prefix="spark-")
@@ -50,12 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one operator run; they cut the lineage and outlive lost executors.
 
-    ``drop`` deletes them, once everything derived from them is written elsewhere.
+    ``drop`` deletes them, once everything derived from them is written elsewhere; ``settled`` writes what a run
+    is for and deletes the rest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,21 +71,30 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def settle(self) -> None:
-        """Let Spark delete the shuffle files behind written tables now, not at some later collection.
-
-        The driver still refers to the latest plan that ran, so a small one runs first.
-        """
-        self.spark.range(1).count()
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table that joins on ``key`` read without a shuffle."""
+        held = f"loomline_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(held)
+        self.tables.append(held)
+        return self.spark.table(held)
 
     def remove(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    drop = remove
+    def settled(self, *results: DataFrame) -> list[DataFrame]:
+        """The results as tables of their own, all other tables of this run deleted."""
+        own = Scratch(self.spark, "result")
+        held = [own.write(df, str(i)) for i, df in enumerate(results)]
+        self.drop()
+        return held
+
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+        self.remove()
 
 
 # ---------------------------------------------------------------- joins
@@ -91,16 +107,29 @@ def join_with_hot(left: DataFrame, right: DataFrame, key: str, copies: Column, t
     """Left join on ``key``, ``right`` having one row a key and knowing its ``copies`` in ``left``.
 
     Keys with over HOT_SHARE of the ``total`` left rows (so under 1000 rows of ``right``, however
-    large the input) are broadcast; the others meet in a shuffled join.
+    large the input) are broadcast; the others meet in a shuffled join.  Rows with a null key match
+    nothing and are not shuffled.
     """
     hot = right.filter(copies > F.lit(HOT_SHARE) * total)
     cold = right.filter(~(copies > F.lit(HOT_SHARE) * total))
     keys = F.broadcast(hot.select(key))
-    return left.join(F.broadcast(hot), key).unionByName(
-        left.join(keys, key, "left_anti").join(cold, key, "left")
+    return (
+        left.join(F.broadcast(hot), key)
+        .unionByName(left.filter(F.col(key).isNotNull()).join(keys, key, "left_anti").join(cold, key, "left"))
+        .unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
     )
 
 
+# ---------------------------------------------------------------- columns
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # ---------------------------------------------------------------- in tasks
 
 def in_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):

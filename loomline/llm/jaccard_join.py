@@ -8,24 +8,27 @@ Links are pairs of documents whose sets of distinct word n-grams have
    columns dealt by hash to m > k blocks the two rows agree on a whole block, and one that is not
    empty in either (a row with too many empty blocks also offers these).  A block of a row is
    offered as one 64-bit value; the row blocks that meet are those with an equal value.  The
-   windows of sizes overlap so that every pair of sizes that can link shares one.
+   windows of sizes overlap so that every pair of sizes that can link shares one.  A task offers a
+   value once for SLICE_VALUES of them: later rows of the slice that hold it meet the first one
+   there, so a block of many rows reaches the shuffle once a slice.
 2. Rows that meet are bounded before they are compared: by their sizes, and by a sketch of SKETCH
    parity bits, one flip a column, of which two rows cannot differ in more bits than columns.
-   First every row meets the centre (smallest member) of each of its blocks, which joins groups
-   of near copies in about as many comparisons as members.
-3. Blocks that still hold several components are multiplied out in tiles of bounded size; the
-   pairs across components that the bounds leave are compared.
-4. Links are joined to components.
-5. Linked rows share a component, so the members of each component are dealt to tiles in which
-   every two of them meet once; those that the bounds leave are compared, and each row counts its
-   links there.  A link with a row of the matrix counts once for each of its documents.
+   First every row meets the centre (first member) of each of its blocks, which joins groups of
+   near copies in about as many pairs as members.
+3. Blocks of three rows and more that still hold several groups are met in tiles of bounded size;
+   the pairs across groups that the bounds leave join these.
+4. Rows that can link share a group now.  Only their sets are fetched anew from their texts, and
+   the members of each group are dealt to tiles in which every two of them meet once.  A tile
+   multiplies out the pairs that the bounds leave; each row counts its links there, a link with a
+   row of the matrix once for each of its documents, and the links give the components.
 
 No pairs of equal texts are made and no pairs within a group are listed, but every link is counted.
-``keep_one`` needs components only and leaves out step 5.
 
 Defined cases: null, empty or wordless texts have an empty set and link with nothing; shorter
-texts than the n-gram are one n-gram; very long texts are rows like others; repeated rows are one
-row of the matrix; an empty table gives no rows; other columns are ignored.
+texts than the n-gram are one n-gram; very long texts are rows like others; repeated rows and
+repeated ids are documents of their own (rows of the matrix are named by their sets, never by
+ids); a null id is a document whose id is no component's smallest unless all there are null; an
+empty table gives no rows; other columns are ignored by ``join`` and stay in ``keep_one``.
 """
 
 from __future__ import annotations
@@ -38,15 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, in_slices, join_with_hot, mix, table
+from .common import Scratch, WordHashes, fresh, in_slices, join_with_hot, mix, table
 from .components import connected_components
 
-#: Rows of one block in a tile; bits of a row's sketch; pairs in a product; its entries accumulated at a time.
-TILE, SKETCH, PAIRS, SLICE = 1024, 512, 256, 4_000_000
+#: Rows of one block in a tile; bits of a row's sketch.
+TILE, SKETCH = 1024, 512
 #: Rows and columns' entries of one side of a tile whose links are counted; columns of its product at a time.
 COUNTED, ENTRIES, COLUMNS = 512, 2_000_000, 4096
-#: Documents whose ids are broadcast to fetch their texts again; beyond it a shuffled join does.
-BROADCAST_IDS = 1_000_000
+#: Rows whose names are broadcast to fetch their texts again or to leave them out; beyond it a shuffled join does.
+BROADCAST_ROWS = 300_000
+#: Block values of one slice of a task, and sets that a task remembers to have offered.
+SLICE_VALUES, OFFERED_SETS = 2_000_000, 200_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -126,87 +131,85 @@ def sketch(row: np.ndarray) -> bytes:
     return np.packbits((np.bincount((row & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
-def _matrix(width: int, percent: int):
-    """Batches of (id, text) to one row a document: id, set, n, sketch and the block values."""
+class _Slice:
+    """Rows of a slice of a task: what each offers, and the blocks in which it meets an earlier one."""
 
-    def run(batches):
-        hashes = WordHashes()
-        windows = np.array(size_windows(percent, 1 << 40), dtype=np.int64)
-        for batch in batches:
-            for part, texts in in_slices(batch, 1, CHUNK_BYTES):
-                rows = _rows_of(texts, width, hashes)
-                of, value = block_values(rows, windows)
-                order = np.argsort(of, kind="stable")
-                ends = np.searchsorted(of[order], np.arange(len(rows) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([xxhash.xxh3_128_digest(r.tobytes()) if len(r) else None for r in rows], pa.binary()),
-                        pa.array([len(r) for r in rows], pa.int64()),
-                        pa.array([sketch(r) if len(r) else None for r in rows], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(value[order].astype(np.int64))),
-                    ],
-                    names=["id", "set", "n", "sketch", "blocks"],
-                )
+    def __init__(self):
+        self.keys, self.sets, self.sizes, self.sketches, self.of, self.values, self.held = [], [], [], [], [], [], 0
 
-    return run
+    def add(self, keys: pa.RecordBatch, sets: list, sizes: list, sketches: list, of: np.ndarray, values: np.ndarray) -> None:
+        self.of.append(of + len(self.sets))
+        self.values.append(values)
+        self.held += len(values)
+        self.keys.append(keys)
+        self.sets += sets
+        self.sizes += sizes
+        self.sketches += sketches
 
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.sets)
+        shorts = np.array([0 if s is None else int.from_bytes(s[:8], "little", signed=True) for s in self.sets], np.int64)
+        of, values = np.concatenate(self.of), np.concatenate(self.values).view(np.int64)
+        order = np.lexsort((of, values))
+        of, values = of[order], values[order]
+        first = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+        run = np.cumsum(first) - 1
+        holder = of[first][run] if len(of) else of
+        shared = (np.bincount(run) > 1)[run] if len(of) else first
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.concat_arrays([k.column(i) for k in self.keys]) for i in (0, 1)), pa.array(self.sets, pa.binary()), pa.array(shorts), pa.array(self.sizes, pa.int64()), pa.array(self.sketches, pa.binary()),
+                _lists(of[first], values[first], n), _lists(of[shared], values[shared], n), _lists(of[shared], shorts[holder[shared]], n),
+            ],
+            names=["id", "told", "set", "short", "n", "sketch", "offered", "met", "centres"],
+        )
 
-# ---------------------------------------------------------------- comparing rows
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The product of two sparse row blocks: overlap counts, accumulated over slices of columns."""
-    out = np.zeros(len(left) * len(right), dtype=np.int32)
-    cols = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
-    rows = [np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (left, right)]
-    both = np.intersect1d(np.unique(cols[0]), np.unique(cols[1]), assume_unique=True)
-    if not len(both):
-        return out.reshape(len(left), len(right))
-    starts, counts = [], []
-    for s in (0, 1):
-        at = np.searchsorted(both, cols[s])
-        at[at == len(both)] = 0
-        held = both[at] == cols[s]
-        order = np.argsort(at[held], kind="stable")
-        rows[s] = rows[s][held][order]
-        n = np.bincount(at[held], minlength=len(both))
-        counts.append(n)
-        starts.append(np.cumsum(n) - n)
-    entries = counts[0] * counts[1]
-    begin = 0
-    while begin < len(both):
-        end = max(begin + 1, int(np.searchsorted(np.cumsum(entries[begin:]), SLICE)) + begin)
-        e = entries[begin:end]
-        col = np.repeat(np.arange(begin, end), e)
-        k = np.arange(len(col)) - np.repeat(np.cumsum(e) - e, e)
-        i = rows[0][starts[0][col] + k // counts[1][col]]
-        j = rows[1][starts[1][col] + k % counts[1][col]]
-        out += np.bincount(i * len(right) + j, minlength=len(out)).astype(np.int32)
-        begin = end
-    return out.reshape(len(left), len(right))
-
-
-def _compare_pairs(percent: int):
-    """Batches of a, b and their sets to the pairs that link: products of blocks of at most PAIRS rows a side."""
-
-    def block(a, b, x, y):
-        names_a, first_a, at_a = np.unique(a, return_index=True, return_inverse=True)
-        names_b, first_b, at_b = np.unique(b, return_index=True, return_inverse=True)
-        left, right = [np.frombuffer(x[i], np.uint64) for i in first_a], [np.frombuffer(y[i], np.uint64) for i in first_b]
-        both = overlaps(left, right)[at_a, at_b].astype(np.int64)
-        size = np.array([len(r) for r in left])[at_a] + np.array([len(r) for r in right])[at_b]
-        return 100 * both >= percent * (size - both)
+_MATRIX = "id long, told long, set binary, short long, n long, sketch binary, offered array<long>, met array<long>, centres array<long>"
+
+
+def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n rows."""
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order]))
+
+
+def digest(row: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(row.tobytes()) if len(row) else None
+
+
+def _matrix(width: int, percent: int):
+    """Batches of (id, told, text) to one row a document; a set that the task has offered before offers nothing."""
 
     def run(batches):
+        hashes, offered, held = WordHashes(), set(), _Slice()
+        windows = np.array(size_windows(percent, 1 << 40), dtype=np.int64)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [block(a[i : i + PAIRS], b[i : i + PAIRS], x[i : i + PAIRS], y[i : i + PAIRS]) for i in range(0, len(a), PAIRS)]
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            for part, texts in in_slices(batch, 2, CHUNK_BYTES):
+                rows = _rows_of(texts, width, hashes)
+                sets, sizes, sketches = [digest(r) for r in rows], [len(r) for r in rows], []
+                for i, (s, r) in enumerate(zip(sets, rows)):
+                    if s is None or s in offered:
+                        rows[i] = r[:0]
+                        sketches.append(None)
+                    else:
+                        offered.add(s)
+                        sketches.append(sketch(r))
+                held.add(part, sets, sizes, sketches, *block_values(rows, windows))
+                if held.held >= SLICE_VALUES or len(held.sets) >= SLICE_VALUES // 8:
+                    yield held.batch()
+                    held = _Slice()
+                    if len(offered) > OFFERED_SETS:
+                        offered.clear()
+        if held.sets:
+            yield held.batch()
 
     return run
 
 
+# ---------------------------------------------------------------- comparing rows
+
 def within_bounds(n_a, n_b, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether rows of these sizes and sketches (as 64-bit words) can link."""
     most = (100 - percent) * (n_a + n_b) // (100 + percent)
@@ -232,13 +235,13 @@ def _bounded_pairs(percent: int):
 
 
 def _tile_pairs(percent: int):
-    """Rows tile, side, rep, n, component, bits sorted by tile: the pairs across components that the bounds leave.
+    """Rows tile, side, short, n, component, bits sorted by tile: the pairs of components that the bounds leave together.
 
     Side 0 meets side 1, or itself where a tile has one side; a tile has at most 2 * TILE rows.
     """
 
-    def products(tile, side, rep, n, component, bits):
-        out_a, out_b = [rep[:0]], [rep[:0]]
+    def products(tile, side, short, n, component, bits):
+        out_a, out_b = [component[:0]], [component[:0]]
         first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         for lo, hi in zip(first, [*first[1:], len(tile)]):
             left = np.arange(lo, hi)
@@ -249,8 +252,8 @@ def _tile_pairs(percent: int):
                 y = right if len(right) else left[i:]
                 ok = (component[x][:, None] != component[y]) & within_bounds(n[x][:, None], n[y], bits[x][:, None], bits[y], percent)
                 j, k = np.nonzero(ok)
-                out_a.append(rep[x[j]])
-                out_b.append(rep[y[k]])
+                out_a.append(component[x[j]])
+                out_b.append(component[y[k]])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -307,28 +310,57 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], ok: np.ndarray, perc
     return out
 
 
+def stars(link: np.ndarray, same: bool) -> np.ndarray:
+    """For the rows of a tile (of one side, then of the other) the first row that their links reach within it."""
+    if same:
+        link = link | link.T
+    n, none = link.shape, sum(link.shape)
+    x, y = np.arange(n[0]), np.arange(n[1]) + (0 if same else n[0])
+    while True:
+        new_x = np.minimum(x, np.where(link, y, none).min(axis=1, initial=none))
+        if same:
+            new_y = new_x = new_x[new_x]
+        else:
+            new_y = np.minimum(y, np.where(link.T, new_x, none).min(axis=1, initial=none))
+        if (new_x == x).all() and (new_y == y).all():
+            return x if same else np.concatenate([x, y])
+        x, y = new_x, new_y
+
+
 def _count_links(percent: int):
-    """Rows component, lo, hi, side, rep, copies, n, sketch, grams sorted by tile (the first three): rep, links.
+    """Rows component, lo, hi, side, short, copies, n, sketch, grams sorted by tile (the first three): a, b, links.
 
-    Side 0 meets side 1, or itself where lo = hi.
+    Side 0 meets side 1, or itself where lo = hi.  Rows out: links counted at a, or (b not null) a link.
     """
 
-    def tile(same, side, rep, copies, n, bits, grams):
+    def tile(same, side, short, copies, n, bits, grams):
+        # repeated rows of one id bring their set again
+        once = np.unique(np.stack([side, short]), axis=1, return_index=True)[1]
+        side, short, copies, n, bits, grams = (c[once] for c in (side, short, copies, n, bits, grams))
         of = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
         x, y = (of[0], of[0]) if same else of
-        links = np.zeros(len(rep), np.int64)
-        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        links = np.zeros(len(short), np.int64)
         ok = np.zeros((len(x), len(y)), dtype=bool)
         for i in range(0, len(x), 64):
             part = x[i : i + 64]
             ok[i : i + 64] = within_bounds(n[part][:, None], n[y], bits[part][:, None], bits[y], percent)
         if same:
             ok = np.triu(ok, 1)
+        some = np.zeros(0, np.int64)
+        first = some
         if ok.any():
+            sets = [np.frombuffer(g, np.uint64) for g in grams]
             link = linked([sets[i] for i in x], [sets[i] for i in y], ok, percent)
             links[x] += link @ copies[y]
             links[y] += copies[x] @ link
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], names=["rep", "links"])
+            rows = x if same else np.concatenate([x, y])
+            to = stars(link, same)
+            moved = np.flatnonzero(to != np.arange(len(to)))
+            some, first = short[rows[moved]], short[rows[to[moved]]]
+        counted = np.flatnonzero(links)
+        b = pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(first)])
+        n_out = np.concatenate([links[counted], np.zeros(len(some), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([short[counted], some])), b, pa.array(n_out)], names=["a", "b", "links"])
 
     def run(batches):
         rest = None  # the last tile of a batch may go on in the next
@@ -360,127 +392,153 @@ def _count_links(percent: int):
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_shingles, n_links (other rows it links with) and component_id (smallest id reachable by links) of every row; ids are integers."""
-    return _join(docs, width, percent, id_col, text_col, scratch, True)
+    run = scratch or Scratch(docs.sparkSession, "jaccard")
+    rows, classes = _classes(docs, width, percent, id_col, text_col, run)
+    joined = join_with_hot(rows, classes.drop("class", "members"), "set", F.col("copies"), rows.count())
+    out = joined.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+    return out if scratch else run.settled(out)[0]
 
 
-def _join(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: Scratch | None, counted: bool) -> DataFrame:
-    """The rows of ``join``; without n_links unless ``counted``."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    matrix = scratch.write(
-        texts.mapInArrow(_matrix(width, percent), "id long, set binary, n long, sketch binary, blocks array<long>"), "matrix"
-    )
-    rows = matrix.select("id", "set", "n")
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, told: a hash of the text, set, n), and for every set: copies, n_links, and its class with component_id and members."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("told"), F.col(text_col).cast("string").alias("text"))
+    matrix = scratch.write(texts.mapInArrow(_matrix(width, percent), _MATRIX), "matrix")
     sets = scratch.write(
-        matrix.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        matrix.filter("n > 0").groupBy("set").agg(
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch")
+        ),
         "sets",
     )
-    # a row is named by 64 bits of its set here; if two sets share them, both are met and compared
-    short = F.xxhash64("set").alias("short")
-    by_block = Window.partitionBy("block")
-    offered = matrix.filter("n > 0").select(short, F.explode("blocks").alias("block"))
-    meeting = offered.select("block", "short", F.min("short").over(by_block).alias("lo"), F.max("short").over(by_block).alias("hi")).filter("lo <> hi")
-    met = scratch.write(meeting.select("block", "short").distinct(), "met")
-    met = scratch.write(met.join(sets.select(short, "rep", "n", "sketch"), "short").select("block", "rep", "n", "sketch"), "members")
-    # the sets of rows that meet others, fetched anew from their texts
-    ids = met.select("rep").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = texts.join(ids.withColumnRenamed("rep", "id"), "id", "left_semi")
-
-    def fetch(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for part, some in in_slices(batch, 1, CHUNK_BYTES):
-                grams = [g.tobytes() for g in _rows_of(some, width, hashes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], names=["rep", "grams"])
-
-    # repeated ids would repeat rows: any of them carries the same or another full set, one is kept
-    held = scratch.write(wanted.mapInArrow(fetch, "rep long, grams binary").dropDuplicates(["rep"]), "held")
-    links = _compared(_centre_pairs(met, percent), held, percent, scratch, "links")
-    components = connected_components(links, scratch, "near")
-    more = _compared(_open_pairs(met, components, percent, scratch), held, percent, scratch, "more")
+    met = scratch.write(_meetings(matrix), "met")
+    known = sets.select("short", "n", "sketch")
+    groups = connected_components(_centre_pairs(met, known, percent), scratch, "near")
+    more = scratch.write(_open_pairs(met, groups, known, percent).distinct(), "more")
     if not more.isEmpty():
-        components = connected_components(links.unionByName(more), scratch, "all")
-    part_of = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
-    if counted:
-        part_of = part_of.join(_links_of(sets, components, held, percent, scratch), "rep", "left")
-        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    else:
-        part_of = part_of.withColumn("links", F.lit(0))
-    of_set = part_of.select(
-        "set", "copies", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        joined = connected_components(more, scratch, "open")
+        nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        alone = nodes.join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        groups = groups.unionByName(alone).join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    found = scratch.write(_links(texts, sets, groups, width, percent, scratch), "found")
+    links = found.filter("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
+    components = connected_components(found.filter("b is not null").select("a", "b"), scratch, "all")
+    parts = sets.join(links.withColumnRenamed("a", "short"), "short", "left").join(components.withColumnRenamed("node", "short"), "short", "left")
+    parts = scratch.write(parts.select("set", "short", "rep", "copies", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "parts")
+    least = parts.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("members"))
+    classes = join_with_hot(parts, least, "component", F.col("sets"), sets.count()).select(
+        "set", "copies", "n_links", F.coalesce("component", "short").alias("class"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("members", "copies").alias("members")
     )
-    n = rows.count()
-    return join_with_hot(rows, of_set, "set", F.col("copies"), n).select(*out)
+    return matrix.select("id", "told", "set", "n"), scratch.write(classes, "classes")
 
 
-def _links_of(sets: DataFrame, components: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """rep, links: how many documents of other sets the set links with."""
-    known = sets.select("rep", "copies", "n", "sketch").join(components.withColumnRenamed("node", "rep"), "rep")
-    known = scratch.write(known, "known")
-    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
-    parts = F.greatest(F.ceil(F.col("size") / COUNTED), F.ceil(F.col("entries") / ENTRIES)).cast("int")
-    total = known.count()
-    sized = join_with_hot(known, size.select("component", "size", parts.alias("parts")), "component", F.col("size"), total)
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = sized.join(held, "rep").select("*", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = dealt.select(
-        "component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"),
-        "rep", "copies", "n", "sketch", "grams",
-    )
-    tiles = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side", "rep")
-    return scratch.write(tiles.mapInArrow(_count_links(percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")), "counted")
+def _meetings(matrix: DataFrame) -> DataFrame:
+    """block, short, centre of every row in a block of several rows."""
+    by_block = Window.partitionBy("block")  # a block is there once a slice at most
+    offered = matrix.select("short", F.explode("offered").alias("block"))
+    across = offered.select("block", "short", F.min("short").over(by_block).alias("centre"), F.max("short").over(by_block).alias("last"))
+    within = matrix.select("short", F.inline(F.arrays_zip(F.col("met").alias("block"), F.col("centres").alias("centre"))))
+    return across.filter("centre <> last").select("block", "short", "centre").unionByName(within.select("block", "short", "centre"))
 
 
-def _compared(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by their sets."""
-    pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
-    with_sets = pairs.join(held.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a").join(
-        held.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b"
-    )
-    return scratch.write(with_sets.select("a", "b", "x", "y").mapInArrow(_compare_pairs(percent), "a long, b long"), name)
+def _centre_pairs(met: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Each row with the centres of its blocks, where the bounds allow a link."""
+    pairs = met.filter("short <> centre").select(F.col("short").alias("a"), F.col("centre").alias("b")).distinct()
+    of = lambda side: known.select(F.col("short").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"bits_{side}"))
+    bounded = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b")
+    return bounded.mapInArrow(_bounded_pairs(percent), "a long, b long")
 
 
-def _centre_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Each row with the smallest member of each of its blocks, where the bounds allow a link."""
-    centre = F.min(F.struct("rep", "n", "sketch")).over(Window.partitionBy("block"))
-    pairs = met.withColumn("centre", centre).filter("rep <> centre.rep").select(
-        F.col("rep").alias("a"), "n", "sketch", F.col("centre.rep").alias("b"), F.col("centre.n").alias("n2"), F.col("centre.sketch").alias("sketch2")
-    )
-    return pairs.mapInArrow(_bounded_pairs(percent), "a long, b long")
+def _open_pairs(met: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups that meet in blocks of three rows and more, where the bounds allow a link."""
+    members = met.select("block", "short").distinct()
+    labelled = members.join(groups.withColumnRenamed("node", "short"), "short", "left").withColumn("component", F.coalesce("component", "short"))
+    blocks = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    # a block of two rows has been met as a row and its centre; a block of several tiles is sent to each of them
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    some = blocks.filter("lo <> hi and size > 2").select("block", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("short"), F.col("parts")).cast("int")
+    dealt = labelled.join(some, "block").select("*", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("tile")
+    tiles = dealt.select(tile, (F.col("part") > F.col("other")).cast("int").alias("side"), "short", "component").join(known, "short")
+    tiles = tiles.select("tile", "side", "short", "n", "component", "sketch").repartition("tile").sortWithinPartitions("tile", "side", "short")
+    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long")
 
 
-def _open_pairs(met: DataFrame, components: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs across components in blocks that hold several, where the bounds allow a link."""
-    by_block = Window.partitionBy("block")
-    labelled = met.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = labelled.select(
-        "block", "rep", "n", "sketch", "component", F.min("component").over(by_block).alias("lo"), F.max("component").over(by_block).alias("hi"), F.count(F.lit(1)).over(by_block).alias("size")
-    ).filter("lo <> hi")
-    # a block of several tiles is sent to each of them; a block that fits one goes once
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("rep"), parts)
-    dealt = open_.select("*", parts.alias("parts"), part.cast("int").alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _fetch(width: int):
+    """Rows of text, set and other columns to those columns and grams, where the text has that set."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for part, texts in in_slices(batch, 0, CHUNK_BYTES):
+                rows = _rows_of(texts, width, hashes)
+                same = pa.array([digest(r) == s for r, s in zip(rows, part.column(1).to_pylist())], pa.bool_())
+                grams = pa.array([r.tobytes() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], grams], names=[*part.schema.names[2:], "grams"]).filter(same)
+
+    return run
+
+
+def _links(texts: DataFrame, sets: DataFrame, groups: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, links: how many documents of other sets the set a links with in a tile, or (b not null) a link."""
+    members = scratch.write(groups.withColumnRenamed("node", "short").join(sets, "short"), "group-members")
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
+    parts = F.greatest(F.ceil(F.col("size") / COUNTED), F.ceil(F.col("entries") / ENTRIES)).cast("int")
+    total = members.count()
+    sized = join_with_hot(members, size.select("component", "size", parts.alias("parts")), "component", F.col("size"), total)
+    part = F.pmod(F.xxhash64("short"), F.col("parts")).cast("int").alias("part")
+    wanted = sized.select("rep", "set", "component", "parts", part, "short", "copies", "n", "sketch")
+    held = texts.join(F.broadcast(wanted) if total <= BROADCAST_ROWS else wanted, texts["id"].eqNullSafe(wanted["rep"]))
+    kinds = "component long, parts int, part int, short long, copies long, n long, sketch binary"
+    fetched = held.select("text", "set", "component", "parts", "part", "short", "copies", "n", "sketch").mapInArrow(_fetch(width), f"{kinds}, grams binary")
+    dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = dealt.select(
-        F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "n", "component", "sketch"
+        "component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"),
+        "short", "copies", "n", "sketch", "grams",
     )
-    return tiles.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(_tile_pairs(percent), "a long, b long")
+    tiles = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side", "short")
+    return tiles.mapInArrow(_count_links(percent), "a long, b long, links long")
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns as they are."""
-    scratch = scratch or Scratch(docs.sparkSession, "keep")
-    joined = _join(docs, width, percent, id_col, text_col, scratch, False)
-    gone = scratch.write(joined.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    """Of each component the row of the smallest id (of equal ids, of the smallest text digest), all columns as they are.
+
+    Of rows without words, and of rows that repeat id and text, every wordless one and one of the repeats stays.
+    """
+    run = scratch or Scratch(docs.sparkSession, "keep")
+    rows, classes = _classes(docs, width, percent, id_col, text_col, run)
+    several = classes.filter("members > 1")
+    named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count()).filter("class is not null").select("id", "told", "class")
+    named = run.write(named.groupBy("class", "id", "told").agg(F.count(F.lit(1)).alias("repeats")), "named")
+    order = F.struct(F.col("id").isNull().alias("lost"), "id", "told")
+    best = named.groupBy("class").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+    judged = run.write(
+        join_with_hot(named, best, "class", F.col("size"), named.count()).select("id", "told", "repeats", (order == F.col("best")).alias("stays")), "judged"
+    )
+    gone = judged.filter(~F.coalesce("stays", F.lit(False))).select("id", "told")
+    repeated = judged.filter("stays and repeats > 1").select("id", "told")
+    if not scratch:
+        gone, repeated = run.settled(gone, repeated)
+    told = fresh(docs, "told")
+    marked = docs.withColumn(told, F.xxhash64(text_col))
+
+    def matched(to: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        held = F.broadcast(to) if to.count() <= BROADCAST_ROWS else to
+        return of.join(held, of[id_col].cast("long").eqNullSafe(held["id"]) & of[told].eqNullSafe(held["told"]), how)
+
+    kept = matched(gone, "left_anti", marked)
+    if not repeated.isEmpty():
+        kept = matched(repeated, "left_anti", kept).unionByName(matched(repeated, "left_semi", kept).dropDuplicates([id_col, told]))
+    return kept.select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return op8_jaccard_links(spark, sf_dir).drop("n_links")  # its SQL names no links
+    return join(table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard_links(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    """Only the counts."""
+    return op8_jaccard_join(spark, sf_dir).select("doc_id", "n_links", "n_shingles", "component_id")

@@ -78,11 +78,9 @@ _OP8 = f"""WITH RECURSIVE
     meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
     links AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
     {_REACH}
-    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(part.least, d.doc_id)) AS component_id
-    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.a = d.doc_id"""
-
-#: The same rows, with the number of links of each.
-_OP8_LINKS = _OP8.replace("SELECT d.doc_id, coalesce(n.n, 0)", "SELECT d.doc_id, (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links, coalesce(n.n, 0)")
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(part.least, d.doc_id)) AS component_id, coalesce(k.n, 0) AS n_links
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.a = d.doc_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = d.doc_id"""
 
 _WORDS9 = f"""regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 _OP9 = f"""WITH
@@ -115,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_cover_tree": _OP3,
     "op4_secret_ledger": _op4(),
     "op8_jaccard_join": _OP8,
-    "op8_jaccard_links": _OP8_LINKS,
+    "op8_jaccard_links": _OP8,
     "op9_decontaminate": _OP9,
     "op10_chat_trees": _OP10,
 }
