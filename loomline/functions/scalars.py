@@ -78,6 +78,11 @@ def open_flag(value: Column, fallback: bool) -> Column:
     return F.when(value == "open", True).when(value == "closed", False).otherwise(F.lit(fallback))
 
 
+def toggled(flag: Column) -> Column:
+    """The other of true and false; null stays."""
+    return ~flag
+
+
 def contains(items: Column, item) -> Column:
     """Two-valued membership: false where the array is null or only holds nulls besides."""
     return F.coalesce(F.array_contains(items, item), F.lit(False))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 class Rules:
     """band_floors: for each source, the least score of Medium and of High."""
 
+    # The floors of each source.
     band_floors: tuple[tuple[str, int, int], ...] = (("tender", 68, 79), ("planning", 55, 82))
     criterion: int = 45
     closing_days: int = 30

@@ -40,18 +40,20 @@ def nth_row(rows: DataFrame, place: int, *order: str | Column) -> DataFrame:
     return rows.orderBy(*order).offset(place).limit(1)
 
 
-def row_index(rows: DataFrame, key: str, name: str = "idx", parts: int = 1) -> DataFrame:
+#: Rows that one task numbers.
+PART_ROWS = 500_000
+
+
+def row_index(rows: DataFrame, key: str, name: str = "idx", parts: int | None = None) -> DataFrame:
     """Number the rows from 0 by a numeric key that is unique.
 
-    With ``parts`` over 1 the key's range is cut at its percentiles; each part is numbered on its
-    own and shifted by the rows of the parts before, so no task sorts the whole table.
+    The key's range is cut at its percentiles into ``parts`` (by default as many as give each about
+    PART_ROWS); each part is numbered on its own and shifted by the rows of the parts before, so no
+    task sorts a large table.
     """
-    if parts <= 1:
-        return rows.withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    cuts = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)
-    part = F.lit(0)
-    for i, cut in enumerate(sorted(set(cuts)), 1):
-        part = F.when(F.col(key) >= cut, i).otherwise(part)
+    parts = parts or 1 + rows.count() // PART_ROWS
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(key))) if cuts else F.lit(0)
     dealt = rows.withColumn("_part", part)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
@@ -75,6 +77,12 @@ def update_where(rows: DataFrame, condition: Column, column: str, value) -> Data
     return rows.withColumn(column, new)
 
 
+def update_first(rows: DataFrame, order: str, column: str, value) -> DataFrame:
+    """A copy with the column replaced in the row of the smallest order value, which is one broadcast row."""
+    least = rows.agg(F.min(order).alias("_least"))
+    return update_where(rows.join(F.broadcast(least)), F.col(order) == F.col("_least"), column, value).drop("_least")
+
+
 def append_if(rows: DataFrame, extra: DataFrame, flag: bool) -> DataFrame:
     """The rows and, under the flag, the extra ones."""
     return rows.unionByName(extra) if flag else rows

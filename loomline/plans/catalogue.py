@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from loomline.functions import scalars as S
 from loomline.operators import insights as I
 from loomline.operators import relational as R
+from loomline.sources import collections, stores
 from loomline.sources.stores import table
+from loomline.streaming import transitions as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,8 +115,7 @@ def q_nth_row(spark, d):
        FROM orders""")
 def q_conditional_update(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    chosen = orders.agg(F.min("o_orderkey")).first()[0]
-    return R.update_where(orders, F.col("o_orderkey") == chosen, "o_orderstatus", "R")
+    return R.update_first(orders, "o_orderkey", "o_orderstatus", "R")
 
 
 @query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS idx FROM nation")
@@ -239,19 +240,25 @@ def q_label_concat(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.joined(F.col("c_name"), F.col("c_mktsegment")).alias("label"))
 
 
-@query("""SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0') AS text FROM conversations
-       WHERE turn % 3 <> 0 AND trim(text, E' \\t\\n\\r\\u00a0') <> ''""")
+_TRIMMED = "trim(text, E' \\t\\n\\r\\u00a0')"
+
+
+def _with_blanks(spark, d):
+    """All turns, and a blank one more for every third."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return rows.unionByName(rows.filter("turn % 3 = 0").withColumn("text", F.lit(" \t ")))
+
+
+@query(f"SELECT conv_id, turn, {_TRIMMED} AS text FROM conversations WHERE {_TRIMMED} <> ''")
 def q_trim_nonblank(spark, d):
-    padded = F.when(F.col("turn") % 3 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit(" \t "), "text", F.lit(" ")))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", padded.alias("text"))
-    return rows.filter(~S.is_blank(F.col("text"))).withColumn("text", S.trim_all(F.col("text")))
+    padded = _with_blanks(spark, d).withColumn("text", F.concat(F.lit(" \t "), "text", F.lit(" ")))
+    return padded.filter(~S.is_blank(F.col("text"))).withColumn("text", S.trim_all(F.col("text")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR trim(text, E' \\t\\n\\r\\u00a0') = '' THEN 'no text'
-       ELSE trim(text, E' \\t\\n\\r\\u00a0') END AS text FROM conversations""")
+@query(f"""SELECT conv_id, turn, coalesce(nullif({_TRIMMED}, ''), 'no text') AS text FROM conversations
+       UNION ALL SELECT conv_id, turn, 'no text' FROM conversations WHERE turn % 3 = 0""")
 def q_default_if_blank(spark, d):
-    some = F.when(F.col("turn") % 3 == 0, F.lit(" \t")).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", S.default_if_blank(some, "no text").alias("text"))
+    return _with_blanks(spark, d).select("conv_id", "turn", S.default_if_blank(F.col("text"), "no text").alias("text"))
 
 
 # ---------------------------------------------------------------- proposals
@@ -311,51 +318,100 @@ def q_cost_rollup(spark, d):
     return I.cost_rollup(rows, "label", "x").select("label", F.col("amount").cast("double").alias("amount"))
 
 
-@query("""SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 4, 2) AS DOUBLE) AS per_traveller FROM orders
-       WHERE CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 4 = 0""")
+@query("""SELECT o_orderkey, CAST((CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) + 2) // 4 AS DOUBLE) / 100 AS per_traveller FROM orders""")
 def q_per_unit(spark, d):
     total = F.col("o_totalprice").cast(S.MONEY)
-    even = table(spark, d, "orders").filter((total * 100).cast("long") % 4 == 0)
-    return even.select("o_orderkey", I.per_unit(total, F.lit(4)).cast("double").alias("per_traveller"))
+    return table(spark, d, "orders").select("o_orderkey", I.per_unit(total, F.lit(4)).cast("double").alias("per_traveller"))
 
 
-@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
        SELECT coalesce(c.k, s.k) AS k, c.k IS NOT NULL AS in_left, s.k IS NOT NULL AS in_right FROM c FULL OUTER JOIN s ON c.k = s.k""")
 def q_linked(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k")).distinct()
-    s = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
     return I.linked(c, s, "k")
 
 
-# ---------------------------------------------------------------- over all rows
+# their names while other queries of these names left rows out
+for _name in ("q_per_unit", "q_trim_nonblank", "q_default_if_blank", "q_linked"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
 
-@query("""SELECT o_orderkey, CAST((CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) + 2) // 4 AS DOUBLE) / 100 AS per_traveller FROM orders""")
-def q_per_unit_all(spark, d):
-    total = F.col("o_totalprice").cast(S.MONEY)
-    return table(spark, d, "orders").select("o_orderkey", I.per_unit(total, F.lit(4)).cast("double").alias("per_traveller"))
 
+# ---------------------------------------------------------------- states and settings
 
-def _with_blanks(spark, d):
-    """All turns, and a blank one more for every third."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return rows.unionByName(rows.filter("turn % 3 = 0").withColumn("text", F.lit(" \t ")))
+#: What each type of event does to each machine.
+STEPS = {
+    "logistics": {"view": "ask", "click": "answer", "purchase": "approve", "signup": "choose"},
+    "consult": {"view": "choose", "click": "send"},
+    "build": {"click": "send"},
+    "marketing": {"click": "send", "purchase": "approve"},
+    "scan": {"click": "run", "view": "finish"},
+    "research": {"click": "run", "view": "finish"},
+}
 
 
-@query("""SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0') AS text FROM conversations WHERE trim(text, E' \\t\\n\\r\\u00a0') <> ''""")
-def q_trim_nonblank_all(spark, d):
-    padded = _with_blanks(spark, d).withColumn("text", F.concat(F.lit(" \t "), "text", F.lit(" ")))
-    return padded.filter(~S.is_blank(F.col("text"))).withColumn("text", S.trim_all(F.col("text")))
+def _replay_sql(name: str) -> str:
+    moves, start = T.MACHINES[name]
+    event = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STEPS[name].items()) + " ELSE 'other' END"
+    to = " ".join(f"WHEN s = '{state}' AND e = '{event}' THEN '{to}'" for (state, event), to in moves.items())
+    return f"""SELECT user_id, list_reduce(list({event} ORDER BY ts, event_id), lambda s, e: CASE {to} ELSE s END, '{start}') AS state
+        FROM events GROUP BY user_id"""
 
 
-@query("""SELECT conv_id, turn, coalesce(nullif(trim(text, E' \\t\\n\\r\\u00a0'), ''), 'no text') AS text FROM conversations
-       UNION ALL SELECT conv_id, turn, 'no text' FROM conversations WHERE turn % 3 = 0""")
-def q_default_if_blank_all(spark, d):
-    return _with_blanks(spark, d).select("conv_id", "turn", S.default_if_blank(F.col("text"), "no text").alias("text"))
+def _replay(name: str):
+    def run(spark, d):
+        moves, start = T.MACHINES[name]
+        event = S.lookup(F.col("event_type"), STEPS[name], "other").alias("event")
+        events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("at"), event)
+        return T.replay(events, moves, start).withColumnRenamed("key", "user_id")
 
+    run.__name__ = f"q_replay_{name}"
+    QUERIES[run.__name__], ORACLE_SQL[run.__name__] = run, _replay_sql(name)
 
-@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
-       SELECT coalesce(c.k, s.k) AS k, c.k IS NOT NULL AS in_left, s.k IS NOT NULL AS in_right FROM c FULL OUTER JOIN s ON c.k = s.k""")
-def q_linked_all(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
-    return I.linked(c, s, "k")
+
+for _m in T.MACHINES:
+    _replay(_m)
+
+
+@query("""SELECT k.key AS key, coalesce(max(CAST(n_regionkey AS VARCHAR)), 'none') AS value
+       FROM (VALUES ('FRANCE'), ('NATION_7'), ('ATLANTIS')) k(key) LEFT JOIN nation ON n_name = k.key GROUP BY k.key""")
+def q_setting_default(spark, d):
+    state = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    one = lambda key: stores.setting(state, key, "none").select(F.lit(key).alias("key"), "value")
+    return one("FRANCE").unionByName(one("NATION_7")).unionByName(one("ATLANTIS"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false ELSE true END AS open FROM orders""")
+def q_open_flag(spark, d):
+    stored = S.lookup(F.col("o_orderstatus"), {"O": "open", "F": "closed"})
+    return table(spark, d, "orders").select("o_orderkey", S.open_flag(stored, True).alias("open"))
+
+
+@query("SELECT p_partkey, NOT (p_size > 25) AS flag FROM part")
+def q_toggle(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.toggled(F.col("p_size") > 25).alias("flag"))
+
+
+# ---------------------------------------------------------------- stored collections
+
+@query("""SELECT * FROM (VALUES ('T-2026-014', DATE '2026-09-18', 'High'), ('T-2026-021', DATE '2026-10-05', 'High'), ('T-2026-009', DATE '2026-08-30', 'Medium'),
+       ('T-2026-033', DATE '2026-09-12', 'Medium'), ('T-2026-041', DATE '2026-09-25', 'Low'), ('T-2026-018', DATE '2026-09-09', 'Medium'),
+       ('T-2026-027', DATE '2026-10-03', 'High')) t(id, deadline_date, band)""")
+def q_stored_tenders(spark, d):
+    return collections.load(spark, "tenders").select("id", "deadline_date", I.fit_band(F.lit("tender"), F.col("fit_score")).alias("band"))
+
+
+@query("""SELECT * FROM (VALUES ('P-2026-101', 'An architect', 6200000.0, 1), ('P-2026-114', 'An architect', 18500000.0, 1), ('P-2026-126', 'Not identified', 9800000.0, 0),
+       ('P-2026-133', 'An architect', 4100000.0, 0), ('P-2026-140', 'An architect', 22000000.0, 0), ('P-2026-152', 'An architect', 31400000.0, 0))
+       t(id, architect, value_eur, parties)""")
+def q_stored_signals(spark, d):
+    rows = collections.load(spark, "planning_signals")
+    return rows.select("id", F.coalesce("architect", F.lit("Not identified")).alias("architect"), F.col("value_eur").cast("double").alias("value_eur"), F.size("other_parties").alias("parties"))
+
+
+@query("SELECT 1 AS n, 26900.0 AS total, '€26 900,00' AS eur, '£23,134.00' AS gbp, '$29,321.00' AS usd")
+def q_stored_totals(spark, d):
+    recheck = R.count_where(collections.load(spark, "travel_plans"), F.col("status") == "Recheck required")
+    total = collections.load(spark, "cost_breakdown").agg(F.sum("amount_eur").alias("total"))
+    money = [S.format_money(F.col("total"), c).alias(c.lower()) for c in S.RATES]
+    return recheck.join(F.broadcast(total)).select("n", *money, F.col("total").cast("double").alias("total"))

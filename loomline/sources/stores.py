@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,20 @@ def with_setting(state: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def write_state(state: DataFrame, folder: str) -> None:
-    """Overwrite a small state table, as one file."""
-    state.coalesce(1).write.mode("overwrite").parquet(folder)
+    """Replace a small state table, as one file; ``state`` may be read from the very folder.
+
+    The new table is written beside the old one first, which goes only when that is whole.
+    """
+    spark = state.sparkSession
+    beside = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
+    state.coalesce(1).write.parquet(f"{beside}.new")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path(folder)):
+        files.rename(path(folder), path(f"{beside}.old"))
+    if not files.rename(path(f"{beside}.new"), path(folder)):
+        raise OSError(f"{beside}.new could not be moved to {folder}")
+    files.delete(path(f"{beside}.old"), True)
 
 
 def export_csv(rows: DataFrame, folder: str, columns: dict[str, Column | str]) -> None:

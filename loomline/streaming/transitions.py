@@ -18,17 +18,34 @@ LOGISTICS = {
 CONSULT = {("start", "choose"): "criteria", ("criteria", "send"): "review"}
 BUILD = {("incomplete", "send"): "complete"}
 MARKETING = {("not started", "send"): "started", ("started", "approve"): "approved"}
+SCAN = {("empty", "run"): "scanning", ("scanning", "finish"): "results", ("results", "run"): "scanning"}
+RESEARCH = {("empty", "run"): "researching", ("researching", "finish"): "results", ("results", "run"): "researching"}
+#: Every machine with the state that it begins in.
+MACHINES = {
+    "logistics": (LOGISTICS, "empty"), "consult": (CONSULT, "start"), "build": (BUILD, "incomplete"), "marketing": (MARKETING, "not started"),
+    "scan": (SCAN, "empty"), "research": (RESEARCH, "empty"),
+}
 
 
 def replay(events: DataFrame, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """key and its state after all its events (key, at, event) in order; one shuffle, no Python."""
+    """key and its state after all its events (key, at, event) in order; no Python.
+
+    The events are dealt by ranges of (key, at), so those of a frequent key spread over tasks.  What
+    a key has in one range is folded to a map from state to state, and its few maps are applied in turn.
+    """
     table = F.create_map(*[F.lit(x) for (state, event), to in moves.items() for x in (f"{state}\n{event}", to)])
-    inner = F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda e: e["event"])
+    states = sorted({start, *(s for s, _ in moves), *moves.values()})
 
     def step(state, event):
         return F.coalesce(F.try_element_at(table, F.concat(state, F.lit("\n"), event)), state)
 
-    return events.groupBy("key").agg(inner.alias("events")).select("key", F.aggregate("events", F.lit(start), step).alias("state"))
+    ranges = events.select("key", "at", "event").repartitionByRange("key", "at").withColumn("part", F.spark_partition_id())
+    inner = F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda e: e["event"])
+    folded = ranges.groupBy("key", "part").agg(inner.alias("events")).select(
+        "key", "part", F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*[F.aggregate("events", F.lit(s), step) for s in states])).alias("to")
+    )
+    maps = F.transform(F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to")))), lambda x: F.map_from_entries(x["to"]))
+    return folded.groupBy("key").agg(maps.alias("maps")).select("key", F.aggregate("maps", F.lit(start), lambda state, to: F.element_at(to, state)).alias("state"))
 
 
 def replay_stream(events: DataFrame, moves: dict[tuple[str, str], str], start: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Golden values and edge cases on small collections."""
 
+import functools
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.functions import scalars as S
 from loomline.operators import insights as I
 from loomline.operators import relational as R
-from loomline.sources import stores
+from loomline.sources import collections, stores
 from loomline.streaming import transitions as T
 
 
@@ -105,6 +108,11 @@ def test_stores(spark, tmp_path):
     state = stores.with_setting(stores.with_setting(state, "currency", "GBP"), "currency", "USD")
     stores.write_state(state, str(tmp_path / "state"))
     assert stores.setting(spark.read.parquet(str(tmp_path / "state")), "currency", "EUR").first()[0] == "USD"
+    # the one use of it: read, change, write back
+    where = str(tmp_path / "state")
+    stores.write_state(stores.with_setting(spark.read.parquet(where), "theme", "light"), where)
+    assert {tuple(r) for r in spark.read.parquet(where).collect()} == {("theme", "light"), ("currency", "USD")}
+    assert [p.name for p in tmp_path.iterdir()] == ["state"]
     stores.export_csv(spark.createDataFrame([("Panel", "4", "pcs")], "item string, qty string, unit string"), str(tmp_path / "csv"), {"Item": "item", "Qty": "qty", "Unit": "unit"})
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().asDict() == {"Item": "Panel", "Qty": "4", "Unit": "pcs"}
     for name in ("a.pdf", "b.txt", "c.csv"):
@@ -122,6 +130,49 @@ def test_transitions(spark):
     assert T.replay(events.filter("false"), T.LOGISTICS, "empty").count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(T.MACHINES))
+def test_machines(spark, name):
+    """Every move and every event that is none, in the order of time, also of a key with most of the events."""
+    moves, start = T.MACHINES[name]
+    rng = random.Random(name)
+    events = sorted({e for _, e in moves}) + ["other"]
+    rows = [(key, at, rng.choice(events)) for key, n in (("a", 2000), ("b", 3), ("c", 40)) for at in range(n)]
+    want = {}
+    for key, _, event in rows:
+        want[key] = moves.get((want.get(key, start), event), want.get(key, start))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, at int, event string").repartition(3)
+    assert {tuple(r) for r in T.replay(df, moves, start).collect()} == set(want.items())
+    assert all(moves[(s, e)] in {x for x, _ in moves} | set(moves.values()) for s, e in moves)
+
+
+def test_machine_paths():
+    follow = lambda name, *events: functools.reduce(lambda s, e: T.MACHINES[name][0].get((s, e), s), events, T.MACHINES[name][1])
+    assert follow("consult", "send") == "start" and follow("consult", "choose", "send", "send") == "review"
+    assert follow("build", "send", "send") == "complete"
+    assert follow("marketing", "approve") == "not started" and follow("marketing", "send", "approve", "send") == "approved"
+    assert follow("scan", "run") == "scanning" and follow("scan", "run", "finish", "run", "finish") == "results"
+    assert follow("research", "finish") == "empty" and follow("research", "run") == "researching"
+
+
+def test_collections(spark):
+    sizes = {"tenders": 7, "planning_signals": 6, "priority_leads": 3, "funnel": 14, "cost_breakdown": 3, "bom_sheet": 6, "logistics_scenarios": 3, "engagements": 3, "travel_plans": 4, "report_rows": 4, "currency": 3}
+    held = {name: collections.load(spark, name) for name in collections.LOADERS}
+    assert {name: df.count() for name, df in held.items()} == sizes
+    assert held["bom_sheet"].agg(F.sum("cost_eur")).first()[0] == 12380 and held["tenders"].filter("deadline_date is null").count() == 0
+    signals = held["planning_signals"]
+    assert R.explode_list(signals, ["id"], F.col("other_parties")).count() == 2
+    assert [signals.filter(f"{c} is null").count() for c in ("architect", "planning_agent", "main_contractor")] == [1, 1, 4]
+    assert signals.filter(I.fit_band(F.lit("planning"), F.col("fit_score")) != F.col("fit_band")).count() == 0
+    assert held["report_rows"].filter(I.verdict(F.col("method"), F.col("dntw_db")) != F.col("verdict")).count() == 0
+    scenarios = held["logistics_scenarios"].select(S.parse_eur(F.col("total")).alias("t"), S.parse_eur(F.col("per_traveller")).alias("p"), S.parse_eur(F.col("per_day")).alias("d"))
+    assert scenarios.filter((I.per_unit(F.col("t"), F.lit(4)) != F.col("p")) | (F.abs(F.col("t") / 7 - F.col("d")) > 0.5)).count() == 0
+    plans = I.linked(held["travel_plans"].withColumnRenamed("engagement", "name"), held["engagements"], "name")
+    assert sorted(tuple(r)[1:] for r in plans.collect()) == [(False, True), (True, False), (True, False), (True, True), (True, True)]
+    rates = held["funnel"].withColumn("before", F.lag("value").over(Window.partitionBy("funnel").orderBy("ord")))
+    assert rates.filter("value > before").count() == 0
+
+
 def test_transitions_stream(spark, tmp_path):
     events = spark.createDataFrame(EVENTS, "key string, at int, event string")
     events.write.parquet(str(tmp_path / "in"))
