@@ -1,17 +1,22 @@
 """Secret scans with a ledger of blobs: each content is scanned once for each version of a rule.
 
 Every version of a path is content-addressed (SHA-256 of its text).  The ledger is an append-only
-folder of two tables: ``scans`` (one row for a blob and the rules it was scanned with, and the
-lengths from which its findings are placed) and ``paths`` (which path held which blob in which
-commit).  An update scans only pairs of blob and rule version that no earlier scan covers;
-findings are joined back to all paths that ever held the blob.  Only DataFrame operations.
+folder of three tables: ``scans`` (one row for a blob and the rule versions it was scanned with, and
+the lengths from which its findings are placed), ``paths`` (which path held which blob in which
+commit) and ``commits`` (the updates that were written whole; paths of others are not read, and an
+update that was cut off is simply made again).  An update looks its digests up in the ledger first
+and moves the texts only of blobs with a rule version that no earlier scan covers.  Findings are those
+of the current versions of the ledger's rules, joined back to all paths that ever held the blob.
+Only DataFrame operations.
 
 Defined cases: a null text counts as empty; equal texts are one blob whatever their path; repeated
-rows are repeated paths; an empty table adds nothing; other columns are ignored.
+rows are repeated paths, a null path is one too; an empty table adds nothing; other columns are
+ignored, and stay as they are in ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_with_hot, table
 
 
-#: Spans that are broadcast to redact texts; beyond it a shuffled join does.
-BROADCAST_SPANS = 500_000
+#: Spans that are broadcast to redact texts, and blobs that are broadcast to find their texts; beyond it a shuffled join does.
+BROADCAST_SPANS, BROADCAST_BLOBS = 500_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -60,7 +65,7 @@ def _hits(text: Column, todo: Column, rules: tuple[Rule, ...]) -> Column:
     for r in rules:
         p = F.lit(r.pattern)
         parts = F.struct(
-            F.lit(r.kind).alias("kind"),
+            F.lit(r.name).alias("rule"),
             _lengths(F.split(text, r.pattern, -1)).alias("gaps"),
             _lengths(F.regexp_extract_all(text, p, F.lit(0))).alias("matches"),
             _lengths(F.regexp_extract_all(text, p, F.lit(r.group))).alias("groups"),
@@ -87,36 +92,39 @@ class Ledger:
     def update(self, versions: DataFrame, path_col: str = "path", text_col: str = "text", commit: int = 0) -> None:
         """Record the versions of one commit and scan what no earlier update has scanned."""
         names = F.array(*[F.lit(r.name) for r in self.rules])
-        text = F.coalesce(F.col(text_col), F.lit(""))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         addressed = versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
-        blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-        if (scans := self._read("scans")) is not None:
-            seen = scans.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-            blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
-            blobs = blobs.filter(F.size("todo") > 0)
+        if (scans := self._read("scans")) is None:
+            blobs = addressed.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", names)
         else:
-            blobs = blobs.withColumn("todo", names)
-        self._append(
-            blobs.select("blob", F.col("todo").alias("rules"), "copies", _hits(F.col("text"), F.col("todo"), self.rules).alias("hits")), "scans"
-        )
-        self._append(addressed.select("path", "blob", F.lit(commit).alias("commit")), "paths")
+            seen = scans.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+            todo = addressed.select("blob").distinct().join(seen, "blob", "left").select(
+                "blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
+            ).filter(F.size("todo") > 0)
+            todo = Scratch(self.spark, "todo").write(todo, "blobs")
+            wanted = addressed.select("blob", "text").join(F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo, "blob")
+            blobs = wanted.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+        self._append(blobs.select("blob", F.col("todo").alias("rules"), _hits(F.col("text"), F.col("todo"), self.rules).alias("hits")), "scans")
+        batch = uuid.uuid4().hex
+        self._append(addressed.select("path", "blob", F.lit(commit).alias("commit"), F.lit(batch).alias("batch")), "paths")
+        self._append(self.spark.createDataFrame([(batch, commit)], "batch string, commit int").coalesce(1), "commits")
 
     def findings(self) -> DataFrame:
-        """blob, kind, start, end (code points, end exclusive) of every kept match."""
-        least = F.create_map(*[F.lit(x) for r in self.rules for x in (r.kind, r.least)])
+        """blob, kind, start, end (code points, end exclusive) of every kept match of the rules' current versions."""
+        by_rule = lambda value: F.create_map(*[F.lit(x) for r in self.rules for x in (r.name, value(r))])[F.col("rule")]
         one = (
             self._read("scans").filter(F.size("hits") > 0)
-            .select("blob", F.explode("hits").alias("hit")).select("blob", "hit.*")
+            .select("blob", F.explode("hits").alias("hit")).select("blob", "hit.*").filter(F.col("rule").isin(*[r.name for r in self.rules]))
             # the gap after the last match is longer than the other arrays and falls away
-            .select("blob", "kind", F.posexplode(F.arrays_zip("gaps", "matches", "groups")).alias("at", "x"))
+            .select("blob", "rule", F.posexplode(F.arrays_zip("gaps", "matches", "groups")).alias("at", "x"))
             .filter(F.col("x.matches").isNotNull())
         )
-        so_far = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        so_far = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum(F.col("x.gaps") + F.col("x.matches")).over(so_far)
         return (
-            one.select("blob", "kind", end.alias("end"), F.col("x.matches").alias("n"), F.col("x.groups").alias("judged"))
-            .filter(F.col("judged") >= least[F.col("kind")])
-            .select("blob", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
+            one.select("blob", "rule", end.alias("end"), F.col("x.matches").alias("n"), F.col("x.groups").alias("judged"))
+            .filter(F.col("judged") >= by_rule(lambda r: r.least))
+            .select("blob", by_rule(lambda r: r.kind).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end")
         )
 
     def by_blob(self) -> DataFrame:
@@ -126,11 +134,15 @@ class Ledger:
             F.array_sort(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("found")
         )
 
+    def versions(self) -> DataFrame:
+        """path, blob, commit of every version of the updates written whole."""
+        whole = self._read("commits").select("batch")  # one row an update
+        return self._read("paths").join(F.broadcast(whole), "batch", "left_semi").select("path", "blob", "commit")
+
     def paths(self) -> DataFrame:
         """path, blob, commit of every recorded version, with the findings of its blob (null: none)."""
-        scans = self._read("scans")
-        copies = scans.groupBy("blob").agg(F.max("copies").alias("copies"))
-        paths = self._read("paths")
+        paths = self.versions()
+        copies = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
         found = copies.join(self.by_blob(), "blob", "left")  # blobs without findings too: they may be the hot ones
         return join_with_hot(paths, found, "blob", F.col("copies"), paths.count())
 
@@ -144,14 +156,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
 
     Spans that overlap are replaced as one.  ``n_chars``, where present, follows the new text.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "redact")
-    ledger = Ledger(spark, scratch.path("ledger"))
-    keyed = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    given, scratch = scratch, scratch or Scratch(docs.sparkSession, "redact")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name clashes
+    text_at = names[docs.columns.index(text_col)]
+    plain = docs.toDF(*names)
+    ledger = Ledger(docs.sparkSession, scratch.path("ledger"))
     ledger.update(docs, id_col, text_col)
     found = scratch.write(ledger.by_blob(), "found")
     # walk the sorted spans: keep what lies between the end so far and the next start
-    text = F.col(text_col)
+    text = F.col(text_at).cast("string")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -166,25 +179,30 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
     new = F.when(F.col("found").isNull(), text).otherwise(F.aggregate("found", start, step, finish))
-    columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    # few texts hold secrets: within a bound of spans their findings are broadcast
-    if found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] <= BROADCAST_SPANS:
-        joined = keyed.join(F.broadcast(found.withColumnRenamed("blob", "_blob")), "_blob", "left")
-    else:
-        copies = ledger._read("scans").groupBy("blob").agg(F.max("copies").alias("copies"))
-        right = found.join(copies, "blob").select(F.col("blob").alias("_blob"), "found", "copies")
-        joined = join_with_hot(keyed, right, "_blob", F.col("copies"), copies.agg(F.sum("copies")).first()[0])
-    out = joined.select(*columns)
-    return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
+    blob = F.sha2(F.coalesce(text, F.lit("")), 256)
+    few = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] <= BROADCAST_SPANS  # few texts hold secrets
+    copies = ledger.versions().groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
+    right, total = (found, 0) if few else (found.join(copies, "blob"), docs.count())
+    if not given:
+        right = scratch.settled(right)[0]
+    keyed = plain.withColumn("blob", blob)
+    joined = keyed.join(F.broadcast(right), "blob", "left") if few else join_with_hot(keyed, right, "blob", F.col("copies"), total)
+    out = joined.withColumn(text_at, new).select(*names)
+    if "n_chars" in docs.columns:
+        at = names[docs.columns.index("n_chars")]
+        out = out.withColumn(at, F.length(text_at).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)
 
 
 def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    ledger = Ledger(spark, Scratch(spark, "secrets").path("ledger"))
+    scratch = Scratch(spark, "secrets")
+    ledger = Ledger(spark, scratch.path("ledger"))
     ledger.update(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
     base = F.filter(found, lambda x: x["kind"].isin(*[r.kind for r in RULES if r.base]))
     n = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return ledger.paths().select(
+    out = ledger.paths().select(
         F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"), "blob",
     )
+    return scratch.settled(out)[0]
