@@ -6,7 +6,8 @@ merges (and one for each special string the library would recognise), so no iden
 made.  Counts of pre-tokens are remembered in each worker up to a bound.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a pre-token of any length costs
-n log n; repeated rows are counted each; an empty table gives no rows; other columns stay.
+n log n; repeated rows are counted each; an empty table gives no rows; other columns stay
+(but for n_bytes and n_tokens, which are given anew).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Pre-tokens remembered by a worker.
 REMEMBERED = 800_000
@@ -111,7 +112,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 [*batch.columns[: len(keep)], pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64())], names=[*keep, "n_bytes", "n_tokens"]
             )
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{ddl}n_bytes long, n_tokens long")
+    return docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, f"{ddl}n_bytes long, n_tokens long")
 
 
 def op5_bpe_heap(spark, sf_dir: str) -> DataFrame:
