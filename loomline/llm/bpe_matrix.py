@@ -3,11 +3,12 @@
 Pre-tokens not met before are put in matrices of rows of like length, one id a byte, padded.  Each
 round looks up the rank of every adjacent pair in a hashed table, merges the leftmost pair of
 minimum rank in every row, and closes the gap; rows without a ranked pair leave the matrix.  Only
-the two pairs that a merge changes are looked up again.  Pre-tokens over LONGEST bytes, where
-rounds times width would be quadratic, go through the heap of ``bpe_heap`` with the same result.
+the two pairs that a merge changes are looked up again.  In matrices wider than WIDE a row merges all
+its pairs of the minimum rank in one round, from left to right, wherever no pair with the merged id
+has a lower rank (as then they would be the next ones anyway), so that rounds do not grow with width.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
-each; an empty table gives no rows; other columns stay.
+each; an empty table gives no rows; other columns stay (but for those named as the results).
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_heap import merges_of
-from .common import in_slices, table
+from .common import fresh, in_slices, table
 
-LONGEST = 1024
+#: Bytes from which a pre-token merges all pairs of a rank in one round.
+WIDE = 256
 #: Pre-tokens remembered by a worker, and characters of text encoded at a time.
 REMEMBERED = 300_000
 CHUNK_CHARS = 1 << 20
@@ -44,6 +45,10 @@ class PairTable:
         size = 1 << self.bits
         self.keys, self.values = np.full(size, -1, dtype=np.int64), np.full(size, _NONE, dtype=np.int32)
         left, right, rank = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+        # whether all pairs with an id on either side rank after the id itself
+        self.later = np.ones(max(ranks.values(), default=0) + 1, bool)
+        for side in (left, right):
+            self.later[side[rank < side]] = False
         keys = left << 32 | right
         at, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(todo):
@@ -94,12 +99,12 @@ class Encoder(dict):
         by_width: dict[int, list] = {}
         for w in words:
             raw = w.encode()
-            if len(raw) > LONGEST:
-                parts = merges_of([raw[i : i + 1] for i in range(len(raw))], _ByConcat(self.ranks))
-                self[w] = np.array([self.ranks[p] for p in parts], dtype=np.int32).tobytes()
-            else:
-                by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
+            by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for width, held in by_width.items():
+            if width > WIDE:
+                for w, raw in held:
+                    self[w] = self._wide(raw).tobytes()
+                continue
             step = max(1, (1 << 18) // width)
             for i in range(0, len(held), step):
                 self._matrix(held[i : i + step], width)
@@ -139,6 +144,31 @@ class Encoder(dict):
             has = at > 0
             rank[n[has], at[has] - 1] = self.pairs.rank(ids[n[has], at[has] - 1], merged[has])
 
+    def _wide(self, raw: bytes) -> np.ndarray:
+        """The same for one long row."""
+        ids = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
+        rank = self.pairs.rank(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) < _NONE:
+            at = np.flatnonzero(rank == least)
+            if self.pairs.later[least]:
+                # of pairs that overlap every second one, from the left of each run
+                run = np.cumsum(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+                at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = least
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids = ids[stays]
+            rank = rank[stays[1:]] if len(ids) > 1 else rank[:0]
+            # pairs that begin at a merged symbol or end at it; a pair stands at its left symbol
+            now = np.flatnonzero(stays)
+            place = np.searchsorted(now, at)
+            changed = np.unique(np.concatenate([place, place - 1]))
+            changed = changed[(changed >= 0) & (changed < len(ids) - 1)]
+            rank[changed] = self.pairs.rank(ids[changed], ids[changed + 1])
+        return ids
+
     def _keep(self, held, rows, ids, lengths) -> None:
         for r, row, n in zip(rows.tolist(), ids, lengths.tolist()):
             self[held[r][0]] = row[:n].tobytes()
@@ -164,16 +194,6 @@ class Encoder(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-class _ByConcat:
-    """Ranks by pairs of byte strings, where any concatenation in the vocabulary is a pair."""
-
-    def __init__(self, ranks):
-        self.ranks = ranks
-
-    def get(self, pair):
-        return self.ranks.get(pair[0] + pair[1])
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -191,7 +211,7 @@ def _in_tasks(docs: DataFrame, text_col: str, path: str, pattern: str, ddl: str,
                 made = make(encoder(path, pattern), [t.decode() for t in raw])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *names])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, own + ddl)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, own + ddl)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
