@@ -3,16 +3,17 @@
 The inputs of a step are a word embedding and the mean embedding of the word's character 3- and
 4-grams (both hashed).  Windows of WINDOW words overlap by WINDOW - STRIDE and cover the whole
 text; a text scores as its highest window.  The network is fitted on the driver by
-backpropagation on windows of at most ``per_class`` labelled documents a class, and at most
-``windows_per_doc`` windows of each (both documented bounds of the fit; scoring has none).  The
-first passes take every window of a toxic document as toxic; later ones only its highest, since
-most windows of a toxic document hold nothing toxic.  The fitted network, some MB whatever the
-corpus, is broadcast.
-
-Defined cases: null, empty or wordless texts score as one window without words; labels that are
-null are not learnt from, of repeated labels the highest counts; without both classes among the
-labels every text scores 0; repeated rows score alike; empty tables give no rows; other columns
-stay; lang, source and doc_id are no inputs.
+backpropagation on all windows of at most ``per_class`` labelled documents a class (the documented
+bound of the fit; scoring has none).  The first passes take every window of a toxic document as
+toxic; later ones only its highest, since most windows of a toxic document hold nothing toxic, and of
+a clean document its highest few.  The cut between the classes is set on whole documents, by their
+highest windows.  The fitted network, some MB whatever the corpus, is broadcast.
+
+Defined cases: null, empty or wordless texts score as one window without words; a null id is never
+held out and never learnt from; labels that are null are not learnt from, of repeated labels the
+highest counts; without both classes among the labels every text scores 0; repeated rows score
+alike; empty tables give no rows; other columns stay, but for one named score, which is given anew;
+lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import in_slices, table
 
 WINDOW, STRIDE = 32, 24
+#: Windows of a clean document that the later passes of the fit learn from: those that score highest.
+HARDEST = 12
 #: Bytes of text scored at a time; words whose input projections a worker remembers.
 CHUNK_BYTES, REMEMBERED = 1 << 20, 60_000
 _NORMAL = bytes(
@@ -275,11 +278,11 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
     for k in range(passes):
         if k < passes // 5:
             chosen = np.arange(len(owner))
-        else:  # of toxic documents only the highest window
+        else:  # of toxic documents only the highest window, of clean ones the HARDEST
             score = _score(net, feats, index)
             order = np.lexsort((-score, owner))
-            highest = order[np.unique(owner[order], return_index=True)[1]]
-            chosen = np.concatenate([np.flatnonzero(labels == 0), np.repeat(highest[doc_y == 1], 4)])
+            place = np.arange(len(owner)) - first[owner[order]]
+            chosen = np.concatenate([order[(labels[order] == 0) & (place < HARDEST)], np.repeat(order[(labels[order] == 1) & (place == 0)], 4)])
         chosen = rng.permutation(chosen)
         for i in range(0, len(chosen), batch):
             at = chosen[i : i + batch]
@@ -381,25 +384,19 @@ class _Rows(dict):
 # ---------------------------------------------------------------- on Spark
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _windows_as_text(most: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                ws = words_of((t or "").encode())
-                starts = windows_of(len(ws))
-                if len(starts) > most:
-                    starts = [starts[i] for i in np.linspace(0, len(starts) - 1, most).astype(int)]
-                out.append([b" ".join(ws[s : s + WINDOW]).decode(errors="replace") for s in starts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "windows"])
-
-    return run
+def _windows_as_text(batches):
+    for batch in batches:
+        out = []
+        for t in batch.column(1).to_pylist():
+            ws = words_of((t or "").encode())
+            out.append([b" ".join(ws[s : s + WINDOW]).decode(errors="replace") for s in windows_of(len(ws))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "windows"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, windows_per_doc: int = 24, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """Fit on labelled documents that are not held out: of each class the per_class first by a hash of the id."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -408,8 +405,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, windows_per
     order = [F.xxhash64(id_col), F.col(id_col)]
     # at most twice per_class ids: a bounded side
     sample = known.filter("y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("y = 0").orderBy(*order).limit(per_class))
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("y", F.col(text_col).cast("string").alias("text"))
-    got = sorted((r["y"], r["windows"]) for r in rows.mapInArrow(_windows_as_text(windows_per_doc), "y int, windows array<string>").collect())
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col)
+    rows = rows.groupBy(id_col).agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")  # one text of a repeated id
+    got = sorted((r["y"], r["windows"]) for r in rows.mapInArrow(_windows_as_text, "y int, windows array<string>").collect())
     if len({y for y, _ in got}) < 2:
         return None
     order = np.random.default_rng(11).permutation(len(got))
@@ -435,6 +433,13 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataF
     return docs.mapInArrow(run, ddl)
 
 
+def drop_toxic(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under a half, all columns as they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score(docs.toDF(*names), net, names[docs.columns.index(text_col)])
+    return scored.filter(F.col("score") < 0.5).select(*names).toDF(*docs.columns)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = score(docs, learn(docs, labels))
