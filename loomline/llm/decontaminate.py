@@ -3,12 +3,14 @@
 The windows of the test items (13 words; a shorter item is one window) become hashes in a set
 that every task holds; the words of the training texts pass by as rolling window hashes; each
 hit is verified word by word; hit documents or spans are removed.  Words are runs of letters and
-digits after lower-casing A-Z.  The set is built from at most ITEM_BYTES of item texts at a time:
-beyond that the items are dealt to groups (long ones in pieces that overlap by a window less a
-word), and each row is scanned for one group after another, adding to the hits it has.
+digits after lower-casing A-Z.  The set is flat arrays, at most SET_BYTES for each byte of item
+text and a megabyte besides, and is built from at most ITEM_BYTES of item texts at a time: beyond that the items are dealt
+to groups (long ones in pieces that overlap by a window less a word), and each row is scanned for
+one group after another, adding to the hits it has.
 
 Defined cases: a null text has no words and is clean; an item that is null or has no words never
-hits; repeated rows are judged one by one; empty tables give no hits; other columns stay.
+hits; repeated rows are judged one by one; empty tables give no hits; other columns stay, whatever
+their names: a kept column named as one of the results gets an underscore before it in ``scan``.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_slices, table
+from .common import Scratch, WordHashes, in_slices, table
 
 WIDTH = 13
-#: Bytes of item texts whose windows are broadcast at a time.
-ITEM_BYTES = 16 << 20
+#: Bytes of item texts whose windows are broadcast at a time, and bytes of the set for one of them at most.
+ITEM_BYTES, SET_BYTES = 8 << 20, 20
 #: Bytes of training texts whose words are held in memory at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -62,93 +64,93 @@ def _rolling(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of the items, by hash; built on the driver from a bounded group of items."""
+    """The windows of the items, by hash; built on the driver from a bounded group of items.
+
+    blob: the items' words, one space apart; begins: where each word begins in it (and its end).  For
+    each length of windows: a filter by leading bits, the sorted hashes, and first words and items of the windows.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH):
-        self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, list]] = {}
-        for item, text in items:
-            words = words_of((text or "").encode())
-            if item is None or not words:
-                continue
-            own = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words)
-            n = min(width, len(own))
-            for i in range(len(own) - n + 1):
-                held = self.windows.setdefault(n, {}).setdefault(own[i : i + n], [])
-                if not held or held[-1] != item:
-                    held.append(item)
-        rng = np.random.default_rng(13)
-        self.values = rng.integers(0, 1 << 63, size=len(self.ids) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.filters = {}
-        for n, held in self.windows.items():
-            rows = np.array(list(held), dtype=np.int64).reshape(len(held), n)
-            h = np.array([_rolling(self.values[r], n)[0] for r in rows], dtype=np.uint64)
-            bits = max(16, math.ceil(math.log2(len(h) * 32 + 1)))
+        texts = [(item, words_of((text or "").encode())) for item, text in items]
+        texts = [(item, words) for item, words in texts if item is not None and words]
+        self.items = [str(item) for item, _ in texts]
+        flat = [w for _, words in texts for w in words]
+        self.blob = b" ".join(flat)
+        self.begins = np.cumsum([0, *(len(w) + 1 for w in flat)]).astype(np.int32)
+        values = WordHashes().of(flat)
+        counts = np.array([len(words) for _, words in texts], np.int64)
+        starts = np.cumsum(counts) - counts
+        self.by_length = {}
+        for n in sorted({min(width, c) for c in counts.tolist()}):
+            own = np.flatnonzero(np.minimum(counts, width) == n)
+            first = np.concatenate([np.arange(starts[i], starts[i] + counts[i] - n + 1) for i in own])
+            item = np.repeat(own, counts[own] - n + 1)
+            h = _rolling(values, n)[first]
+            order = np.lexsort((item, h))
+            h, first, item = h[order], first[order].astype(np.int32), item[order].astype(np.int32)
+            bits = max(16, math.ceil(math.log2(len(h) * 8 + 1)))
             mask = np.zeros(1 << bits, dtype=bool)
             mask[h >> np.uint64(64 - bits)] = True
-            self.filters[n] = (bits, mask, np.unique(h))
+            self.by_length[n] = (bits, mask, h, first, item)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.blob) + self.begins.nbytes + sum(a.nbytes for held in self.by_length.values() for a in held[1:])
 
-    def hits(self, words: np.ndarray) -> list[tuple[int, int, list]]:
-        """(start, length, items) of every window of the items that occurs among the word ids."""
+    def hits(self, words: list[bytes], values: np.ndarray) -> list[tuple[int, int, list]]:
+        """(start, length, items) of every window of the items that occurs among the words (with their hashes)."""
         out = []
-        values = self.values[words]
-        for n, (bits, mask, exact) in self.filters.items():
+        for n, (bits, mask, exact, first, item) in self.by_length.items():
             h = _rolling(values, n)
             at = np.flatnonzero(mask[h >> np.uint64(64 - bits)])
-            if len(at):
-                at = at[exact[np.minimum(np.searchsorted(exact, h[at]), len(exact) - 1)] == h[at]]
-            held = self.windows[n]
-            for i in at.tolist():
-                if items := held.get(tuple(words[i : i + n].tolist())):
-                    out.append((i, n, items))
+            lo, hi = (np.searchsorted(exact, h[at], side=s) for s in ("left", "right"))
+            some = np.flatnonzero(lo < hi)
+            for i, a, b in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+                text = b" ".join(words[i : i + n])
+                found = {
+                    self.items[k] for w, k in zip(first[a:b].tolist(), item[a:b].tolist())
+                    if self.blob[self.begins[w] : self.begins[w + n] - 1] == text
+                }
+                if found:
+                    out.append((i, n, found))
         return out
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        return 0
-
-
-def scan_texts(found_by: WindowSet, texts: list[bytes]):
+def scan_texts(found_by: WindowSet, hashes: WordHashes, texts: list[bytes]):
     """n_words, hit word spans (merged, end exclusive) and sorted item ids as text, for each text of a slice."""
-    ids = _Ids(found_by.ids)
     counts, flat = [], []
     for t in texts:
         w = words_of(t)
         counts.append(len(w))
         flat += w
         flat.append(b" ")  # no word: a window never spans two texts
-    words = np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))
     starts = np.cumsum([0, *(c + 1 for c in counts)])
     by_text: dict[int, list] = {}
-    for i, n, items in found_by.hits(words):
+    for i, n, items in found_by.hits(flat, hashes.of(flat)):
         by_text.setdefault(int(np.searchsorted(starts, i, side="right")) - 1, []).append((i, n, items))
     for k, c in enumerate(counts):
-        spans, names = [], set()
-        for i, n, items in sorted(by_text.get(k, ()), key=lambda x: x[0]):
-            a = i - int(starts[k])
-            names.update(map(str, items))
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], a + n)
-            else:
-                spans.append([a, a + n])
-        yield c, spans, sorted(names)
+        own = by_text.get(k, ())
+        begin = int(starts[k])
+        yield c, _merge([(i - begin, i - begin + n) for i, n, _ in own]), sorted(set().union(*(items for _, _, items in own)))
 
 
-_FOUND = "n_words long, spans array<array<long>>, items array<string>"
+_FOUND = ("n_words", "spans", "items")
+_KINDS = "n_words long, spans array<array<long>>, items array<string>"
 
 
 def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int) -> DataFrame:
     """Rows with n_words, spans and items, merged with those of earlier groups where the rows have them already."""
-    shared = rows.sparkSession.sparkContext.broadcast(WindowSet(items, width))
+    held = WindowSet(items, width)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
     names = rows.columns[:n_keep]
     later = len(rows.columns) > n_keep
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
             for part, texts in in_slices(batch, at, CHUNK_BYTES):
-                found = list(scan_texts(shared.value, texts))
+                found = list(scan_texts(shared.value, hashes, texts))
                 if later:
                     before = zip(part.column(n_keep + 1).to_pylist(), part.column(n_keep + 2).to_pylist())
                     found = [(n, _merge([*s, *spans]), sorted({*i, *names})) for (n, spans, names), (s, i) in zip(found, before)]
@@ -157,10 +159,10 @@ def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int)
                         *part.columns[:n_keep], pa.array([f[0] for f in found], pa.int64()),
                         pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[2] for f in found], pa.list_(pa.string())),
                     ],
-                    names=[*names, "n_words", "spans", "items"],
+                    names=[*names, *_FOUND],
                 )
 
-    return rows.mapInArrow(run, f"{ddl}, {_FOUND}")
+    return rows.mapInArrow(run, f"{ddl}, {_KINDS}")
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -202,26 +204,27 @@ def _split_long(items: DataFrame, most: int, width: int) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """``keep`` columns, n_words, hit word spans and items with occurring windows, for each row."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    # by place, so that no name clashes
+    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text_col].cast("string").alias("t"))
+    found = _scan(plain, benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")), width)
+    return found.select(*[F.col(f"c{i}").alias(f"_{c}" if c.lower() in _FOUND else c) for i, c in enumerate(keep)], *_FOUND)
+
+
+def _scan(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """Rows whose last column is the text, with what is found in it."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(size / ITEM_BYTES))
-    dealt = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
-    # the text crosses to Python once a group
-    sent = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
-    at = keep.index(text_col) if text_col in keep else len(keep)
+    n = len(rows.columns)
     if groups == 1:
-        return _scan_group(sent, len(sent.columns), at, [tuple(r) for r in dealt.collect()], width).select(*keep, "n_words", "spans", "items")
+        return _scan_group(rows, n, n - 1, [tuple(r) for r in items.collect()], width)
     # one group after another over the same rows, each written, so that no task holds two groups
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    dealt = _split_long(dealt, ITEM_BYTES // 8, width)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(groups))
-    out, n = sent, len(sent.columns)
+    scratch = Scratch(rows.sparkSession, "decontaminate")
+    items = scratch.write(_split_long(items, ITEM_BYTES // 8, width).withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups))), "items")
     for g in range(groups):
-        out = _scan_group(out, n, at, [tuple(r) for r in dealt.filter(part == g).collect()], width)
-        if g < groups - 1:
-            out = scratch.write(out, f"group{g}")
-            if g:
-                scratch.remove(f"group{g - 1}")
-    return out.select(*keep, "n_words", "spans", "items")
+        rows = scratch.write(_scan_group(rows, n, n - 1, [tuple(r) for r in items.filter(F.col("part") == g).select("item", "text").collect()], width), f"group{g}")
+        if g:
+            scratch.remove(f"group{g - 1}")
+    return rows
 
 
 def n_hit():
@@ -233,9 +236,17 @@ def contaminated():
     return (n_hit() > 0) & (n_hit() * 20 >= F.col("n_words"))
 
 
+def _by_place(docs: DataFrame, benchmark: DataFrame, text_col: str) -> tuple[DataFrame, list[str], str]:
+    """All columns of ``docs`` by place with what is found in the text, their names, and the text's."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    return scan(docs.toDF(*names), benchmark, names, text), names, text
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The clean rows of ``docs``, all columns as they are."""
-    return scan(docs, benchmark, docs.columns, text_col).filter(~contaminated()).select(*docs.columns)
+    found, names, _ = _by_place(docs, benchmark, text_col)
+    return found.filter(~contaminated()).select(*names).toDF(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -257,8 +268,8 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     def cut_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    found = scan(docs, benchmark, docs.columns, text_col)
-    return found.withColumn(text_col, F.pandas_udf(cut_all, "string")(text_col, "spans")).select(*docs.columns)
+    found, names, text = _by_place(docs, benchmark, text_col)
+    return found.withColumn(text, F.pandas_udf(cut_all, "string")(text, "spans")).select(*names).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
