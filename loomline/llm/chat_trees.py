@@ -2,8 +2,8 @@
 
 Messages form trees by ``parent``.  Every message's 2^i-th ancestor comes from a self-join of the
 2^(i-1)-th ones, and the members of the root-to-leaf paths double with it: after round i a leaf
-knows its 2^i nearest ancestors, so a path of length n takes log2 n joins.  Each round is a
-written table.  Branches are ranked within their tree by the sum of their messages' scores (ties:
+knows its 2^i nearest ancestors, so a path of length n takes log2 n joins.  Each round writes only the
+members that it adds.  Branches are ranked within their tree by the sum of their messages' scores (ties:
 the longer path, then the smaller leaf id), and each chosen branch becomes one text:
 
     <s>[INST] role [/INST] text</s>  for every message, one after another
@@ -13,9 +13,11 @@ where backslashes stand there already), so the template's own marks are the only
 output and reading back removes exactly that backslash.  ``loss`` holds the spans (code points,
 end exclusive) of the assistant texts in the output.
 
-Defined cases: null role or text: empty; a null tree (conv_id) is a tree like others, all its rows one; a parent that is missing makes a root; a table without
-rows gives none; messages of a cycle reach no root and are left out; other columns are ignored.
-Rows of equal turn are ordered by role, then text; exact repeats are separate messages.
+Defined cases: null role or text: empty; a null tree (conv_id) is a tree like others, all its rows
+one; a parent that is missing makes a root; a null turn comes first; a table without rows gives none;
+messages of a cycle reach no root and are left out; other columns are ignored, whatever their names.
+Rows of equal turn are ordered by role, then text; exact repeats are separate messages.  The text of
+one path is put together in one task, as it is one value.
 """
 
 from __future__ import annotations
@@ -57,16 +59,17 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     )
     step, i = 1, 0
     n = jump.count()
-    while step <= n and not jump.filter(F.col("up").isNotNull()).isEmpty():
-        hop = jump.filter(F.col("up").isNotNull())
+    hop = jump.filter(F.col("up").isNotNull())
+    while step <= n and not hop.isEmpty():
+        i += 1
         more = member.join(hop.withColumnRenamed("up", "_to"), ["tree", "msg"]).select(
             "tree", "leaf", F.col("_to").alias("msg"), (F.col("up") + step).alias("up")
         )
-        i += 1
-        member = scratch.write(member.unionByName(more), f"member{i}")
-        to = hop.select("tree", F.col("msg").alias("up"), F.col("up").alias("_next"))
-        jump = scratch.write(hop.join(to, ["tree", "up"], "left").select("tree", "msg", F.col("_next").alias("up")), f"jump{i}")
+        member = member.unionByName(scratch.write(more, f"member{i}"))
         step *= 2
+        to = hop.select("tree", F.col("msg").alias("up"), F.col("up").alias("_next"))
+        further = hop.join(to, ["tree", "up"]).select("tree", "msg", F.col("_next").alias("up"))
+        hop = scratch.write(further, f"jump{i}")
     return member.withColumn("tree", F.col("tree.tree"))
 
 
@@ -134,8 +137,9 @@ def op10_chat_trees(spark, sf_dir: str) -> DataFrame:
     messages = scratch.write(chains(rows.unionByName(extra)), "messages")
     out = format_paths(best_paths(messages, paths(messages, scratch)))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return out.withColumns({"turns": read_back(F.col("formatted")), "taught": taught_text(F.col("formatted"), F.col("loss"))}).select(
+    read = out.withColumns({"turns": read_back(F.col("formatted")), "taught": taught_text(F.col("formatted"), F.col("loss"))}).select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
         F.length("taught").cast("long").alias("loss_chars"), F.sha2("taught", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    return scratch.settled(read)[0]
