@@ -413,7 +413,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
                     label_col: str = "label", scratch: Scratch | None = None) -> DataFrame:
     """id, n_links, component_id (smallest id reachable) and kept, for every row; ids are integers."""
     spark = rows.sparkSession
-    scratch = scratch or Scratch(spark, "vectors")
+    given, scratch = scratch, scratch or Scratch(spark, "vectors")
     t = math.sqrt(2 - 2 * threshold)
     vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), _label(rows, label_col))
     keyed = scratch.write(vectors.mapInArrow(_keyed, "id long, label string, dim int, key binary, unit binary"), "keyed")
@@ -467,10 +467,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
         .join(n_links.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = join_with_hot(ids, by_key, "key", F.col("copies"), ids.count())
-    return out.select(
+    out = join_with_hot(ids, by_key, "key", F.col("copies"), ids.count()).select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     ).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out if given else scratch.settled(out)[0]
 
 
 def _choose_pivots(keyed: DataFrame) -> dict[tuple[str, int], np.ndarray]:

@@ -2,9 +2,14 @@
 
 Largest differencing method for k shards: every group begins as a partial partition
 (its size and k-1 zeros); the two partial partitions of largest spread are combined,
-oppositely ordered, until one is left.  The groups are dealt by their digest to blocks, each
-block is differenced in a task of its own to one partial partition of k sums, and those few
-sums (k numbers a block) are differenced in turn.  No task sees more than a block of groups.
+oppositely ordered, until one is left.
+
+One task differences at most BLOCK_GROUPS of them.  More are first made fewer, in rounds: they are
+dealt by hash to blocks, and a task differences its block into bins of near equal size, which are the
+next round's groups: its larger groups into BINS large ones for each shard, others into as many an
+eighth of their size and as many an eighth of that.  So the next round has sizes to even out with, as
+it has in the groups that stay as they are: those that are large against a shard (of which there are
+few) and the DUST smallest of each block.  The last round is one differencing into the shards.
 
 Defined cases: a null text counts as empty (size 1) and is in the group of empty texts;
 repeated rows each get a slot of their own; an empty table gives no rows; other columns of the
@@ -21,68 +26,94 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_with_hot
-
-#: Groups differenced in one task.
-BLOCK_GROUPS = 50_000
+from .common import Scratch, join_with_hot, table
 
+#: Groups differenced in one task; for each shard, bins of one size that a block becomes, and its smallest groups that stay.
+BLOCK_GROUPS, BINS, DUST = 50_000, 8, 32
+#: Shares of a block's bytes in bins of each size.
+SHARES = (64, 8, 1)
 
-def difference(vectors: list[list[int]]) -> list[list[int]]:
-    """Karmarkar-Karp over partial partitions: ``vectors[i]`` holds the k sums of partition i.
 
-    Returns for every i the final shard of each of its k parts.  Ties: the earlier pair first.
-    """
-    if not vectors:
+def difference(sizes: list[int], k: int) -> list[int]:
+    """Karmarkar-Karp: the part, of k, of every size.  Ties: the earlier partition first."""
+    if not sizes:
         return []
-    k = len(vectors[0])
-    heap = []
-    for i, sums in enumerate(vectors):
-        parts = sorted((s, j) for j, s in enumerate(sums))
-        # a bag is a tree of (i, part) leaves; bags of one partition are ordered by their sum
-        heap.append((parts[0][0] - parts[-1][0], i, [s for s, _ in parts], [(i, j) for _, j in parts]))
+    # a partial partition: its k sums in rising order, and a bag for each: None, a place in ``sizes``, or a pair of bags
+    heap = [(-s, i, [0] * (k - 1) + [s], [None] * (k - 1) + [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    serial = len(vectors)
+    serial = len(sizes)
     while len(heap) > 1:
         _, _, a, bags_a = heapq.heappop(heap)
         _, _, b, bags_b = heapq.heappop(heap)
-        joined = sorted(
-            ((a[j] + b[k - 1 - j], j) for j in range(k)),
-            key=lambda x: x[0],
-        )
-        sums = [s for s, _ in joined]
-        bags = [(bags_a[j], bags_b[k - 1 - j]) for _, j in joined]
+        joined = sorted(((x + y, j) for j, (x, y) in enumerate(zip(a, reversed(b)))), key=lambda x: x[0])
+        sums, bags = [s for s, _ in joined], []
+        for _, j in joined:
+            x, y = bags_a[j], bags_b[k - 1 - j]
+            bags.append(y if x is None else x if y is None else (x, y))
         heapq.heappush(heap, (sums[0] - sums[-1], serial, sums, bags))
         serial += 1
-    out = [[0] * k for _ in vectors]
-    for shard, bag in enumerate(heap[0][3]):
-        todo = [bag]
+    out = [0] * len(sizes)
+    for part, bag in enumerate(heap[0][3]):
+        todo = [] if bag is None else [bag]
         while todo:
-            x, y = todo.pop()
+            x = todo.pop()
             if isinstance(x, tuple):
-                todo += (x, y)
+                todo += x
             else:
-                out[x][y] = shard
+                out[x] = part
     return out
 
 
-def _block(k: int):
+def _differenced(k: int, dust: int, shares: tuple[int, ...]):
+    """Groups of a block (item, bytes) to bins, k for each of the shares; the ``dust`` smallest stay (part null)."""
+
     def run(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["bytes", "digest"], ascending=[False, True])
-        sizes = groups["bytes"].tolist()
-        # leaf: the group itself is the largest part, the others are empty
-        placed = difference([[0] * (k - 1) + [s] for s in sizes])
-        return pd.DataFrame(
-            {"block": groups["block"], "digest": groups["digest"], "part": np.array([p[k - 1] for p in placed], dtype="int32"),
-             "bytes": groups["bytes"], "copies": groups["copies"]}
-        )
+        groups = groups.sort_values(["bytes", "item"], ascending=[False, True])
+        sizes = groups["bytes"].to_numpy()[: max(0, len(groups) - dust)]
+        ends = np.searchsorted(np.cumsum(sizes), np.cumsum(shares) / sum(shares) * sizes.sum()) if len(sizes) else [0]
+        parts, at = [], 0
+        for i, end in enumerate([*ends[:-1], len(sizes)]):
+            parts += [i * k + p for p in difference(sizes[at:end].tolist(), k)]
+            at = max(at, end)
+        part = pd.array(parts + [None] * (len(groups) - len(parts)), dtype="Int32")
+        return pd.DataFrame({"block": groups["block"], "item": groups["item"], "bytes": groups["bytes"], "part": part})
 
     return run
 
 
+_PLACED = "block int, item string, bytes long, part int"
+
+
+def place(items: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
+    """item, shard of groups (item, bytes)."""
+    steps: list[DataFrame] = []
+    n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    while n > BLOCK_GROUPS:
+        blocks = math.ceil(n / BLOCK_GROUPS)
+        large = F.col("bytes") * (8 * n_shards * blocks) > total  # fewer than 8 * n_shards * blocks of them
+        block = F.pmod(F.xxhash64("item", F.lit(len(steps))), F.lit(blocks)).cast("int")
+        placed = scratch.write(
+            items.filter(~large).withColumn("block", block).groupBy("block").applyInPandas(_differenced(BINS * n_shards, DUST * n_shards, SHARES), _PLACED), f"placed{len(steps)}"
+        )
+        into = F.concat_ws("/", F.lit(len(steps)), "block", "part")
+        steps.append(placed.filter("part is not null").select("item", into.alias("bin")))
+        bins = placed.filter("part is not null").groupBy(into.alias("item")).agg(F.sum("bytes").alias("bytes"))
+        items = items.filter(large).unionByName(placed.filter("part is null").select("item", "bytes")).unionByName(bins)
+        items = scratch.write(items.select("item", "bytes"), f"items{len(steps)}")
+        before, n = n, items.count()
+        if n > 0.9 * before:  # blocks so small that they hold little but dust: the last round takes them all
+            break
+    last = items.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(_differenced(n_shards, 0, (1,)), _PLACED)
+    shards = scratch.write(last.select("item", F.col("part").alias("shard")), "last")
+    for placed in reversed(steps):
+        inside = placed.join(shards.withColumnRenamed("item", "bin"), "bin").select("item", "shard")
+        shards = shards.unionByName(inside)
+    return shards
+
+
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, size, text_crc32, digest, shard and slot (gapless from 0 in each shard) of every row."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "shards")
+    given, scratch = scratch, scratch or Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = scratch.write(
         docs.select(
@@ -92,26 +123,12 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         "sized",
     )
     groups = scratch.write(sized.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "groups")
-    n_groups, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    blocks = max(1, math.ceil(n_groups / BLOCK_GROUPS))
-    placed = scratch.write(
-        groups.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int"))
-        .groupBy("block")
-        .applyInPandas(_block(n_shards), "block int, digest string, part int, bytes long, copies long"),
-        "placed",
-    )
-    # k sums for each block: the partial partitions that remain to be combined
-    sums = {}
-    for b, p, s in placed.groupBy("block", "part").agg(F.sum("bytes")).collect():
-        sums.setdefault(b, [0] * n_shards)[p] = s
-    order = sorted(sums)
-    final = difference([sums[b] for b in order])
-    to = spark.createDataFrame(
-        [(b, p, s) for b, row in zip(order, final) for p, s in enumerate(row)], "block int, part int, shard int"
-    )
-    shards = placed.join(F.broadcast(to), ["block", "part"]).select("digest", "shard", "copies")
+    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    placed = place(groups.select(F.col("digest").alias("item"), "bytes"), n_shards, scratch)
+    shards = groups.select("digest", "copies").join(placed.withColumnRenamed("item", "digest"), "digest")
     with_shard = join_with_hot(sized, shards, "digest", F.col("copies"), total)
-    return _slots(with_shard.select(id_col, "size", "text_crc32", "digest", "shard"), id_col, total, scratch)
+    out = _slots(with_shard.select(id_col, "size", "text_crc32", "digest", "shard"), id_col, total, scratch)
+    return out if given else scratch.settled(out)[0]
 
 
 def _slots(rows: DataFrame, id_col: str, total: int, scratch: Scratch) -> DataFrame:
@@ -131,8 +148,6 @@ def _slots(rows: DataFrame, id_col: str, total: int, scratch: Scratch) -> DataFr
 
 
 def op2_kk_sharding(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
