@@ -1,30 +1,35 @@
 """N-gram language model scoring on Elias-Fano tries.
 
-The model interpolates orders: p_k(w | h) = alpha(h, w) + gamma(h) p_{k-1}(w | h'), with
-alpha = c(hw) / (c(h) + MU) and gamma = MU / (c(h) + MU), down to add-one unigrams.  Histories
-met fewer than MIN_HISTORY times are left to the lower order.  Counts cover every training text.
-
-The model grows with the corpus, so it is never broadcast: it is dealt by history into shards.
-A history of more than HOT_HISTORY occurrences is dealt further by its next word, so no shard
-holds a whole frequent history.  Texts are kept as blocks of tokens.  For each order, a block
-sends each shard its distinct n-grams there with their counts in its training texts; the shard
-sums the counts, builds its trie, and answers the same n-grams, in the same order, from the trie.
-Both ways travel packed arrays, one row for a block and a shard.
-
-A shard's trie is two levels: histories with monotone pointers (Elias-Fano) to the successors of
-each, and the successors' word numbers, made monotone by adding up the histories before
-(Elias-Fano), next to quantised smoothed probabilities.  All levels lie in one buffer that can be
-written, and opened again with numpy.memmap.  A lookup finds the history, reads its two pointers
-and searches for the word between them, relative to the history.
+The model interpolates orders (Witten and Bell): p_k(w | h) = alpha(h w) + gamma(h) p_{k-1}(w | h'), with
+alpha = c(hw) / (c(h) + T(h)) and gamma = T(h) / (c(h) + T(h)), T(h) being the number of different words
+after h, down to add-one unigrams.  A history that training never met leaves p to the lower order.
+Counts cover every training text and every history.
+
+The model grows with the corpus, so it is never broadcast: it is dealt by the first word of the n-gram
+into shards.  A first word of more than HOT_COUNT occurrences is dealt further by the second, so no shard
+holds a whole frequent word.  Texts are kept as blocks of tokens in a bucketed table.
+
+1. Words: a block asks for its distinct words; shards sum their training counts and number them, frequent
+   words first.
+2. N-grams: a block sends each shard its distinct n-grams there, as a tree of word numbers, with their
+   counts in its training texts (0 in the others).  A shard sums the counts, builds its trie in one
+   memory-mapped buffer, and looks all asked n-grams up in it.  The answers go back to the blocks.
+3. Every token of a block gets its probability from the answers; texts get their sums.
+
+A trie has a level for each order: the successors of each n-gram of the level above as a sequence made
+monotone by the place of the n-gram before them (Elias-Fano), monotone pointers to where each n-gram's
+successors begin (Elias-Fano), and quantised smoothed probabilities: alpha of the n-gram, gamma of it as a
+history.  A lookup walks down the levels and searches for the word between two pointers, relative to the
+history.  ``Trie.save`` and ``Trie.open`` keep a trie in a file that is mapped, not read.
 
 Defined cases: a null or empty text is one end token; with no training texts every count is 0;
-repeated rows count again; an empty table gives no rows; other columns are ignored.
+repeated rows count again; a null id trains; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import mmap
 
 import numpy as np
 import pandas as pd
@@ -37,12 +42,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mix, table
 
-MU, MIN_HISTORY, HOT_HISTORY = 1000.0, 1, 2_000_000
+#: A first word is dealt further beyond so many occurrences, or beyond this share of all tokens.
+HOT_COUNT, HOT_SHARE = 2_000_000, 1e-6
 #: Tokens in a block, and n-grams that a shard is meant to get.
 BLOCK_TOKENS, SHARD_GRAMS = 1_200_000, 1_200_000
-CHUNK_BYTES = 1 << 20
-END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
-_LOW40 = np.uint64((1 << 40) - 1)
+#: Numbers below it are marks: the starts before a text, and what stands after it or for an unknown word.
+FIRST_WORD = 16
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -84,8 +90,11 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        at = (word << 6) + _select(self.high[word], (i - self.ones[word]).astype(np.uint64))
+        if 8 * len(i) > self.n:  # many: the high parts are unpacked in one go
+            at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[i]
+        else:
+            word = np.searchsorted(self.ones, i, side="right") - 1
+            at = (word << 6) + _select(self.high[word], (i - self.ones[word]).astype(np.uint64))
         out = (at - i).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             bit = i * self.low_bits
@@ -107,90 +116,139 @@ def _put(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Place of the k-th one of a byte.
+_IN_BYTE = np.array([[*np.flatnonzero(b >> np.arange(8) & 1), *[0] * 8][:8] for b in range(256)], dtype=np.uint8)
+
+
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0) in each word, by halving."""
-    at, rest, words = np.zeros(len(words), np.int64), k.copy(), words.copy()
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.uint64)
-        up = rest >= low
-        rest[up] -= low[up]
-        at[up] += half
-        words[up] >>= np.uint64(half)
-    return at
+    """Place of the k-th one (from 0) in each word: its byte by counting, then its place there."""
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    byte = (upto <= k[:, None].astype(np.uint8)).sum(axis=1)
+    rows = np.arange(len(words))
+    before = np.where(byte > 0, upto[rows, byte - 1], 0)
+    return byte * 8 + _IN_BYTE[parts[rows, byte], k.astype(np.int64) - before]
 
 
-# ---------------------------------------------------------------- a shard's trie
+# ---------------------------------------------------------------- probabilities
 
-@dataclass
-class Trie:
-    """Histories (sorted 64-bit keys), pointers, successors, and codes of alpha; ``words``: sorted word keys."""
+#: Probabilities are kept as 1 + their place on an even scale of log10 from LEAST to 0; 0: none.
+LEVELS, LEAST = 65534, -12.0
 
-    histories: np.ndarray
-    words: np.ndarray
-    pointers: EliasFano
-    successors: EliasFano
-    codes: np.ndarray
 
-    @classmethod
-    def build(cls, history: np.ndarray, word: np.ndarray, alpha: np.ndarray) -> Trie:
-        """From n-grams sorted by history, then word."""
-        histories, first, counts = np.unique(history, return_index=True, return_counts=True)
-        words, number = np.unique(word, return_inverse=True)
-        own = np.repeat(np.arange(len(histories), dtype=np.uint64), counts)
-        successors = own * np.uint64(max(1, len(words))) + number.astype(np.uint64)
-        pointers = np.concatenate([first, [len(history)]])
-        return cls(histories, words, EliasFano.of(pointers), EliasFano.of(successors), quantise(alpha))
-
-    def alpha(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of alpha of the n-grams; 0: not in the trie."""
-        out = np.zeros(len(history), np.uint16)
-        if not len(self.histories):
-            return out
-        h, w = np.searchsorted(self.histories, history), np.searchsorted(self.words, word)
-        h[h == len(self.histories)] = 0
-        w[w == len(self.words)] = 0
-        at = np.flatnonzero((self.histories[h] == history) & (self.words[w] == word))
-        h, w = h[at], w[at]
-        lo, hi = self.pointers.get(h).astype(np.int64), self.pointers.get(h + 1).astype(np.int64)
-        end = hi.copy()
-        sought = h.astype(np.uint64) * np.uint64(len(self.words)) + w.astype(np.uint64)
-        live = np.arange(len(at))
-        while len(live):  # the first successor that is not smaller, between the pointers
-            mid = (lo[live] + hi[live]) // 2
-            less = self.successors.get(mid) < sought[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        found = np.flatnonzero(lo < end)
-        found = found[self.successors.get(lo[found]) == sought[found]]
-        out[at[found]] = self.codes[lo[found]]
-        return out
+def quantise(p: np.ndarray) -> np.ndarray:
+    return (1 + np.rint((np.maximum(np.log10(p), LEAST) - LEAST) / -LEAST * LEVELS)).astype(np.uint16)
 
-    def to_words(self) -> np.ndarray:
-        """All levels in one array of 64-bit words."""
-        codes = np.zeros((len(self.codes) + 3) // 4 * 4, np.uint16)
-        codes[: len(self.codes)] = self.codes
-        parts = [self.histories, self.words, self.pointers.words, self.successors.words, codes.view(np.uint64)]
-        return np.concatenate([np.array([len(p) for p in parts] + [len(self.codes)], np.uint64), *parts])
 
-    @classmethod
-    def from_words(cls, words: np.ndarray) -> Trie:
-        """Views of the levels in such an array, which may be a numpy.memmap."""
-        ends = np.cumsum([6, *(int(x) for x in words[:5])])
-        h, w, p, s, c = (words[a:b] for a, b in zip(ends[:-1], ends[1:]))
-        return cls(h, w, EliasFano(p), EliasFano(s), c.view(np.uint16)[: int(words[5])])
+def restore(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, 10 ** (LEAST - LEAST * (code.astype(np.float64) - 1) / LEVELS), 0.0)
 
 
-#: alpha is kept as 1 + its place on an even scale of log10 from -9 to 0.
-LEVELS, LEAST = 65534, -9.0
+# ---------------------------------------------------------------- a shard's trie
 
+class Level:
+    """Nodes of one order: where the successors of each node above begin, the nodes, alpha and gamma codes."""
 
-def quantise(alpha: np.ndarray) -> np.ndarray:
-    return (1 + np.rint((np.maximum(np.log10(alpha), LEAST) - LEAST) / -LEAST * LEVELS)).astype(np.uint16)
+    def __init__(self, pointers: EliasFano, successors: EliasFano, alpha: np.ndarray, gamma: np.ndarray):
+        self.pointers, self.successors, self.alpha, self.gamma = pointers, successors, alpha, gamma
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** (LEAST - LEAST * (code.astype(np.float64) - 1) / LEVELS), 0.0)
+class Trie:
+    """Words (sorted numbers) and levels, all views of one array of 64-bit words."""
+
+    def __init__(self, buffer: np.ndarray):
+        """From such an array, which may be mapped memory or a mapped file."""
+        self.buffer = buffer
+        sizes = buffer[2 : 2 + int(buffer[0])].astype(np.int64)
+        ends = np.cumsum(np.concatenate([[2 + len(sizes)], sizes]))
+        parts = [buffer[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        words = EliasFano(parts[0])
+        self.words, self.n_words = words.get(np.arange(words.n)).astype(np.int64), words.n  # one list for all levels
+        self.levels = []
+        for i in range(1, len(parts), 4):
+            successors = EliasFano(parts[i + 1])
+            self.levels.append(Level(EliasFano(parts[i]), successors, *(p.view(np.uint16)[: successors.n] for p in parts[i + 2 : i + 4])))
+
+    @classmethod
+    def build(cls, grams: list[np.ndarray], counts: np.ndarray, hot: np.ndarray) -> Trie:
+        """From sorted different n-grams (a column of word numbers for each place) and their counts.
+
+        Below the first words ``hot``, whose counts other shards hold too, alpha is the count in units of 10**LEAST.
+        """
+        words, ranks = np.unique(np.concatenate(grams), return_inverse=True)
+        ranks = ranks.reshape(len(grams), -1)
+        parts = [EliasFano.of(words).words]
+        n = len(counts)
+        new = np.zeros(n, bool)
+        above, n_above, above_counts = np.zeros(n, np.int64), 1, counts.sum(keepdims=True)
+        alphas, gammas = [], []
+        for k, rank in enumerate(ranks):
+            new = new | np.concatenate([[True], rank[1:] != rank[:-1]])[:n]
+            node = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            parent, own = above[first], np.add.reduceat(counts, first) if n else counts
+            kids = np.bincount(parent, minlength=n_above)
+            if k:
+                gammas[-1] = quantise(kids / (kids + above_counts)) if n_above and n else np.zeros(n_above, np.uint16)
+                total = (above_counts + kids)[parent].astype(np.float64)
+                if k == 1 and n:
+                    total[np.isin(words[ranks[0][first]], hot)] = 10**-LEAST
+                alphas.append(quantise(own / total) if n else np.zeros(0, np.uint16))
+            else:
+                alphas.append(np.zeros(len(first), np.uint16))
+            pointers = np.concatenate([[0], np.cumsum(kids)])
+            parts += [EliasFano.of(pointers).words, EliasFano.of(parent.astype(np.uint64) * np.uint64(max(1, len(words))) + rank[first].astype(np.uint64)).words, None, None]
+            gammas.append(np.zeros(len(first), np.uint16))
+            above, n_above, above_counts = node, len(first), own
+        for k, codes in enumerate(zip(alphas, gammas)):
+            for j, c in enumerate(codes):
+                padded = np.zeros((len(c) + 3) // 4 * 4, np.uint16)
+                padded[: len(c)] = c
+                parts[1 + 4 * k + 2 + j] = padded.view(np.uint64)
+        head = np.array([len(parts), len(grams), *(len(p) for p in parts)], np.uint64)
+        size = len(head) + sum(map(len, parts))
+        buffer = np.frombuffer(mmap.mmap(-1, max(8, 8 * size)), np.uint64)[:size]
+        np.concatenate([head, *parts], out=buffer)
+        return cls(buffer)
+
+    def save(self, path: str) -> None:
+        self.buffer.tofile(path)
+
+    @classmethod
+    def open(cls, path: str) -> Trie:
+        return cls(np.memmap(path, dtype=np.uint64, mode="r"))
+
+    def ranks(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of word numbers among the trie's words; -1: not there."""
+        if not self.n_words:
+            return np.full(len(numbers), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, numbers), self.n_words - 1)
+        return np.where(self.words[at] == numbers, at, -1)
+
+    def children(self, k: int, parents: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Nodes of level k: the successors ``ranks`` of the nodes ``parents`` above; -1: none, as for -1 of either."""
+        out = np.full(len(parents), -1, np.int64)
+        at = np.flatnonzero((parents >= 0) & (ranks >= 0))
+        level = self.levels[k]
+        lo, hi = (level.pointers.get(parents[at] + i).astype(np.int64) for i in (0, 1))
+        out[at] = self._search(level.successors, lo, hi, parents[at].astype(np.uint64) * np.uint64(self.n_words) + ranks[at].astype(np.uint64))
+        return out
+
+    @staticmethod
+    def _search(held: EliasFano, lo: np.ndarray, hi: np.ndarray, sought: np.ndarray) -> np.ndarray:
+        """Places of the values between lo and hi of the sequence; -1: not there."""
+        lo, hi, there = lo.copy(), hi.copy(), np.flatnonzero(lo < hi)
+        live = there[hi[there] - lo[there] > 1]
+        while len(live):  # lo: the last value that is not larger, once they stand side by side
+            mid = (lo[live] + hi[live]) // 2
+            more = held.get(mid) > sought[live]
+            hi[live[more]] = mid[more]
+            lo[live[~more]] = mid[~more]
+            live = live[hi[live] - lo[live] > 1]
+        out = np.full(len(lo), -1, np.int64)
+        found = there[held.get(lo[there]) == sought[there]]
+        out[found] = lo[found]
+        return out
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -208,18 +266,6 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _pack40(a: np.ndarray) -> bytes:
-    """The low 40 bits of keys, five bytes each."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
-
-
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     """Shards are equal ranges of keys, so sorting by key sorts by shard."""
     return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -262,7 +308,7 @@ def _blocks(batches):
 
 
 class Block:
-    """A block's arrays by position: token numbers, hashes, text numbers, whether it trains."""
+    """A block's arrays by position: token numbers, text lengths, whether its texts train."""
 
     def __init__(self, row: dict):
         self.block, self.ids, self.held_out = row["block"], row["ids"], np.array(row["held"], bool)
@@ -272,156 +318,191 @@ class Block:
         self.trains = np.repeat(~self.held_out, self.lengths)
 
     def unigrams(self):
-        """Keys sorted, their training counts, and the order in which the vocabulary is sorted."""
+        """Keys sorted, and their training counts."""
         order = np.argsort(self.vocabulary)
         counts = np.bincount(self.tokens[self.trains], minlength=len(self.vocabulary))
-        return self.vocabulary[order], counts[order], order
+        return self.vocabulary[order], counts[order]
 
-    def count_of_words(self, sorted_counts: np.ndarray) -> np.ndarray:
+    def by_token(self, of_sorted: np.ndarray) -> np.ndarray:
+        """What is known of the sorted vocabulary, at every position."""
         out = np.empty(len(self.vocabulary), np.int64)
-        out[np.argsort(self.vocabulary)] = sorted_counts
+        out[np.argsort(self.vocabulary)] = of_sorted
         return out[self.tokens]
 
-    def histories(self, order: int) -> np.ndarray:
-        """Hash of the ``order`` - 1 tokens before each position; before a text stand start marks."""
-        h = self.vocabulary[self.tokens]
-        out, back = np.zeros(len(h), np.uint64), h
-        for _ in range(order - 1):
-            back = np.concatenate([[START], back[:-1]])
-            back[self.starts] = START
-            out = mix(out * np.uint64(3) + back)
-        return out
 
-    def grams(self, order: int, seen: np.ndarray):
-        """The distinct n-grams with histories seen often enough, sorted by shard key.
+# ---------------------------------------------------------------- words
 
-        Returns positions asked, inverse (gram of each such position), keys of histories (salted),
-        word keys, training counts and history counts.
-        """
-        at = np.flatnonzero(seen >= MIN_HISTORY)
-        history, word = self.histories(order)[at], self.vocabulary[self.tokens[at]]
-        whole = mix(history + mix(word ^ np.uint64(0x2545F4914F6CDD1D)))
-        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse[self.trains[at]], minlength=len(first))
-        history, word, n = history[first], word[first], seen[at][first]
-        salts = (n // HOT_HISTORY + 1).astype(np.uint64)
-        key = mix(history + mix(word) % salts)
-        order_ = np.argsort(key, kind="stable")
-        place = np.empty(len(order_), np.int64)
-        place[order_] = np.arange(len(order_))
-        return at, place[inverse], key[order_], word[order_], counts[order_], n[order_]
+_WORDS_ASKED = "shard int, block long, keys binary, counts binary"
+_WORDS = "block long, shard int, counts binary, numbers binary, n_tokens long, n_words long"
 
 
-# ---------------------------------------------------------------- asking and answering
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
 
-_ASK = "shard int, block long, keys binary, per binary, words binary, counts binary, totals binary"
+def _table(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [()] * len(fields), fields)], names=[n for n, _ in fields])
 
 
-def _ask_unigrams(shards: int):
+def _ask_words(shards: int):
     def run(batches):
         for row in _rows(batches):
             b = Block(row)
-            keys, counts, _ = b.unigrams()
-            yield _asks(b.block, keys, None, counts, None, shards)
+            keys, counts = b.unigrams()
+            ends = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
+            some = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+            yield _table(_WORDS_ASKED, [(s, b.block, keys[ends[s] : ends[s + 1]].tobytes(), _pack(counts[ends[s] : ends[s + 1]].astype(np.uint32))) for s in some])
 
     return run
 
 
-def _rows(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+def _answer_words(shards: int):
+    """The training count and number (0: not in training) of every word; block -1 carries the shard's tokens and words."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        shard = int(asked["shard"].iloc[0])
+        keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+        ends = np.cumsum([0, *map(len, keys)])
+        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]])).astype(np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[np.lexsort((words, -total))] = np.arange(len(words))
+        number = np.where(total > 0, rank * shards + shard + FIRST_WORD, 0)
+        out = [
+            (b, shard, _pack(total[inverse[lo:hi]].astype(np.uint64)), _pack(number[inverse[lo:hi]].astype(np.uint32)), 0, 0)
+            for b, lo, hi in zip(asked["block"], ends, ends[1:])
+        ]
+        out.append((-1, shard, b"", b"", int(total.sum()), int((total > 0).sum())))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _WORDS.split(", ")])
 
+    return run
 
-def _asks(block, keys, words, counts, totals, shards):
-    out = []
-    ends = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-        part = slice(ends[s], ends[s + 1])
-        row = {"shard": s, "block": block, "counts": _pack(counts[part].astype(np.uint32)), "per": b"", "words": b"", "totals": b""}
-        if words is None:
-            row["keys"] = keys[part].tobytes()
-        else:
-            own, first, per = np.unique(keys[part], return_index=True, return_counts=True)
-            row |= {"keys": own.tobytes(), "per": _pack(per.astype(np.uint32)), "words": _pack40(words[part]), "totals": _pack(totals[part][first].astype(np.uint64))}
-        out.append(row)
-    kinds = [("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "per", "words", "counts", "totals"))]
-    return pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
-
-
-def _answer_unigrams(asked: pd.DataFrame) -> pd.DataFrame:
-    """The training count of every key in all blocks; block -1 carries the shard's tokens and words."""
-    asked = asked.sort_values("block")
-    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-    ends = np.cumsum([0, *map(len, keys)])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]])).astype(np.int64)
-    mine = total[inverse]
-    out = [(int(asked["shard"].iloc[0]), b, _pack(mine[lo:hi].astype(np.uint64)), b"", 0, 0) for b, lo, hi in zip(asked["block"], ends, ends[1:])]
-    out.append((int(asked["shard"].iloc[0]), -1, b"", b"", int(total.sum()), int((total > 0).sum())))
-    return pd.DataFrame(out, columns=["shard", "block", "counts", "codes", "n_tokens", "n_words"])
-
-
-def _answer_grams(asked: pd.DataFrame) -> pd.DataFrame:
+
+# ---------------------------------------------------------------- n-grams
+
+class Grams:
+    """The distinct n-grams of a block with its words' counts and numbers: a tree sorted by shard and word numbers."""
+
+    def __init__(self, row: dict, order: int, shards: int, n_tokens: int, n_texts: int):
+        self.block, self.order, self.shards = Block(row), order, shards
+        answers = sorted(row["words"], key=lambda a: a["shard"])
+        self.counts = self.block.by_token(np.concatenate([_unpack(a["counts"], np.uint64) for a in answers]).astype(np.int64))
+        self.numbers = self.block.by_token(np.concatenate([_unpack(a["numbers"], np.uint32) for a in answers]).astype(np.int64))
+        b, pad = self.block, order
+        # order - 1 starts before each text, order - 2 pads after it; every n-gram up to ``order`` begins a window
+        padded = b.lengths + 2 * order - 3
+        begin = np.cumsum(padded) - padded
+        flat, seen = np.full(int(padded.sum()), pad, np.int64), np.full(int(padded.sum()), n_texts, np.int64)
+        for i in range(order - 1):
+            flat[begin + i] = order - 1 - i
+        at = np.arange(len(b.tokens)) + np.repeat(begin + order - 1 - b.starts, b.lengths)
+        flat[at], seen[at] = self.numbers, self.counts
+        n = b.lengths + order - 2
+        self.first_window = np.cumsum(n) - n
+        windows = np.arange(int(n.sum())) + np.repeat(begin - self.first_window, n)
+        columns, lost = [flat[windows]], np.zeros(len(windows), bool)
+        self.asked = columns[0] > 0
+        for i in range(1, order):  # from an unknown word on there is nothing to find
+            w = flat[windows + i]
+            lost |= w == 0
+            columns.append(np.where(lost, pad, w))
+        first = seen[windows][self.asked]
+        columns = [c[self.asked] for c in columns]
+        self.hot_first = first // max(HOT_COUNT, int(n_tokens * HOT_SHARE)) > 0
+        salts = (first // max(HOT_COUNT, int(n_tokens * HOT_SHARE)) + 1).astype(np.uint64)
+        dealt = mix(columns[0].astype(np.uint64) + mix(mix(columns[1].astype(np.uint64)) % salts))
+        shard = _shard_of(dealt, shards).astype(np.int64)
+        trains = np.repeat(~b.held_out, n)[self.asked]
+        # nodes of each level, sorted; of: the node of each asked window
+        key, self.levels, self.of = shard << 40 | columns[0], [], []
+        for k in range(order):
+            nodes, of = np.unique(key, return_inverse=True)
+            self.of.append(of)
+            if k:
+                self.levels.append(((nodes & 0xFFFFFFFF), np.bincount(nodes >> 32, minlength=len(self.levels[-1][0]))))
+            else:
+                self.levels.append((nodes & (1 << 40) - 1, np.ones(len(nodes), np.int64)))
+                self.shard_ends = np.searchsorted(nodes >> 40, np.arange(shards + 1))
+            if k + 1 < order:
+                key = of << 32 | columns[k + 1]
+        self.gram_counts = np.bincount(of[trains], minlength=len(nodes))
+        self.hot = np.zeros(len(self.levels[0][0]), bool)
+        self.hot[self.of[0][self.hot_first]] = True
+
+    def asks(self) -> pa.RecordBatch:
+        out, ends = [], self.shard_ends
+        cuts = [ends]
+        for _, kids in self.levels[1:]:
+            cuts.append(np.concatenate([[0], np.cumsum(kids)])[cuts[-1]])
+        for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            parts = [slice(c[s], c[s + 1]) for c in cuts]
+            words = [_pack(w[p].astype(np.uint32)) for (w, _), p in zip(self.levels, parts)]
+            kids = [_pack(self.levels[k + 1][1][parts[k]].astype(np.uint32)) for k in range(self.order - 1)]
+            out.append((s, self.block.block, words, kids, _pack(self.gram_counts[parts[-1]].astype(np.uint32)), _pack(self.hot[parts[0]].astype(np.uint8))))
+        kinds = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("kids", pa.list_(pa.binary())), ("counts", pa.binary()), ("hot", pa.binary())])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, kinds)], schema=kinds)
+
+
+_ASKED = "shard int, block long, words array<binary>, kids array<binary>, counts binary, hot binary"
+_ANSWERED = "block long, shard int, alpha array<binary>, gamma array<binary>, hot_words binary, hot_kinds binary"
+
+
+def _answer_grams(order: int):
     """Builds the shard's trie of the training n-grams and looks all asked ones up in it."""
-    asked = asked.sort_values("block")
-    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-    per = [_unpack(x, np.uint32) for x in asked["per"]]
-    words = np.concatenate([_unpack40(x) for x in asked["words"]])
-    counts = np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]])
-    ends = np.cumsum([0, *(int(p.sum()) for p in per)])
-    histories, number = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros(len(histories), np.int64)
-    totals[number] = np.concatenate([_unpack(x, np.uint64) for x in asked["totals"]]).astype(np.int64)
-    whole = np.repeat(number, np.concatenate(per)).astype(np.uint64) << np.uint64(40) | words
-    grams, inverse = np.unique(whole, return_inverse=True)
-    count = np.bincount(inverse, weights=counts, minlength=len(grams)).astype(np.int64)
-    of, word = (grams >> np.uint64(40)).astype(np.int64), grams & _LOW40
-    known = count > 0
-    trie = Trie.build(histories[of[known]], word[known], count[known] / (totals[of[known]] + MU))
-    codes = trie.alpha(histories[of], word)[inverse]
-    mine = count[inverse]
-    out = [
-        (int(asked["shard"].iloc[0]), b, _pack(mine[lo:hi].astype(np.uint64)), _pack(codes[lo:hi]), 0, 0)
-        for b, lo, hi in zip(asked["block"], ends, ends[1:])
-    ]
-    return pd.DataFrame(out, columns=["shard", "block", "counts", "codes", "n_tokens", "n_words"])
-
-
-_ANSWER = "shard int, block long, counts binary, codes binary, n_tokens long, n_words long"
-
-
-class _State:
-    """A block with the answers so far: counts of each order's n-gram, and p, at every position."""
-
-    def __init__(self, row: dict, n_tokens: int, n_words: int, n_texts: int):
-        self.block = Block(row)
-        answers = sorted(row["answers"], key=lambda a: (a["order"], a["shard"]))
-        of = lambda k, f, kind: np.concatenate([_unpack(a[f], kind) for a in answers if a["order"] == k] or [np.zeros(0, kind)])
-        self.unigram = self.block.count_of_words(of(1, "counts", np.uint64).astype(np.int64))
-        self.base = np.log10((self.unigram + 1) / (n_tokens + n_words + 1))
-        self.p, self.count, self.n_texts = 10**self.base, self.unigram, n_texts
-        for k in range(2, max(a["order"] for a in answers) + 1):
-            seen = self.seen()
-            at, gram, *_ = self.block.grams(k, seen)
-            codes, counts = of(k, "codes", np.uint16), of(k, "counts", np.uint64).astype(np.int64)
-            self.count = np.zeros(len(seen), np.int64)
-            self.count[at] = counts[gram]
-            self.p[at] = restore(codes)[gram] + MU / (seen[at] + MU) * self.p[at]
-
-    def seen(self) -> np.ndarray:
-        """How often the history of each position occurs in training: the count of the n-gram before."""
-        out = np.concatenate([[0], self.count[:-1]])
-        out[self.block.starts] = self.n_texts
-        return out
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("block")
+        shard = int(asked["shard"].iloc[0])
+        words = [[_unpack(w[k], np.uint32).astype(np.int64) for w in asked["words"]] for k in range(order)]
+        ends = [np.cumsum([0, *map(len, w)]) for w in words]
+        words = [np.concatenate(w) for w in words]
+        hot = np.unique(words[0][np.concatenate([_unpack(h, np.uint8) for h in asked["hot"]]) > 0])
+        # the n-grams of all blocks, merged level by level
+        nodes, of = np.unique(words[0], return_inverse=True)
+        levels, ofs = [(np.zeros(len(nodes), np.int64), nodes)], [of]
+        for k in range(1, order):
+            above = np.repeat(of, np.concatenate([_unpack(x[k - 1], np.uint32) for x in asked["kids"]]))
+            nodes, of = np.unique(above << 32 | words[k], return_inverse=True)
+            levels.append((nodes >> 32, nodes & 0xFFFFFFFF))
+            ofs.append(of)
+        counts = np.bincount(of, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
+        del words
+        trained = np.flatnonzero(counts)
+        grams, at = [], trained
+        for above, numbers in reversed(levels):
+            grams.insert(0, numbers[at])
+            at = above[at]
+        trie = Trie.build(grams, counts[trained], hot)
+        alpha, gamma, found = [], [], np.zeros(1, np.int64)
+        for k, (above, numbers) in enumerate(levels):
+            found = trie.children(k, found[above], trie.ranks(numbers))
+            held = trie.levels[k]
+            codes = [np.append(c, np.uint16(0))[found] for c in (held.alpha, held.gamma)]  # -1: the last, 0
+            alpha.append(codes[0][ofs[k]] if k else None)
+            gamma.append(codes[1][ofs[k]] if k + 1 < order else None)
+        pack = lambda codes, k, i: _pack(codes[k][ends[k][i] : ends[k][i + 1]])
+        out = [
+            (b, shard, [pack(alpha, k, i) for k in range(1, order)], [pack(gamma, k, i) for k in range(order - 1)], b"", b"")
+            for i, b in enumerate(asked["block"])
+        ]
+        # of words that are dealt further, how many different ones follow them here
+        root = trie.children(0, np.zeros(len(hot), np.int64), trie.ranks(hot))
+        hot, root = hot[root >= 0], root[root >= 0]
+        kinds = trie.levels[1].pointers.get(root + 1) - trie.levels[1].pointers.get(root) if len(hot) else np.zeros(0, np.uint64)
+        out.append((-1, shard, [], [], hot.astype(np.int64).tobytes(), kinds.astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWERED.split(", ")])
+
+    return run
 
 
-def _ask_grams(order: int, shards: int, *n):
+def _ask_grams(*args):
     def run(batches):
         for row in _rows(batches):
-            s = _State(row, *n)
-            _, _, keys, words, counts, totals = s.block.grams(order, s.seen())
-            yield _asks(s.block.block, keys, words, counts, totals, shards)
+            yield Grams(row, *args).asks()
 
     return run
 
@@ -429,19 +510,49 @@ def _ask_grams(order: int, shards: int, *n):
 _SCORE = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(*n):
+def _score(hot_kinds, n_words: int, order: int, shards: int, n_tokens: int, n_texts: int):
+    def probabilities(g: Grams, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        answers = sorted(answers, key=lambda a: a["shard"])
+        codes = lambda f, k: np.concatenate([_unpack(a[f][k], np.uint16) for a in answers]) if answers else np.zeros(0, np.uint16)
+        base = np.log10((g.counts + 1) / (n_tokens + n_words + 1))
+        p = 10**base
+        of = np.full((g.order, len(g.asked)), -1, np.int64)
+        of[:, g.asked] = g.of
+        hot = np.zeros(len(g.asked), bool)
+        hot[g.asked] = g.hot_first
+        local = np.arange(len(p)) + np.repeat(g.first_window - g.block.starts, g.block.lengths)
+        for k in range(2, g.order + 1):
+            window = local + g.order - k  # the one that begins with the token's k-gram
+            there = of[0][window] >= 0
+            alpha, gamma = np.zeros(len(p)), np.zeros(len(p))
+            alpha[there] = restore(codes("alpha", k - 2)[of[k - 1][window[there]]])
+            gamma[there] = restore(codes("gamma", k - 2)[of[k - 2][window[there]]])
+            if k == 2 and hot.any():
+                some = np.flatnonzero(hot[window])
+                first = g.levels[0][0][of[0][window[some]]]
+                kinds = np.array([hot_kinds.value.get(w, 0) for w in first.tolist()], np.float64)
+                seen = np.where(first < FIRST_WORD, n_texts, np.concatenate([[0], g.counts])[some])
+                alpha[some] *= 10**-LEAST / (seen + kinds)
+                gamma[some] = kinds / (seen + kinds)
+            known = g.numbers > 0
+            p = np.where(known, alpha, 0.0) + np.where(gamma > 0, gamma, 1.0) * p
+        return base, p
+
     def run(batches):
         for row in _rows(batches):
-            s = _State(row, *n)
-            add = lambda x: np.add.reduceat(x, s.block.starts)
+            g = Grams(row, order, shards, n_tokens, n_texts)
+            base, p = probabilities(g, row["answers"] or [])
+            add = lambda x: np.add.reduceat(x, g.block.starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.block.ids, pa.int64()), pa.array(s.block.held_out), pa.array(s.block.lengths), pa.array(add((s.unigram > 0).astype(np.int64))), pa.array(add(s.base)), pa.array(add(np.log10(s.p)))],
+                [pa.array(g.block.ids, pa.int64()), pa.array(g.block.held_out), pa.array(g.block.lengths), pa.array(add((g.counts > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))],
                 names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
     return run
 
 
+# ---------------------------------------------------------------- the operator
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -449,36 +560,34 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
 
-    ``out`` tells the texts that are only scored (default: by a hash of the id); the others train.
+    ``order`` is 2 or more.  ``out`` tells the texts that are only scored (default: by a hash of the id); the others train.
     """
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "trie")
+    given, scratch = scratch, scratch or Scratch(spark, "trie")
     out = held_out(F.col(id_col)) if out is None else out
     texts = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.write(texts.mapInArrow(_blocks, _BLOCK), "blocks")
-    size = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
-    n_texts = size[1] or 0
-    shards = max(1, math.ceil((size[0] or 0) / 2 / SHARD_GRAMS))
-    asks = blocks.mapInArrow(_ask_unigrams(max(1, shards // 4)), _ASK)
-    answers = scratch.write(asks.groupBy("shard").applyInPandas(_answer_unigrams, _ANSWER).withColumn("order", F.lit(1)), "answers1")
-    del asks
-    scratch.settle()
-    n = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    stats = (n[0], n[1], n_texts)
-    for k in range(2, order + 1):
-        asks = _with_answers(blocks, answers).mapInArrow(_ask_grams(k, shards, *stats), _ASK)
-        more = scratch.write(asks.groupBy("shard").applyInPandas(_answer_grams, _ANSWER).withColumn("order", F.lit(k)), f"answers{k}")
-        answers = answers.unionByName(more)
-        del asks
-        scratch.settle()
-    scored = _with_answers(blocks, answers).mapInArrow(_score(*stats), _SCORE)
-    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(stats[0]).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each block with all its answers, whose number is bounded by its tokens."""
-    mine = answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("order", "shard", "counts", "codes")).alias("answers"))
-    return blocks.join(mine, "block")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    tokens = size[0] // 6 + size[1]  # about
+    shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), max(1, math.ceil(tokens / BLOCK_TOKENS))
+    blocks = scratch.write_bucketed(texts.mapInArrow(_blocks, _BLOCK), "blocks", "block", buckets)
+    n_texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    word_shards = max(1, shards // 4)
+    asked = blocks.mapInArrow(_ask_words(word_shards), _WORDS_ASKED)
+    words = scratch.write(asked.groupBy("shard").applyInPandas(_answer_words(word_shards), _WORDS), "words")
+    n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    mine = words.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "numbers")).alias("words"))
+    numbered = blocks.join(mine, "block")
+    args = (order, shards, n_tokens, n_texts)
+    grams = numbered.mapInArrow(_ask_grams(*args), _ASKED)
+    answered = scratch.write(grams.groupBy("shard").applyInPandas(_answer_grams(order), _ANSWERED), "answers")
+    kinds: dict[int, int] = {}  # of at most 1 / HOT_SHARE words
+    for r in answered.filter("block < 0 and length(hot_words) > 0").select("hot_words", "hot_kinds").toLocalIterator():
+        for w, n in zip(np.frombuffer(r["hot_words"], np.int64).tolist(), np.frombuffer(r["hot_kinds"], np.int64).tolist()):
+            kinds[w] = kinds.get(w, 0) + n
+    replies = answered.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "alpha", "gamma")).alias("answers"))
+    scored = numbered.join(replies, "block", "left").mapInArrow(_score(spark.sparkContext.broadcast(kinds), n_words, *args), _SCORE)
+    out = scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out if given else scratch.settled(out)[0]
 
 
 def op1_ngram_trie(spark, sf_dir: str) -> DataFrame:

@@ -61,70 +61,84 @@ def test_elias_fano():
 
 def test_trie_on_disk(tmp_path):
     rng = np.random.default_rng(1)
-    grams = np.unique(rng.integers(0, 1 << 20, 5000).astype(np.uint64))
-    history, word, alpha = grams >> np.uint64(10), grams & np.uint64(1023), rng.random(len(grams)) * 0.9 + 0.05
-    ngram_trie.Trie.build(history, word, alpha).to_words().tofile(tmp_path / "trie")
-    trie = ngram_trie.Trie.from_words(np.memmap(tmp_path / "trie", dtype=np.uint64, mode="r"))
-    assert np.allclose(ngram_trie.restore(trie.alpha(history, word)), alpha, rtol=1e-3)
-    missing = np.setdiff1d(np.arange(1 << 20, dtype=np.uint64), grams)
-    assert not trie.alpha(missing >> np.uint64(10), missing & np.uint64(1023)).any()
-
-
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(spark, docs, order):
-    from collections import Counter
+    grams = np.unique(rng.integers(100, 130, (6000, 3)), axis=0)
+    counts = rng.integers(1, 9, len(grams))
+    ngram_trie.Trie.build(list(grams.T), counts, np.zeros(0)).save(tmp_path / "trie")
+    trie = ngram_trie.Trie.open(tmp_path / "trie")
+    assert isinstance(trie.buffer, np.memmap)
+    for k in (1, 2):
+        heads, of = np.unique(grams[:, :k], axis=0, return_inverse=True)
+        nodes, first, own = np.unique(grams[:, : k + 1], axis=0, return_index=True, return_inverse=True)
+        c, n = np.bincount(of, weights=counts), np.bincount(of[first])
+        node = np.zeros(len(nodes), np.int64)
+        for level in range(k + 1):
+            node = trie.children(level, node, trie.ranks(nodes[:, level]))
+        assert (node == np.arange(len(nodes))).all()
+        alpha = np.bincount(own, weights=counts) / (c + n)[of[first]]
+        assert np.allclose(ngram_trie.restore(trie.levels[k].alpha), alpha, rtol=1e-3)
+        assert np.allclose(ngram_trie.restore(trie.levels[k - 1].gamma), n / (c + n), rtol=1e-3)
+    assert (trie.children(1, np.arange(30), np.full(30, -1)) == -1).all() and (trie.ranks(np.array([5, 99, 130])) == -1).all()
+
+
+def brute_scores(rows, trains, order):
+    """Witten and Bell's interpolation, one word at a time."""
+    from collections import Counter, defaultdict
     from math import log10
 
-    tokens = {i: brute.re.findall(r"[^\x20\x09-\x0D]+", brute.lower(t)) + ["\n"] for i, t in texts()}
-    trains = {i: brute.crc(i) % 7 != 2 for i in tokens}
-    grams = Counter(g for i, t in tokens.items() if trains[i] for n in range(1, order + 1) for g in _grams(t, n))
-    total, words, starts = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams), sum(trains.values())
-    got = by_id(ngram_trie.score(docs, order), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    assert set(got) == set(tokens)
-    for i, t in tokens.items():
-        base = [log10((grams[(w,)] + 1) / (total + words + 1)) for w in t]
+    tokens = [brute.re.findall(r"[^\x20\x09-\x0D]+", brute.lower(t)) + ["\n"] for t in rows]
+    words = Counter(w for t, yes in zip(tokens, trains) if yes for w in t)
+    grams, seen, after = Counter(), Counter(), defaultdict(set)
+    for t, yes in zip(tokens, trains):
+        for n in range(2, order + 1) if yes else ():
+            for g in _grams(t, n):
+                grams[g] += 1
+                seen[g[:-1]] += 1
+                after[g[:-1]].add(g[-1])
+    total, out = sum(words.values()), []
+    for t in tokens:
+        base = [log10((words[w] + 1) / (total + len(words) + 1)) for w in t]
         score = 0.0
-        for at, w in enumerate(t):
+        for at in range(len(t)):
             p = 10 ** base[at]
             for n in range(2, order + 1):
                 g = _grams(t, n)[at]
-                seen = starts if g[-2] == "^" else grams[g[:-1]]
-                if seen >= ngram_trie.MIN_HISTORY:
-                    p = (grams[g] + ngram_trie.MU * p) / (seen + ngram_trie.MU)
+                if seen[g[:-1]]:
+                    kinds = len(after[g[:-1]])
+                    p = (grams[g] + kinds * p) / (seen[g[:-1]] + kinds)
             score += log10(p)
-        held, n, known, n_train, b, s = got[i]
-        assert (held, n, known, n_train) == (not trains[i], len(t), sum(grams[(w,)] > 0 for w in t), total)
-        # codes of alpha are half a step of 9 / 65534 off at most, for each order and token
-        assert b == pytest.approx(sum(base), rel=1e-9) and s == pytest.approx(score, abs=(order - 1) * 7e-5 * len(t))
+        out.append((len(t), sum(words[w] > 0 for w in t), total, sum(base), score))
+    return out
 
 
 def _grams(tokens, n):
-    padded = ["^"] * (n - 1) + tokens
+    padded = [f"^{i}" for i in range(n - 1, 0, -1)] + tokens
     return [tuple(padded[i : i + n]) for i in range(len(tokens))]
 
 
-def test_language_model_hot_history(spark, docs, monkeypatch):
-    want = by_id(ngram_trie.score(docs), "doc_id", "score")
-    monkeypatch.setattr(ngram_trie, "HOT_HISTORY", 3)
-    monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", 500)
-    got = by_id(ngram_trie.score(docs), "doc_id", "score")
-    assert {k: round(v[0], 3) for k, v in got.items()} == {k: round(v[0], 3) for k, v in want.items()}
+@pytest.mark.parametrize("order,hot,grams", [(2, 2_000_000, 1_200_000), (3, 2_000_000, 1_200_000), (3, 3, 500), (4, 3, 500)])
+def test_language_model(spark, docs, monkeypatch, order, hot, grams):
+    """Also with words that are dealt further by the next one, many shards and many blocks."""
+    monkeypatch.setattr(ngram_trie, "HOT_COUNT", hot)
+    monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", grams)
+    monkeypatch.setattr(ngram_trie, "BLOCK_TOKENS", grams)
+    got = by_id(ngram_trie.score(docs, order), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    trains = [brute.crc(i) % 7 != 2 for i, _ in texts()]
+    for (i, _), yes, want in zip(texts(), trains, brute_scores([t for _, t in texts()], trains, order)):
+        held, *row, b, s = got[i]
+        assert (held, *row) == (not yes, *want[:3]) and b == pytest.approx(want[3], rel=1e-9)
+        # codes are half a step of 12 / 65534 off at most, for each order and token
+        assert s == pytest.approx(want[4], abs=(order - 1) * 1e-4 * want[0])
+    assert len(got) == len(texts())
 
 
-def test_language_model_of_rare_contexts(spark):
-    """By default a word is scored by the two before it, though these occur once."""
-    rows = [(1, "rare context word"), (2, "other context thing"), (3, "rare context word")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = by_id(ngram_trie.score(df, out=F.col("doc_id") == 3), "doc_id", "score")[3][0]
-    step = lambda count, seen, p: (count + 1000 * p) / (seen + 1000)
-    p = {w: (n + 1) / (8 + 6 + 1) for w, n in (("rare", 1), ("context", 2), ("word", 1), ("end", 2))}
-    rare = step(1, 2, step(1, 2, p["rare"]))
-    context = step(1, 1, step(1, 1, p["context"]))
-    word = step(1, 1, step(1, 2, p["word"]))
-    end = step(1, 1, step(1, 1, p["end"]))
-    assert got == pytest.approx(float(np.log10([rare, context, word, end]).sum()), abs=1e-3 / 2)
-    alone = step(1, 2, p["rare"]) * step(1, 1, p["context"]) * step(1, 2, p["word"]) * step(1, 1, p["end"])
-    assert abs(got - float(np.log10(alone))) > 2e-3
+def test_language_model_query(spark, tmp_path):
+    """The registered query on a folder of its own."""
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["a b c a b", "a b c", None, "x y z", "a b d"] * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(ngram_trie.op1_ngram_trie(spark, str(tmp_path)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    trains = [brute.crc(i) % 7 != 2 for i, *_ in rows]
+    for i, (yes, want) in enumerate(zip(trains, brute_scores([r[1] for r in rows], trains, 3))):
+        assert got[i][:4] == (not yes, *want[:3]) and got[i][4:] == pytest.approx(want[3:], abs=2e-3)
 
 
 def test_language_model_without_rows(docs):
@@ -134,24 +148,35 @@ def test_language_model_without_rows(docs):
 
 # ---------------------------------------------------------------- 2
 
+def plain_difference(sizes, k):
+    """Largest differencing on lists, the shards as lists of places."""
+    parts = [(sorted([(0, ())] * (k - 1) + [(s, (i,))], key=lambda x: x[0]), i) for i, s in enumerate(sizes)]
+    serial = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][0][0] - p[0][-1][0], p[1]))
+        (a, _), (b, _), *parts = parts
+        both = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, b[::-1])), key=lambda x: x[0])
+        parts.append((both, serial))
+        serial += 1
+    return [s for s, _ in parts[0][0]]
+
+
 def test_differencing():
     rng = random.Random(2)
-    sizes = [rng.randrange(1, 10_000) for _ in range(400)]
-    placed = kk_sharding.difference([[0] * 7 + [s] for s in sizes])
-    sums = [0] * 8
-    for s, p in zip(sizes, placed):
-        assert len(set(p)) == 8
-        sums[p[7]] += s
-    assert max(sums) - min(sums) <= 2
-    assert kk_sharding.difference([]) == []
-
-
-def test_sharding(spark, docs):
-    more = docs.unionByName(spark.createDataFrame([(1000 + i, "same", "en", "s", 4, 0, "") for i in range(300)], docs.schema))
-    rows = kk_sharding.shard(more).collect()
-    assert len(rows) == more.count()
+    for n, k, most in ((400, 8, 10_000), (37, 3, 50), (5, 8, 9), (1, 4, 7)):
+        sizes = [rng.randrange(1, most) for _ in range(n)]
+        sums = [0] * k
+        for s, p in zip(sizes, kk_sharding.difference(sizes, k)):
+            sums[p] += s
+        assert sorted(sums) == sorted(plain_difference(sizes, k))
+    assert max(sums) == sum(sizes) and kk_sharding.difference([], 8) == []
+
+
+def shards_of(docs, rows):
+    """Checks each row, that equal texts stay together and slots have no gaps; gives the bytes of each shard."""
     by_text, slots, size = {}, {}, {}
-    held = {r["doc_id"]: r["text"] or "" for r in more.collect()}
+    held = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(held)
     for r in rows:
         t = held[r["doc_id"]]
         assert (r["size"], r["text_crc32"]) == (len(t.encode()) + 1, brute.zlib.crc32(t.encode()))
@@ -159,6 +184,35 @@ def test_sharding(spark, docs):
         slots.setdefault(r["shard"], []).append(r["slot"])
         size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return size
+
+
+@pytest.mark.parametrize("block,bins,dust", [(50_000, 8, 32), (600, 2, 8), (200, 1, 4)])
+def test_sharding(spark, monkeypatch, tmp_path, block, bins, dust):
+    """One task and many, with a group that is nearly a shard and a long tail: sizes stay near equal."""
+    for k, v in (("BLOCK_GROUPS", block), ("BINS", bins), ("DUST", dust)):
+        monkeypatch.setattr(kk_sharding, k, v)
+    rng = random.Random(3)
+    texts_ = ["same text " * 5] * 900 + ["x" * int(20 * rng.paretovariate(1.1)) + str(i) for i in range(3000)] + [None, "", ""]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = kk_sharding.op2_kk_sharding(spark, str(tmp_path)).collect()
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)} and {r["shard"] for r in got} == set(range(8))
+    groups = {}
+    for t in texts_:
+        groups[t or ""] = groups.get(t or "", 0) + len(t or "") + 1
+    size = shards_of(df, got)
+    want = sorted(plain_difference(list(groups.values()), 8)) if block > 3000 else None
+    if want:
+        assert sorted(size.values()) == want
+    # a group of more than an eighth has a shard to itself, and the others share the rest
+    even = sorted(size.values())[: -1 if max(groups.values()) > sum(groups.values()) // 8 else None]
+    assert max(size.values()) == max(max(groups.values()), max(even)) and even[-1] - even[0] <= 64
+
+
+def test_sharding_of_odd_rows(docs):
+    shards_of(docs, kk_sharding.shard(docs).collect())
     assert kk_sharding.shard(empty(docs)).count() == 0
 
 
@@ -268,6 +322,37 @@ def test_secrets(spark, docs):
     assert scans.count() == len({t or "" for _, t in texts()})
 
 
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_ledger_of_a_changed_rule(spark, docs, monkeypatch, most):
+    """A newer version of a rule of the same kind is scanned for anew, and only its findings count."""
+    monkeypatch.setattr(secret_ledger, "BROADCAST_BLOBS", most)
+    newer = tuple(secret_ledger.Rule("assign", r"(to)(ken)", 2, 2, version=2) if r.kind == "assign" else r for r in secret_ledger.RULES)
+    where = Scratch(spark, "l").path("ledger")
+    secret_ledger.Ledger(spark, where).update(docs, "doc_id")
+    changed, new = secret_ledger.Ledger(spark, where, newer), secret_ledger.Ledger(spark, Scratch(spark, "l").path("ledger"), newer)
+    changed.update(docs, "doc_id", commit=2)
+    new.update(docs, "doc_id", commit=2)
+    told = lambda ledger: {k: v[0] for k, v in _ledger_rows(ledger).items()}
+    assert told(changed) == told(new) and any(f[2] == "assign" for v in told(new).values() for f in v)
+    assert told(secret_ledger.Ledger(spark, where)) != told(new)
+    before = spark.read.parquet(f"{where}/scans").count()
+    changed.update(docs, "doc_id", commit=3)
+    assert spark.read.parquet(f"{where}/scans").count() == before
+
+
+def test_ledger_of_a_cut_off_update(spark):
+    """Paths of an update that did not come to its end are not read; made again, it counts once."""
+    where = Scratch(spark, "l").path("ledger")
+    one = spark.createDataFrame([("a", f"token={KEY}"), (None, None)], "path string, text string")
+    ledger = secret_ledger.Ledger(spark, where)
+    ledger.update(one, commit=1)
+    append, ledger._append = ledger._append, lambda df, name: None if name == "commits" else append(df, name)
+    ledger.update(one, commit=2)
+    ledger._append = append
+    ledger.update(one, commit=2)
+    assert sorted((r["commit"], r["path"] or "") for r in ledger.paths().collect()) == [(1, ""), (1, "a"), (2, ""), (2, "a")]
+
+
 def test_ledger_is_incremental(spark):
     where = Scratch(spark, "l").path("ledger")
     one = spark.createDataFrame([("a", f"token={KEY}"), ("b", "clean")], "path string, text string")
@@ -344,6 +429,51 @@ def test_encoding(docs, encoding):
     assert bpe_matrix.encode(empty(docs), path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("wide", [256, 1])
+def test_encoding_of_long_words(spark, encoding, monkeypatch, wide):
+    monkeypatch.setattr(bpe_matrix, "WIDE", wide)
+    rng = random.Random(15)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "éüñ日本", "aA0_") for n in (1, 2, 3, 17, 255, 256, 257, 600, 5000)]
+    enc = bpe_matrix.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    got = enc.encode(words)
+    assert [x.tolist() for x in got] == [encoding.encode_ordinary(w) for w in words]
+    assert [enc.decode(x).decode() for x in got] == words
+
+
+def test_merges_of_any_ranks():
+    """All pairs of a rank in one round only where that is what one by one would give, whatever the ranks."""
+    rng = random.Random(16)
+    for _ in range(60):
+        tokens = [bytes([c]) for c in b"abc"] + list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(12)})
+        rng.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)} | {bytes([b]): 1000 + b for b in range(256) if bytes([b]) not in tokens}
+        enc = bpe_matrix.Encoder.__new__(bpe_matrix.Encoder)
+        enc.pairs, enc.byte_ids = bpe_matrix.PairTable(ranks), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        raw = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40)))
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while True:
+            pairs = [(ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not pairs or min(pairs)[0] == 1 << 30:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert enc._wide(raw).tolist() == [ranks[x] for x in parts]
+
+
+def test_token_queries(spark, tmp_path, encoding):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i, x, "en", "s", 1) for i, x in texts()] + [(None, "no id", "en", "s", 1), (0, "again " * 1025, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((repr(tuple(r)) for r in bpe_heap.op5_bpe_heap(spark, str(tmp_path)).collect()))
+    n = [len(t.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    assert got == sorted(repr((r[0], len((r[1] or "").encode()), k, k > 1024)) for r, k in zip(rows, n)) and max(n) > 1024
+    ids = [encoding.encode_ordinary(r[1] or "") for r in rows]
+    got = sorted((repr(tuple(r)) for r in bpe_matrix.op6_bpe_matrix(spark, str(tmp_path)).collect()))
+    assert got == sorted(repr((r[0], len(x), brute.sha(",".join(map(str, x))), brute.sha(r[1] or ""))) for r, x in zip(rows, ids))
+
+
 # ---------------------------------------------------------------- 7
 
 BAD = ["vileword", "nastyword", "foulword"]
@@ -398,6 +528,67 @@ def test_gradients():
         assert (up - down) / 2 / e == pytest.approx(float(g[k].reshape(-1)[at]), rel=1e-2, abs=1e-5)
 
 
+def plain_score(net, text):
+    """One window and one step at a time."""
+    words = toxicity.words_of((text or "").encode())
+    p, h, best = {k: v.astype(np.float64) for k, v in net.p.items()}, net.hidden, -np.inf
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        w, grams, _ = toxicity.features([word], net.word_buckets, net.char_buckets)
+        chars = p["chars"][grams].mean(axis=0) if len(grams) else np.zeros(net.embed)
+        return np.concatenate([p["words"][w[0]], chars]) @ p["input"] + p["bias"]
+
+    def states(xs, u):
+        state, out = np.zeros(h), []
+        for x in xs:
+            g = state @ u
+            z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+            new = np.tanh(x[2 * h :] + r * g[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out
+
+    for s in toxicity.windows_of(len(words)):
+        xs = [vector(w) for w in words[s : s + toxicity.WINDOW]]
+        forward = states([x[: 3 * h] for x in xs], p["forward"])
+        backward = states([x[3 * h :] for x in xs][::-1], p["backward"])[::-1]
+        both = np.array([np.concatenate(x) for x in zip(forward, backward)]).reshape(-1, 2 * h)
+        weight = np.exp(both @ p["attend"])
+        pooled = weight @ both / weight.sum() if len(both) else np.zeros(2 * h)
+        best = max(best, float(pooled @ p["out"] + p["shift"][0]))
+    return sigmoid(best)
+
+
+def test_scores_restated():
+    rng = np.random.default_rng(17)
+    net = toxicity.Network(hidden=4, embed=3, word_buckets=500, char_buckets=500)
+    net.p = {k: (rng.standard_normal(v.shape) * 0.6).astype(np.float32) for k, v in net.p.items()}
+    net.p["words"][-1] = net.p["chars"][-1] = 0
+    some = [t for _, t in texts() if len(t or "") < 3000]
+    got = toxicity.Scorer(net).score([t and t.encode() for t in some])
+    assert np.allclose(got, [plain_score(net, t) for t in some], atol=1e-4)
+
+
+def test_toxicity_query(spark, tmp_path):
+    """A passage that is toxic anywhere in a long text counts; the registered query on a folder of its own."""
+    docs, labels = labelled(spark)
+    rng = random.Random(18)
+    long = [f"w{rng.randrange(80)}" for _ in range(3000)]
+    clean, toxic = " ".join(long), " ".join(long[:1500] + [BAD[0], BAD[1], BAD[0]] + long[1500:])
+    more = spark.createDataFrame([(5000, clean), (5001, toxic), (None, toxic), (None, None)], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = toxicity.op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() + 4
+    for r in rows:
+        assert r["held_out"] == (r["doc_id"] is not None and brute.crc(r["doc_id"]) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
+    got = {r["doc_id"]: r["predicted"] for r in rows if r["doc_id"] is not None}
+    assert got[5000] == 0 and got[5001] == 1 and sorted(r["predicted"] for r in rows if r["doc_id"] is None) == [0, 1]
+    kept = toxicity.drop_toxic(docs.withColumn("c0", F.lit("clash")), toxicity.learn(docs, labels))
+    assert kept.columns == [*docs.columns, "c0"] and kept.filter("score <> 'clash' or c0 <> 'clash'").count() == 0
+
+
 def test_windows_cover():
     for n in (0, 1, 31, 32, 33, 57, 1000):
         starts = toxicity.windows_of(n)
@@ -415,10 +606,11 @@ def test_jaccard(docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
-@pytest.mark.parametrize("tile", [1024, 5])
-def test_jaccard_of_near_copies(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,slice_,broadcast", [(1024, 2_000_000, 300_000), (5, 100, -1)])
+def test_jaccard_of_near_copies(spark, monkeypatch, tile, slice_, broadcast):
     """Families of copies about the limit, and a passage that all share: no link is lost."""
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    for k, v in (("TILE", tile), ("SLICE_VALUES", slice_), ("OFFERED_SETS", slice_), ("BROADCAST_ROWS", broadcast)):
+        monkeypatch.setattr(jaccard_join, k, v)
     rng = random.Random(9)
     rows = []
     for family in range(6):
@@ -433,6 +625,38 @@ def test_jaccard_of_near_copies(spark, monkeypatch, tile):
     assert by_id(jaccard_join.join(df), "doc_id", "n_shingles", "component_id") == brute.jaccard_classes(rows)
 
 
+def test_jaccard_of_repeats(spark, monkeypatch):
+    """Repeated ids and rows are documents of their own; ``keep_one`` leaves one of each component."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:30] + ["x"] + base[31:])
+    base = " ".join(base)
+    rows = [(1, "other text of its own"), (1, base), (2, near), (3, base), (3, base), (4, "alone here"), (4, "alone here"), (5, None), (5, None), (None, base), (None, "no id at all"), (2, "second text of two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("told", F.lit("clash")).withColumn("digest", F.lit(1))
+    rank = {r: i for i, r in enumerate(rows)}
+    got = [(r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard_join.join(df).collect()]
+    want = [(1, 0, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1), (4, 1, 4), (4, 1, 4), (5, 0, 5), (5, 0, 5), (None, 4, 1), (None, 0, None), (2, 0, 2)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(rank) == 9
+    for bound in (300_000, -1):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", bound)
+        kept = jaccard_join.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(
+            map(repr, [(1, "other text of its own"), (1, base), (4, "alone here"), (5, None), (5, None), (None, "no id at all"), (2, "second text of two")])
+        )
+
+
+def test_jaccard_of_many_copies(spark):
+    """A third of all rows are one text, another third near copies of it; the rest shares a passage."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words)) for i in range(10_000)]
+    rows += [(10_000 + i, " ".join(words[:50] + [f"e{i % 300}"] + words[51:])) for i in range(5000)]
+    rows += [(20_000 + i, PASSAGE + f" {i} a{i} b{i} c{i} " * 5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = jaccard_join.join(df).groupBy("component_id").agg(F.count("*").alias("n"), F.min("n_links").alias("lo"), F.max("n_links").alias("hi"))
+    held = {r["component_id"]: (r["n"], r["lo"], r["hi"]) for r in got.filter("n > 1").collect()}
+    assert held == {0: (15_000, 14_999, 14_999)}
+
+
 def link_counts(rows, threshold=85):
     sets = [brute.shingles(t) for _, t in rows]
     n = dict.fromkeys((d for d, _ in rows), 0)
@@ -515,6 +739,14 @@ def test_decontamination_judges_repeated_rows(spark, monkeypatch):
     assert decontaminate.cut_spans(df, items).count() == len(rows)
 
 
+def test_window_set_is_bounded():
+    rng = random.Random(19)
+    for word in (lambda: rng.choice("abcdefgh"), lambda: f"w{rng.randrange(10**6)}"):
+        items = [(i, " ".join(word() for _ in range(rng.choice([3, 13, 400])))) for i in range(900)]
+        held = decontaminate.WindowSet(items)
+        assert held.nbytes <= decontaminate.SET_BYTES * sum(len(t) for _, t in items) + (1 << 20)
+
+
 def test_pieces_hold_all_windows():
     words = [b"w%d" % i for i in range(200)]
     windows = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
@@ -577,6 +809,41 @@ def test_reply_trees(spark):
     assert [t for t in ("m1", "m3", "m5", "m6") if t in text] == ["m1", "m3", "m5", "m6"] and "m2" not in text
 
 
+# ---------------------------------------------------------------- all
+
+def test_clashing_columns(spark, docs):
+    """Columns named as the operators name their own stay as they are."""
+    names = ["found", "blob", "_blob", "spans", "items", "n_words", "_text", "c0", "t", "told", "set", "id", "copies"]
+    odd = docs.drop("n", "score")
+    for c in names:
+        odd = odd.withColumn(c, F.lit(f"own {c}"))
+    items = spark.createDataFrame([i for i in ITEMS if i[0] != 8], "item_id long, text string")
+    stays = lambda df: df.filter(" or ".join(f"`{c}` is null or `{c}` <> 'own {c}'" for c in names)).count() == 0
+    for out in (secret_ledger.redact(odd), decontaminate.drop_documents(odd, items), decontaminate.cut_spans(odd, items), jaccard_join.keep_one(odd)):
+        assert out.columns == odd.columns and stays(out)
+    counted = bpe_heap.count_tokens(odd, P.path("byte_bpe_50k.json"), P.PATTERN)
+    encoded = bpe_matrix.digests(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert stays(counted) and stays(encoded) and counted.count() == encoded.count() == len(texts())
+    assert jaccard_join.join(odd).count() == kk_sharding.shard(odd).count() == ngram_trie.score(odd).count() == len(texts())
+    found = decontaminate.scan(odd, items, ["doc_id", "spans"])
+    assert found.columns == ["doc_id", "_spans", "n_words", "spans", "items"] and found.filter("_spans <> 'own spans'").count() == 0
+
+
+def test_scratch_tables_go(spark, docs, tmp_path):
+    """What a run leaves are its results alone."""
+    from pathlib import Path
+    from loomline.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    shared.mkdir(exist_ok=True)
+    before = set(shared.iterdir())
+    for run in (jaccard_join.join, jaccard_join.keep_one, secret_ledger.redact, kk_sharding.shard, ngram_trie.score):
+        run(docs).count()
+        new = set(shared.iterdir()) - before
+        assert len(new) == 1 and all("-result-" in p.name for p in new)
+        before |= new
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, tmp_path):
