@@ -4,56 +4,45 @@
 2. near copies: of each component of the n-gram Jaccard join the smallest id stays.
 3. benchmark: contaminated documents go.
 4. secrets: every found span is replaced, the documents stay.
-5. tokens: the ids of each text, their digest, and that of the bytes they decode to.
+5. tokens: the ids of each text, their digest, and that of the bytes they decode to, in place of the text.
 
 ``STAGES`` are called with the documents that the stage before left, written as Parquet and read
-again; ``run`` does so itself.  A stage's scratch tables go when the next one begins, as its
-result is written by then.
+again; ``run`` does so itself, and deletes what a stage was given once its result is written.
+
+Defined cases: a null or empty text is no copy of another and stays to the end, with no ids; of rows
+that repeat id and text one stays; rows that repeat only an id are documents of their own; a null id
+stays and is never learnt from; an empty table gives no rows; other columns go through the stages as
+they are, whatever their names, but for those that the last stage itself names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomline.llm import bpe_matrix, decontaminate, jaccard_join, secret_ledger, toxicity
 from loomline.llm.common import Scratch, table
 
-_held: dict[str, Scratch] = {}
-
-
-def _scratch(spark: SparkSession, stage: str) -> Scratch:
-    app = spark.sparkContext.applicationId
-    if (old := _held.pop(app, None)) is not None:
-        old.drop()
-    _held[app] = Scratch(spark, stage)
-    return _held[app]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _scratch(spark, "toxicity")
-    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).filter(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs, scratch=_scratch(spark, "near"))
+    return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _scratch(spark, "benchmark")
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_ledger.redact(docs, scratch=_scratch(spark, "secrets"))
+    return secret_ledger.redact(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _scratch(spark, "tokens")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_matrix.digests(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, with_ids=True)
+    return bpe_matrix.digests(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
@@ -73,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = kept.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            kept.remove(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
