@@ -14,6 +14,7 @@ holds a whole frequent word.  Texts are kept as blocks of tokens in a bucketed t
 2. N-grams: a block sends each shard its distinct n-grams there, as a tree of word numbers, with their
    counts in its training texts (0 in the others).  A shard sums the counts, builds its trie in one
    memory-mapped buffer, and looks all asked n-grams up in it.  The answers go back to the blocks.
+   Where shards are many, asks go by way of regions of blocks that merge them.
 3. Every token of a block gets its probability from the answers; texts get their sums.
 
 A trie has a level for each order: the successors of each n-gram of the level above as a sequence made
@@ -46,6 +47,10 @@ from .common import Scratch, WordHashes, mix, table
 HOT_COUNT, HOT_SHARE = 2_000_000, 1e-6
 #: Tokens in a block, and n-grams that a shard is meant to get.
 BLOCK_TOKENS, SHARD_GRAMS = 1_200_000, 1_200_000
+#: Buckets of the table of blocks (Spark allows 100,000); a bucket may hold many blocks, which are scored one by one.
+MOST_BUCKETS = 50_000
+#: Shards that a block asks directly.
+FAN_OUT = 1024
 #: Numbers below it are marks: the starts before a text, and what stands after it or for an unknown word.
 FIRST_WORD = 16
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -197,7 +202,8 @@ class Trie:
             else:
                 alphas.append(np.zeros(len(first), np.uint16))
             pointers = np.concatenate([[0], np.cumsum(kids)])
-            parts += [EliasFano.of(pointers).words, EliasFano.of(parent.astype(np.uint64) * np.uint64(max(1, len(words))) + rank[first].astype(np.uint64)).words, None, None]
+            successors = parent.astype(np.uint64) * np.uint64(max(1, len(words))) + rank[first].astype(np.uint64)
+            parts += [EliasFano.of(pointers).words, EliasFano.of(successors).words, None, None]
             gammas.append(np.zeros(len(first), np.uint16))
             above, n_above, above_counts = node, len(first), own
         for k, codes in enumerate(zip(alphas, gammas)):
@@ -273,6 +279,17 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks of tokens
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def _table(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of the columns that ``ddl`` names."""
+    names, kinds = zip(*(x.split() for x in ddl.split(", ")))
+    kinds = [pa.list_(_KINDS[k[6:-1]]) if k.startswith("array<") else _KINDS[k] for k in kinds]
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
+
+
 _BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, tokens binary"
 
 
@@ -288,10 +305,7 @@ def _blocks(batches):
         order = np.argsort(-count, kind="stable")  # small numbers for frequent words pack well
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
-        return pa.RecordBatch.from_pydict(
-            {"block": [serial], "ids": [ids], "held": [held], "lengths": [lengths], "vocabulary": [_pack(vocabulary[order])], "tokens": [_pack(place[number])]},
-            schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("tokens", pa.binary())]),
-        )
+        return _table(_BLOCK, [(serial, ids, held, lengths, _pack(vocabulary[order]), _pack(place[number]))])
 
     for batch in batches:
         for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary())):
@@ -332,8 +346,9 @@ class Block:
 
 # ---------------------------------------------------------------- words
 
-_WORDS_ASKED = "shard int, block long, keys binary, counts binary"
-_WORDS = "block long, shard int, counts binary, numbers binary, n_tokens long, n_words long"
+_WORDS_ASKED = "part int, block long, keys binary, counts binary"
+_WORDS = "block long, part int, counts binary, numbers binary, n_tokens long, n_words long"
+_WORD_COLUMNS = [x.split()[0] for x in _WORDS.split(", ")]
 
 
 def _rows(batches):
@@ -342,46 +357,65 @@ def _rows(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _table(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [()] * len(fields), fields)], names=[n for n, _ in fields])
+def _word_asks(block: int, keys: np.ndarray, counts: np.ndarray, shards: int, parts: int) -> pa.RecordBatch:
+    """Rows of sorted words for each of the parts, which are equal ranges of shards."""
+    ends = np.searchsorted(_shard_of(keys, shards).astype(np.int64) * parts // shards, np.arange(parts + 1))
+    some = [(p, slice(ends[p], ends[p + 1])) for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist()]
+    return _table(_WORDS_ASKED, [(p, block, keys[at].tobytes(), _pack(counts[at].astype(np.uint64))) for p, at in some])
 
 
 def _ask_words(shards: int):
-    def run(batches):
-        for row in _rows(batches):
-            b = Block(row)
-            keys, counts = b.unigrams()
-            ends = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
-            some = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
-            yield _table(_WORDS_ASKED, [(s, b.block, keys[ends[s] : ends[s + 1]].tobytes(), _pack(counts[ends[s] : ends[s + 1]].astype(np.uint32))) for s in some])
+    def by_part(parts: int):
+        def run(batches):
+            for row in _rows(batches):
+                b = Block(row)
+                yield _word_asks(b.block, *b.unigrams(), shards, parts)
+
+        return run
+
+    return by_part
 
-    return run
+
+def _merged_words(asked: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The places of each ask's words among all of them, these, and their counts."""
+    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+    words, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.zeros(len(words), np.int64)
+    np.add.at(counts, at, np.concatenate([_unpack(x, np.uint64) for x in asked["counts"]]).astype(np.int64))
+    return np.split(at, np.cumsum([len(k) for k in keys])[:-1]), words, counts
 
 
 def _answer_words(shards: int):
     """The training count and number (0: not in training) of every word; block -1 carries the shard's tokens and words."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        shard = int(asked["shard"].iloc[0])
-        keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-        ends = np.cumsum([0, *map(len, keys)])
-        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]])).astype(np.int64)
+        shard = int(asked["part"].iloc[0])
+        places, words, total = _merged_words(asked)
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, -total))] = np.arange(len(words))
         number = np.where(total > 0, rank * shards + shard + FIRST_WORD, 0)
-        out = [
-            (b, shard, _pack(total[inverse[lo:hi]].astype(np.uint64)), _pack(number[inverse[lo:hi]].astype(np.uint32)), 0, 0)
-            for b, lo, hi in zip(asked["block"], ends, ends[1:])
-        ]
+        out = [(b, shard, _pack(total[at].astype(np.uint64)), _pack(number[at].astype(np.uint32)), 0, 0) for b, at in zip(asked["block"], places)]
         out.append((-1, shard, b"", b"", int(total.sum()), int((total > 0).sum())))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _WORDS.split(", ")])
+        return pd.DataFrame(out, columns=_WORD_COLUMNS)
 
     return run
 
 
+def _merge_words(shards: int):
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        _, words, counts = _merged_words(asked)
+        return _word_asks(int(asked["region"].iloc[0]), words, counts, shards, shards).to_pandas()
+
+    return run
+
+
+def _deal_words(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+    answered, part = answered.sort_values("part"), int(asked["part"].iloc[0])
+    places, _, _ = _merged_words(asked)
+    counts, numbers = (np.concatenate([_unpack(x, kind) for x in answered[c]]) for c, kind in (("counts", np.uint64), ("numbers", np.uint32)))
+    return pd.DataFrame([(b, part, _pack(counts[at]), _pack(numbers[at]), 0, 0) for b, at in zip(asked["block"], places)], columns=_WORD_COLUMNS)
+
+
 # ---------------------------------------------------------------- n-grams
 
 class Grams:
@@ -389,7 +423,7 @@ class Grams:
 
     def __init__(self, row: dict, order: int, shards: int, n_tokens: int, n_texts: int):
         self.block, self.order, self.shards = Block(row), order, shards
-        answers = sorted(row["words"], key=lambda a: a["shard"])
+        answers = sorted(row["words"], key=lambda a: a["part"])
         self.counts = self.block.by_token(np.concatenate([_unpack(a["counts"], np.uint64) for a in answers]).astype(np.int64))
         self.numbers = self.block.by_token(np.concatenate([_unpack(a["numbers"], np.uint32) for a in answers]).astype(np.int64))
         b, pad = self.block, order
@@ -426,93 +460,140 @@ class Grams:
                 self.levels.append(((nodes & 0xFFFFFFFF), np.bincount(nodes >> 32, minlength=len(self.levels[-1][0]))))
             else:
                 self.levels.append((nodes & (1 << 40) - 1, np.ones(len(nodes), np.int64)))
-                self.shard_ends = np.searchsorted(nodes >> 40, np.arange(shards + 1))
+                self.shard = nodes >> 40
             if k + 1 < order:
                 key = of << 32 | columns[k + 1]
         self.gram_counts = np.bincount(of[trains], minlength=len(nodes))
         self.hot = np.zeros(len(self.levels[0][0]), bool)
         self.hot[self.of[0][self.hot_first]] = True
 
-    def asks(self) -> pa.RecordBatch:
-        out, ends = [], self.shard_ends
-        cuts = [ends]
-        for _, kids in self.levels[1:]:
-            cuts.append(np.concatenate([[0], np.cumsum(kids)])[cuts[-1]])
-        for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-            parts = [slice(c[s], c[s + 1]) for c in cuts]
-            words = [_pack(w[p].astype(np.uint32)) for (w, _), p in zip(self.levels, parts)]
-            kids = [_pack(self.levels[k + 1][1][parts[k]].astype(np.uint32)) for k in range(self.order - 1)]
-            out.append((s, self.block.block, words, kids, _pack(self.gram_counts[parts[-1]].astype(np.uint32)), _pack(self.hot[parts[0]].astype(np.uint8))))
-        kinds = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("kids", pa.list_(pa.binary())), ("counts", pa.binary()), ("hot", pa.binary())])
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, kinds)], schema=kinds)
+    def asks(self, parts: int) -> pa.RecordBatch:
+        words = [w for w, _ in self.levels]
+        kids = [k for _, k in self.levels[1:]]
+        return _asks(self.block.block, self.shard, self.shards, parts, words, kids, self.gram_counts, self.hot)
 
 
-_ASKED = "shard int, block long, words array<binary>, kids array<binary>, counts binary, hot binary"
-_ANSWERED = "block long, shard int, alpha array<binary>, gamma array<binary>, hot_words binary, hot_kinds binary"
+_ASKED = "part int, block long, shard binary, words array<binary>, kids array<binary>, counts binary, hot binary"
 
 
-def _answer_grams(order: int):
-    """Builds the shard's trie of the training n-grams and looks all asked ones up in it."""
+def _asks(block: int, shard: np.ndarray, shards: int, parts: int, words: list, kids: list, counts: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Rows of a tree of n-grams for each of the parts (equal ranges of shards): its nodes level by level, sorted by shard."""
+    ends = np.searchsorted(shard * parts // shards, np.arange(parts + 1))
+    cuts, out = [ends], []
+    for k in kids:
+        cuts.append(np.concatenate([[0], np.cumsum(k)])[cuts[-1]])
+    for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        at = [slice(c[p], c[p + 1]) for c in cuts]
+        out.append(
+            (
+                p, block, _pack(shard[at[0]].astype(np.uint32)), [_pack(w[i].astype(np.uint32)) for w, i in zip(words, at)],
+                [_pack(k[i].astype(np.uint32)) for k, i in zip(kids, at)], _pack(counts[at[-1]].astype(np.uint32)), _pack(hot[at[0]].astype(np.uint8)),
+            )
+        )
+    return _table(_ASKED, out)
 
-    def run(asked: pd.DataFrame) -> pd.DataFrame:
-        asked = asked.sort_values("block")
-        shard = int(asked["shard"].iloc[0])
+
+class Merged:
+    """The n-grams that several asks hold, once each: nodes of each level (above, word), and what they were asked as."""
+
+    def __init__(self, asked: pd.DataFrame, order: int):
         words = [[_unpack(w[k], np.uint32).astype(np.int64) for w in asked["words"]] for k in range(order)]
-        ends = [np.cumsum([0, *map(len, w)]) for w in words]
+        #: where each ask's nodes begin on each level; of: the merged node of each of them
+        self.ends = [np.cumsum([0, *map(len, w)]) for w in words]
         words = [np.concatenate(w) for w in words]
-        hot = np.unique(words[0][np.concatenate([_unpack(h, np.uint8) for h in asked["hot"]]) > 0])
-        # the n-grams of all blocks, merged level by level
-        nodes, of = np.unique(words[0], return_inverse=True)
-        levels, ofs = [(np.zeros(len(nodes), np.int64), nodes)], [of]
+        shard = np.concatenate([_unpack(x, np.uint32) for x in asked["shard"]]).astype(np.int64)
+        nodes, of = np.unique(shard << 40 | words[0], return_inverse=True)
+        self.shard, self.levels, self.of = nodes >> 40, [(np.zeros(len(nodes), np.int64), nodes & (1 << 40) - 1)], [of]
+        self.hot = np.zeros(len(nodes), bool)
+        self.hot[of[np.concatenate([_unpack(h, np.uint8) for h in asked["hot"]]) > 0]] = True
         for k in range(1, order):
             above = np.repeat(of, np.concatenate([_unpack(x[k - 1], np.uint32) for x in asked["kids"]]))
             nodes, of = np.unique(above << 32 | words[k], return_inverse=True)
-            levels.append((nodes >> 32, nodes & 0xFFFFFFFF))
-            ofs.append(of)
-        counts = np.bincount(of, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
-        del words
-        trained = np.flatnonzero(counts)
+            self.levels.append((nodes >> 32, nodes & 0xFFFFFFFF))
+            self.of.append(of)
+        self.counts = np.bincount(of, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
+
+    def each(self, codes: list[np.ndarray], levels: range) -> list[list[bytes]]:
+        """For each ask, the codes of its nodes on these levels."""
+        own = [c[self.of[k]] for c, k in zip(codes, levels)]
+        return [[_pack(c[self.ends[k][i] : self.ends[k][i + 1]]) for c, k in zip(own, levels)] for i in range(len(self.ends[0]) - 1)]
+
+
+_ANSWERED = "block long, part int, alpha array<binary>, gamma array<binary>, hot_words binary, hot_kinds binary"
+_ANSWER_COLUMNS = [x.split()[0] for x in _ANSWERED.split(", ")]
+
+
+def _answer_grams(order: int):
+    """Builds the shard's trie of the training n-grams and looks all asked ones up in it."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        part, m = int(asked["part"].iloc[0]), Merged(asked, order)
+        trained = np.flatnonzero(m.counts)
         grams, at = [], trained
-        for above, numbers in reversed(levels):
+        for above, numbers in reversed(m.levels):
             grams.insert(0, numbers[at])
             at = above[at]
-        trie = Trie.build(grams, counts[trained], hot)
+        hot = m.levels[0][1][m.hot]
+        trie = Trie.build(grams, m.counts[trained], hot)
         alpha, gamma, found = [], [], np.zeros(1, np.int64)
-        for k, (above, numbers) in enumerate(levels):
+        for k, (above, numbers) in enumerate(m.levels):
             found = trie.children(k, found[above], trie.ranks(numbers))
             held = trie.levels[k]
-            codes = [np.append(c, np.uint16(0))[found] for c in (held.alpha, held.gamma)]  # -1: the last, 0
-            alpha.append(codes[0][ofs[k]] if k else None)
-            gamma.append(codes[1][ofs[k]] if k + 1 < order else None)
-        pack = lambda codes, k, i: _pack(codes[k][ends[k][i] : ends[k][i + 1]])
-        out = [
-            (b, shard, [pack(alpha, k, i) for k in range(1, order)], [pack(gamma, k, i) for k in range(order - 1)], b"", b"")
-            for i, b in enumerate(asked["block"])
-        ]
+            alpha.append(np.append(held.alpha, np.uint16(0))[found])  # -1: the last, 0
+            gamma.append(np.append(held.gamma, np.uint16(0))[found])
+        out = [(b, part, a, g, b"", b"") for b, a, g in zip(asked["block"], m.each(alpha[1:], range(1, order)), m.each(gamma[:-1], range(order - 1)))]
         # of words that are dealt further, how many different ones follow them here
         root = trie.children(0, np.zeros(len(hot), np.int64), trie.ranks(hot))
         hot, root = hot[root >= 0], root[root >= 0]
         kinds = trie.levels[1].pointers.get(root + 1) - trie.levels[1].pointers.get(root) if len(hot) else np.zeros(0, np.uint64)
-        out.append((-1, shard, [], [], hot.astype(np.int64).tobytes(), kinds.astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWERED.split(", ")])
+        out.append((-1, part, [], [], hot.astype(np.int64).tobytes(), kinds.astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=_ANSWER_COLUMNS)
 
     return run
 
 
-def _ask_grams(*args):
-    def run(batches):
-        for row in _rows(batches):
-            yield Grams(row, *args).asks()
+def _merge_asks(order: int, shards: int):
+    """The asks of a region's blocks for some shards, as one ask of the region for each shard."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        m = Merged(asked.sort_values("block"), order)
+        kids = [np.bincount(above, minlength=len(before[1])) for before, (above, _) in zip(m.levels, m.levels[1:])]
+        return _asks(int(asked["region"].iloc[0]), m.shard, shards, shards, [w for _, w in m.levels], kids, m.counts, m.hot).to_pandas()
+
+    return run
+
+
+def _deal_answers(order: int):
+    """The answers to a region's asks, dealt to the blocks that asked."""
+
+    def run(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        asked, answered = asked.sort_values("block"), answered.sort_values("part")
+        m, part = Merged(asked, order), int(asked["part"].iloc[0])
+        whole = lambda f, k: np.concatenate([_unpack(x[k], np.uint16) for x in answered[f]])
+        alpha = m.each([whole("alpha", k) for k in range(order - 1)], range(1, order))
+        gamma = m.each([whole("gamma", k) for k in range(order - 1)], range(order - 1))
+        return pd.DataFrame([(b, part, a, g, b"", b"") for b, a, g in zip(asked["block"], alpha, gamma)], columns=_ANSWER_COLUMNS)
 
     return run
 
 
+def _ask_grams(*args):
+    def by_part(parts: int):
+        def run(batches):
+            for row in _rows(batches):
+                yield Grams(row, *args).asks(parts)
+
+        return run
+
+    return by_part
+
+
 _SCORE = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(hot_kinds, n_words: int, order: int, shards: int, n_tokens: int, n_texts: int):
     def probabilities(g: Grams, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        answers = sorted(answers, key=lambda a: a["shard"])
+        answers = sorted(answers, key=lambda a: a["part"])
         codes = lambda f, k: np.concatenate([_unpack(a[f][k], np.uint16) for a in answers]) if answers else np.zeros(0, np.uint16)
         base = np.log10((g.counts + 1) / (n_tokens + n_words + 1))
         p = 10**base
@@ -542,11 +623,9 @@ def _score(hot_kinds, n_words: int, order: int, shards: int, n_tokens: int, n_te
         for row in _rows(batches):
             g = Grams(row, order, shards, n_tokens, n_texts)
             base, p = probabilities(g, row["answers"] or [])
-            add = lambda x: np.add.reduceat(x, g.block.starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.block.ids, pa.int64()), pa.array(g.block.held_out), pa.array(g.block.lengths), pa.array(add((g.counts > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))],
-                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            sums = [np.add.reduceat(x, g.block.starts) for x in ((g.counts > 0).astype(np.int64), base, np.log10(p))]
+            columns = [pa.array(g.block.ids, pa.int64()), *map(pa.array, (g.block.held_out, g.block.lengths, *sums))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -557,7 +636,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None,
+          scratch: Scratch | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
 
     ``order`` is 2 or more.  ``out`` tells the texts that are only scored (default: by a hash of the id); the others train.
@@ -568,27 +648,53 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     tokens = size[0] // 6 + size[1]  # about
-    shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), max(1, math.ceil(tokens / BLOCK_TOKENS))
+    shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), min(MOST_BUCKETS, max(1, math.ceil(tokens / BLOCK_TOKENS)))
     blocks = scratch.write_bucketed(texts.mapInArrow(_blocks, _BLOCK), "blocks", "block", buckets)
     n_texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     word_shards = max(1, shards // 4)
-    asked = blocks.mapInArrow(_ask_words(word_shards), _WORDS_ASKED)
-    words = scratch.write(asked.groupBy("shard").applyInPandas(_answer_words(word_shards), _WORDS), "words")
+    route = (_ask_words(word_shards), _answer_words(word_shards), _merge_words(word_shards), _deal_words)
+    own, words = _answers(blocks, route, (_WORDS_ASKED, _WORDS), word_shards, buckets, scratch, "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    mine = words.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "numbers")).alias("words"))
+    # dealt as the blocks are, so that neither the grouping nor the join deals them again
+    mine = own.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("words"))
     numbered = blocks.join(mine, "block")
     args = (order, shards, n_tokens, n_texts)
-    grams = numbered.mapInArrow(_ask_grams(*args), _ASKED)
-    answered = scratch.write(grams.groupBy("shard").applyInPandas(_answer_grams(order), _ANSWERED), "answers")
+    route = (_ask_grams(*args), _answer_grams(order), _merge_asks(order, shards), _deal_answers(order))
+    answered, hot = _answers(numbered, route, (_ASKED, _ANSWERED), shards, buckets, scratch, "answers")
     kinds: dict[int, int] = {}  # of at most 1 / HOT_SHARE words
-    for r in answered.filter("block < 0 and length(hot_words) > 0").select("hot_words", "hot_kinds").toLocalIterator():
+    for r in hot.filter("length(hot_words) > 0").select("hot_words", "hot_kinds").toLocalIterator():
         for w, n in zip(np.frombuffer(r["hot_words"], np.int64).tolist(), np.frombuffer(r["hot_kinds"], np.int64).tolist()):
             kinds[w] = kinds.get(w, 0) + n
-    replies = answered.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "alpha", "gamma")).alias("answers"))
+    back = answered.repartition(buckets, "block")
+    replies = back.groupBy("block").agg(F.collect_list(F.struct("part", "alpha", "gamma")).alias("answers"))
     scored = numbered.join(replies, "block", "left").mapInArrow(_score(spark.sparkContext.broadcast(kinds), n_words, *args), _SCORE)
     out = scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
     return out if given else scratch.settled(out)[0]
 
 
+def _answers(blocks: DataFrame, route: tuple, kinds: tuple[str, str], shards: int, n_blocks: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The shards' answers to the blocks, and what else they tell (block -1).
+
+    ``route``: what a block asks, what a shard answers, how asks are merged, how answers are dealt.  Up to FAN_OUT
+    shards a block asks each of them.  Beyond, asks would be as many as blocks times shards and as small as single
+    n-grams: blocks ask about as many parts of the shards as is their square root, the asks of a region (as many as
+    the square root of the blocks) for a part are merged, and one ask goes to each shard.
+    """
+    ask, answer, merge, deal = route
+    if shards <= FAN_OUT:
+        answered = scratch.write(blocks.mapInArrow(ask(shards), kinds[0]).groupBy("part").applyInPandas(answer, kinds[1]), name)
+        return answered.filter("block >= 0"), answered.filter("block < 0")
+    parts, regions = math.isqrt(shards) + 1, math.isqrt(n_blocks) + 1
+    region = F.pmod(F.xxhash64("block"), F.lit(regions))
+    asked = scratch.write(blocks.mapInArrow(ask(parts), kinds[0]).withColumn("region", region), f"{name}-asked")
+    merged = asked.groupBy("part", "region").applyInPandas(merge, kinds[0])
+    answered = scratch.write(merged.groupBy("part").applyInPandas(answer, kinds[1]), f"{name}-of-shards")
+    # shards are dealt to parts as in the asks
+    of = F.expr(f"CAST(CAST(part AS BIGINT) * {parts} div {shards} AS INT)")
+    own = answered.filter("block >= 0").withColumns({"region": F.col("block"), "of": of})
+    dealt = asked.groupBy("part", "region").cogroup(own.groupBy("of", "region")).applyInPandas(deal, kinds[1])
+    return scratch.write(dealt, name), answered.filter("block < 0")
+
+
 def op1_ngram_trie(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
