@@ -245,22 +245,25 @@ def _slice(feats, rows):
     return word[rows], grams[flat], n
 
 
-def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: int = 5, batch: int = 256, rate: float = 0.01, least_docs: int = 5) -> Network:
-    """Fit on (label, windows as text) of documents; the threshold is set between the classes.
+def fit(docs: list[tuple[int, str]], net: Network | None = None, passes: int = 5, batch: int = 256, rate: float = 0.01, least_docs: int = 5) -> Network:
+    """Fit on all windows of labelled texts (label, text); the threshold is set between the classes.
 
     Few windows are taken in smaller batches and more passes, so that there are some hundred steps.
     """
     net = net or Network()
     names: dict[bytes, int] = {b"": 0}
-    owner, index, labels = [], [], []
-    for d, (y, texts) in enumerate(docs):
-        for t in texts:
-            ws = words_of(t.encode())
-            owner.append(d)
-            labels.append(y)
-            index.append([names.setdefault(w, len(names)) for w in ws[:WINDOW]] + [0] * (WINDOW - min(WINDOW, len(ws))))
-    owner, labels, index = np.array(owner), np.array(labels, np.float32), np.array(index, dtype=np.int32)
-    word, grams, counts = features(list(names), net.word_buckets, net.char_buckets)
+    windows = []
+    for _, text in docs:
+        ws = words_of(text.encode())
+        ids = np.zeros(max(WINDOW, len(ws)), np.int32)
+        ids[: len(ws)] = [names.setdefault(w, len(names)) for w in ws]
+        windows.append(ids[np.array(windows_of(len(ws)))[:, None] + np.arange(WINDOW)])
+    owner = np.repeat(np.arange(len(docs)), [len(w) for w in windows])
+    labels, index = np.array([y for y, _ in docs], np.float32)[owner], np.concatenate(windows)
+    del windows
+    known = list(names)
+    parts = [features(known[i : i + 20_000], net.word_buckets, net.char_buckets) for i in range(0, len(known), 20_000)]
+    word, grams, counts = map(np.concatenate, zip(*parts))
     # words and n-grams of few documents would be learnt by heart: they get the bucket that stays zero
     raw = (word, grams, counts)
     docs_of_word, docs_of_gram = np.zeros(len(names), np.int64), np.zeros(net.char_buckets, np.int64)
@@ -303,10 +306,10 @@ def fit(docs: list[tuple[int, list[str]]], net: Network | None = None, passes: i
 
 def _score(net: Network, feats, index) -> np.ndarray:
     out = np.empty(len(index))
-    for i in range(0, len(index), 4096):
-        words, local = np.unique(index[i : i + 4096], return_inverse=True)
-        local = local.reshape(-1, index.shape[1])
-        out[i : i + 4096] = net.logits(net.project(net.inputs(_slice(feats, words))), local, index[i : i + 4096] > 0)
+    for i in range(0, len(index), 1024):
+        part = index[i : i + 1024]
+        words, local = np.unique(part, return_inverse=True)
+        out[i : i + 1024] = net.logits(net.project(net.inputs(_slice(feats, words))), local.reshape(part.shape), part > 0)
     return out
 
 
@@ -387,16 +390,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _windows_as_text(batches):
-    for batch in batches:
-        out = []
-        for t in batch.column(1).to_pylist():
-            ws = words_of((t or "").encode())
-            out.append([b" ".join(ws[s : s + WINDOW]).decode(errors="replace") for s in windows_of(len(ws))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "windows"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """Fit on labelled documents that are not held out: of each class the per_class first by a hash of the id."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -407,7 +401,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str
     sample = known.filter("y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("y = 0").orderBy(*order).limit(per_class))
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col)
     rows = rows.groupBy(id_col).agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")  # one text of a repeated id
-    got = sorted((r["y"], r["windows"]) for r in rows.mapInArrow(_windows_as_text, "y int, windows array<string>").collect())
+    got = sorted((r["y"], r["text"] or "") for r in rows.collect())
     if len({y for y, _ in got}) < 2:
         return None
     order = np.random.default_rng(11).permutation(len(got))
