@@ -28,6 +28,8 @@ from .common import Scratch, WordHashes, in_slices, table
 WIDTH = 13
 #: Bytes of item texts whose windows are broadcast at a time, and bytes of the set for one of them at most.
 ITEM_BYTES, SET_BYTES = 8 << 20, 20
+#: Item words whose hashes a task keeps.
+FEW_WORDS = 200_000
 #: Bytes of training texts whose words are held in memory at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -116,6 +118,24 @@ class WindowSet:
         return out
 
 
+    def hashes(self) -> WordHashes:
+        """Hashes of words for ``hits``: of few item words just theirs, else of all words as they come."""
+        words = set(self.blob.split())
+        return ItemWords(words) if len(words) <= FEW_WORDS else WordHashes()
+
+
+class ItemWords(WordHashes):
+    """The hashes of the items' words; other words, of which no window is, count as 0."""
+
+    def __init__(self, words: set[bytes]):
+        super().__init__()
+        for w in words:
+            self[w] = super().__missing__(w)
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 def scan_texts(found_by: WindowSet, hashes: WordHashes, texts: list[bytes]):
     """n_words, hit word spans (merged, end exclusive) and sorted item ids as text, for each text of a slice."""
     counts, flat = [], []
@@ -147,7 +167,7 @@ def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = shared.value.hashes()
         for batch in batches:
             for part, texts in in_slices(batch, at, CHUNK_BYTES):
                 found = list(scan_texts(shared.value, hashes, texts))
@@ -221,7 +241,8 @@ def _scan(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
     scratch = Scratch(rows.sparkSession, "decontaminate")
     items = scratch.write(_split_long(items, ITEM_BYTES // 8, width).withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups))), "items")
     for g in range(groups):
-        rows = scratch.write(_scan_group(rows, n, n - 1, [tuple(r) for r in items.filter(F.col("part") == g).select("item", "text").collect()], width), f"group{g}")
+        own = [tuple(r) for r in items.filter(F.col("part") == g).select("item", "text").collect()]
+        rows = scratch.write(_scan_group(rows, n, n - 1, own, width), f"group{g}")
         if g:
             scratch.remove(f"group{g - 1}")
     return rows
