@@ -28,7 +28,7 @@ from .common import fresh, in_slices, table
 #: Bytes from which a pre-token merges all pairs of a rank in one round.
 WIDE = 256
 #: Pre-tokens remembered by a worker, and characters of text encoded at a time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 CHUNK_CHARS = 1 << 20
 _NONE = np.int32(0x7FFFFFFF)
 

@@ -92,7 +92,9 @@ def format_paths(told: DataFrame) -> DataFrame:
     head = F.concat(F.lit(BEGIN), escape(role), F.lit(ROLE_END))
     path = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("turn")).over(path)
-    turns = told.select("tree", "leaf", "up", F.concat(head, text, F.lit(END)).alias("turn"), F.length(head).alias("head"), (role == "assistant").alias("taught"))
+    turns = told.select(
+        "tree", "leaf", "up", F.concat(head, text, F.lit(END)).alias("turn"), F.length(head).alias("head"), (role == "assistant").alias("taught")
+    )
     placed = turns.withColumn("to", end - len(END)).withColumn("from", F.col("to") + len(END) - F.length("turn") + F.col("head"))
     in_order = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "turn", "taught", "from", "to")))
     return placed.groupBy("tree", "leaf").agg(in_order.alias("t")).select(

@@ -322,6 +322,9 @@ class Regions:
         return rest[keep], whole[keep]
 
 
+_MET = "label string, dim int, g long, h long, r long, s long"
+
+
 def _meetings(regions, t: float):
     """Rows label, dim, cell, level of regions: the pairs of groups they open, and the pairs of regions that link whole (r, s)."""
 
@@ -434,9 +437,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     by_label = {(k[0], int(k[1])): Regions(held[k], f) for k, f in stats.groupby(["label", "dim"])}
     regions = spark.sparkContext.broadcast(by_label)
     named = spark.createDataFrame(stats[["label", "dim", "cell", "level"]], "label string, dim int, cell int, level int")
-    met = scratch.write(
-        named.repartition(max(1, len(stats) // 500)).mapInPandas(_meetings(regions, t), "label string, dim int, g long, h long, r long, s long").distinct(), "met"
-    )
+    meetings = named.repartition(max(1, len(stats) // 500)).mapInPandas(_meetings(regions, t), _MET)
+    met = scratch.write(meetings.distinct(), "met")
 
     # labels without a pivot: groups by hash, all of which meet
     plain = placed.filter("cell < 0")
@@ -451,10 +453,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     grouped = placed.filter("cell >= 0").mapInPandas(_grouped(regions), "rep long, copies long, label string, dim int, unit binary, g long, region long")
     all_groups = grouped.drop("region").unionByName(dealt)
     packed = scratch.write(all_groups.groupBy("label", "dim", "g").applyInPandas(_pack, _PACKED), "packed")
-    meetings = met.filter("g is not null").select("label", "dim", "g", "h").unionByName(pairs)
+    tiled = met.filter("g is not null").select("label", "dim", "g", "h").unionByName(pairs)
     second = packed.select("label", "dim", F.col("g").alias("h"), *[F.col(c).alias(f"{c}2") for c in packed.columns[3:]])
-    tiles = meetings.filter("g < h").join(packed, ["label", "dim", "g"]).join(second, ["label", "dim", "h"])
-    alone = meetings.filter("g = h").join(packed, ["label", "dim", "g"])
+    tiles = tiled.filter("g < h").join(packed, ["label", "dim", "g"]).join(second, ["label", "dim", "h"])
+    alone = tiled.filter("g = h").join(packed, ["label", "dim", "g"])
     names = ["label", "dim", "g", "h", *packed.columns[3:], *[f"{c}2" for c in packed.columns[3:]]]
     work = tiles.select(*names).unionByName(alone.select(*names[:9]), allowMissingColumns=True)
     compared = work.mapInArrow(_tiles(threshold), "a long, b long, n long")

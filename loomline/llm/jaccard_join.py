@@ -51,7 +51,7 @@ COUNTED, ENTRIES, COLUMNS = 512, 2_000_000, 4096
 #: Rows whose names are broadcast to fetch their texts again or to leave them out; beyond it a shuffled join does.
 BROADCAST_ROWS = 300_000
 #: Block values of one slice of a task, and sets that a task remembers to have offered.
-SLICE_VALUES, OFFERED_SETS = 2_000_000, 200_000
+SLICE_VALUES, OFFERED_SETS = 1_000_000, 100_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -156,9 +156,10 @@ class _Slice:
         run = np.cumsum(first) - 1
         holder = of[first][run] if len(of) else of
         shared = (np.bincount(run) > 1)[run] if len(of) else first
+        ids, told = (pa.concat_arrays([k.column(i) for k in self.keys]) for i in (0, 1))
         return pa.RecordBatch.from_arrays(
             [
-                *(pa.concat_arrays([k.column(i) for k in self.keys]) for i in (0, 1)), pa.array(self.sets, pa.binary()), pa.array(shorts), pa.array(self.sizes, pa.int64()), pa.array(self.sketches, pa.binary()),
+                ids, told, pa.array(self.sets, pa.binary()), pa.array(shorts), pa.array(self.sizes, pa.int64()), pa.array(self.sketches, pa.binary()),
                 _lists(of[first], values[first], n), _lists(of[shared], values[shared], n), _lists(of[shared], shorts[holder[shared]], n),
             ],
             names=["id", "told", "set", "short", "n", "sketch", "offered", "met", "centres"],
@@ -408,7 +409,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     matrix = scratch.write(texts.mapInArrow(_matrix(width, percent), _MATRIX), "matrix")
     sets = scratch.write(
         matrix.filter("n > 0").groupBy("set").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch")
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"),
+            F.first("sketch", True).alias("sketch"),
         ),
         "sets",
     )
@@ -426,10 +428,14 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     links = found.filter("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("b is not null").select("a", "b"), scratch, "all")
     parts = sets.join(links.withColumnRenamed("a", "short"), "short", "left").join(components.withColumnRenamed("node", "short"), "short", "left")
-    parts = scratch.write(parts.select("set", "short", "rep", "copies", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "parts")
-    least = parts.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("members"))
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    parts = scratch.write(parts.select("set", "short", "rep", "copies", "component", n_links.alias("n_links")), "parts")
+    least = parts.filter("component is not null").groupBy("component").agg(
+        F.min("rep").alias("least"), F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("members")
+    )
     classes = join_with_hot(parts, least, "component", F.col("sets"), sets.count()).select(
-        "set", "copies", "n_links", F.coalesce("component", "short").alias("class"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("members", "copies").alias("members")
+        "set", "copies", "n_links", F.coalesce("component", "short").alias("class"), F.coalesce("least", "rep").alias("component_id"),
+        F.coalesce("members", "copies").alias("members"),
     )
     return matrix.select("id", "told", "set", "n"), scratch.write(classes, "classes")
 
@@ -511,8 +517,8 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "
     run = scratch or Scratch(docs.sparkSession, "keep")
     rows, classes = _classes(docs, width, percent, id_col, text_col, run)
     several = classes.filter("members > 1")
-    named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count()).filter("class is not null").select("id", "told", "class")
-    named = run.write(named.groupBy("class", "id", "told").agg(F.count(F.lit(1)).alias("repeats")), "named")
+    named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count())
+    named = run.write(named.filter("class is not null").groupBy("class", "id", "told").agg(F.count(F.lit(1)).alias("repeats")), "named")
     order = F.struct(F.col("id").isNull().alias("lost"), "id", "told")
     best = named.groupBy("class").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
     judged = run.write(

@@ -92,9 +92,9 @@ def place(items: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
         blocks = math.ceil(n / BLOCK_GROUPS)
         large = F.col("bytes") * (8 * n_shards * blocks) > total  # fewer than 8 * n_shards * blocks of them
         block = F.pmod(F.xxhash64("item", F.lit(len(steps))), F.lit(blocks)).cast("int")
-        placed = scratch.write(
-            items.filter(~large).withColumn("block", block).groupBy("block").applyInPandas(_differenced(BINS * n_shards, DUST * n_shards, SHARES), _PLACED), f"placed{len(steps)}"
-        )
+        binned = _differenced(BINS * n_shards, DUST * n_shards, SHARES)
+        placed = items.filter(~large).withColumn("block", block).groupBy("block").applyInPandas(binned, _PLACED)
+        placed = scratch.write(placed, f"placed{len(steps)}")
         into = F.concat_ws("/", F.lit(len(steps)), "block", "part")
         steps.append(placed.filter("part is not null").select("item", into.alias("bin")))
         bins = placed.filter("part is not null").groupBy(into.alias("item")).agg(F.sum("bytes").alias("bytes"))

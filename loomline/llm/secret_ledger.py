@@ -94,6 +94,7 @@ class Ledger:
         names = F.array(*[F.lit(r.name) for r in self.rules])
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         addressed = versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+        asked = Scratch(self.spark, "todo")
         if (scans := self._read("scans")) is None:
             blobs = addressed.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", names)
         else:
@@ -101,13 +102,14 @@ class Ledger:
             todo = addressed.select("blob").distinct().join(seen, "blob", "left").select(
                 "blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
             ).filter(F.size("todo") > 0)
-            todo = Scratch(self.spark, "todo").write(todo, "blobs")
+            todo = asked.write(todo, "blobs")
             wanted = addressed.select("blob", "text").join(F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo, "blob")
             blobs = wanted.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
         self._append(blobs.select("blob", F.col("todo").alias("rules"), _hits(F.col("text"), F.col("todo"), self.rules).alias("hits")), "scans")
+        asked.drop()
         batch = uuid.uuid4().hex
         self._append(addressed.select("path", "blob", F.lit(commit).alias("commit"), F.lit(batch).alias("batch")), "paths")
-        self._append(self.spark.createDataFrame([(batch, commit)], "batch string, commit int").coalesce(1), "commits")
+        self._append(self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(commit).alias("commit")), "commits")
 
     def findings(self) -> DataFrame:
         """blob, kind, start, end (code points, end exclusive) of every kept match of the rules' current versions."""

@@ -115,10 +115,11 @@ def _grams(tokens, n):
     return [tuple(padded[i : i + n]) for i in range(len(tokens))]
 
 
-@pytest.mark.parametrize("order,hot,grams", [(2, 2_000_000, 1_200_000), (3, 2_000_000, 1_200_000), (3, 3, 500), (4, 3, 500)])
-def test_language_model(spark, docs, monkeypatch, order, hot, grams):
-    """Also with words that are dealt further by the next one, many shards and many blocks."""
+@pytest.mark.parametrize("order,hot,grams,fan", [(2, 2_000_000, 1_200_000, 1024), (3, 2_000_000, 1_200_000, 1024), (3, 3, 500, 1024), (4, 3, 500, 1024), (3, 3, 500, 2)])
+def test_language_model(spark, docs, monkeypatch, order, hot, grams, fan):
+    """Also with words that are dealt further by the next one, many shards and many blocks, and asks merged on the way."""
     monkeypatch.setattr(ngram_trie, "HOT_COUNT", hot)
+    monkeypatch.setattr(ngram_trie, "FAN_OUT", fan)
     monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", grams)
     monkeypatch.setattr(ngram_trie, "BLOCK_TOKENS", grams)
     got = by_id(ngram_trie.score(docs, order), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -708,9 +709,10 @@ def test_blocks_meet():
 ITEMS = [(7, " ".join(f"shared{i}" for i in range(20, 45))), (70, "The CAT sat"), (8, None), (9, "..."), (None, "one"), (10, PASSAGE), (11, "x" * 50)]
 
 
-@pytest.mark.parametrize("most", [16 << 20, 100])
-def test_decontamination(spark, docs, monkeypatch, most):
+@pytest.mark.parametrize("most,words", [(8 << 20, 200_000), (100, 200_000), (8 << 20, 2)])
+def test_decontamination(spark, docs, monkeypatch, most, words):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
+    monkeypatch.setattr(decontaminate, "FEW_WORDS", words)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute.decontaminated(texts(), [i for i in ITEMS if i[0] is not None])
     out = decontaminate.scan(docs, items, ["doc_id"]).select(
@@ -809,6 +811,45 @@ def test_reply_trees(spark):
     assert [t for t in ("m1", "m3", "m5", "m6") if t in text] == ["m1", "m3", "m5", "m6"] and "m2" not in text
 
 
+def test_random_trees(spark):
+    """Paths and ranks of random forests with cycles and lost parents, against following the parents one by one."""
+    rng = random.Random(20)
+    rows = []
+    for tree in (None, 1, 2, 3):
+        n = rng.randrange(1, 40)
+        for m in range(n):
+            parent = rng.choice([None, 99, *range(max(0, m - 3), min(n, m + (2 if rng.random() < 0.1 else 0)) or 1)])
+            rows.append((tree, m, None if parent == m else parent, rng.choice(["user", "assistant", None]), rng.choice(["hi", None, "</s>"]), rng.choice([None, 1.0, 2.5])))
+    messages = spark.createDataFrame(rows, "tree long, msg long, parent long, role string, text string, score double")
+    member = chat_trees.paths(messages, Scratch(spark, "t"))
+    held = {(r[0], r[1]): r for r in rows}
+    inner = {(t, p) for t, _, p, *_ in rows if (t, p) in held}
+    want = {}
+    for tree, m in held:
+        path, at = [], m
+        while at is not None and (tree, at) in held and at not in path:
+            path.append(at)
+            at = held[tree, at][2]
+        # within a cycle every message has a reply, so no leaf begins there
+        if (tree, m) not in inner and at not in path:
+            want[tree, m] = path
+    got = {}
+    for r in member.collect():
+        got.setdefault((r["tree"], r["leaf"]), {})[r["up"]] = r["msg"]
+    reach = {k: [v[i] for i in sorted(v)] for k, v in got.items()}
+    assert {k: v for k, v in reach.items() if k in want} == want
+    for top in (1, 3):
+        best = chat_trees.best_paths(messages, member, top)
+        chosen = {(r["tree"], r["leaf"]): r["rank"] for r in best.collect()}
+        for tree in (None, 1, 2, 3):
+            order = sorted((-sum(held[tree, m][5] or 0 for m in p), -len(p), leaf) for (t, leaf), p in reach.items() if t == tree)
+            assert [(tree, x[2]) for x in order[:top]] == sorted((k for k in chosen if k[0] == tree), key=chosen.get)
+    for r in chat_trees.format_paths(best).withColumn("turns", chat_trees.read_back(F.col("formatted"))).collect():
+        path = [held[r["tree"], m] for m in reach[r["tree"], r["leaf"]][::-1]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(m[3] or "", m[4] or "") for m in path]
+        assert len(r["loss"]) == sum(m[3] == "assistant" for m in path)
+
+
 # ---------------------------------------------------------------- all
 
 def test_clashing_columns(spark, docs):
