@@ -394,22 +394,26 @@ def q_toggle(spark, d):
 
 # ---------------------------------------------------------------- stored collections
 
-@query("""SELECT * FROM (VALUES ('T-2026-014', DATE '2026-09-18', 'High'), ('T-2026-021', DATE '2026-10-05', 'High'), ('T-2026-009', DATE '2026-08-30', 'Medium'),
+@query("""SELECT * FROM (VALUES
+       ('T-2026-014', DATE '2026-09-18', 'High'), ('T-2026-021', DATE '2026-10-05', 'High'), ('T-2026-009', DATE '2026-08-30', 'Medium'),
        ('T-2026-033', DATE '2026-09-12', 'Medium'), ('T-2026-041', DATE '2026-09-25', 'Low'), ('T-2026-018', DATE '2026-09-09', 'Medium'),
        ('T-2026-027', DATE '2026-10-03', 'High')) t(id, deadline_date, band)""")
 def q_stored_tenders(spark, d):
     return collections.load(spark, "tenders").select("id", "deadline_date", I.fit_band(F.lit("tender"), F.col("fit_score")).alias("band"))
 
 
-@query("""SELECT * FROM (VALUES ('P-2026-101', 'An architect', 6200000.0, 1), ('P-2026-114', 'An architect', 18500000.0, 1), ('P-2026-126', 'Not identified', 9800000.0, 0),
-       ('P-2026-133', 'An architect', 4100000.0, 0), ('P-2026-140', 'An architect', 22000000.0, 0), ('P-2026-152', 'An architect', 31400000.0, 0))
+@query("""SELECT id, architect, CAST(value_eur AS DOUBLE) AS value_eur, CAST(parties AS INTEGER) AS parties FROM (VALUES
+       ('P-2026-101', 'An architect', 6200000, 1), ('P-2026-114', 'An architect', 18500000, 1), ('P-2026-126', 'Not identified', 9800000, 0),
+       ('P-2026-133', 'An architect', 4100000, 0), ('P-2026-140', 'An architect', 22000000, 0), ('P-2026-152', 'An architect', 31400000, 0))
        t(id, architect, value_eur, parties)""")
 def q_stored_signals(spark, d):
-    rows = collections.load(spark, "planning_signals")
-    return rows.select("id", F.coalesce("architect", F.lit("Not identified")).alias("architect"), F.col("value_eur").cast("double").alias("value_eur"), F.size("other_parties").alias("parties"))
+    return collections.load(spark, "planning_signals").select(
+        "id", F.coalesce("architect", F.lit("Not identified")).alias("architect"), F.col("value_eur").cast("double").alias("value_eur"),
+        F.size("other_parties").alias("parties"),
+    )
 
 
-@query("SELECT 1 AS n, 26900.0 AS total, '€26 900,00' AS eur, '£23,134.00' AS gbp, '$29,321.00' AS usd")
+@query("""SELECT CAST(1 AS BIGINT) AS n, CAST(26900 AS DOUBLE) AS total, '€26 900,00' AS eur, '£23,134.00' AS gbp, '$29,321.00' AS usd""")
 def q_stored_totals(spark, d):
     recheck = R.count_where(collections.load(spark, "travel_plans"), F.col("status") == "Recheck required")
     total = collections.load(spark, "cost_breakdown").agg(F.sum("amount_eur").alias("total"))

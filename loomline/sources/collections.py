@@ -57,12 +57,16 @@ _REPORT = [(47, -4, "Measured", "Pass"), (46, -4, "Measured", "Pass"), (45, -5,
 
 def tenders(spark: SparkSession) -> DataFrame:
     rows = [
-        (i, f"Tender {k}", "A buyer", "Acoustics", "A place", day, system, score, band, status, "A scope", ["A reason"], ["A requirement"], [("Deadline", day)], ["A risk"], _SOURCE, "An analysis")
+        (
+            i, f"Tender {k}", "A buyer", "Acoustics", "A place", day, system, score, band, status, "A scope",
+            ["A reason"], ["A requirement"], [("Deadline", day)], ["A risk"], _SOURCE, "An analysis",
+        )
         for k, (i, system, score, band, status, day) in enumerate(_TENDERS)
     ]
     kinds = (
-        "id string, title string, buyer string, category string, location string, deadline string, source_system string, fit_score int, fit_band string, status string, scope string, "
-        "why_it_fits array<string>, mandatory_requirements array<string>, key_dates array<struct<label:string,date:string>>, risks array<string>, "
+        "id string, title string, buyer string, category string, location string, deadline string, source_system string, "
+        "fit_score int, fit_band string, status string, scope string, why_it_fits array<string>, "
+        "mandatory_requirements array<string>, key_dates array<struct<label:string,date:string>>, risks array<string>, "
         "source struct<name:string,meta:string,note:string>, analysis string"
     )
     return collection(spark, rows, kinds).withColumn("deadline_date", F.try_to_date("deadline", "d MMM yyyy"))
@@ -70,13 +74,17 @@ def tenders(spark: SparkSession) -> DataFrame:
 
 def planning_signals(spark: SparkSession) -> DataFrame:
     rows = [
-        (i, f"Project {k}", "A county", "A sector", "A stage", value, "A signal", score, band, status, "A trigger", "An applicant", "An agent" if agent else None, "An architect" if architect else None,
-         "A contractor" if contractor else None, [f"Party {n}" for n in range(others)], [("Decision", "Q1 2027")], _SOURCE, "An analysis")
+        (
+            i, f"Project {k}", "A county", "A sector", "A stage", value, "A signal", score, band, status, "A trigger", "An applicant",
+            "An agent" if agent else None, "An architect" if architect else None, "A contractor" if contractor else None,
+            [f"Party {n}" for n in range(others)], [("Decision", "Q1 2027")], _SOURCE, "An analysis",
+        )
         for k, (i, score, band, status, value, agent, architect, contractor, others) in enumerate(_SIGNALS)
     ]
     kinds = (
-        "id string, project string, county string, sector string, stage string, value string, signal_type string, fit_score int, fit_band string, status string, acoustic_trigger string, applicant string, "
-        "planning_agent string, architect string, main_contractor string, other_parties array<string>, key_dates array<struct<label:string,date:string>>, "
+        "id string, project string, county string, sector string, stage string, value string, signal_type string, fit_score int, "
+        "fit_band string, status string, acoustic_trigger string, applicant string, planning_agent string, architect string, "
+        "main_contractor string, other_parties array<string>, key_dates array<struct<label:string,date:string>>, "
         "source struct<name:string,meta:string,note:string>, analysis string"
     )
     return collection(spark, rows, kinds).withColumn("value_eur", S.parse_eur(F.col("value")))
@@ -84,12 +92,15 @@ def planning_signals(spark: SparkSession) -> DataFrame:
 
 def priority_leads(spark: SparkSession) -> DataFrame:
     rows = [
-        (f"0{k + 1}", f"Company {k}", "A city", "A sector", fit, intent, "A capacity", "A confidence", "not published", "310 ↑", ["A signal"], "A buyer", "An engineer", "An analysis")
+        (
+            f"0{k + 1}", f"Company {k}", "A city", "A sector", fit, intent, "A capacity", "A confidence", "not published", "310 ↑",
+            ["A signal"], "A buyer", "An engineer", "An analysis",
+        )
         for k, (fit, intent) in enumerate(_LEADS)
     ]
     return collection(
-        spark, rows, "rank string, name string, city string, sector string, fit int, intent int, capacity string, confidence string, revenue string, employees string, "
-        "signals array<string>, economic_buyer string, technical_buyer string, analysis string"
+        spark, rows, "rank string, name string, city string, sector string, fit int, intent int, capacity string, confidence string, "
+        "revenue string, employees string, signals array<string>, economic_buyer string, technical_buyer string, analysis string"
     )
 
 
@@ -137,7 +148,10 @@ def currency(spark: SparkSession) -> DataFrame:
 
 LOADERS = {
     f.__name__: f
-    for f in (tenders, planning_signals, priority_leads, funnel, cost_breakdown, bom_sheet, logistics_scenarios, engagements, travel_plans, report_rows, currency)
+    for f in (
+        tenders, planning_signals, priority_leads, funnel, cost_breakdown, bom_sheet, logistics_scenarios, engagements, travel_plans,
+        report_rows, currency,
+    )
 }
 
 

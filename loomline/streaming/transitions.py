@@ -41,11 +41,13 @@ def replay(events: DataFrame, moves: dict[tuple[str, str], str], start: str) ->
 
     ranges = events.select("key", "at", "event").repartitionByRange("key", "at").withColumn("part", F.spark_partition_id())
     inner = F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda e: e["event"])
-    folded = ranges.groupBy("key", "part").agg(inner.alias("events")).select(
-        "key", "part", F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*[F.aggregate("events", F.lit(s), step) for s in states])).alias("to")
-    )
-    maps = F.transform(F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to")))), lambda x: F.map_from_entries(x["to"]))
-    return folded.groupBy("key").agg(maps.alias("maps")).select("key", F.aggregate("maps", F.lit(start), lambda state, to: F.element_at(to, state)).alias("state"))
+    ends = F.array(*[F.aggregate("events", F.lit(s), step) for s in states])
+    to = F.map_from_arrays(F.array(*map(F.lit, states)), ends).alias("to")
+    folded = ranges.groupBy("key", "part").agg(inner.alias("events")).select("key", "part", to)
+    in_order = F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to"))))
+    maps = F.transform(in_order, lambda x: F.map_from_entries(x["to"]))
+    end = F.aggregate("maps", F.lit(start), lambda state, to: F.element_at(to, state))
+    return folded.groupBy("key").agg(maps.alias("maps")).select("key", end.alias("state"))
 
 
 def replay_stream(events: DataFrame, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
