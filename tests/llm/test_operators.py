@@ -870,6 +870,19 @@ def test_clashing_columns(spark, docs):
     assert found.columns == ["doc_id", "_spans", "n_words", "spans", "items"] and found.filter("_spans <> 'own spans'").count() == 0
 
 
+@pytest.mark.parametrize("master,made", [("local[4]", True), ("local-cluster[3,2,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_shared_folder_must_be_named_on_a_cluster(master, made):
+    from types import SimpleNamespace
+    from loomline.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
+    if made:
+        assert shared_dir(session).startswith("file:///") and shared_dir(session) == shared_dir(session)
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session)
+
+
 def test_scratch_tables_go(spark, docs, tmp_path):
     """What a run leaves are its results alone."""
     from pathlib import Path
