@@ -46,7 +46,7 @@ from .common import Scratch, WordHashes, mix, table
 #: A first word is dealt further beyond so many occurrences, or beyond this share of all tokens.
 HOT_COUNT, HOT_SHARE = 2_000_000, 1e-6
 #: Tokens in a block, and n-grams that a shard is meant to get.
-BLOCK_TOKENS, SHARD_GRAMS = 1_200_000, 1_200_000
+BLOCK_TOKENS, SHARD_GRAMS = 600_000, 1_200_000
 #: Buckets of the table of blocks (Spark allows 100,000); a bucket may hold many blocks, which are scored one by one.
 MOST_BUCKETS = 50_000
 #: Shards that a block asks directly.
