@@ -7,8 +7,10 @@ from .bpe_matrix import op6_bpe_matrix
 from .chat_trees import op10_chat_trees
 from .cover_tree import op3_cover_tree
 from .decontaminate import op9_decontaminate
+from .filter_audit import op11_filter_audit
 from .jaccard_join import op8_jaccard_join, op8_jaccard_links
 from .kk_sharding import op2_kk_sharding
+from .lexical_search import op13_lexical_search
 from .ngram_trie import op1_ngram_trie
 from .secret_ledger import RULES, op4_secret_ledger
 from .toxicity import op7_toxicity
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_jaccard_links": op8_jaccard_links,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +112,45 @@ _OP10 = f"""WITH
         CAST(sum(length('<s>[INST]  [/INST] </s>') + length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")})) AS BIGINT) AS formatted_chars
     FROM c GROUP BY conv_id"""
 
+_OP11 = """WITH
+    d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    m AS (SELECT doc_id, part, CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT)
+        + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > least, false) AS INT) AS mask FROM w),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+    v AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(f, b)),
+    o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits
+        FROM v p, v q, v r, v s, v u WHERE p.b + q.b + r.b + s.b + u.b = 31),
+    e AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS prior
+        FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+    r AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+        sum(n) FILTER (WHERE mask & bit = 0 AND mask & prior = 0) AS kept,
+        sum(n) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0) AS removed, sum(n) FILTER (WHERE mask & bit <> 0 AND mask & prior <> 0) AS redundant,
+        sum(n) FILTER (WHERE mask = bit) AS unique_fails, sum(good) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0) AS good_lost,
+        sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0) AS toxic_lost
+        FROM e, c GROUP BY part, filter_order, step)
+    SELECT part, filter_order, CAST(step AS INT) AS step, filter, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+        CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+_TERMS13 = f"""regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+_OP13 = f"""WITH
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS13} AS w FROM documents),
+    n AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+    g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+    tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+    i AS (SELECT DISTINCT item_id, unnest({_TERMS13}) AS t FROM benchmark),
+    w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t),
+    m AS (SELECT r, doc_id, 50 + (50 * n * docs) // terms AS m FROM n, g),
+    s AS (SELECT item_id, m.r, any_value(m.doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM i JOIN tf ON tf.t = i.t JOIN w ON w.t = i.t JOIN m ON m.r = tf.r GROUP BY item_id, m.r),
+    k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
 #: The others need a tokenizer, a fitted model, a heap or a hash that SQL lacks; they are tested against plain restatements.
 ORACLE_SQL: dict[str, str] = {
     "op3_cover_tree": _OP3,
@@ -116,4 +159,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_links": _OP8,
     "op9_decontaminate": _OP9,
     "op10_chat_trees": _OP10,
+    "op11_filter_audit": _OP11,
+    "op13_lexical_search": _OP13,
 }
