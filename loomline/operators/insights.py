@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators import ranges
+from loomline.sources.scratch import Given, Scratch
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -28,9 +31,10 @@ def closing_within(rows: DataFrame, deadline: Column, as_of: Column, days: int =
     return rows.filter((left >= 0) & (left <= days))
 
 
-def ranked(rows: DataFrame, score: str, key: str, within: list[str], name: str = "rank") -> DataFrame:
-    """Rank by falling score within a group, ties by key."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), key)))
+def ranked(rows: DataFrame, score: str, key: str, within: list[str], name: str = "rank", scratch: Scratch | None = None) -> DataFrame:
+    """Rank by falling score within a group (null scores last), ties by key; a large group spreads over ranges."""
+    out = ranges.numbered(rows, [F.desc(score), F.col(key)], name, within, scratch)
+    return out.withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def fit_band(source: Column, score: Column, rules: Rules = RULES) -> Column:
@@ -68,12 +72,17 @@ def verdict(method: Column, value: Column, rules: Rules = RULES) -> Column:
     return F.when((method == "Measured") & (value >= rules.criterion), "Pass").otherwise("Review")
 
 
-def fill_gaps(rows: DataFrame, value: str, group: list[str], order: str, name: str = "filled") -> DataFrame:
-    """A missing value is the mean of its nearest neighbours in order, or the one there is."""
-    back = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*group).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    before, after = F.last(value, True).over(back), F.first(value, True).over(on)
-    return rows.withColumn(name, F.coalesce(F.col(value), (before + after) / 2, before, after))
+def fill_gaps(rows: DataFrame, value: str, group: list[str], order: str, name: str = "filled", scratch: Scratch | None = None) -> DataFrame:
+    """A missing value is the mean of its nearest neighbours in order, or the one there is; a large group spreads over ranges."""
+    with Given(scratch, rows.sparkSession, "gaps") as run:
+        r = ranges.Ranges(rows, group, [F.col(order)], run, f"gaps-{name}")
+        own_before, back = ranges.last_known(r, F.col(value))
+        own_after, on = ranges.next_known(r, F.col(value))
+        back_name, on_name = ranges.fresh(r.rows, "back"), ranges.fresh(r.rows, "on")
+        out = r.carried(**{back_name: back, on_name: on})
+        before, after = F.coalesce(own_before, back_name), F.coalesce(own_after, on_name)
+        out = r.plain(out.withColumn(name, F.coalesce(F.col(value), (before + after) / 2, before, after)), name)
+        return out if scratch else run.settled(out)[0]
 
 
 def cost_rollup(rows: DataFrame, label: str, amount: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators import ranges
+from loomline.sources.scratch import Scratch
+
 
 def count_where(rows: DataFrame, condition: Column, name: str = "n") -> DataFrame:
     """One row: how many rows meet the condition."""
@@ -40,25 +43,9 @@ def nth_row(rows: DataFrame, place: int, *order: str | Column) -> DataFrame:
     return rows.orderBy(*order).offset(place).limit(1)
 
 
-#: Rows that one task numbers.
-PART_ROWS = 500_000
-
-
-def row_index(rows: DataFrame, key: str, name: str = "idx", parts: int | None = None) -> DataFrame:
-    """Number the rows from 0 by a numeric key that is unique.
-
-    The key's range is cut at its percentiles into ``parts`` (by default as many as give each about
-    PART_ROWS); each part is numbered on its own and shifted by the rows of the parts before, so no
-    task sorts a large table.
-    """
-    parts = parts or 1 + rows.count() // PART_ROWS
-    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(key))) if cuts else F.lit(0)
-    dealt = rows.withColumn("_part", part)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+def row_index(rows: DataFrame, key: str, name: str = "idx", scratch: Scratch | None = None) -> DataFrame:
+    """Number the rows from 0 by a key of any type that sorts; no task sorts a large table, see ``ranges``."""
+    return ranges.numbered(rows, [F.col(key)], name, scratch=scratch)
 
 
 def mark_last(rows: DataFrame, order: str, name: str = "is_last") -> DataFrame:

@@ -125,7 +125,7 @@ def q_row_index(spark, d):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders")
 def q_row_index_parts(spark, d):
-    return R.row_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", parts=8)
+    return R.row_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query("SELECT n_nationkey, lead(n_name) OVER (ORDER BY n_nationkey) IS NULL AS is_last FROM nation")
@@ -394,7 +394,19 @@ def q_toggle(spark, d):
 
 # ---------------------------------------------------------------- stored collections
 
-@query("""SELECT * FROM (VALUES
+#: Queries of the literal collections: they read no table, so they are tested but not registered.
+STORED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def stored(sql: str):
+    def add(f):
+        STORED[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@stored("""SELECT * FROM (VALUES
        ('T-2026-014', DATE '2026-09-18', 'High'), ('T-2026-021', DATE '2026-10-05', 'High'), ('T-2026-009', DATE '2026-08-30', 'Medium'),
        ('T-2026-033', DATE '2026-09-12', 'Medium'), ('T-2026-041', DATE '2026-09-25', 'Low'), ('T-2026-018', DATE '2026-09-09', 'Medium'),
        ('T-2026-027', DATE '2026-10-03', 'High')) t(id, deadline_date, band)""")
@@ -402,7 +414,7 @@ def q_stored_tenders(spark, d):
     return collections.load(spark, "tenders").select("id", "deadline_date", I.fit_band(F.lit("tender"), F.col("fit_score")).alias("band"))
 
 
-@query("""SELECT id, architect, CAST(value_eur AS DOUBLE) AS value_eur, CAST(parties AS INTEGER) AS parties FROM (VALUES
+@stored("""SELECT id, architect, CAST(value_eur AS DOUBLE) AS value_eur, CAST(parties AS INTEGER) AS parties FROM (VALUES
        ('P-2026-101', 'An architect', 6200000, 1), ('P-2026-114', 'An architect', 18500000, 1), ('P-2026-126', 'Not identified', 9800000, 0),
        ('P-2026-133', 'An architect', 4100000, 0), ('P-2026-140', 'An architect', 22000000, 0), ('P-2026-152', 'An architect', 31400000, 0))
        t(id, architect, value_eur, parties)""")
@@ -413,7 +425,7 @@ def q_stored_signals(spark, d):
     )
 
 
-@query("""SELECT CAST(1 AS BIGINT) AS n, CAST(26900 AS DOUBLE) AS total, '€26 900,00' AS eur, '£23,134.00' AS gbp, '$29,321.00' AS usd""")
+@stored("""SELECT CAST(1 AS BIGINT) AS n, CAST(26900 AS DOUBLE) AS total, '€26 900,00' AS eur, '£23,134.00' AS gbp, '$29,321.00' AS usd""")
 def q_stored_totals(spark, d):
     recheck = R.count_where(collections.load(spark, "travel_plans"), F.col("status") == "Recheck required")
     total = collections.load(spark, "cost_breakdown").agg(F.sum("amount_eur").alias("total"))

@@ -38,13 +38,14 @@ def setting(state: DataFrame, key: str, default: str) -> DataFrame:
 def with_setting(state: DataFrame, key: str, value: str) -> DataFrame:
     """The state with one key set."""
     new = state.sparkSession.createDataFrame([(key, value)], "key string, value string")
-    return state.filter(F.col("key") != key).unionByName(new)
+    return state.filter(~F.col("key").eqNullSafe(key)).unionByName(new)
 
 
 def write_state(state: DataFrame, folder: str) -> None:
     """Replace a small state table, as one file; ``state`` may be read from the very folder.
 
-    The new table is written beside the old one first, which goes only when that is whole.
+    The new table is written beside the old one first, which goes only when that is whole.  Where a
+    crash comes between, ``read_state`` finds the old one beside the folder.
     """
     spark = state.sparkSession
     beside = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
@@ -58,6 +59,18 @@ def write_state(state: DataFrame, folder: str) -> None:
     files.delete(path(f"{beside}.old"), True)
 
 
+def read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """A state table that ``write_state`` wrote; after a crash in the middle of it, the one before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path(folder)):
+        return spark.read.parquet(folder)
+    left = sorted((s.getModificationTime(), s.getPath().toString()) for s in files.globStatus(path(f"{folder.rstrip('/')}.*.old")) or [])
+    if not left:
+        raise FileNotFoundError(folder)
+    return spark.read.parquet(left[-1][1])
+
+
 def export_csv(rows: DataFrame, folder: str, columns: dict[str, Column | str]) -> None:
     """Columns under their headings, as CSV."""
     named = [(F.col(c) if isinstance(c, str) else c).alias(title) for title, c in columns.items()]

@@ -4,7 +4,7 @@ import ast
 from pathlib import Path
 
 import __spark_entry__
-from loomline.plans import catalogue
+from loomline.plans import catalogue, extensions  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
 

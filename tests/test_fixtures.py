@@ -83,7 +83,7 @@ def test_rows(spark):
     assert R.nth_row(rows, 9, "ord").count() == 0 and R.nth_row(rows, 1, "ord").first()["name"] == "b"
     extra = spark.createDataFrame([(7, "a", "x"), (8, "d", "x"), (9, "d", "x")], rows.schema)
     assert R.append_new(rows, extra, "name").count() == 4
-    numbered = R.row_index(spark.range(1000).select((F.col("id") * 3).alias("k")), "k", parts=7)
+    numbered = R.row_index(spark.range(1000).select((F.col("id") * 3).alias("k")), "k")
     assert [tuple(r) for r in numbered.orderBy("k").collect()] == [(3 * i, i) for i in range(1000)]
 
 

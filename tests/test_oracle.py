@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomline.plans import catalogue
+from loomline.plans import catalogue, extensions  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -30,9 +30,10 @@ def _sorted(rows, names):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted([*catalogue.QUERIES, *catalogue.STORED]))
 def test_query(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, str(SF))
-    want = duck.sql(catalogue.ORACLE_SQL[name])
+    run, sql = catalogue.STORED.get(name) or (catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
+    got = run(spark, str(SF))
+    want = duck.sql(sql)
     assert sorted(got.columns) == sorted(want.columns)
     assert _sorted([tuple(r) for r in got.collect()], got.columns) == _sorted(want.fetchall(), want.columns)
