@@ -12,6 +12,7 @@ gives no rows; columns of any name stay as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,7 @@ class Ranges:
         self.order = [*order, F.col(self.tie)]
         told = rows.withColumn(self.tie, F.monotonically_increasing_id())
         dealt = told.repartitionByRange(*[F.col(g) for g in group], *self.order).withColumn(self.part, F.spark_partition_id())
-        self.rows = scratch.write(dealt, name)
+        self.rows = scratch.write(dealt, f"{name}-{uuid.uuid4().hex[:8]}")
         self.columns = rows.columns
 
     def within(self) -> Window:
