@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +9,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.ranges import fresh
+from loomline.sources.scratch import Given, Scratch, shared_dir
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "Given", "HOT_SHARE", "MASK64", "Scratch", "WordHashes", "fresh", "in_slices", "join_with_hot", "mix", "shared_dir", "table"]
+
 MASK64 = (1 << 64) - 1
 
 
@@ -34,69 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- scratch tables
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only in local mode, where the setting is absent, a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    kept = getattr(spark.sparkContext, "_loomline_shared", None)
-    if kept is None:
-        kept = spark.sparkContext._loomline_shared = tempfile.mkdtemp(prefix="spark-")
-    return f"file://{kept}"
-
-
-class Scratch:
-    """Written tables of one operator run; they cut the lineage and outlive lost executors.
-
-    ``drop`` deletes them, once everything derived from them is written elsewhere; ``settled`` writes what a run
-    is for and deletes the rest.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex[:12]}"
-        self.tables: list[str] = []
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """A table that joins on ``key`` read without a shuffle."""
-        held = f"loomline_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(held)
-        self.tables.append(held)
-        return self.spark.table(held)
-
-    def remove(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def settled(self, *results: DataFrame) -> list[DataFrame]:
-        """The results as tables of their own, all other tables of this run deleted."""
-        own = Scratch(self.spark, "result")
-        held = [own.write(df, str(i)) for i, df in enumerate(results)]
-        self.drop()
-        return held
-
-    def drop(self) -> None:
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables = []
-        self.remove()
-
-
 # ---------------------------------------------------------------- joins
 
 #: A key is hot with more than this share of the rows, so there are at most 1/share hot keys.
@@ -120,16 +59,6 @@ def join_with_hot(left: DataFrame, right: DataFrame, key: str, copies: Column, t
     )
 
 
-# ---------------------------------------------------------------- columns
-
-def fresh(rows: DataFrame, name: str) -> str:
-    """A column name that ``rows`` does not have."""
-    taken = {c.lower() for c in rows.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 # ---------------------------------------------------------------- in tasks
 
 def in_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):

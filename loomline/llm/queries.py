@@ -13,6 +13,7 @@ from .kk_sharding import op2_kk_sharding
 from .lexical_search import op13_lexical_search
 from .ngram_trie import op1_ngram_trie
 from .secret_ledger import RULES, op4_secret_ledger
+from .source_mixing import op12_source_mixing
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_trees": op10_chat_trees,
     "op11_filter_audit": op11_filter_audit,
+    "op12_source_mixing": op12_source_mixing,
     "op13_lexical_search": op13_lexical_search,
 }
 
