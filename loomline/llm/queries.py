@@ -12,7 +12,7 @@ from .jaccard_join import op8_jaccard_join, op8_jaccard_links
 from .kk_sharding import op2_kk_sharding
 from .lexical_search import op13_lexical_search
 from .ngram_trie import op1_ngram_trie
-from .secret_ledger import RULES, op4_secret_ledger
+from .secret_ledger import RULES, op4_secret_history, op4_secret_ledger
 from .source_mixing import op12_source_mixing
 from .toxicity import op7_toxicity
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op2_kk_sharding": op2_kk_sharding,
     "op3_cover_tree": op3_cover_tree,
     "op4_secret_ledger": op4_secret_ledger,
+    "op4_secret_history": op4_secret_history,
     "op5_bpe_heap": op5_bpe_heap,
     "op6_bpe_matrix": op6_bpe_matrix,
     "op7_toxicity": op7_toxicity,
@@ -52,10 +53,15 @@ _OP3 = f"""WITH RECURSIVE
     FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN part ON part.a = vec_id"""
 
 
-def _op4() -> str:
+def _op4(history: bool = False) -> str:
+    """history: both versions of each document, with their commits."""
+    d = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
+    if history:
+        d = "SELECT doc_id, 1 AS commit, split_part(coalesce(text, ''), chr(10), 1) AS t FROM documents UNION ALL SELECT doc_id, 2, coalesce(text, '') FROM documents"
+    own = "doc_id, commit" if history else "doc_id"
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     one = [
-        f"""SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps,
+        f"""SELECT {own}, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps,
         regexp_extract_all(t, {quoted(r.pattern)}, 0) AS found, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS judged
         FROM d WHERE regexp_matches(t, {quoted(r.pattern)})"""
         for rank, r in enumerate(RULES)
@@ -63,17 +69,17 @@ def _op4() -> str:
     base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
     span = "kind || ':' || start || ':' || stop"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    return f"""WITH d AS ({d}),
     m AS ({" UNION ALL ".join(one)}),
     p AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
-    s AS (SELECT doc_id, kind, rank, least, length(judged[i]) AS n,
+    s AS (SELECT {own}, kind, rank, least, length(judged[i]) AS n,
         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS a, length(found[i]) AS w FROM p),
-    k AS (SELECT doc_id, kind, rank, CAST(a AS BIGINT) AS start, CAST(a + w AS BIGINT) AS stop FROM s WHERE n >= least),
-    g AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})) AS base,
-        string_agg({span}, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    k AS (SELECT {own}, kind, rank, CAST(a AS BIGINT) AS start, CAST(a + w AS BIGINT) AS stop FROM s WHERE n >= least),
+    g AS (SELECT {own}, {counts}, string_agg({span}, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})) AS base,
+        string_agg({span}, ',' ORDER BY start, rank) AS spans FROM k GROUP BY {own})
+    SELECT {', '.join('d.' + c for c in own.split(', '))}, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
-    FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+    FROM d LEFT JOIN g ON g.doc_id = d.doc_id{" AND g.commit = d.commit" * history}"""
 
 
 _OP8 = f"""WITH RECURSIVE
@@ -157,6 +163,7 @@ _OP13 = f"""WITH
 ORACLE_SQL: dict[str, str] = {
     "op3_cover_tree": _OP3,
     "op4_secret_ledger": _op4(),
+    "op4_secret_history": _op4(history=True),
     "op8_jaccard_join": _OP8,
     "op8_jaccard_links": _OP8,
     "op9_decontaminate": _OP9,

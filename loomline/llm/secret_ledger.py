@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_with_hot, table
+from .common import Given, Scratch, join_with_hot, table
 
 
 #: Spans that are broadcast to redact texts, and blobs that are broadcast to find their texts; beyond it a shuffled join does.
@@ -50,8 +50,9 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     # a run of hex digits is taken whole either way, so the length can stand in the pattern
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", base=False),
+    # bounded, so that neither Java's stack nor the time grows with a text of repeated beginnings
+    Rule("pem", r"-----BEGIN (?:[A-Z]{1,32} ){0,8}PRIVATE KEY-----", version=2, base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,256}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]+", version=2, base=False),
 )
 
 
@@ -64,12 +65,9 @@ def _hits(text: Column, todo: Column, rules: tuple[Rule, ...]) -> Column:
     found = []
     for r in rules:
         p = F.lit(r.pattern)
-        parts = F.struct(
-            F.lit(r.name).alias("rule"),
-            _lengths(F.split(text, r.pattern, -1)).alias("gaps"),
-            _lengths(F.regexp_extract_all(text, p, F.lit(0))).alias("matches"),
-            _lengths(F.regexp_extract_all(text, p, F.lit(r.group))).alias("groups"),
-        )
+        matches = _lengths(F.regexp_extract_all(text, p, F.lit(0)))
+        groups = _lengths(F.regexp_extract_all(text, p, F.lit(r.group))) if r.group else matches
+        parts = F.struct(F.lit(r.name).alias("rule"), _lengths(F.split(text, r.pattern, -1)).alias("gaps"), matches.alias("matches"), groups.alias("groups"))
         found.append(F.when(F.array_contains(todo, r.name) & F.regexp_like(text, p), parts))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
@@ -91,26 +89,45 @@ class Ledger:
 
     def update(self, versions: DataFrame, path_col: str = "path", text_col: str = "text", commit: int = 0) -> None:
         """Record the versions of one commit and scan what no earlier update has scanned."""
-        names = F.array(*[F.lit(r.name) for r in self.rules])
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        addressed = versions.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
-        asked = Scratch(self.spark, "todo")
-        if (scans := self._read("scans")) is None:
-            blobs = addressed.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", names)
-        else:
-            seen = scans.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-            todo = addressed.select("blob").distinct().join(seen, "blob", "left").select(
-                "blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
-            ).filter(F.size("todo") > 0)
-            todo = asked.write(todo, "blobs")
-            wanted = addressed.select("blob", "text").join(F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo, "blob")
-            blobs = wanted.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
-        self._append(blobs.select("blob", F.col("todo").alias("rules"), _hits(F.col("text"), F.col("todo"), self.rules).alias("hits")), "scans")
-        asked.drop()
+        addressed = self.scan(versions, text_col, F.col(path_col))
         batch = uuid.uuid4().hex
         self._append(addressed.select("path", "blob", F.lit(commit).alias("commit"), F.lit(batch).alias("batch")), "paths")
         self._append(self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(commit).alias("commit")), "commits")
 
+    def scan(self, versions: DataFrame, text_col: str = "text", path: Column | None = None) -> DataFrame:
+        """Scan contents for the rule versions that they were not scanned for, without recording paths: so a changed rule is brought to
+        versions of earlier commits.  Returns path, blob and text of the versions."""
+        names = F.array(*[F.lit(r.name) for r in self.rules])
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        addressed = versions.select((F.lit(None) if path is None else path).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+        with Scratch(self.spark, "todo") as asked:
+            digests = addressed.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
+            if (scans := self._read("scans")) is None:
+                todo = digests.withColumn("todo", names)
+            else:
+                seen = scans.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+                left = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
+                todo = digests.join(seen, "blob", "left").select("blob", "copies", left.alias("todo")).filter(F.size("todo") > 0)
+            self._append(self._scanned(addressed, asked.write(todo, "blobs"), scans is None, names), "scans")
+        return addressed
+
+    def _scanned(self, addressed: DataFrame, todo: DataFrame, whole: bool, names: Column) -> DataFrame:
+        """blob, rules, hits of the blobs of ``todo`` (the ``whole`` ledger is new: of all).
+
+        Where the blobs that several paths share are few, they are broadcast, and all others are scanned where they stand.
+        """
+        shared = todo.filter("copies > 1").drop("copies")
+        if whole and shared.count() <= BROADCAST_BLOBS:
+            held = F.broadcast(shared.select("blob"))
+            several = addressed.select("blob", "text").join(held, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+            blobs = addressed.select("blob", "text").join(held, "blob", "left_anti").unionByName(several).withColumn("todo", names)
+        else:
+            few = not whole and todo.count() <= BROADCAST_BLOBS
+            wanted = todo.drop("copies")
+            met = addressed.select("blob", "text").join(F.broadcast(wanted) if few else wanted, "blob")
+            blobs = met.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+        return blobs.select("blob", F.col("todo").alias("rules"), _hits(F.col("text"), F.col("todo"), self.rules).alias("hits"))
+
     def findings(self) -> DataFrame:
         """blob, kind, start, end (code points, end exclusive) of every kept match of the rules' current versions."""
         by_rule = lambda value: F.create_map(*[F.lit(x) for r in self.rules for x in (r.name, value(r))])[F.col("rule")]
@@ -139,7 +156,7 @@ class Ledger:
     def versions(self) -> DataFrame:
         """path, blob, commit of every version of the updates written whole."""
         whole = self._read("commits").select("batch")  # one row an update
-        return self._read("paths").join(F.broadcast(whole), "batch", "left_semi").select("path", "blob", "commit")
+        return self._read("paths").join(whole, "batch", "left_semi").select("path", "blob", "commit")
 
     def paths(self) -> DataFrame:
         """path, blob, commit of every recorded version, with the findings of its blob (null: none)."""
@@ -158,7 +175,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
 
     Spans that overlap are replaced as one.  ``n_chars``, where present, follows the new text.
     """
-    given, scratch = scratch, scratch or Scratch(docs.sparkSession, "redact")
+    with Given(scratch, docs.sparkSession, "redact") as run:
+        return _redacted(docs, id_col, text_col, run, scratch is None)
+
+
+def _redacted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, settle: bool) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name clashes
     text_at = names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
@@ -185,7 +206,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
     few = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] <= BROADCAST_SPANS  # few texts hold secrets
     copies = ledger.versions().groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
     right, total = (found, 0) if few else (found.join(copies, "blob"), docs.count())
-    if not given:
+    if settle:
         right = scratch.settled(right)[0]
     keyed = plain.withColumn("blob", blob)
     joined = keyed.join(F.broadcast(right), "blob", "left") if few else join_with_hot(keyed, right, "blob", F.col("copies"), total)
@@ -196,15 +217,35 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
     return out.toDF(*docs.columns)
 
 
-def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "secrets")
-    ledger = Ledger(spark, scratch.path("ledger"))
-    ledger.update(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+def _reported(paths: DataFrame) -> list[Column]:
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
     base = F.filter(found, lambda x: x["kind"].isin(*[r.kind for r in RULES if r.base]))
     n = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = ledger.paths().select(
-        F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"),
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"), "blob",
-    )
-    return scratch.settled(out)[0]
+    return [n("assign"), n("access"), n("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(found).alias("spans"), F.col("blob")]
+
+
+def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "secrets") as scratch:
+        ledger = Ledger(spark, scratch.path("ledger"))
+        ledger.update(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+        paths = ledger.paths()
+        return scratch.settled(paths.select(F.col("path").alias("doc_id"), *_reported(paths)))[0]
+
+
+#: What an earlier version of the ledger looked for.
+OLD_RULES = tuple(Rule(r.kind, r.pattern, r.group, r.least, r.version - 1, r.base) if r.kind == "pem" else r for r in RULES)
+
+
+def op4_secret_history(spark, sf_dir: str) -> DataFrame:
+    """All versions of all paths after two commits: drafts, of which there was the first line only, scanned with an older
+    version of one rule, and the documents; texts of one line are the same blob in both."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    drafts = docs.withColumn("text", F.substring_index("text", "\n", 1))
+    with Scratch(spark, "history") as scratch:
+        where = scratch.path("ledger")
+        Ledger(spark, where, OLD_RULES).update(drafts, commit=1)
+        ledger = Ledger(spark, where)
+        ledger.update(docs, commit=2)
+        ledger.scan(drafts)  # the changed rule, on contents that are in the drafts only
+        paths = ledger.paths()
+        return scratch.settled(paths.select(F.col("path").alias("doc_id"), "commit", *_reported(paths)))[0]
