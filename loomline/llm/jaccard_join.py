@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, fresh, in_slices, join_with_hot, mix, table
+from .common import Given, Scratch, WordHashes, fresh, in_slices, join_with_hot, mix, table
 from .components import connected_components
 
 #: Rows of one block in a tile; bits of a row's sketch.
@@ -393,14 +393,14 @@ def _count_links(percent: int):
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_shingles, n_links (other rows it links with) and component_id (smallest id reachable by links) of every row; ids are integers."""
-    run = scratch or Scratch(docs.sparkSession, "jaccard")
-    rows, classes = _classes(docs, width, percent, id_col, text_col, run)
-    joined = join_with_hot(rows, classes.drop("class", "members"), "set", F.col("copies"), rows.count())
-    out = joined.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
-    return out if scratch else run.settled(out)[0]
+    with Given(scratch, docs.sparkSession, "jaccard") as run:
+        rows, classes = _classes(docs, width, percent, id_col, text_col, run)
+        joined = join_with_hot(rows, classes.drop("class", "members"), "set", F.col("copies"), rows.count())
+        out = joined.select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        )
+        return out if scratch else run.settled(out)[0]
 
 
 def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -409,8 +409,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     matrix = scratch.write(texts.mapInArrow(_matrix(width, percent), _MATRIX), "matrix")
     sets = scratch.write(
         matrix.filter("n > 0").groupBy("set").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"),
-            F.first("sketch", True).alias("sketch"),
+            F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "told")).alias("at"), F.count(F.lit(1)).alias("copies"),
+            F.first("short").alias("short"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"),
         ),
         "sets",
     )
@@ -474,12 +474,18 @@ def _open_pairs(met: DataFrame, groups: DataFrame, known: DataFrame, percent: in
 
 
 def _fetch(width: int):
-    """Rows of text, set and other columns to those columns and grams, where the text has that set."""
+    """Rows of text, set, short and other columns to all but the first two and grams, where the text has that set; of repeated rows one a task."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, met = WordHashes(), set()
         for batch in batches:
-            for part, texts in in_slices(batch, 0, CHUNK_BYTES):
+            if len(met) > OFFERED_SETS:
+                met.clear()
+            new = []
+            for short in batch.column(2).to_pylist():
+                new.append(short not in met)
+                met.add(short)
+            for part, texts in in_slices(batch.filter(pa.array(new, pa.bool_())), 0, CHUNK_BYTES):
                 rows = _rows_of(texts, width, hashes)
                 same = pa.array([digest(r) == s for r, s in zip(rows, part.column(1).to_pylist())], pa.bool_())
                 grams = pa.array([r.tobytes() for r in rows], pa.binary())
@@ -488,6 +494,13 @@ def _fetch(width: int):
     return run
 
 
+def _held(texts: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """The texts of the wanted sets: each set names one row by id and hash, so rows that share an id are not met."""
+    wanted = wanted.withColumnsRenamed({"id": "at_id", "told": "at_told"})
+    met = F.col("id").eqNullSafe(F.col("at_id")) & F.col("told").eqNullSafe(F.col("at_told"))
+    return texts.join(F.broadcast(wanted) if few else wanted, met).select("text", "set", "short", *[c for c in wanted.columns if c not in ("at_id", "at_told", "set", "short")])
+
+
 def _links(texts: DataFrame, sets: DataFrame, groups: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """a, b, links: how many documents of other sets the set a links with in a tile, or (b not null) a link."""
     members = scratch.write(groups.withColumnRenamed("node", "short").join(sets, "short"), "group-members")
@@ -496,10 +509,9 @@ def _links(texts: DataFrame, sets: DataFrame, groups: DataFrame, width: int, per
     total = members.count()
     sized = join_with_hot(members, size.select("component", "size", parts.alias("parts")), "component", F.col("size"), total)
     part = F.pmod(F.xxhash64("short"), F.col("parts")).cast("int").alias("part")
-    wanted = sized.select("rep", "set", "component", "parts", part, "short", "copies", "n", "sketch")
-    held = texts.join(F.broadcast(wanted) if total <= BROADCAST_ROWS else wanted, texts["id"].eqNullSafe(wanted["rep"]))
-    kinds = "component long, parts int, part int, short long, copies long, n long, sketch binary"
-    fetched = held.select("text", "set", "component", "parts", "part", "short", "copies", "n", "sketch").mapInArrow(_fetch(width), f"{kinds}, grams binary")
+    wanted = sized.select("at.id", "at.told", "set", "short", "component", "parts", part, "copies", "n", "sketch")
+    kinds = "short long, component long, parts int, part int, copies long, n long, sketch binary"
+    fetched = _held(texts, wanted, total <= BROADCAST_ROWS).mapInArrow(_fetch(width), f"{kinds}, grams binary")
     dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = dealt.select(
         "component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"),
@@ -514,20 +526,20 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "
 
     Of rows without words, and of rows that repeat id and text, every wordless one and one of the repeats stays.
     """
-    run = scratch or Scratch(docs.sparkSession, "keep")
-    rows, classes = _classes(docs, width, percent, id_col, text_col, run)
-    several = classes.filter("members > 1")
-    named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count())
-    named = run.write(named.filter("class is not null").groupBy("class", "id", "told").agg(F.count(F.lit(1)).alias("repeats")), "named")
-    order = F.struct(F.col("id").isNull().alias("lost"), "id", "told")
-    best = named.groupBy("class").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
-    judged = run.write(
-        join_with_hot(named, best, "class", F.col("size"), named.count()).select("id", "told", "repeats", (order == F.col("best")).alias("stays")), "judged"
-    )
-    gone = judged.filter(~F.coalesce("stays", F.lit(False))).select("id", "told")
-    repeated = judged.filter("stays and repeats > 1").select("id", "told")
-    if not scratch:
-        gone, repeated = run.settled(gone, repeated)
+    with Given(scratch, docs.sparkSession, "keep") as run:
+        rows, classes = _classes(docs, width, percent, id_col, text_col, run)
+        several = classes.filter("members > 1")
+        named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count())
+        named = run.write(named.filter("class is not null").groupBy("class", "id", "told").agg(F.count(F.lit(1)).alias("repeats")), "named")
+        order = F.struct(F.col("id").isNull().alias("lost"), "id", "told")
+        best = named.groupBy("class").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+        judged = run.write(
+            join_with_hot(named, best, "class", F.col("size"), named.count()).select("id", "told", "repeats", (order == F.col("best")).alias("stays")), "judged"
+        )
+        gone = judged.filter(~F.coalesce("stays", F.lit(False))).select("id", "told")
+        repeated = judged.filter("stays and repeats > 1").select("id", "told")
+        if not scratch:
+            gone, repeated = run.settled(gone, repeated)
     told = fresh(docs, "told")
     marked = docs.withColumn(told, F.xxhash64(text_col))
 
