@@ -3,12 +3,16 @@
 Pre-tokens not met before are put in matrices of rows of like length, one id a byte, padded.  Each
 round looks up the rank of every adjacent pair in a hashed table, merges the leftmost pair of
 minimum rank in every row, and closes the gap; rows without a ranked pair leave the matrix.  Only
-the two pairs that a merge changes are looked up again.  In matrices wider than WIDE a row merges all
-its pairs of the minimum rank in one round, from left to right, wherever no pair with the merged id
-has a lower rank (as then they would be the next ones anyway), so that rounds do not grow with width.
+the two pairs that a merge changes are looked up again.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
-each; an empty table gives no rows; other columns stay (but for those named as the results).
+Rounds grow with a row's length, so a pre-token of more than WIDE bytes is cut into rows of SEGMENT
+bytes.  Ids side by side are those of the whole exactly if each two neighbours are what their own
+bytes are encoded to: the first merge across a border would be one of these two as well.  So the
+neighbours at each cut are encoded as a row; where that gives other ids, a window around the cut is,
+wider each round, until all its neighbours agree.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; very long texts and very long
+pre-tokens are encoded whole; repeated rows are encoded each; an empty table gives no rows; other columns stay (but for those named as the results).
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, in_slices, table
 
-#: Bytes from which a pre-token merges all pairs of a rank in one round.
-WIDE = 256
+#: Bytes beyond which a pre-token is cut into rows, and the bytes of these.
+WIDE, SEGMENT = 256, 64
 #: Pre-tokens remembered by a worker, and characters of text encoded at a time.
 REMEMBERED = 200_000
 CHUNK_CHARS = 1 << 20
@@ -45,10 +49,6 @@ class PairTable:
         size = 1 << self.bits
         self.keys, self.values = np.full(size, -1, dtype=np.int64), np.full(size, _NONE, dtype=np.int32)
         left, right, rank = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
-        # whether all pairs with an id on either side rank after the id itself
-        self.later = np.ones(max(ranks.values(), default=0) + 1, bool)
-        for side in (left, right):
-            self.later[side[rank < side]] = False
         keys = left << 32 | right
         at, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(todo):
@@ -95,23 +95,77 @@ class Encoder(dict):
         self.remembered = remembered
 
     def learn(self, words: set[str]) -> None:
-        """Encode pre-tokens and remember them, matrix by matrix."""
+        """Encode pre-tokens and remember them."""
+        raw = {w: w.encode() for w in words}
+        ids = self.rows({r for r in raw.values() if len(r) <= WIDE}) | self.segmented({r for r in raw.values() if len(r) > WIDE})
+        for w, r in raw.items():
+            self[w] = ids[r].tobytes()
+
+    def rows(self, texts: set[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of each text, matrix by matrix."""
         by_width: dict[int, list] = {}
-        for w in words:
-            raw = w.encode()
-            by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
+        for raw in texts:
+            by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(raw)
+        out: dict[bytes, np.ndarray] = {}
         for width, held in by_width.items():
-            if width > WIDE:
-                for w, raw in held:
-                    self[w] = self._wide(raw).tobytes()
-                continue
             step = max(1, (1 << 18) // width)
             for i in range(0, len(held), step):
-                self._matrix(held[i : i + step], width)
+                self._matrix(held[i : i + step], width, out)
+        return out
+
+    def segmented(self, texts: set[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of long texts, encoded in segments and mended at the cuts."""
+        cut = {t: [t[i : i + SEGMENT] for i in range(0, len(t), SEGMENT)] for t in texts}
+        known = self.rows({p for parts in cut.values() for p in parts})
+        ids = {t: np.concatenate([known[p] for p in parts]) for t, parts in cut.items()}
+        open_cuts = {t: np.cumsum([len(known[p]) for p in parts])[:-1].tolist() for t, parts in cut.items()}
+        agreed: set[tuple[int, int]] = set()
+        reach = 1
+        while any(open_cuts.values()):
+            met = {(int(ids[t][c - 1]), int(ids[t][c])) for t, cuts in open_cuts.items() for c in cuts} - agreed
+            told = self.rows({self.bytes_of[a] + self.bytes_of[b] for a, b in met})
+            agreed |= {(a, b) for a, b in met if told[self.bytes_of[a] + self.bytes_of[b]].tolist() == [a, b]}
+            windows: dict[bytes, list[tuple[int, int]]] = {}
+            for t, cuts in open_cuts.items():
+                now, end, rest = ids[t], 0, []
+                own = windows[t] = []
+                for c in cuts:
+                    if (int(now[c - 1]), int(now[c])) in agreed:
+                        continue
+                    lo, hi = max(0, c - reach), min(len(now), c + reach)
+                    if lo < end:  # in the window before, or overlapping it: the next round sees
+                        rest += [c] if c >= end else []
+                        continue
+                    own.append((lo, hi))
+                    end = hi
+                open_cuts[t] = rest
+            raw = lambda t, lo, hi: b"".join(map(self.bytes_of.__getitem__, ids[t][lo:hi].tolist()))
+            again = {t: [raw(t, lo, hi) for lo, hi in own] for t, own in windows.items()}
+            known = self.rows({r for own in again.values() for r in own})
+            for t, own in windows.items():
+                parts, cuts, at, n, rest = [], [], 0, 0, iter([*open_cuts[t], len(ids[t]) + 1])
+                later = next(rest)
+                for (lo, hi), r in zip([*own, (len(ids[t]), len(ids[t]))], [*again[t], b""]):
+                    while later < lo:
+                        cuts.append(n + later - at)
+                        later = next(rest)
+                    while later < hi:
+                        later = next(rest)
+                    n += lo - at
+                    parts.append(ids[t][at:lo])
+                    if r:
+                        cuts += [n] if lo else []
+                        parts.append(known[r])
+                        n += len(known[r])
+                        cuts += [n] if hi < len(ids[t]) else []
+                    at = hi
+                ids[t], open_cuts[t] = np.concatenate(parts), sorted(set(cuts))
+            reach *= 2
+        return ids
 
-    def _matrix(self, held: list[tuple[str, bytes]], width: int) -> None:
-        lengths = np.array([len(raw) for _, raw in held])
-        flat = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in held), dtype=np.uint8)]
+    def _matrix(self, held: list[bytes], width: int, out: dict[bytes, np.ndarray]) -> None:
+        lengths = np.array([len(raw) for raw in held])
+        flat = self.byte_ids[np.frombuffer(b"".join(held), dtype=np.uint8)]
         ids = np.full((len(held), width), -1, dtype=np.int32)
         ids[np.arange(width) < lengths[:, None]] = flat
         rank = np.full((len(held), width), _NONE, dtype=np.int32)
@@ -123,7 +177,8 @@ class Encoder(dict):
             at = rank.argmin(axis=1)  # the first of the least: the leftmost
             live = rank[np.arange(len(rows)), at] < _NONE
             if not live.all():
-                self._keep(held, rows[~live], ids[~live], lengths[~live])
+                for r, row, n in zip(rows[~live].tolist(), ids[~live], lengths[~live].tolist()):
+                    out[held[r]] = row[:n].copy()
                 rows, ids, rank, lengths, at = rows[live], ids[live], rank[live], lengths[live], at[live]
                 if not len(rows):
                     break
@@ -144,35 +199,6 @@ class Encoder(dict):
             has = at > 0
             rank[n[has], at[has] - 1] = self.pairs.rank(ids[n[has], at[has] - 1], merged[has])
 
-    def _wide(self, raw: bytes) -> np.ndarray:
-        """The same for one long row."""
-        ids = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
-        rank = self.pairs.rank(ids[:-1], ids[1:])
-        while len(rank) and (least := rank.min()) < _NONE:
-            at = np.flatnonzero(rank == least)
-            if self.pairs.later[least]:
-                # of pairs that overlap every second one, from the left of each run
-                run = np.cumsum(np.concatenate([[True], at[1:] != at[:-1] + 1]))
-                at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = least
-            stays = np.ones(len(ids), bool)
-            stays[at + 1] = False
-            ids = ids[stays]
-            rank = rank[stays[1:]] if len(ids) > 1 else rank[:0]
-            # pairs that begin at a merged symbol or end at it; a pair stands at its left symbol
-            now = np.flatnonzero(stays)
-            place = np.searchsorted(now, at)
-            changed = np.unique(np.concatenate([place, place - 1]))
-            changed = changed[(changed >= 0) & (changed < len(ids) - 1)]
-            rank[changed] = self.pairs.rank(ids[changed], ids[changed + 1])
-        return ids
-
-    def _keep(self, held, rows, ids, lengths) -> None:
-        for r, row, n in zip(rows.tolist(), ids, lengths.tolist()):
-            self[held[r][0]] = row[:n].tobytes()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; texts are taken in chunks so that matrices are filled well."""
         out: list[np.ndarray] = []
