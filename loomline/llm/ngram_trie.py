@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mix, table
+from .common import Given, Scratch, WordHashes, mix, table
 
 #: A first word is dealt further beyond so many occurrences, or beyond this share of all tokens.
 HOT_COUNT, HOT_SHARE = 2_000_000, 1e-6
@@ -272,6 +272,26 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_numbers(a: np.ndarray) -> bytes:
+    """Numbers of any size: in four bytes each where that holds them all, else in eight."""
+    kind = np.uint32 if not len(a) or a.max() <= 0xFFFFFFFF else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + _pack(a.astype(kind))
+
+
+def _unpack_numbers(raw: bytes) -> np.ndarray:
+    return _unpack(raw[1:], np.uint64 if raw[:1] == b"\x08" else np.uint32).astype(np.int64)
+
+
+def _below(above: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (above, word) pairs in order, and the place of each given pair; ``above`` has under 2^31 values."""
+    own, local = None, words
+    if len(words) and int(words.max()) >> 32:  # too large to stand beside the other in a key: by rank
+        own, local = np.unique(words, return_inverse=True)
+    nodes, of = np.unique(above << 32 | local, return_inverse=True)
+    word = nodes & 0xFFFFFFFF
+    return nodes >> 32, word if own is None else own[word], of
+
+
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     """Shards are equal ranges of keys, so sorting by key sorts by shard."""
     return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -394,7 +414,7 @@ def _answer_words(shards: int):
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, -total))] = np.arange(len(words))
         number = np.where(total > 0, rank * shards + shard + FIRST_WORD, 0)
-        out = [(b, shard, _pack(total[at].astype(np.uint64)), _pack(number[at].astype(np.uint32)), 0, 0) for b, at in zip(asked["block"], places)]
+        out = [(b, shard, _pack(total[at].astype(np.uint64)), _pack_numbers(number[at]), 0, 0) for b, at in zip(asked["block"], places)]
         out.append((-1, shard, b"", b"", int(total.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=_WORD_COLUMNS)
 
@@ -412,8 +432,8 @@ def _merge_words(shards: int):
 def _deal_words(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
     answered, part = answered.sort_values("part"), int(asked["part"].iloc[0])
     places, _, _ = _merged_words(asked)
-    counts, numbers = (np.concatenate([_unpack(x, kind) for x in answered[c]]) for c, kind in (("counts", np.uint64), ("numbers", np.uint32)))
-    return pd.DataFrame([(b, part, _pack(counts[at]), _pack(numbers[at]), 0, 0) for b, at in zip(asked["block"], places)], columns=_WORD_COLUMNS)
+    counts, numbers = np.concatenate([_unpack(x, np.uint64) for x in answered["counts"]]), np.concatenate([_unpack_numbers(x) for x in answered["numbers"]])
+    return pd.DataFrame([(b, part, _pack(counts[at]), _pack_numbers(numbers[at]), 0, 0) for b, at in zip(asked["block"], places)], columns=_WORD_COLUMNS)
 
 
 # ---------------------------------------------------------------- n-grams
@@ -425,7 +445,7 @@ class Grams:
         self.block, self.order, self.shards = Block(row), order, shards
         answers = sorted(row["words"], key=lambda a: a["part"])
         self.counts = self.block.by_token(np.concatenate([_unpack(a["counts"], np.uint64) for a in answers]).astype(np.int64))
-        self.numbers = self.block.by_token(np.concatenate([_unpack(a["numbers"], np.uint32) for a in answers]).astype(np.int64))
+        self.numbers = self.block.by_token(np.concatenate([_unpack_numbers(a["numbers"]) for a in answers]))
         b, pad = self.block, order
         # order - 1 starts before each text, order - 2 pads after it; every n-gram up to ``order`` begins a window
         padded = b.lengths + 2 * order - 3
@@ -452,17 +472,12 @@ class Grams:
         shard = _shard_of(dealt, shards).astype(np.int64)
         trains = np.repeat(~b.held_out, n)[self.asked]
         # nodes of each level, sorted; of: the node of each asked window
-        key, self.levels, self.of = shard << 40 | columns[0], [], []
-        for k in range(order):
-            nodes, of = np.unique(key, return_inverse=True)
+        nodes, of = np.unique(shard << 40 | columns[0], return_inverse=True)
+        self.shard, self.levels, self.of = nodes >> 40, [(nodes & (1 << 40) - 1, np.ones(len(nodes), np.int64))], [of]
+        for column in columns[1:]:
+            above, nodes, of = _below(of, column)
+            self.levels.append((nodes, np.bincount(above, minlength=len(self.levels[-1][0]))))
             self.of.append(of)
-            if k:
-                self.levels.append(((nodes & 0xFFFFFFFF), np.bincount(nodes >> 32, minlength=len(self.levels[-1][0]))))
-            else:
-                self.levels.append((nodes & (1 << 40) - 1, np.ones(len(nodes), np.int64)))
-                self.shard = nodes >> 40
-            if k + 1 < order:
-                key = of << 32 | columns[k + 1]
         self.gram_counts = np.bincount(of[trains], minlength=len(nodes))
         self.hot = np.zeros(len(self.levels[0][0]), bool)
         self.hot[self.of[0][self.hot_first]] = True
@@ -486,8 +501,8 @@ def _asks(block: int, shard: np.ndarray, shards: int, parts: int, words: list, k
         at = [slice(c[p], c[p + 1]) for c in cuts]
         out.append(
             (
-                p, block, _pack(shard[at[0]].astype(np.uint32)), [_pack(w[i].astype(np.uint32)) for w, i in zip(words, at)],
-                [_pack(k[i].astype(np.uint32)) for k, i in zip(kids, at)], _pack(counts[at[-1]].astype(np.uint32)), _pack(hot[at[0]].astype(np.uint8)),
+                p, block, _pack(shard[at[0]].astype(np.uint32)), [_pack_numbers(w[i]) for w, i in zip(words, at)],
+                [_pack(k[i].astype(np.uint32)) for k, i in zip(kids, at)], _pack_numbers(counts[at[-1]]), _pack(hot[at[0]].astype(np.uint8)),
             )
         )
     return _table(_ASKED, out)
@@ -497,7 +512,7 @@ class Merged:
     """The n-grams that several asks hold, once each: nodes of each level (above, word), and what they were asked as."""
 
     def __init__(self, asked: pd.DataFrame, order: int):
-        words = [[_unpack(w[k], np.uint32).astype(np.int64) for w in asked["words"]] for k in range(order)]
+        words = [[_unpack_numbers(w[k]) for w in asked["words"]] for k in range(order)]
         #: where each ask's nodes begin on each level; of: the merged node of each of them
         self.ends = [np.cumsum([0, *map(len, w)]) for w in words]
         words = [np.concatenate(w) for w in words]
@@ -508,10 +523,10 @@ class Merged:
         self.hot[of[np.concatenate([_unpack(h, np.uint8) for h in asked["hot"]]) > 0]] = True
         for k in range(1, order):
             above = np.repeat(of, np.concatenate([_unpack(x[k - 1], np.uint32) for x in asked["kids"]]))
-            nodes, of = np.unique(above << 32 | words[k], return_inverse=True)
-            self.levels.append((nodes >> 32, nodes & 0xFFFFFFFF))
+            above, nodes, of = _below(above, words[k])
+            self.levels.append((above, nodes))
             self.of.append(of)
-        self.counts = np.bincount(of, weights=np.concatenate([_unpack(x, np.uint32) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
+        self.counts = np.bincount(of, weights=np.concatenate([_unpack_numbers(x) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
 
     def each(self, codes: list[np.ndarray], levels: range) -> list[list[bytes]]:
         """For each ask, the codes of its nodes on these levels."""
@@ -642,8 +657,13 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
 
     ``order`` is 2 or more.  ``out`` tells the texts that are only scored (default: by a hash of the id); the others train.
     """
+    with Given(scratch, docs.sparkSession, "trie") as run:
+        found = _scored(docs, order, id_col, text_col, out, run)
+        return found if scratch else run.settled(found)[0]
+
+
+def _scored(docs: DataFrame, order: int, id_col: str, text_col: str, out: Column | None, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    given, scratch = scratch, scratch or Scratch(spark, "trie")
     out = held_out(F.col(id_col)) if out is None else out
     texts = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
@@ -668,8 +688,7 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     back = answered.repartition(buckets, "block")
     replies = back.groupBy("block").agg(F.collect_list(F.struct("part", "alpha", "gamma")).alias("answers"))
     scored = numbered.join(replies, "block", "left").mapInArrow(_score(spark.sparkContext.broadcast(kinds), n_words, *args), _SCORE)
-    out = scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    return out if given else scratch.settled(out)[0]
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _answers(blocks: DataFrame, route: tuple, kinds: tuple[str, str], shards: int, n_blocks: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
