@@ -4,14 +4,15 @@ Largest differencing method for k shards: every group begins as a partial partit
 (its size and k-1 zeros); the two partial partitions of largest spread are combined,
 oppositely ordered, until one is left.
 
-One task differences at most BLOCK_GROUPS of them.  More are first made fewer, in rounds: they are
+One task differences at most BLOCK_GROUPS of them (or three times what a block becomes, for very many shards).  More are first made fewer, in rounds: they are
 dealt by hash to blocks, and a task differences its block into bins of near equal size, which are the
 next round's groups: its larger groups into BINS large ones for each shard, others into as many an
 eighth of their size and as many an eighth of that.  So the next round has sizes to even out with, as
 it has in the groups that stay as they are: those that are large against a shard (of which there are
 few) and the DUST smallest of each block.  The last round is one differencing into the shards.
 
-Defined cases: a null text counts as empty (size 1) and is in the group of empty texts;
+Defined cases: a null text counts as empty (size 1) and is in the group of empty texts; a very long
+text is a group like others, which may be larger than a shard's share;
 repeated rows each get a slot of their own; an empty table gives no rows; other columns of the
 input are ignored; a null id is kept as a row.
 """
@@ -23,10 +24,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_with_hot, table
+from loomline.operators import ranges
+
+from .common import Given, Scratch, join_with_hot, table
 
 #: Groups differenced in one task; for each shard, bins of one size that a block becomes, and its smallest groups that stay.
 BLOCK_GROUPS, BINS, DUST = 50_000, 8, 32
@@ -88,8 +91,10 @@ def place(items: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
     """item, shard of groups (item, bytes)."""
     steps: list[DataFrame] = []
     n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    while n > BLOCK_GROUPS:
-        blocks = math.ceil(n / BLOCK_GROUPS)
+    # of a block at most a third stays as bins and dust, and under a seventh as large groups: every round leaves under half
+    most = max(BLOCK_GROUPS, 3 * (BINS * len(SHARES) + DUST) * n_shards)
+    while n > most:
+        blocks = math.ceil(n / most)
         large = F.col("bytes") * (8 * n_shards * blocks) > total  # fewer than 8 * n_shards * blocks of them
         block = F.pmod(F.xxhash64("item", F.lit(len(steps))), F.lit(blocks)).cast("int")
         binned = _differenced(BINS * n_shards, DUST * n_shards, SHARES)
@@ -100,9 +105,7 @@ def place(items: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
         bins = placed.filter("part is not null").groupBy(into.alias("item")).agg(F.sum("bytes").alias("bytes"))
         items = items.filter(large).unionByName(placed.filter("part is null").select("item", "bytes")).unionByName(bins)
         items = scratch.write(items.select("item", "bytes"), f"items{len(steps)}")
-        before, n = n, items.count()
-        if n > 0.9 * before:  # blocks so small that they hold little but dust: the last round takes them all
-            break
+        n = items.count()
     last = items.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(_differenced(n_shards, 0, (1,)), _PLACED)
     shards = scratch.write(last.select("item", F.col("part").alias("shard")), "last")
     for placed in reversed(steps):
@@ -113,7 +116,12 @@ def place(items: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, size, text_crc32, digest, shard and slot (gapless from 0 in each shard) of every row."""
-    given, scratch = scratch, scratch or Scratch(docs.sparkSession, "shards")
+    with Given(scratch, docs.sparkSession, "shards") as run:
+        out = _sharded(docs, n_shards, id_col, text_col, run)
+        return out if scratch else run.settled(out)[0]
+
+
+def _sharded(docs: DataFrame, n_shards: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = scratch.write(
         docs.select(
@@ -127,24 +135,8 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     placed = place(groups.select(F.col("digest").alias("item"), "bytes"), n_shards, scratch)
     shards = groups.select("digest", "copies").join(placed.withColumnRenamed("item", "digest"), "digest")
     with_shard = join_with_hot(sized, shards, "digest", F.col("copies"), total)
-    out = _slots(with_shard.select(id_col, "size", "text_crc32", "digest", "shard"), id_col, total, scratch)
-    return out if given else scratch.settled(out)[0]
-
-
-def _slots(rows: DataFrame, id_col: str, total: int, scratch: Scratch) -> DataFrame:
-    """Number the rows of each shard: within small buckets, plus the rows of the buckets before."""
-    buckets = min(8192, max(16, math.ceil(total / 20_000)))
-    rows = scratch.write(rows.withColumn("bucket", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(buckets)).cast("int")), "rows")
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").count().select(
-        "shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
-    )
-    own = Window.partitionBy("shard", "bucket").orderBy(id_col)
-    return (
-        rows.withColumn("at", F.row_number().over(own))
-        .join(F.broadcast(starts), ["shard", "bucket"])
-        .select(id_col, "size", "text_crc32", "digest", "shard", (F.col("start") + F.col("at") - 1).alias("slot"))
-    )
+    # a shard's rows are numbered over ranges of ids, so a null id, or one that repeats, spreads as others do
+    return ranges.numbered(with_shard.select(id_col, "size", "text_crc32", "digest", "shard"), [F.col(id_col)], "slot", ["shard"], scratch)
 
 
 def op2_kk_sharding(spark, sf_dir: str) -> DataFrame:
