@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, join_with_hot, table
+from .common import Given, Scratch, join_with_hot, table
 from .components import connected_components
 
 #: Points of a leaf; candidates of a net and nodes of a traversal that are looked at together.
@@ -292,7 +292,7 @@ class Regions:
         self.cell, self.level = stats["cell"].to_numpy(), stats["level"].to_numpy()
         self.near, self.far = stats["near"].to_numpy(), stats["far"].to_numpy()
         self.weight, self.first = stats["weight"].to_numpy(), stats["first"].to_numpy()
-        self.centres = pivots[self.cell]
+        self.pivots = pivots
         size, most = stats["size"].to_numpy(), group_points(pivots.shape[1])
         self.large = size * 2 >= most
         self.parts = np.where(self.large, -(-size // most), 1)
@@ -312,7 +312,7 @@ class Regions:
     def open_to(self, r: int, t: float) -> tuple[np.ndarray, np.ndarray]:
         """The regions from r on that are not pruned, and whether all pairs with them link."""
         rest = np.arange(r, len(self.cell))
-        between = np.linalg.norm(self.centres[rest] - self.centres[r], axis=1)
+        between = np.linalg.norm(self.pivots - self.pivots[self.cell[r]], axis=1)[self.cell[rest]]
         # |x - y| >= |p - q| - far - far; about one pivot, rings of it: >= near - far
         least = between - self.far[rest] - self.far[r]
         one = self.cell[rest] == self.cell[r]
@@ -415,8 +415,13 @@ def _label(rows: DataFrame, column: str):
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", scratch: Scratch | None = None) -> DataFrame:
     """id, n_links, component_id (smallest id reachable) and kept, for every row; ids are integers."""
+    with Given(scratch, rows.sparkSession, "vectors") as run:
+        found = _near_duplicates(rows, threshold, id_col, vector_col, label_col, run)
+        return found if scratch else run.settled(found)[0]
+
+
+def _near_duplicates(rows: DataFrame, threshold: float, id_col: str, vector_col: str, label_col: str, scratch: Scratch) -> DataFrame:
     spark = rows.sparkSession
-    given, scratch = scratch, scratch or Scratch(spark, "vectors")
     t = math.sqrt(2 - 2 * threshold)
     vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), _label(rows, label_col))
     keyed = scratch.write(vectors.mapInArrow(_keyed, "id long, label string, dim int, key binary, unit binary"), "keyed")
@@ -469,10 +474,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
         .join(n_links.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = join_with_hot(ids, by_key, "key", F.col("copies"), ids.count()).select(
+    return join_with_hot(ids, by_key, "key", F.col("copies"), ids.count()).select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     ).withColumn("kept", F.col(id_col) == F.col("component_id"))
-    return out if given else scratch.settled(out)[0]
 
 
 def _choose_pivots(keyed: DataFrame) -> dict[tuple[str, int], np.ndarray]:
