@@ -5,10 +5,10 @@ that every task holds; the words of the training texts pass by as rolling window
 hit is verified word by word; hit documents or spans are removed.  Words are runs of letters and
 digits after lower-casing A-Z.  The set is flat arrays, at most SET_BYTES for each byte of item
 text and a megabyte besides, and is built from at most ITEM_BYTES of item texts at a time: beyond that the items are dealt
-to groups (long ones in pieces that overlap by a window less a word), and each row is scanned for
-one group after another, adding to the hits it has.
+to groups (long ones in pieces that overlap by a window less a word); the texts are written once and read
+once a group, and what the groups find in a row is put together by the row's number.
 
-Defined cases: a null text has no words and is clean; an item that is null or has no words never
+Defined cases: a null text has no words and is clean; a very long one is scanned whole, its words in memory; an item that is null or has no words never
 hits; repeated rows are judged one by one; empty tables give no hits; other columns stay, whatever
 their names: a kept column named as one of the results gets an underscore before it in ``scan``.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, in_slices, table
+from .common import Scratch, WordHashes, fresh, in_slices, table
 
 WIDTH = 13
 #: Bytes of item texts whose windows are broadcast at a time, and bytes of the set for one of them at most.
@@ -159,11 +159,10 @@ _KINDS = "n_words long, spans array<array<long>>, items array<string>"
 
 
 def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int) -> DataFrame:
-    """Rows with n_words, spans and items, merged with those of earlier groups where the rows have them already."""
+    """The first ``n_keep`` columns of the rows with n_words, spans and items."""
     held = WindowSet(items, width)
     shared = rows.sparkSession.sparkContext.broadcast(held)
     names = rows.columns[:n_keep]
-    later = len(rows.columns) > n_keep
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep])
 
     def run(batches):
@@ -171,9 +170,6 @@ def _scan_group(rows: DataFrame, n_keep: int, at: int, items: list, width: int)
         for batch in batches:
             for part, texts in in_slices(batch, at, CHUNK_BYTES):
                 found = list(scan_texts(shared.value, hashes, texts))
-                if later:
-                    before = zip(part.column(n_keep + 1).to_pylist(), part.column(n_keep + 2).to_pylist())
-                    found = [(n, _merge([*s, *spans]), sorted({*i, *names})) for (n, spans, names), (s, i) in zip(found, before)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:n_keep], pa.array([f[0] for f in found], pa.int64()),
@@ -237,15 +233,30 @@ def _scan(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
     n = len(rows.columns)
     if groups == 1:
         return _scan_group(rows, n, n - 1, [tuple(r) for r in items.collect()], width)
-    # one group after another over the same rows, each written, so that no task holds two groups
-    scratch = Scratch(rows.sparkSession, "decontaminate")
-    items = scratch.write(_split_long(items, ITEM_BYTES // 8, width).withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups))), "items")
-    for g in range(groups):
-        own = [tuple(r) for r in items.filter(F.col("part") == g).select("item", "text").collect()]
-        rows = scratch.write(_scan_group(rows, n, n - 1, own, width), f"group{g}")
-        if g:
-            scratch.remove(f"group{g - 1}")
-    return rows
+    # texts are written once with a number for each row; a group reads them and writes the rows that it hits (the first one
+    # all rows, without texts), and what the groups found is put together by number
+    with Scratch(rows.sparkSession, "decontaminate") as scratch:
+        items = scratch.write(_split_long(items, ITEM_BYTES // 8, width).withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups))), "items")
+        number = fresh(rows, "row")
+        told = scratch.write(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
+        found = None
+        for g in range(groups):
+            own = [tuple(r) for r in items.filter(F.col("part") == g).select("item", "text").collect()]
+            hits = _scan_group(told.select(number, rows.columns[-1]), 1, 1, own, width)
+            hits = scratch.write(hits.filter(F.size("spans") > 0) if g else hits, f"group{g}")
+            found = hits if found is None else found.unionByName(hits)
+        spans = F.array_sort(F.flatten(F.collect_list("spans")))  # by start, then by end
+        whole = found.groupBy(number).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        none = F.array().cast("array<array<bigint>>")
+
+        def put(done, s):
+            last = F.try_element_at(done, F.lit(-1))
+            joins = (F.size(done) > 0) & (s[0] <= F.try_element_at(last, F.lit(2)))
+            longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+            return F.when(joins, longer).otherwise(F.concat(done, F.array(s)))
+
+        whole = whole.withColumn("spans", F.aggregate("spans", none, put)).withColumn("items", F.array_sort(F.array_distinct("items")))
+        return scratch.settled(told.join(whole, number).select(*rows.columns, *_FOUND))[0]
 
 
 def n_hit():
