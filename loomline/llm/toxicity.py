@@ -3,8 +3,8 @@
 The inputs of a step are a word embedding and the mean embedding of the word's character 3- and
 4-grams (both hashed).  Windows of WINDOW words overlap by WINDOW - STRIDE and cover the whole
 text; a text scores as its highest window.  The network is fitted on the driver by
-backpropagation on all windows of at most ``per_class`` labelled documents a class (the documented
-bound of the fit; scoring has none).  The first passes take every window of a toxic document as
+backpropagation on all windows of at most ``per_class`` labelled documents and ``fit_bytes`` of text a class
+(the documented bounds of the fit; scoring has none).  The first passes take every window of a toxic document as
 toxic; later ones only its highest, since most windows of a toxic document hold nothing toxic, and of
 a clean document its highest few.  The cut between the classes is set on whole documents, by their
 highest windows.  The fitted network, some MB whatever the corpus, is broadcast.
@@ -18,14 +18,15 @@ lang, source and doc_id are no inputs.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, table
+from .common import Given, Scratch, in_slices, table
 
 WINDOW, STRIDE = 32, 24
 #: Windows of a clean document that the later passes of the fit learn from: those that score highest.
@@ -390,8 +391,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """Fit on labelled documents that are not held out: of each class the per_class first by a hash of the id."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
+          scratch: Scratch | None = None) -> Network | None:
+    """Fit on labelled documents that are not held out: of each class the first by a hash of the id, as many as ``per_class``
+    and ``fit_bytes`` of their texts allow (a text longer than all of that is not learnt from; scoring has no bound)."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(id_col).agg(F.max("toxic").cast("int").alias("y"))
@@ -399,15 +402,33 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     order = [F.xxhash64(id_col), F.col(id_col)]
     # at most twice per_class ids: a bounded side
     sample = known.filter("y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("y = 0").orderBy(*order).limit(per_class))
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col)
-    rows = rows.groupBy(id_col).agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")  # one text of a repeated id
-    got = sorted((r["y"], r["text"] or "") for r in rows.collect())
+    with Given(scratch, docs.sparkSession, "fit") as run:
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample.withColumnRenamed(id_col, "id")), "id")
+        rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))  # one text of a repeated id
+        rows = run.write(rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "sample")
+        # sizes of the sample, then the texts within the bound
+        upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+        taken = rows.select("id", "y", "size").filter(F.col("size") <= fit_bytes).withColumn("upto", upto).filter(F.col("upto") <= fit_bytes).select("id")
+        got = sorted((r["y"], r["text"] or "") for r in rows.join(F.broadcast(taken), "id").select("y", "text").collect())
     if len({y for y, _ in got}) < 2:
         return None
     order = np.random.default_rng(11).permutation(len(got))
     return fit([got[i] for i in order])
 
 
+def save(net: Network, spark, folder: str) -> None:
+    """The network as a table of one row, to score with in other sessions."""
+    held = io.BytesIO()
+    np.savez(held, hidden=net.hidden, embed=net.embed, word_buckets=net.word_buckets, char_buckets=net.char_buckets, **{f"p_{k}": v for k, v in net.p.items()})
+    spark.createDataFrame([(held.getvalue(),)], "network binary").coalesce(1).write.parquet(folder)
+
+
+def load(spark, folder: str) -> Network:
+    held = np.load(io.BytesIO(bytes(spark.read.parquet(folder).first()["network"])))
+    size = {k: int(held[k]) for k in ("hidden", "embed", "word_buckets", "char_buckets")}
+    return Network(**size, p={k[2:]: held[k] for k in held.files if k.startswith("p_")})
+
+
 def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1)."""
     if net is None:
