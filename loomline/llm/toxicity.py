@@ -391,7 +391,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text",
           scratch: Scratch | None = None) -> Network | None:
     """Fit on labelled documents that are not held out: of each class the first by a hash of the id, as many as ``per_class``
     and ``fit_bytes`` of their texts allow (a text longer than all of that is not learnt from; scoring has no bound)."""

@@ -115,9 +115,13 @@ def _grams(tokens, n):
     return [tuple(padded[i : i + n]) for i in range(len(tokens))]
 
 
-@pytest.mark.parametrize("order,hot,grams,fan", [(2, 2_000_000, 1_200_000, 1024), (3, 2_000_000, 1_200_000, 1024), (3, 3, 500, 1024), (4, 3, 500, 1024), (3, 3, 500, 2)])
-def test_language_model(spark, docs, monkeypatch, order, hot, grams, fan):
-    """Also with words that are dealt further by the next one, many shards and many blocks, and asks merged on the way."""
+@pytest.mark.parametrize(
+    "order,hot,grams,fan,first",
+    [(2, 2_000_000, 1_200_000, 1024, 16), (3, 2_000_000, 1_200_000, 1024, 16), (3, 3, 500, 1024, 16), (4, 3, 500, 1024, 16), (3, 3, 500, 2, 16), (3, 3, 500, 2, (1 << 32) - 40)],
+)
+def test_language_model(spark, docs, monkeypatch, order, hot, grams, fan, first):
+    """Also with words that are dealt further by the next one, many shards and many blocks, asks merged on the way, and numbers beyond 2^32."""
+    monkeypatch.setattr(ngram_trie, "FIRST_WORD", first)
     monkeypatch.setattr(ngram_trie, "HOT_COUNT", hot)
     monkeypatch.setattr(ngram_trie, "FAN_OUT", fan)
     monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", grams)
@@ -441,8 +445,10 @@ def test_encoding_of_long_words(spark, encoding, monkeypatch, wide):
     assert [enc.decode(x).decode() for x in got] == words
 
 
-def test_merges_of_any_ranks():
-    """All pairs of a rank in one round only where that is what one by one would give, whatever the ranks."""
+@pytest.mark.parametrize("segment", [1, 3, 8])
+def test_merges_of_any_ranks(monkeypatch, segment):
+    """Segments that are mended at the cuts give what merging one by one gives, whatever the ranks."""
+    monkeypatch.setattr(bpe_matrix, "SEGMENT", segment)
     rng = random.Random(16)
     for _ in range(60):
         tokens = [bytes([c]) for c in b"abc"] + list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(12)})
@@ -450,6 +456,7 @@ def test_merges_of_any_ranks():
         ranks = {t: i for i, t in enumerate(tokens)} | {bytes([b]): 1000 + b for b in range(256) if bytes([b]) not in tokens}
         enc = bpe_matrix.Encoder.__new__(bpe_matrix.Encoder)
         enc.pairs, enc.byte_ids = bpe_matrix.PairTable(ranks), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        enc.bytes_of = {r: t for t, r in ranks.items()}
         raw = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40)))
         parts = [raw[i : i + 1] for i in range(len(raw))]
         while True:
@@ -458,7 +465,7 @@ def test_merges_of_any_ranks():
                 break
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert enc._wide(raw).tolist() == [ranks[x] for x in parts]
+        assert enc.segmented({raw})[raw].tolist() == [ranks[x] for x in parts]
 
 
 def test_token_queries(spark, tmp_path, encoding):
