@@ -20,6 +20,7 @@ class Rules:
     band_floors: tuple[tuple[str, int, int], ...] = (("tender", 68, 79), ("planning", 55, 82))
     criterion: int = 45
     closing_days: int = 30
+    high_value_eur: int = 5_000_000
 
 
 RULES = Rules()
@@ -31,6 +32,39 @@ def closing_within(rows: DataFrame, deadline: Column, as_of: Column, days: int =
     return rows.filter((left >= 0) & (left <= days))
 
 
+#: The suggestions of the scans as predicates over opportunities with columns ``deadline``, ``band``, ``buyer``, ``architect``, ``status``,
+#: ``value_eur`` and ``text``; each takes the day as of which it is asked.  Their rules are proposals, as are those of ``Rules``.
+SUGGESTIONS = {
+    "closing in the next 30 days": lambda as_of: F.datediff("deadline", as_of).between(0, RULES.closing_days),
+    "strong fit": lambda as_of: F.col("band") == "High",
+    "public sector": lambda as_of: F.lower("buyer").rlike(r"(^|\W)(council|authority|department|university|hospital|public)(\W|$)"),
+    "planning, environmental noise or building acoustics": lambda as_of: mentions(F.col("text"), ["planning", "environmental noise", "building acoustics"]),
+    "architect has been identified": lambda as_of: F.coalesce(F.trim("architect"), F.lit("")) != "",
+    "granted with noise-related conditions": lambda as_of: (F.lower("status") == "granted") & mentions(F.col("text"), ["noise", "acoustic", "sound"]),
+    "high value": lambda as_of: F.col("value_eur") >= RULES.high_value_eur,
+}
+
+
+def suggested(rows: DataFrame, suggestion: str, as_of: Column) -> DataFrame:
+    """The rows that a suggestion asks for; a row without what it looks at is not among them; an unknown suggestion is an error."""
+    return rows.filter(F.coalesce(SUGGESTIONS[suggestion](as_of), F.lit(False)))
+
+
+def covering(rows: DataFrame, key: str, item: str, wanted: DataFrame) -> DataFrame:
+    """Relational division: the keys that have every item of ``wanted`` (one column), each once.
+
+    Pairs are made distinct where they are before they are shuffled, and only those of wanted items are counted, so a
+    key of many rows is a few counts.  Nothing wanted: every key.  Null keys and items are left out on both sides.
+    """
+    items = wanted.select(F.col(wanted.columns[0]).alias("item")).dropna().distinct()
+    pairs = rows.select(F.col(key).alias("key"), F.col(item).alias("item")).dropna(subset=["key"])
+    n = items.agg(F.count(F.lit(1)).alias("n"))  # one row
+    held = pairs.dropna().distinct().join(items, "item").groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    none = pairs.select("key").distinct().select("key", F.lit(0).cast("long").alias("held"))
+    most = held.unionByName(none).groupBy("key").agg(F.max("held").alias("held"))
+    return most.join(F.broadcast(n), F.col("held") == F.col("n")).select(F.col("key").alias(key))
+
+
 def ranked(rows: DataFrame, score: str, key: str, within: list[str], name: str = "rank", scratch: Scratch | None = None) -> DataFrame:
     """Rank by falling score within a group (null scores last), ties by key; a large group spreads over ranges."""
     out = ranges.numbered(rows, [F.desc(score), F.col(key)], name, within, scratch)

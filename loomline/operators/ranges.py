@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,12 @@ class Ranges:
         self.rows = scratch.write(dealt, f"{name}-{uuid.uuid4().hex[:8]}")
         self.columns = rows.columns
 
+    def again(self, rows: DataFrame, scratch: Scratch, name: str = "again") -> Ranges:
+        """The same ranges of rows that have been given further columns."""
+        out = copy(self)
+        out.rows = scratch.write(rows, f"{name}-{uuid.uuid4().hex[:8]}")
+        return out
+
     def within(self) -> Window:
         """The window of a group's rows in one range, in order."""
         return Window.partitionBy(self.part, *self.group).orderBy(*self.order)
@@ -89,6 +96,11 @@ def running_sum(rows: DataFrame, order: list[Column], value: str, name: str, gro
         return r.plain(out, name) if scratch else run.settled(r.plain(out, name))[0]
 
 
+def previous(r: Ranges, value: Column) -> tuple[Column, Step]:
+    """The value of the row before: in its range, and of the ranges before; it must not be null."""
+    return F.lag(value).over(r.within()), (F.max_by(value, F.struct(*r.order)), lambda c: F.last(c, True), False)
+
+
 def last_known(r: Ranges, value: Column) -> tuple[Column, Step]:
     """The last value that is not null up to this row: in its range, and of the ranges before."""
     own = F.last(value, True).over(r.within().rowsBetween(Window.unboundedPreceding, 0))

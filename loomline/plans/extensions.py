@@ -1,17 +1,20 @@
-"""Registered queries beyond the prototype: joins in time, percentiles, and round trips of its sinks.
-
-They extend it, none matches a behaviour of it, but for the round trips (settings and CSV export).
+"""Registered queries beyond the catalogue: round trips of the prototype's sinks, its scans by suggestion and its timers,
+and extensions that it has nothing of (joins in time, percentiles, sessions, dates of a precision, division).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomline.functions import dates
+from loomline.functions import scalars as S
+from loomline.operators import insights as I
 from loomline.operators import selection, timejoins
-from loomline.plans.catalogue import query
+from loomline.plans.catalogue import ORACLE_SQL, QUERIES, query
 from loomline.sources import stores
 from loomline.sources.scratch import Scratch
 from loomline.sources.stores import table
+from loomline.streaming import sessions, transitions
 
 
 @query("""WITH s AS (SELECT o_custkey AS c, l_shipdate AS at, l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -27,6 +30,11 @@ def q_asof_shipment(spark, d):
     return found.select("o_orderkey", *values.values())
 
 
+def _micros(at):
+    """Whole microseconds of a time without a zone."""
+    return F.unix_micros(F.to_timestamp_ltz(at.cast("string")))
+
+
 _SPAN = "SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 60000000) AS BIGINT) AS e FROM events"
 
 
@@ -34,7 +42,7 @@ _SPAN = "SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(
        FROM x a JOIN x b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s <= b.e AND b.s <= a.e""")
 def q_overlapping_events(spark, d):
     """Pairs of events of a user that overlap, an event lasting as many minutes as its value says."""
-    start = F.unix_micros(F.to_timestamp_ltz(F.col("ts").cast("string")))
+    start = _micros(F.col("ts"))
     events = table(spark, d, "events").select("event_id", "user_id", start.alias("s"), (start + F.round(F.col("value") * 60_000_000).cast("long")).alias("e"))
     span = (F.col("s"), F.col("e"))
     pairs = timejoins.overlaps(events, events, [("user_id", "user_id")], span, span).filter("left.event_id < right.event_id")
@@ -63,8 +71,6 @@ def q_length_percentiles(spark, d):
        o_orderpriority AS "Priority" FROM orders""")
 def q_csv_round_trip(spark, d):
     """All orders exported as CSV under their headings, with the amounts as text, and read back."""
-    from loomline.functions import scalars as S
-
     total = F.translate(F.format_number(F.col("o_totalprice").cast(S.MONEY), 2), ",.", " ,")
     where = Scratch(spark, "csv").path("orders")
     stores.export_csv(table(spark, d, "orders"), where, {"Order": "o_orderkey", "Total": F.concat(F.lit("€"), total), "Priority": "o_orderpriority"})
@@ -80,3 +86,105 @@ def q_setting_round_trip(spark, d):
     for key, value in (("NATION_7", "changed"), ("FRANCE", "new")):
         stores.write_state(stores.with_setting(stores.read_state(spark, where), key, value), where)
     return stores.read_state(spark, where)
+
+
+# ---------------------------------------------------------------- sessions and timers
+
+HOURS = 3_600_000_000
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+       f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= {6 * HOURS} THEN 0 ELSE 1 END AS new FROM e),
+       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM f)
+       SELECT user_id, min(t) AS session_start, max(t) AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def q_sessions(spark, d):
+    events = table(spark, d, "events").select("user_id", _micros(F.col("ts")).alias("t"))
+    return sessions.sessions(events, "user_id", "t", 6 * HOURS)
+
+
+def _timed(name: str, event: str, timers: dict[str, tuple[int, str]], moves: dict[tuple[str, str], str]) -> None:
+    """A scan that an event starts, that runs for its timer, and that is started anew only once it has ended."""
+    ((busy, (took, done)),) = timers.items()
+    starts = ", ".join(f"'{state}'" for state, e in moves if e == "run")
+    fired = f"(a.s = '{busy}' AND a.e + {took} <= x.e)"
+    now = f"(CASE WHEN {fired} THEN '{done}' ELSE a.s END)"
+    sql = f"""SELECT user_id, r.s AS state, r.e AS entered FROM (SELECT user_id, list_reduce(
+        list(struct_pack(s := CASE WHEN event_type = '{event}' THEN 'run' ELSE 'other' END, e := epoch_us(ts)) ORDER BY ts, event_id),
+        lambda a, x: CASE WHEN x.s = 'run' AND {now} IN ({starts}) THEN struct_pack(s := '{busy}', e := x.e)
+        ELSE struct_pack(s := {now}, e := CASE WHEN {fired} THEN a.e + {took} ELSE a.e END) END,
+        struct_pack(s := 'empty', e := CAST(NULL AS BIGINT))) AS r FROM events GROUP BY user_id)"""
+
+    def run(spark, d):
+        kind = F.when(F.col("event_type") == event, "run").otherwise("other")
+        events = table(spark, d, "events").select(F.col("user_id").alias("key"), _micros(F.col("ts")).alias("at"), kind.alias("event"))
+        return transitions.replay_timed(events, moves, "empty", timers).withColumnRenamed("key", "user_id")
+
+    run.__name__ = name
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+#: The moves of the machines without the event that tells the end: here a timer does.
+_timed("q_timed_scan", "click", transitions.SCAN_TIMERS, {k: v for k, v in transitions.SCAN.items() if k[1] == "run"})
+_timed("q_timed_long_research", "view", {"researching": (9 * HOURS, "results")}, {k: v for k, v in transitions.RESEARCH.items() if k[1] == "run"})
+
+
+# ---------------------------------------------------------------- suggestions, dates, division
+
+_TEXT = "lower(text)"
+_HAS = "regexp_matches(" + _TEXT + ", '(^|[^0-9a-z_])({})([^0-9a-z_]|$)')"
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS deadline, o_totalprice AS p, nullif(o_orderpriority, '4-NOT SPECIFIED') AS a FROM orders)
+       SELECT 'closing in the next 30 days' AS suggestion, id FROM o WHERE date_diff('day', DATE '1997-06-01', deadline) BETWEEN 0 AND 30
+       UNION ALL SELECT 'strong fit', id FROM o WHERE CAST(floor(p / 5000) AS INT) >= 79
+       UNION ALL SELECT 'architect has been identified', id FROM o WHERE a IS NOT NULL
+       UNION ALL SELECT 'high value', id FROM o WHERE p * 20 >= 5000000
+       UNION ALL SELECT 'planning, environmental noise or building acoustics', doc_id FROM documents WHERE """
+       + _HAS.format("planning|environmental noise|building acoustics"))
+def q_suggestions(spark, d):
+    """What each suggestion finds: orders stand for opportunities, documents for their texts."""
+    band = I.fit_band(F.lit("tender"), F.floor(F.col("o_totalprice") / 5000).cast("int"))
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("deadline"), band.alias("band"),
+        F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("architect"), (F.col("o_totalprice") * 20).alias("value_eur"),
+    )
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    as_of = F.lit("1997-06-01").cast("date")
+    found = lambda rows, name: I.suggested(rows, name, as_of).select(F.lit(name).alias("suggestion"), "id")
+    out = found(texts, "planning, environmental noise or building acoustics")
+    for name in ("closing in the next 30 days", "strong fit", "architect has been identified", "high value"):
+        out = out.unionByName(found(orders, name))
+    return out
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 AS form, o_orderpriority AS p FROM orders),
+       s AS (SELECT o_orderkey, CASE form WHEN 0 THEN strftime(d, '%-d %b %Y') WHEN 1 THEN strftime(d, '%b %Y') WHEN 2 THEN 'Q' || quarter(d) || ' ' || year(d)
+       WHEN 3 THEN CAST(year(d) AS VARCHAR) ELSE p END AS text,
+       CASE form WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d) WHEN 2 THEN date_trunc('quarter', d) WHEN 3 THEN date_trunc('year', d) END AS first_day,
+       CASE form WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 DAY WHEN 2 THEN date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY
+       WHEN 3 THEN date_trunc('year', d) + INTERVAL 1 YEAR - INTERVAL 1 DAY END AS last_day FROM o)
+       SELECT o_orderkey, text, CAST(first_day AS DATE) AS first_day, CAST(last_day AS DATE) AS last_day,
+       CASE WHEN last_day < DATE '1998-02-10' THEN true WHEN first_day >= DATE '1998-02-10' THEN false END AS early FROM s""")
+def q_date_precision(spark, d):
+    """Order dates written to the day, the month, the quarter or the year, or not as dates, and read back; whether they lie before a day."""
+    day, form = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
+    text = (
+        F.when(form == 0, F.date_format(day, "d MMM yyyy")).when(form == 1, F.date_format(day, "MMM yyyy"))
+        .when(form == 2, F.concat(F.lit("Q"), F.quarter(day), F.lit(" "), F.year(day))).when(form == 3, F.year(day).cast("string")).otherwise(F.col("o_orderpriority"))
+    )
+    spans = table(spark, d, "orders").select("o_orderkey", text.alias("text")).withColumn("span", dates.span_of(F.col("text")))
+    return spans.select(
+        "o_orderkey", "text", F.col("span.first").alias("first_day"), F.col("span.last").alias("last_day"),
+        dates.before(F.col("span"), dates.span_of(F.lit("10 Feb 1998"))).alias("early"),
+    )
+
+
+@query("""WITH w AS (SELECT DISTINCT p_type FROM part WHERE p_brand = 'Brand#7'),
+       h AS (SELECT DISTINCT l_suppkey, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN (FROM w))
+       SELECT s.l_suppkey FROM (SELECT DISTINCT l_suppkey FROM lineitem) s LEFT JOIN h ON h.l_suppkey = s.l_suppkey
+       GROUP BY s.l_suppkey HAVING count(h.p_type) = (SELECT count(*) FROM w)""")
+def q_covering_suppliers(spark, d):
+    """Suppliers that have sent every type of part that a brand has."""
+    part = table(spark, d, "part")
+    sent = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return I.covering(sent, "l_suppkey", "p_type", part.filter("p_brand = 'Brand#7'").select("p_type"))
