@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +29,16 @@ MACHINES = {
 }
 
 
-def replay(events: DataFrame, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+def replay(events: DataFrame, moves: dict[tuple[str, str], str], start: str, held: DataFrame | None = None) -> DataFrame:
     """key and its state after all its events (key, at, event) in order; no Python.
 
     The events are dealt by ranges of (key, at), so those of a frequent key spread over tasks.  What
     a key has in one range is folded to a map from state to state, and its few maps are applied in turn.
+    ``held``: key and state from which keys go on (others: ``start``).
     """
     table = F.create_map(*[F.lit(x) for (state, event), to in moves.items() for x in (f"{state}\n{event}", to)])
     states = sorted({start, *(s for s, _ in moves), *moves.values()})
+    start = F.lit(start)
 
     def step(state, event):
         return F.coalesce(F.try_element_at(table, F.concat(state, F.lit("\n"), event)), state)
@@ -49,23 +50,13 @@ def replay(events: DataFrame, moves: dict[tuple[str, str], str], start: str) ->
     folded = ranges.groupBy("key", "part").agg(inner.alias("events")).select("key", "part", to)
     in_order = F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to"))))
     maps = F.transform(in_order, lambda x: F.map_from_entries(x["to"]))
-    end = F.aggregate("maps", F.lit(start), lambda state, to: F.element_at(to, state))
-    return folded.groupBy("key").agg(maps.alias("maps")).select("key", end.alias("state"))
-
-
-def replay_stream(events: DataFrame, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """The same over a stream of events; each batch gives the new state of the keys it touched."""
-
-    def step(key, frames, held):
-        state = held.get[0] if held.exists else start
-        rows = pd.concat(list(frames)).sort_values("at")
-        for event in rows["event"]:
-            state = moves.get((state, event), state)
-        held.update((state,))
-        yield pd.DataFrame({"key": [key[0]], "state": [state]})
-
-    kind = events.schema["key"].dataType.simpleString()
-    return events.groupBy("key").applyInPandasWithState(step, f"key {kind}, state string", "state string", "update", "NoTimeout")
+    whole = folded.groupBy("key").agg(maps.alias("maps"))
+    if held is not None:
+        from_held = held.select(F.col("key").alias("held_key"), F.col("state").alias("held"))
+        whole = whole.join(from_held, F.col("key").eqNullSafe(F.col("held_key")), "left")
+        start = F.coalesce("held", start)
+    end = F.aggregate("maps", start, lambda state, to: F.element_at(to, state))
+    return whole.select("key", end.alias("state"))
 
 
 # ---------------------------------------------------------------- timers
@@ -162,8 +153,8 @@ def expired(states: DataFrame, timers: dict[str, tuple[int, str]], now: Column)
     return states
 
 
-class TimedStream:
-    """``replay_timed`` over a stream, for ``foreachBatch``: the states of a micro-batch are written by its number under ``folder``.
+class StateStream:
+    """``replay`` (or, with timers, ``replay_timed``) over a stream, for ``foreachBatch``: the states of a micro-batch are written by its number under ``folder``.
 
     No Python sees a row, and a key's events of a batch need not fit in a task.  A batch reads the states before it, so made again it
     replaces what it wrote.  Every ``COMPACT`` batches all states are written together, and older ones are not read any more.
@@ -172,8 +163,8 @@ class TimedStream:
 
     COMPACT = 16
 
-    def __init__(self, spark, folder: str, moves: dict[tuple[str, str], str], start: str, timers: dict[str, tuple[int, str]]):
-        self.spark, self.folder, self.moves, self.start, self.timers = spark, folder.rstrip("/"), moves, start, timers
+    def __init__(self, spark, folder: str, moves: dict[tuple[str, str], str], start: str, timers: dict[str, tuple[int, str]] | None = None):
+        self.spark, self.folder, self.moves, self.start, self.timers = spark, folder.rstrip("/"), moves, start, timers or {}
 
     def states(self, before: int | None = None) -> DataFrame | None:
         """key, state, entered after all batches (or those before one); null: there are none."""
@@ -190,13 +181,18 @@ class TimedStream:
     def take(self, rows: DataFrame, batch: int) -> None:
         """One micro-batch of (key, at, event)."""
         held = self.states(batch)
-        touched = rows.select("key").distinct()
-        going = None if held is None else held.join(touched, "key", "left_semi").filter("entered is not null")
-        if going is not None:  # not before what the key has met
-            met = going.select(F.col("key").alias("k"), "entered")
-            rows = rows.join(met, F.col("key") == F.col("k"), "left").withColumn("at", F.greatest("at", F.coalesce("entered", "at"))).select("key", "at", "event")
-        with Scratch(self.spark, "timed-batch") as run:
-            new = replay_timed(rows, self.moves, self.start, self.timers, going, run)
+        touched = rows.select("key").distinct().withColumnRenamed("key", "k")
+        same = F.col("key").eqNullSafe(F.col("k"))
+        going = None if held is None else held.join(touched, same, "left_semi")
+        with Scratch(self.spark, "state-batch") as run:
+            if not self.timers:
+                new = replay(rows, self.moves, self.start, going).withColumn("entered", F.lit(None).cast("long"))
+            else:
+                if going is not None:  # not before what the key has met
+                    going = going.filter("entered is not null")
+                    met = going.select(F.col("key").alias("k"), F.col("entered").alias("least"))
+                    rows = rows.join(met, same, "left").withColumn("at", F.greatest("at", F.coalesce("least", "at"))).select("key", "at", "event")
+                new = run.write(replay_timed(rows, self.moves, self.start, self.timers, going, run), "new")
             if batch % self.COMPACT == self.COMPACT - 1 and held is not None:
-                new = new.unionByName(held.join(new.select("key"), "key", "left_anti"))
+                new = new.unionByName(held.join(touched, same, "left_anti"))
             new.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")

@@ -1,6 +1,7 @@
 """Sessions, timers, dates of a precision, suggestions and division, against plain restatements."""
 
 import datetime
+import os
 import random
 
 import pytest
@@ -67,6 +68,7 @@ def test_sessions_of_a_stream(spark, tmp_path):
                 (tmp_path / "all").mkdir(exist_ok=True)
                 (source,) = (tmp_path / f"in/{i}").glob("part-*.parquet")
                 (tmp_path / f"all/{i}.parquet").write_bytes(source.read_bytes())
+                os.utime(tmp_path / f"all/{i}.parquet", (10**9 + i, 10**9 + i))  # the order of the micro-batches
         stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
         query = stream.writeStream.foreachBatch(kept.take).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination(120)
@@ -122,14 +124,15 @@ def test_timers(spark, many_ranges, span):  # noqa: F811
 
 def test_timers_of_a_stream(spark, tmp_path, monkeypatch):
     """Batch by batch, with one made again and all states written together at times: what one replay gives."""
-    monkeypatch.setattr(T.TimedStream, "COMPACT", 3)
+    monkeypatch.setattr(T.StateStream, "COMPACT", 3)
     rows = sorted(_events(500, 13, 20_000), key=lambda r: (r[1], r[2]))
     rows = [("old", 5, "run", "x"), *rows]
     parts = [rows[i : i + 100] for i in range(0, len(rows), 100)]
     for i, part in enumerate(parts):
         (tmp_path / "in").mkdir(exist_ok=True)
         spark.createDataFrame(part, KIND).toPandas().to_parquet(tmp_path / f"in/{i}.parquet")
-    kept = T.TimedStream(spark, f"file://{tmp_path}/kept", MOVES, "empty", TIMERS)
+        os.utime(tmp_path / f"in/{i}.parquet", (10**9 + i, 10**9 + i))
+    kept = T.StateStream(spark, f"file://{tmp_path}/kept", MOVES, "empty", TIMERS)
     stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").select("key", "at", "event")
     stream.writeStream.foreachBatch(kept.take).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(240)
     told = lambda: {r["key"]: (r["state"], r["entered"]) for r in kept.states().collect()}
