@@ -162,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rated = run.write(rated.withColumn("rate", F.when(F.col("size") > 0, rate(cap)).otherwise(0.0)).drop("lam", "scale"), "rated")
     copied = rounded(rated, cap, run)
     placed = ranges.numbered(rows, [F.col("told"), F.col("id")], "place", [*SOURCE, "size"], run)
-    held = placed.join(copied, [*SOURCE, "size"], "left")
+    held = placed.join(copied.hint("merge"), [*SOURCE, "size"], "left")  # cells grow with the corpus: never broadcast
     copies = F.expr("copies div n + if(place < copies % n, 1, 0)")
     out = held.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
