@@ -6,8 +6,9 @@ merges (and one for each special string the library would recognise), so no iden
 made.  Counts of pre-tokens are remembered in each worker up to a bound.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a pre-token of any length costs
-n log n; repeated rows are counted each; an empty table gives no rows; other columns stay
-(but for n_bytes and n_tokens, which are given anew).
+n log n; repeated rows are counted each; a special string inside a text (``<|endoftext|>``)
+is one token, as the library has it; an empty table gives no rows; other columns stay, whatever their
+names (but for n_bytes and n_tokens, which are given anew).
 """
 
 from __future__ import annotations

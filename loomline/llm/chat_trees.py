@@ -14,7 +14,7 @@ output and reading back removes exactly that backslash.  ``loss`` holds the span
 end exclusive) of the assistant texts in the output.
 
 Defined cases: null role or text: empty; a null tree (conv_id) is a tree like others, all its rows
-one; a parent that is missing makes a root; a null turn comes first; a table without rows gives none;
+one; very long texts are one value, as others are; a parent that is missing makes a root; a null turn comes first; a table without rows gives none;
 messages of a cycle reach no root and are left out; other columns are ignored, whatever their names.
 Rows of equal turn are ordered by role, then text; exact repeats are separate messages.  The text of
 one path is put together in one task, as it is one value.

@@ -23,7 +23,8 @@ successors begin (Elias-Fano), and quantised smoothed probabilities: alpha of th
 history.  A lookup walks down the levels and searches for the word between two pointers, relative to the
 history.  ``Trie.save`` and ``Trie.open`` keep a trie in a file that is mapped, not read.
 
-Defined cases: a null or empty text is one end token; with no training texts every count is 0;
+Defined cases: a null or empty text is one end token; a very long one is scored whole, in a block of its own,
+whose tokens (eight bytes each and a few arrays of as many) a task holds; with no training texts every count is 0;
 repeated rows count again; a null id trains; an empty table gives no rows; other columns are ignored.
 """
 

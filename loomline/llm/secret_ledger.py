@@ -9,7 +9,7 @@ and moves the texts only of blobs with a rule version that no earlier scan cover
 of the current versions of the ledger's rules, joined back to all paths that ever held the blob.
 Only DataFrame operations.
 
-Defined cases: a null text counts as empty; equal texts are one blob whatever their path; repeated
+Defined cases: a null text counts as empty; very long texts are scanned whole, in time that grows with their length; equal texts are one blob whatever their path; repeated
 rows are repeated paths, a null path is one too; an empty table adds nothing; other columns are
 ignored, and stay as they are in ``redact``, whatever their names.
 """
