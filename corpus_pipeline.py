@@ -9,7 +9,7 @@
 ``STAGES`` are called with the documents that the stage before left, written as Parquet and read
 again; ``run`` does so itself, and deletes what a stage was given once its result is written.
 
-Defined cases: a null or empty text is no copy of another and stays to the end, with no ids; of rows
+Defined cases: very long texts go through every stage whole; a null or empty text is no copy of another and stays to the end, with no ids; of rows
 that repeat id and text one stays; rows that repeat only an id are documents of their own; a null id
 stays and is never learnt from; an empty table gives no rows; other columns go through the stages as
 they are, whatever their names, but for those that the last stage itself names.
