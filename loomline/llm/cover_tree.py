@@ -18,7 +18,8 @@ their label and dimension only; equal vectors are one point with a weight.
 4. For every other pair of groups the two trees are descended at once: node pairs farther than t
    and both covering radii are pruned, node pairs within t are counted whole, and the leaves that
    remain are compared in double precision.  A pair of groups gives link counts and a spanning set
-   of links, never all pairs.
+   of links, never all pairs.  Pairs are dealt in tiles of groups by groups, so that a group is sent
+   once a tile and not once a pair.
 
 Pivots and the regions around them steer the cost, never the result.  They grow with the square
 root of the table; a sample that would pass PIVOT_BYTES is thinned.  Points without structure (far
@@ -50,6 +51,8 @@ from .components import connected_components
 LEAF, CHUNK = 32, 256
 #: Points and numbers of one group at most (a group is one task's work for a tree).
 GROUP, GROUP_VALUES = 2048, 1 << 20
+#: Groups on a side of a tile at most: a task holds twice as many, with their trees.
+SIDE = 8
 #: Bytes of pivots that are collected and broadcast at most.
 PIVOT_BYTES = 64 << 20
 #: Levels of halving radii around a pivot.
@@ -322,11 +325,11 @@ class Regions:
         return rest[keep], whole[keep]
 
 
-_MET = "label string, dim int, g long, h long, r long, s long"
+_MET = "label string, dim int, g long, h long, side long, r long, s long"
 
 
 def _meetings(regions, t: float):
-    """Rows label, dim, cell, level of regions: the pairs of groups they open, and the pairs of regions that link whole (r, s)."""
+    """Rows label, dim, cell, level of regions: the pairs of groups they open, with the groups on a side of a tile, and the pairs of regions that link whole (r, s)."""
 
     def run(frames):
         for f in frames:
@@ -335,14 +338,15 @@ def _meetings(regions, t: float):
                 held = regions.value[(label, int(dim))]
                 r = held.place[(cell, level)]
                 with_, whole = held.open_to(r, t)
-                out += [(label, dim, None, None, r, s) for s in with_[whole].tolist()]
+                out += [(label, dim, None, None, None, r, s) for s in with_[whole].tolist()]
+                side = tile_side(int(held.first_group[-1] + held.parts[-1]))
                 met = set()
                 for s in with_[~whole].tolist():
                     for g in range(held.first_group[r], held.first_group[r] + held.parts[r]):
                         met.update((min(g, h), max(g, h)) for h in range(held.first_group[s], held.first_group[s] + held.parts[s]))
-                out += [(label, dim, g, h, None, None) for g, h in sorted(met)]
-            frame = pd.DataFrame(out, columns=["label", "dim", "g", "h", "r", "s"])
-            yield frame.astype({"dim": "int32", "g": "Int64", "h": "Int64", "r": "Int64", "s": "Int64"})
+                out += [(label, dim, g, h, side, None, None) for g, h in sorted(met)]
+            frame = pd.DataFrame(out, columns=["label", "dim", "g", "h", "side", "r", "s"])
+            yield frame.astype({"dim": "int32", **dict.fromkeys(("g", "h", "side", "r", "s"), "Int64")})
 
     return run
 
@@ -377,30 +381,47 @@ def _pack(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], columns=["label", "dim", "g", "reps", "copies", "units", "nodes", "radii"])
 
 
-def _unpack(row: dict, side: str):
-    reps, copies = (np.frombuffer(row[f"{c}{side}"], np.int64) for c in ("reps", "copies"))
-    unit = np.frombuffer(row[f"units{side}"], np.float64).reshape(len(reps), -1)
-    tree = Tree(np.frombuffer(row[f"nodes{side}"], np.int32).reshape(4, -1), np.frombuffer(row[f"radii{side}"], np.float64))
+def tile_side(groups: int) -> int:
+    """Groups on a side of a tile, for a label of so many: each is sent once a tile, so about the square root of ``groups`` times up to SIDE."""
+    return min(SIDE, max(1, math.isqrt(groups) // 2))
+
+
+def _unpack(row: dict):
+    reps, copies = (np.frombuffer(row[c], np.int64) for c in ("reps", "copies"))
+    unit = np.frombuffer(row["units"], np.float64).reshape(len(reps), -1)
+    tree = Tree(np.frombuffer(row["nodes"], np.int32).reshape(4, -1), np.frombuffer(row["radii"], np.float64))
     return reps, copies, unit, tree
 
 
-def _tiles(threshold: float):
-    """Rows of two packed groups (the second null: the first with itself) to a, b, n: links counted at a, or a link."""
+_TILE = ("label", "dim", "first", "second")
 
-    def run(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                same = row["reps2"] is None
-                a, wx, x, tree = _unpack(row, "")
-                b, wy, y, other = (a, wx, x, tree) if same else _unpack(row, "2")
-                n_x, n_y, links = compare(tree, x, wx, other, y, wy, same, threshold)
+
+def _tiles(threshold: float):
+    """Packed groups sorted by tile, each with the groups there that it is to meet, to a, b, n: links counted at a, or a link."""
+
+    def meet(held: dict[int, tuple], partners: dict[int, list[int]]):
+        for g, others in partners.items():
+            a, wx, x, tree = held[g]
+            for h in others:
+                b, wy, y, other = held[h]
+                n_x, n_y, links = compare(tree, x, wx, other, y, wy, g == h, threshold)
                 some, more = np.flatnonzero(n_x), np.flatnonzero(n_y)
                 i, j = np.array(links, np.int64).reshape(-1, 2).T
                 ends = np.concatenate([a[some], b[more], a[i]]), np.concatenate([n_x[some], n_y[more], np.zeros(len(i), np.int64)])
                 to = pa.concat_arrays([pa.nulls(len(some) + len(more), pa.int64()), pa.array(b[j], pa.int64())])
                 yield pa.RecordBatch.from_arrays([pa.array(ends[0]), to, pa.array(ends[1])], names=["a", "b", "n"])
 
+    def run(batches):
+        tile, held, partners = None, {}, {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if (own := tuple(row[c] for c in _TILE)) != tile:
+                    yield from meet(held, partners)
+                    tile, held, partners = own, {}, {}
+                held[row["g"]], partners[row["g"]] = _unpack(row), row["partners"]
+        yield from meet(held, partners)
+
     return run
 
 
@@ -453,17 +474,19 @@ def _near_duplicates(rows: DataFrame, threshold: float, id_col: str, vector_col:
         "rep", "copies", "label", "dim", "unit", F.pmod(F.xxhash64("key"), F.col("groups")).alias("g")
     )
     numbers = lambda lo: F.explode(F.sequence(lo, F.col("groups") - 1))
-    pairs = counts.withColumn("g", numbers(F.lit(0).cast("long"))).withColumn("h", numbers(F.col("g"))).select("label", "dim", "g", "h")
+    own_side = F.least(F.lit(SIDE), F.greatest(F.lit(1), F.floor(F.floor(F.sqrt("groups")) / 2))).cast("long").alias("side")
+    pairs = counts.withColumn("g", numbers(F.lit(0).cast("long"))).withColumn("h", numbers(F.col("g"))).select("label", "dim", "g", "h", own_side)
 
     grouped = placed.filter("cell >= 0").mapInPandas(_grouped(regions), "rep long, copies long, label string, dim int, unit binary, g long, region long")
     all_groups = grouped.drop("region").unionByName(dealt)
     packed = scratch.write(all_groups.groupBy("label", "dim", "g").applyInPandas(_pack, _PACKED), "packed")
-    tiled = met.filter("g is not null").select("label", "dim", "g", "h").unionByName(pairs)
-    second = packed.select("label", "dim", F.col("g").alias("h"), *[F.col(c).alias(f"{c}2") for c in packed.columns[3:]])
-    tiles = tiled.filter("g < h").join(packed, ["label", "dim", "g"]).join(second, ["label", "dim", "h"])
-    alone = tiled.filter("g = h").join(packed, ["label", "dim", "g"])
-    names = ["label", "dim", "g", "h", *packed.columns[3:], *[f"{c}2" for c in packed.columns[3:]]]
-    work = tiles.select(*names).unionByName(alone.select(*names[:9]), allowMissingColumns=True)
+    tiled = met.filter("g is not null").select("label", "dim", "g", "h", "side").unionByName(pairs)
+    # tiles of side by side groups: at most side * side pairs each
+    by_tile = tiled.groupBy("label", "dim", F.expr("g div side").alias("first"), F.expr("h div side").alias("second")).agg(F.collect_list(F.struct("g", "h")).alias("pairs"))
+    there = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["g"], p["h"]))))
+    partners = F.transform(F.filter("pairs", lambda p: p["g"] == F.col("g")), lambda p: p["h"])
+    sent = by_tile.withColumn("g", F.explode(there)).select(*_TILE, "g", partners.alias("partners"))
+    work = sent.join(packed, ["label", "dim", "g"]).select(*_TILE, "g", "partners", *packed.columns[3:]).repartition(*_TILE).sortWithinPartitions(*_TILE, "g")
     compared = work.mapInArrow(_tiles(threshold), "a long, b long, n long")
 
     found = scratch.write(compared.unionByName(_whole(met, grouped, by_label)), "found")
