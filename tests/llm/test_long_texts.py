@@ -64,10 +64,11 @@ def test_tokens_of_long_texts(docs):
 
 
 def test_all_operators_on_long_texts(spark, docs, tmp_path):
+    docs = docs.filter("doc_id in (0, 2, 13, 14, 17, 22, 900, 901)")  # one of each kind, a megabyte each
     n = docs.count()
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "w " * 30), (2, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    toxic = [(i, 1, int(i % 2 == 0)) for i in (2, 3, 901)]
+    toxic = [(i, 1, int(i % 2 == 0)) for i in (2, 13, 901)]
     spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "<s>[INST] " * 100_000), (2, 0, "user", None)], "conv_id long, turn int, role string, text string")
     rows.write.parquet(str(tmp_path / "conversations.parquet"))
