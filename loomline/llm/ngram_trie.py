@@ -23,6 +23,10 @@ successors begin (Elias-Fano), and quantised smoothed probabilities: alpha of th
 history.  A lookup walks down the levels and searches for the word between two pointers, relative to the
 history.  ``Trie.save`` and ``Trie.open`` keep a trie in a file that is mapped, not read.
 
+``score`` learns and scores one table at once and keeps nothing.  ``learn`` keeps the shards' words and tries as
+tables in a folder; its ``Model`` scores any table from them, in any later session, whatever executors are lost.
+There a shard answers from what it keeps, and no n-gram is counted again.
+
 Defined cases: a null or empty text is one end token; a very long one is scored whole, in a block of its own,
 whose tokens (eight bytes each and a few arrays of as many) a task holds; with no training texts every count is 0;
 repeated rows count again; a null id trains; an empty table gives no rows; other columns are ignored.
@@ -39,7 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Given, Scratch, WordHashes, mix, table
@@ -152,6 +156,15 @@ def restore(code: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- a shard's trie
 
+#: Words of 64 bits in a row of a stored trie.
+PIECE_WORDS = 4 << 20
+
+
+def _mapped(size: int) -> np.ndarray:
+    """So many words of 64 bits of mapped memory."""
+    return np.frombuffer(mmap.mmap(-1, max(8, 8 * size)), np.uint64)[:size]
+
+
 class Level:
     """Nodes of one order: where the successors of each node above begin, the nodes, alpha and gamma codes."""
 
@@ -214,10 +227,26 @@ class Trie:
                 parts[1 + 4 * k + 2 + j] = padded.view(np.uint64)
         head = np.array([len(parts), len(grams), *(len(p) for p in parts)], np.uint64)
         size = len(head) + sum(map(len, parts))
-        buffer = np.frombuffer(mmap.mmap(-1, max(8, 8 * size)), np.uint64)[:size]
+        buffer = _mapped(size)
         np.concatenate([head, *parts], out=buffer)
         return cls(buffer)
 
+    def pieces(self) -> list[bytes]:
+        """The trie as pieces that fit into rows of a table."""
+        return [self.buffer[i : i + PIECE_WORDS].tobytes() for i in range(0, len(self.buffer), PIECE_WORDS)]
+
+    @classmethod
+    def of_pieces(cls, pieces: list[bytes]) -> Trie:
+        buffer, at = _mapped(sum(map(len, pieces)) // 8), 0
+        for piece in pieces:
+            buffer[at : at + len(piece) // 8] = np.frombuffer(piece, np.uint64)
+            at += len(piece) // 8
+        return cls(buffer)
+
+    @classmethod
+    def without_grams(cls, order: int) -> Trie:
+        return cls.build([np.zeros(0, np.int64)] * order, np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def save(self, path: str) -> None:
         self.buffer.tofile(path)
 
@@ -406,15 +435,20 @@ def _merged_words(asked: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np
     return np.split(at, np.cumsum([len(k) for k in keys])[:-1]), words, counts
 
 
+def _numbers(words: np.ndarray, counts: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """Of a shard's words, frequent ones first; 0: not in training."""
+    rank = np.empty(len(words), np.int64)
+    rank[np.lexsort((words, -counts))] = np.arange(len(words))
+    return np.where(counts > 0, rank * shards + shard + FIRST_WORD, 0)
+
+
 def _answer_words(shards: int):
     """The training count and number (0: not in training) of every word; block -1 carries the shard's tokens and words."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         shard = int(asked["part"].iloc[0])
         places, words, total = _merged_words(asked)
-        rank = np.empty(len(words), np.int64)
-        rank[np.lexsort((words, -total))] = np.arange(len(words))
-        number = np.where(total > 0, rank * shards + shard + FIRST_WORD, 0)
+        number = _numbers(words, total, shard, shards)
         out = [(b, shard, _pack(total[at].astype(np.uint64)), _pack_numbers(number[at]), 0, 0) for b, at in zip(asked["block"], places)]
         out.append((-1, shard, b"", b"", int(total.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=_WORD_COLUMNS)
@@ -422,6 +456,39 @@ def _answer_words(shards: int):
     return run
 
 
+_KEPT_WORDS = "part int, words binary, counts binary, numbers binary, n_tokens long, n_words long"
+_KEPT_WORD_COLUMNS = [x.split()[0] for x in _KEPT_WORDS.split(", ")]
+
+
+def _keep_words(shards: int):
+    """The words of a shard in order, with their counts and numbers."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        shard = int(asked["part"].iloc[0])
+        _, words, total = _merged_words(asked)
+        packed = _pack(total.astype(np.uint64)), _pack_numbers(_numbers(words, total, shard, shards))
+        return pd.DataFrame([(shard, words.tobytes(), *packed, int(total.sum()), int((total > 0).sum()))], columns=_KEPT_WORD_COLUMNS)
+
+    return run
+
+
+def _look_up_words(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """The answers of a shard that keeps its words; 0 for others."""
+    if asked.empty:
+        return pd.DataFrame(columns=_WORD_COLUMNS)
+    places, words, _ = _merged_words(asked)
+    counts, numbers = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for row in kept.to_dict("records"):
+        own = np.frombuffer(row["words"], np.uint64)
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        there = own[at] == words
+        counts[there] = _unpack(row["counts"], np.uint64)[at[there]]
+        numbers[there] = _unpack_numbers(row["numbers"])[at[there]]
+    part = int(asked["part"].iloc[0])
+    rows = [(b, part, _pack(counts[at].astype(np.uint64)), _pack_numbers(numbers[at]), 0, 0) for b, at in zip(asked["block"], places)]
+    return pd.DataFrame(rows, columns=_WORD_COLUMNS)
+
+
 def _merge_words(shards: int):
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         _, words, counts = _merged_words(asked)
@@ -539,35 +606,72 @@ _ANSWERED = "block long, part int, alpha array<binary>, gamma array<binary>, hot
 _ANSWER_COLUMNS = [x.split()[0] for x in _ANSWERED.split(", ")]
 
 
+def _trained(m: Merged) -> tuple[Trie, np.ndarray, np.ndarray]:
+    """The trie of the training n-grams; its first words that are dealt further, and how many different ones follow them here."""
+    trained = np.flatnonzero(m.counts)
+    grams, at = [], trained
+    for above, numbers in reversed(m.levels):
+        grams.insert(0, numbers[at])
+        at = above[at]
+    hot = m.levels[0][1][m.hot]
+    trie = Trie.build(grams, m.counts[trained], hot)
+    root = trie.children(0, np.zeros(len(hot), np.int64), trie.ranks(hot))
+    hot, root = hot[root >= 0], root[root >= 0]
+    kinds = trie.levels[1].pointers.get(root + 1) - trie.levels[1].pointers.get(root) if len(hot) else np.zeros(0, np.uint64)
+    return trie, hot.astype(np.int64), kinds.astype(np.int64)
+
+
+def _look_up(trie: Trie, m: Merged, asked: pd.DataFrame, order: int) -> list[tuple]:
+    """The trie's codes of all asked n-grams, for each ask."""
+    part, alpha, gamma, found = int(asked["part"].iloc[0]), [], [], np.zeros(1, np.int64)
+    for k, (above, numbers) in enumerate(m.levels):
+        found = trie.children(k, found[above], trie.ranks(numbers))
+        held = trie.levels[k]
+        alpha.append(np.append(held.alpha, np.uint16(0))[found])  # -1: the last, 0
+        gamma.append(np.append(held.gamma, np.uint16(0))[found])
+    return [(b, part, a, g, b"", b"") for b, a, g in zip(asked["block"], m.each(alpha[1:], range(1, order)), m.each(gamma[:-1], range(order - 1)))]
+
+
 def _answer_grams(order: int):
     """Builds the shard's trie of the training n-grams and looks all asked ones up in it."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        part, m = int(asked["part"].iloc[0]), Merged(asked, order)
-        trained = np.flatnonzero(m.counts)
-        grams, at = [], trained
-        for above, numbers in reversed(m.levels):
-            grams.insert(0, numbers[at])
-            at = above[at]
-        hot = m.levels[0][1][m.hot]
-        trie = Trie.build(grams, m.counts[trained], hot)
-        alpha, gamma, found = [], [], np.zeros(1, np.int64)
-        for k, (above, numbers) in enumerate(m.levels):
-            found = trie.children(k, found[above], trie.ranks(numbers))
-            held = trie.levels[k]
-            alpha.append(np.append(held.alpha, np.uint16(0))[found])  # -1: the last, 0
-            gamma.append(np.append(held.gamma, np.uint16(0))[found])
-        out = [(b, part, a, g, b"", b"") for b, a, g in zip(asked["block"], m.each(alpha[1:], range(1, order)), m.each(gamma[:-1], range(order - 1)))]
-        # of words that are dealt further, how many different ones follow them here
-        root = trie.children(0, np.zeros(len(hot), np.int64), trie.ranks(hot))
-        hot, root = hot[root >= 0], root[root >= 0]
-        kinds = trie.levels[1].pointers.get(root + 1) - trie.levels[1].pointers.get(root) if len(hot) else np.zeros(0, np.uint64)
-        out.append((-1, part, [], [], hot.astype(np.int64).tobytes(), kinds.astype(np.int64).tobytes()))
+        m = Merged(asked, order)
+        trie, hot, kinds = _trained(m)
+        out = _look_up(trie, m, asked, order)
+        out.append((-1, int(asked["part"].iloc[0]), [], [], hot.tobytes(), kinds.tobytes()))
         return pd.DataFrame(out, columns=_ANSWER_COLUMNS)
 
     return run
 
 
+_KEPT_TRIE = "part int, piece int, trie binary, hot_words binary, hot_kinds binary"
+_KEPT_TRIE_COLUMNS = [x.split()[0] for x in _KEPT_TRIE.split(", ")]
+
+
+def _keep_grams(order: int):
+    """The shard's trie in pieces; what is told of hot words stands beside the first."""
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        trie, hot, kinds = _trained(Merged(asked, order))
+        part, told = int(asked["part"].iloc[0]), (hot.tobytes(), kinds.tobytes())
+        return pd.DataFrame([(part, i, x, *(told if i == 0 else (b"", b""))) for i, x in enumerate(trie.pieces())], columns=_KEPT_TRIE_COLUMNS)
+
+    return run
+
+
+def _look_up_grams(order: int):
+    """The answers of a shard that keeps its trie, or that has none."""
+
+    def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty:
+            return pd.DataFrame(columns=_ANSWER_COLUMNS)
+        trie = Trie.without_grams(order) if kept.empty else Trie.of_pieces(kept.sort_values("piece")["trie"].tolist())
+        return pd.DataFrame(_look_up(trie, Merged(asked, order), asked, order), columns=_ANSWER_COLUMNS)
+
+    return run
+
+
 def _merge_asks(order: int, shards: int):
     """The asks of a region's blocks for some shards, as one ask of the region for each shard."""
 
@@ -663,37 +767,120 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
         return found if scratch else run.settled(found)[0]
 
 
-def _scored(docs: DataFrame, order: int, id_col: str, text_col: str, out: Column | None, scratch: Scratch) -> DataFrame:
+def learn(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", scratch: Scratch | None = None) -> Model:
+    """A model of all texts, kept in ``folder``, which must not be there yet and must be one that all executors share.
+
+    Its totals are written last, so a folder that was left half written is no model.
+    """
     spark = docs.sparkSession
+    with Given(scratch, spark, "trie") as run:
+        texts = docs.select(F.lit(None).cast("long").alias("id"), F.lit(False).alias("held"), F.col(text_col).cast("string").alias("text"))
+        blocks, shards, buckets, n_texts = _in_blocks(texts, run)
+        word_shards = max(1, shards // 4)
+        asks, _ = _asks_to_shards(blocks, _ask_words(word_shards), _merge_words(word_shards), _WORDS_ASKED, word_shards, buckets, run, "words")
+        asks.groupBy("part").applyInPandas(_keep_words(word_shards), _KEPT_WORDS).write.parquet(f"{folder}/words")
+        words = spark.read.schema(_KEPT_WORDS).parquet(f"{folder}/words")
+        n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+        numbered = _numbered(blocks, buckets, word_shards, words, run)
+        asks, _ = _asks_to_shards(numbered, _ask_grams(order, shards, n_tokens, n_texts), _merge_asks(order, shards), _ASKED, shards, buckets, run, "grams")
+        asks.groupBy("part").applyInPandas(_keep_grams(order), _KEPT_TRIE).write.parquet(f"{folder}/tries")
+        totals = (order, shards, word_shards, n_texts, n_tokens, n_words)
+        spark.createDataFrame([totals], _TOTALS).coalesce(1).write.parquet(f"{folder}/totals")
+    return Model(spark, folder)
+
+
+_TOTALS = "order int, shards int, word_shards int, n_texts long, n_tokens long, n_words long"
+
+
+class Model:
+    """What ``learn`` kept in a folder: words by shard, tries by shard, totals."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.words = spark.read.schema(_KEPT_WORDS).parquet(f"{folder}/words")
+        self.tries = spark.read.schema(_KEPT_TRIE).parquet(f"{folder}/tries")
+        self.order, self.shards, self.word_shards, self.n_texts, self.n_tokens, self.n_words = spark.read.schema(_TOTALS).parquet(f"{folder}/totals").first()
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+        """id, n_tokens, n_known, train_tokens, base_score and score of every text; none is learned from."""
+        with Given(scratch, docs.sparkSession, "trie") as run:
+            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("held"), F.col(text_col).cast("string").alias("text"))
+            blocks, _, buckets, _ = _in_blocks(texts, run)
+            numbered = _numbered(blocks, buckets, self.word_shards, self.words, run)
+            args = (self.order, self.shards, self.n_tokens, self.n_texts)
+            route = (_ask_grams(*args), _look_up_grams(self.order), _merge_asks(self.order, self.shards), _deal_answers(self.order))
+            answered, _ = _answers(numbered, route, (_ASKED, _ANSWERED), self.shards, buckets, run, "answers", self.tries)
+            found = _sums(numbered, answered, buckets, _hot_kinds(self.tries), self.n_words, args)
+            out = found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(self.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            return out if scratch else run.settled(out)[0]
+
+
+def _scored(docs: DataFrame, order: int, id_col: str, text_col: str, out: Column | None, scratch: Scratch) -> DataFrame:
     out = held_out(F.col(id_col)) if out is None else out
     texts = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    tokens = size[0] // 6 + size[1]  # about
-    shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), min(MOST_BUCKETS, max(1, math.ceil(tokens / BLOCK_TOKENS)))
-    blocks = scratch.write_bucketed(texts.mapInArrow(_blocks, _BLOCK), "blocks", "block", buckets)
-    n_texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    blocks, shards, buckets, n_texts = _in_blocks(texts, scratch)
     word_shards = max(1, shards // 4)
     route = (_ask_words(word_shards), _answer_words(word_shards), _merge_words(word_shards), _deal_words)
     own, words = _answers(blocks, route, (_WORDS_ASKED, _WORDS), word_shards, buckets, scratch, "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    # dealt as the blocks are, so that neither the grouping nor the join deals them again
-    mine = own.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("words"))
-    numbered = blocks.join(mine, "block")
+    numbered = _with_words(blocks, own, buckets)
     args = (order, shards, n_tokens, n_texts)
     route = (_ask_grams(*args), _answer_grams(order), _merge_asks(order, shards), _deal_answers(order))
     answered, hot = _answers(numbered, route, (_ASKED, _ANSWERED), shards, buckets, scratch, "answers")
-    kinds: dict[int, int] = {}  # of at most 1 / HOT_SHARE words
+    scored = _sums(numbered, answered, buckets, _hot_kinds(hot), n_words, args)
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _in_blocks(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int, int]:
+    """The table of blocks, the shards that its n-grams want, its buckets, and how many texts train."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    tokens = size[0] // 6 + size[1]  # about
+    shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), min(MOST_BUCKETS, max(1, math.ceil(tokens / BLOCK_TOKENS)))
+    blocks = scratch.write_bucketed(texts.mapInArrow(_blocks, _BLOCK), "blocks", "block", buckets)
+    n_texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    return blocks, shards, buckets, n_texts
+
+
+def _with_words(blocks: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+    # dealt as the blocks are, so that neither the grouping nor the join deals them again
+    mine = answered.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("words"))
+    return blocks.join(mine, "block")
+
+
+def _numbered(blocks: DataFrame, buckets: int, word_shards: int, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """The blocks with what kept words tell of theirs."""
+    route = (_ask_words(word_shards), _look_up_words, _merge_words(word_shards), _deal_words)
+    return _with_words(blocks, _answers(blocks, route, (_WORDS_ASKED, _WORDS), word_shards, buckets, scratch, "numbers", words)[0], buckets)
+
+
+def _hot_kinds(hot: DataFrame) -> dict[int, int]:
+    """How many different words follow the words that are dealt further: at most 1 / HOT_SHARE words."""
+    kinds: dict[int, int] = {}
     for r in hot.filter("length(hot_words) > 0").select("hot_words", "hot_kinds").toLocalIterator():
         for w, n in zip(np.frombuffer(r["hot_words"], np.int64).tolist(), np.frombuffer(r["hot_kinds"], np.int64).tolist()):
             kinds[w] = kinds.get(w, 0) + n
+    return kinds
+
+
+def _sums(numbered: DataFrame, answered: DataFrame, buckets: int, kinds: dict[int, int], n_words: int, args: tuple) -> DataFrame:
     back = answered.repartition(buckets, "block")
     replies = back.groupBy("block").agg(F.collect_list(F.struct("part", "alpha", "gamma")).alias("answers"))
-    scored = numbered.join(replies, "block", "left").mapInArrow(_score(spark.sparkContext.broadcast(kinds), n_words, *args), _SCORE)
-    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    kinds = numbered.sparkSession.sparkContext.broadcast(kinds)
+    return numbered.join(replies, "block", "left").mapInArrow(_score(kinds, n_words, *args), _SCORE)
+
 
+def _asks_to_shards(blocks: DataFrame, ask, merge, kind: str, shards: int, n_blocks: int, scratch: Scratch, name: str) -> tuple[DataFrame, tuple | None]:
+    """What each shard is asked; beyond FAN_OUT shards also the asks of the regions, and the parts they are for."""
+    if shards <= FAN_OUT:
+        return blocks.mapInArrow(ask(shards), kind), None
+    parts, regions = math.isqrt(shards) + 1, math.isqrt(n_blocks) + 1
+    region = F.pmod(F.xxhash64("block"), F.lit(regions))
+    asked = scratch.write(blocks.mapInArrow(ask(parts), kind).withColumn("region", region), f"{name}-asked")
+    return asked.groupBy("part", "region").applyInPandas(merge, kind), (asked, parts)
 
-def _answers(blocks: DataFrame, route: tuple, kinds: tuple[str, str], shards: int, n_blocks: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """The shards' answers to the blocks, and what else they tell (block -1).
+
+def _answers(blocks: DataFrame, route: tuple, kinds: tuple[str, str], shards: int, n_blocks: int, scratch: Scratch, name: str,
+             kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The shards' answers to the blocks, and what else they tell (block -1); ``kept``: they answer from what they keep.
 
     ``route``: what a block asks, what a shard answers, how asks are merged, how answers are dealt.  Up to FAN_OUT
     shards a block asks each of them.  Beyond, asks would be as many as blocks times shards and as small as single
@@ -701,14 +888,13 @@ def _answers(blocks: DataFrame, route: tuple, kinds: tuple[str, str], shards: in
     the square root of the blocks) for a part are merged, and one ask goes to each shard.
     """
     ask, answer, merge, deal = route
-    if shards <= FAN_OUT:
-        answered = scratch.write(blocks.mapInArrow(ask(shards), kinds[0]).groupBy("part").applyInPandas(answer, kinds[1]), name)
+    asks, merged = _asks_to_shards(blocks, ask, merge, kinds[0], shards, n_blocks, scratch, name)
+    by_shard = asks.groupBy("part")
+    by_shard = by_shard if kept is None else by_shard.cogroup(kept.groupBy("part"))
+    answered = scratch.write(by_shard.applyInPandas(answer, kinds[1]), name if merged is None else f"{name}-of-shards")
+    if merged is None:
         return answered.filter("block >= 0"), answered.filter("block < 0")
-    parts, regions = math.isqrt(shards) + 1, math.isqrt(n_blocks) + 1
-    region = F.pmod(F.xxhash64("block"), F.lit(regions))
-    asked = scratch.write(blocks.mapInArrow(ask(parts), kinds[0]).withColumn("region", region), f"{name}-asked")
-    merged = asked.groupBy("part", "region").applyInPandas(merge, kinds[0])
-    answered = scratch.write(merged.groupBy("part").applyInPandas(answer, kinds[1]), f"{name}-of-shards")
+    asked, parts = merged
     # shards are dealt to parts as in the asks
     of = F.expr(f"CAST(CAST(part AS BIGINT) * {parts} div {shards} AS INT)")
     own = answered.filter("block >= 0").withColumns({"region": F.col("block"), "of": of})

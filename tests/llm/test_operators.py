@@ -136,6 +136,37 @@ def test_language_model(spark, docs, monkeypatch, order, hot, grams, fan, first)
     assert len(got) == len(texts())
 
 
+@pytest.mark.parametrize("hot,grams,fan,piece", [(2_000_000, 1_200_000, 1024, 4 << 20), (3, 500, 1024, 100), (3, 500, 2, 100)])
+def test_language_model_kept(spark, docs, monkeypatch, tmp_path, hot, grams, fan, piece):
+    """A model that is kept scores the table it was learned from as ``score`` does, and a second table, with words it never met."""
+    monkeypatch.setattr(ngram_trie, "HOT_COUNT", hot)
+    monkeypatch.setattr(ngram_trie, "FAN_OUT", fan)
+    monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", grams)
+    monkeypatch.setattr(ngram_trie, "BLOCK_TOKENS", grams)
+    monkeypatch.setattr(ngram_trie, "PIECE_WORDS", piece)
+    out = ngram_trie.held_out(F.col("doc_id"))
+    ngram_trie.learn(docs.filter(~out), str(tmp_path / "model"))
+    model = ngram_trie.Model(spark, str(tmp_path / "model"))
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got, want = by_id(model.score(docs), "doc_id", *columns), by_id(ngram_trie.score(docs), "doc_id", *columns)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:3] == want[i][:3] and got[i][3:] == pytest.approx(want[i][3:], rel=1e-9)
+    trained = [t for i, t in texts() if brute.crc(i) % 7 != 2]
+    second = [None, "", "unmet words only", "the cat sat unmet the cat", "w w w w", PASSAGE + " after", "two words"]
+    rows = spark.createDataFrame(list(enumerate(second)), "turn int, said string")
+    got = by_id(model.score(rows, "turn", "said"), "turn", *columns)
+    for i, (n, known, total, b, s) in enumerate(brute_scores(trained + second, [True] * len(trained) + [False] * len(second), 3)[len(trained) :]):
+        assert got[i][:3] == (n, known, total) and got[i][3] == pytest.approx(b, rel=1e-9) and got[i][4] == pytest.approx(s, abs=2e-4 * n)
+    if fan > 2:  # once will do
+        return
+    assert model.score(empty(rows), "turn", "said").count() == 0
+    with pytest.raises(Exception, match="exists"):
+        ngram_trie.learn(docs, str(tmp_path / "model"))
+    nothing = ngram_trie.learn(empty(docs), str(tmp_path / "nothing")).score(docs)
+    assert nothing.filter("n_known > 0 or train_tokens > 0").count() == 0 and nothing.count() == len(texts())
+
+
 def test_language_model_query(spark, tmp_path):
     """The registered query on a folder of its own."""
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(["a b c a b", "a b c", None, "x y z", "a b d"] * 4)]
