@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomline.functions import dates
 from loomline.functions import scalars as S
 from loomline.operators import insights as I
-from loomline.operators import selection, timejoins
+from loomline.operators import paths, selection, timejoins
 from loomline.plans.catalogue import ORACLE_SQL, QUERIES, query
 from loomline.sources import stores
 from loomline.sources.scratch import Scratch
@@ -188,3 +188,27 @@ def q_covering_suppliers(spark, d):
     part = table(spark, d, "part")
     sent = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return I.covering(sent, "l_suppkey", "p_type", part.filter("p_brand = 'Brand#7'").select("p_type"))
+
+
+# ---------------------------------------------------------------- JSON
+
+_NOTE = """'{"key": ' || o_orderkey || ', "state": ' || CASE o_orderstatus WHEN 'O' THEN '"open"' WHEN 'F' THEN '1.5' ELSE 'null' END
+       || ', "who": {"id": ' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN ', "even": true' ELSE '' END || '}, "parts": ["'
+       || replace(o_orderpriority, '-', '", "') || '", ' || o_orderkey % 3 || CASE WHEN o_orderkey % 4 = 0 THEN ', {"id": [0.5, []]}' ELSE '' END
+       || CASE WHEN o_orderkey % 7 = 0 THEN ']' ELSE ']}' END"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT 'events' AS origin, props AS text FROM events UNION ALL SELECT 'orders', {_NOTE} FROM orders),
+       j AS (SELECT origin, CAST(text AS JSON) AS v FROM x WHERE json_valid(text)),
+       t AS (SELECT origin, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path, CASE t.type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string'
+       WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind FROM j, json_tree(j.v) t),
+       c AS (SELECT origin, path, kind, count(*) AS n, list_position(['null', 'boolean', 'integer', 'number', 'string', 'array', 'object'], kind) AS spot FROM t GROUP BY ALL),
+       p AS (SELECT origin, path, CAST(sum(n) AS BIGINT) AS n_values, string_agg(kind || ':' || n, ',' ORDER BY spot) AS kinds,
+       list_sort(list(kind) FILTER (kind <> 'null')) AS told, regexp_replace(path, '(\\.[A-Za-z0-9_]+|\\[\\*\\])$', '') AS above FROM c GROUP BY ALL)
+       SELECT p.origin, p.path, CASE WHEN told IS NULL OR len(told) = 0 THEN 'null' WHEN len(told) = 1 THEN told[1] WHEN told = ['integer', 'number'] THEN 'number' ELSE 'mixed' END AS kind,
+       kinds, n_values, CASE WHEN p.path = '$' THEN (SELECT count(*) FROM x WHERE x.origin = p.origin) ELSE c.n END AS n_parents
+       FROM p LEFT JOIN c ON p.path <> '$' AND c.origin = p.origin AND c.path = p.above AND c.kind = CASE WHEN ends_with(p.path, '[*]') THEN 'array' ELSE 'object' END""")
+def q_json_paths(spark, d):
+    """Kinds at every path of the events' properties and of notes made of the orders, some of which are no JSON."""
+    events = table(spark, d, "events").select(F.lit("events").alias("origin"), F.col("props").alias("text"))
+    return paths.json_paths(events.unionByName(table(spark, d, "orders").select(F.lit("orders").alias("origin"), F.expr(_NOTE).alias("text"))), "text", ["origin"])
