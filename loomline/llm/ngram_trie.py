@@ -36,12 +36,13 @@ from __future__ import annotations
 
 import math
 import mmap
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +50,18 @@ from pyspark.sql import functions as F
 from .common import Given, Scratch, WordHashes, mix, table
 
 #: A first word is dealt further beyond so many occurrences, or beyond this share of all tokens.
-HOT_COUNT, HOT_SHARE = 2_000_000, 1e-6
-#: Tokens in a block, and n-grams that a shard is meant to get.
-BLOCK_TOKENS, SHARD_GRAMS = 600_000, 1_200_000
+HOT_COUNT, HOT_SHARE = 500_000, 1e-6
+#: Tokens in a block, and n-grams that a shard is meant to get.  A task holds up to 200 bytes for each: for those
+#: of a block, or of a shard and a first word of just under HOT_COUNT occurrences.
+BLOCK_TOKENS, SHARD_GRAMS = 600_000, 600_000
 #: Buckets of the table of blocks (Spark allows 100,000); a bucket may hold many blocks, which are scored one by one.
 MOST_BUCKETS = 50_000
 #: Shards that a block asks directly.
 FAN_OUT = 1024
 #: Numbers below it are marks: the starts before a text, and what stands after it or for an unknown word.
 FIRST_WORD = 16
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
+#: The word that ends a text; no word of a text holds it.
+END = b"\n"
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -126,6 +129,12 @@ def _put(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sorted_once(values: np.ndarray) -> np.ndarray:
+    """The different values in order (``np.unique`` without places hashes them, which takes longer)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
 #: Place of the k-th one of a byte.
 _IN_BYTE = np.array([[*np.flatnonzero(b >> np.arange(8) & 1), *[0] * 8][:8] for b in range(256)], dtype=np.uint8)
 
@@ -150,8 +159,12 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return (1 + np.rint((np.maximum(np.log10(p), LEAST) - LEAST) / -LEAST * LEVELS)).astype(np.uint16)
 
 
+#: What each code stands for.
+_RESTORED = np.concatenate([[0.0], 10 ** (LEAST - LEAST * np.arange(LEVELS + 1) / LEVELS)])
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** (LEAST - LEAST * (code.astype(np.float64) - 1) / LEVELS), 0.0)
+    return _RESTORED[code]
 
 
 # ---------------------------------------------------------------- a shard's trie
@@ -194,14 +207,14 @@ class Trie:
 
         Below the first words ``hot``, whose counts other shards hold too, alpha is the count in units of 10**LEAST.
         """
-        words, ranks = np.unique(np.concatenate(grams), return_inverse=True)
-        ranks = ranks.reshape(len(grams), -1)
+        words = _sorted_once(np.concatenate([_sorted_once(g) for g in grams]))
         parts = [EliasFano.of(words).words]
         n = len(counts)
         new = np.zeros(n, bool)
         above, n_above, above_counts = np.zeros(n, np.int64), 1, counts.sum(keepdims=True)
         alphas, gammas = [], []
-        for k, rank in enumerate(ranks):
+        for k, column in enumerate(grams):
+            rank = np.searchsorted(words, column)
             new = new | np.concatenate([[True], rank[1:] != rank[:-1]])[:n]
             node = np.cumsum(new) - 1
             first = np.flatnonzero(new)
@@ -211,7 +224,7 @@ class Trie:
                 gammas[-1] = quantise(kids / (kids + above_counts)) if n_above and n else np.zeros(n_above, np.uint16)
                 total = (above_counts + kids)[parent].astype(np.float64)
                 if k == 1 and n:
-                    total[np.isin(words[ranks[0][first]], hot)] = 10**-LEAST
+                    total[np.isin(grams[0][first], hot)] = 10**-LEAST
                 alphas.append(quantise(own / total) if n else np.zeros(0, np.uint16))
             else:
                 alphas.append(np.zeros(len(first), np.uint16))
@@ -273,16 +286,18 @@ class Trie:
     @staticmethod
     def _search(held: EliasFano, lo: np.ndarray, hi: np.ndarray, sought: np.ndarray) -> np.ndarray:
         """Places of the values between lo and hi of the sequence; -1: not there."""
+        many = 8 * len(sought) > held.n  # unpacked once, not at every step
+        value = held.get(np.arange(held.n)).__getitem__ if many else held.get
         lo, hi, there = lo.copy(), hi.copy(), np.flatnonzero(lo < hi)
         live = there[hi[there] - lo[there] > 1]
         while len(live):  # lo: the last value that is not larger, once they stand side by side
             mid = (lo[live] + hi[live]) // 2
-            more = held.get(mid) > sought[live]
+            more = value(mid) > sought[live]
             hi[live[more]] = mid[more]
             lo[live[~more]] = mid[~more]
             live = live[hi[live] - lo[live] > 1]
         out = np.full(len(lo), -1, np.int64)
-        found = there[held.get(lo[there]) == sought[there]]
+        found = there[value(lo[there]) == sought[there]]
         out[found] = lo[found]
         return out
 
@@ -312,12 +327,18 @@ def _unpack_numbers(raw: bytes) -> np.ndarray:
     return _unpack(raw[1:], np.uint64 if raw[:1] == b"\x08" else np.uint32).astype(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the place of each given one, in four bytes: what a task holds is under 2^31."""
+    nodes, of = np.unique(keys, return_inverse=True)
+    return nodes, of.astype(np.int32)
+
+
 def _below(above: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (above, word) pairs in order, and the place of each given pair; ``above`` has under 2^31 values."""
     own, local = None, words
     if len(words) and int(words.max()) >> 32:  # too large to stand beside the other in a key: by rank
         own, local = np.unique(words, return_inverse=True)
-    nodes, of = np.unique(above << 32 | local, return_inverse=True)
+    nodes, of = _distinct(above.astype(np.int64) << 32 | local)
     word = nodes & 0xFFFFFFFF
     return nodes >> 32, word if own is None else own[word], of
 
@@ -343,32 +364,36 @@ def _table(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
 _BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, tokens binary"
 
 
-def _blocks(batches):
-    from pyspark import TaskContext
-
-    hashes = WordHashes()
-    serial, ids, held, lengths, tokens, n = TaskContext.get().partitionId() << 32, [], [], [], [], 0
-
-    def block():
-        flat = np.concatenate(tokens)
-        vocabulary, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")  # small numbers for frequent words pack well
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order))
-        return _table(_BLOCK, [(serial, ids, held, lengths, _pack(vocabulary[order]), _pack(place[number]))])
+def _blocks(most: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        hashes = WordHashes()
+        serial, ids, held, lengths, tokens, n = TaskContext.get().partitionId() << 32, [], [], [], [], 0
+        seen = defaultdict(count().__next__)  # the block's words in the order in which they came
+
+        def block():
+            number, vocabulary = np.concatenate(tokens), hashes.of(list(seen))
+            order = np.lexsort((vocabulary, -np.bincount(number)))  # small numbers for frequent words pack well
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            return _table(_BLOCK, [(serial, ids, held, lengths, _pack(vocabulary[order]), _pack(place[number]))])
+
+        for batch in batches:
+            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary())):
+                raw = text.as_py() or b""
+                own = [*raw.lower().split(), END]
+                ids.append(doc), held.append(bool(out)), lengths.append(len(own))
+                tokens.append(np.fromiter(map(seen.__getitem__, own), np.uint32, len(own)))
+                n += len(own)
+                if n >= most:
+                    yield block()
+                    serial, ids, held, lengths, tokens, n = serial + 1, [], [], [], [], 0
+                    seen = defaultdict(count().__next__)
+        if ids:
+            yield block()
 
-    for batch in batches:
-        for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary())):
-            raw = text.as_py() or b""
-            own = hashes.of(raw.lower().split())
-            ids.append(doc), held.append(bool(out)), lengths.append(len(own) + 1)
-            tokens += [own, np.array([END])]
-            n += len(own) + 1
-            if n >= BLOCK_TOKENS:
-                yield block()
-                serial, ids, held, lengths, tokens, n = serial + 1, [], [], [], [], 0
-    if ids:
-        yield block()
+    return run
 
 
 class Block:
@@ -435,11 +460,11 @@ def _merged_words(asked: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np
     return np.split(at, np.cumsum([len(k) for k in keys])[:-1]), words, counts
 
 
-def _numbers(words: np.ndarray, counts: np.ndarray, shard: int, shards: int) -> np.ndarray:
-    """Of a shard's words, frequent ones first; 0: not in training."""
+def _numbers(words: np.ndarray, counts: np.ndarray, shard: int, shards: int, least: int) -> np.ndarray:
+    """Of a shard's words, frequent ones first, from ``least`` on; 0: not in training."""
     rank = np.empty(len(words), np.int64)
     rank[np.lexsort((words, -counts))] = np.arange(len(words))
-    return np.where(counts > 0, rank * shards + shard + FIRST_WORD, 0)
+    return np.where(counts > 0, rank * shards + shard + least, 0)
 
 
 def _answer_words(shards: int):
@@ -448,7 +473,7 @@ def _answer_words(shards: int):
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         shard = int(asked["part"].iloc[0])
         places, words, total = _merged_words(asked)
-        number = _numbers(words, total, shard, shards)
+        number = _numbers(words, total, shard, shards, FIRST_WORD)
         out = [(b, shard, _pack(total[at].astype(np.uint64)), _pack_numbers(number[at]), 0, 0) for b, at in zip(asked["block"], places)]
         out.append((-1, shard, b"", b"", int(total.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=_WORD_COLUMNS)
@@ -466,7 +491,7 @@ def _keep_words(shards: int):
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         shard = int(asked["part"].iloc[0])
         _, words, total = _merged_words(asked)
-        packed = _pack(total.astype(np.uint64)), _pack_numbers(_numbers(words, total, shard, shards))
+        packed = _pack(total.astype(np.uint64)), _pack_numbers(_numbers(words, total, shard, shards, FIRST_WORD))
         return pd.DataFrame([(shard, words.tobytes(), *packed, int(total.sum()), int((total > 0).sum()))], columns=_KEPT_WORD_COLUMNS)
 
     return run
@@ -509,7 +534,7 @@ def _deal_words(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
 class Grams:
     """The distinct n-grams of a block with its words' counts and numbers: a tree sorted by shard and word numbers."""
 
-    def __init__(self, row: dict, order: int, shards: int, n_tokens: int, n_texts: int):
+    def __init__(self, row: dict, order: int, shards: int, hot_from: int, n_texts: int):
         self.block, self.order, self.shards = Block(row), order, shards
         answers = sorted(row["words"], key=lambda a: a["part"])
         self.counts = self.block.by_token(np.concatenate([_unpack(a["counts"], np.uint64) for a in answers]).astype(np.int64))
@@ -526,27 +551,30 @@ class Grams:
         n = b.lengths + order - 2
         self.first_window = np.cumsum(n) - n
         windows = np.arange(int(n.sum())) + np.repeat(begin - self.first_window, n)
-        columns, lost = [flat[windows]], np.zeros(len(windows), bool)
-        self.asked = columns[0] > 0
+        first = flat[windows]
+        self.asked = first > 0
+        columns, lost = [first[self.asked]], np.zeros(len(windows), bool)
         for i in range(1, order):  # from an unknown word on there is nothing to find
             w = flat[windows + i]
             lost |= w == 0
-            columns.append(np.where(lost, pad, w))
-        first = seen[windows][self.asked]
-        columns = [c[self.asked] for c in columns]
-        self.hot_first = first // max(HOT_COUNT, int(n_tokens * HOT_SHARE)) > 0
-        salts = (first // max(HOT_COUNT, int(n_tokens * HOT_SHARE)) + 1).astype(np.uint64)
+            columns.append(np.where(lost, pad, w)[self.asked])
+        first = seen[windows[self.asked]]
+        del flat, seen, at, windows, w, lost  # a task holds many such arrays, so each goes when it has been used
+        self.hot_first = first // hot_from > 0
+        salts = (first // hot_from + 1).astype(np.uint64)
         dealt = mix(columns[0].astype(np.uint64) + mix(mix(columns[1].astype(np.uint64)) % salts))
-        shard = _shard_of(dealt, shards).astype(np.int64)
-        trains = np.repeat(~b.held_out, n)[self.asked]
+        keys = _shard_of(dealt, shards).astype(np.int64) << 40 | columns[0]
+        columns = columns[:0:-1]
+        del first, salts, dealt
         # nodes of each level, sorted; of: the node of each asked window
-        nodes, of = np.unique(shard << 40 | columns[0], return_inverse=True)
+        nodes, of = _distinct(keys)
+        del keys
         self.shard, self.levels, self.of = nodes >> 40, [(nodes & (1 << 40) - 1, np.ones(len(nodes), np.int64))], [of]
-        for column in columns[1:]:
-            above, nodes, of = _below(of, column)
+        while columns:
+            above, nodes, of = _below(of, columns.pop())
             self.levels.append((nodes, np.bincount(above, minlength=len(self.levels[-1][0]))))
             self.of.append(of)
-        self.gram_counts = np.bincount(of[trains], minlength=len(nodes))
+        self.gram_counts = np.bincount(of[np.repeat(~b.held_out, n)[self.asked]], minlength=len(nodes))
         self.hot = np.zeros(len(self.levels[0][0]), bool)
         self.hot[self.of[0][self.hot_first]] = True
 
@@ -580,18 +608,21 @@ class Merged:
     """The n-grams that several asks hold, once each: nodes of each level (above, word), and what they were asked as."""
 
     def __init__(self, asked: pd.DataFrame, order: int):
-        words = [[_unpack_numbers(w[k]) for w in asked["words"]] for k in range(order)]
         #: where each ask's nodes begin on each level; of: the merged node of each of them
-        self.ends = [np.cumsum([0, *map(len, w)]) for w in words]
-        words = [np.concatenate(w) for w in words]
-        shard = np.concatenate([_unpack(x, np.uint32) for x in asked["shard"]]).astype(np.int64)
-        nodes, of = np.unique(shard << 40 | words[0], return_inverse=True)
+        self.ends = []
+
+        def words(k: int) -> np.ndarray:
+            own = [_unpack_numbers(w[k]) for w in asked["words"]]
+            self.ends.append(np.cumsum([0, *map(len, own)]))
+            return np.concatenate(own)
+
+        nodes, of = _distinct(np.concatenate([_unpack(x, np.uint32) for x in asked["shard"]]).astype(np.int64) << 40 | words(0))
         self.shard, self.levels, self.of = nodes >> 40, [(np.zeros(len(nodes), np.int64), nodes & (1 << 40) - 1)], [of]
         self.hot = np.zeros(len(nodes), bool)
         self.hot[of[np.concatenate([_unpack(h, np.uint8) for h in asked["hot"]]) > 0]] = True
         for k in range(1, order):
             above = np.repeat(of, np.concatenate([_unpack(x[k - 1], np.uint32) for x in asked["kids"]]))
-            above, nodes, of = _below(above, words[k])
+            above, nodes, of = _below(above, words(k))
             self.levels.append((above, nodes))
             self.of.append(of)
         self.counts = np.bincount(of, weights=np.concatenate([_unpack_numbers(x) for x in asked["counts"]]), minlength=len(nodes)).astype(np.int64)
@@ -711,13 +742,13 @@ def _ask_grams(*args):
 _SCORE = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(hot_kinds, n_words: int, order: int, shards: int, n_tokens: int, n_texts: int):
+def _score(hot_kinds, n_tokens: int, n_words: int, order: int, shards: int, hot_from: int, n_texts: int):
     def probabilities(g: Grams, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         answers = sorted(answers, key=lambda a: a["part"])
         codes = lambda f, k: np.concatenate([_unpack(a[f][k], np.uint16) for a in answers]) if answers else np.zeros(0, np.uint16)
         base = np.log10((g.counts + 1) / (n_tokens + n_words + 1))
         p = 10**base
-        of = np.full((g.order, len(g.asked)), -1, np.int64)
+        of = np.full((g.order, len(g.asked)), -1, np.int32)
         of[:, g.asked] = g.of
         hot = np.zeros(len(g.asked), bool)
         hot[g.asked] = g.hot_first
@@ -741,10 +772,11 @@ def _score(hot_kinds, n_words: int, order: int, shards: int, n_tokens: int, n_te
 
     def run(batches):
         for row in _rows(batches):
-            g = Grams(row, order, shards, n_tokens, n_texts)
+            g = Grams(row, order, shards, hot_from, n_texts)
             base, p = probabilities(g, row["answers"] or [])
             sums = [np.add.reduceat(x, g.block.starts) for x in ((g.counts > 0).astype(np.int64), base, np.log10(p))]
             columns = [pa.array(g.block.ids, pa.int64()), *map(pa.array, (g.block.held_out, g.block.lengths, *sums))]
+            del row, g, base, p  # not beside the next block's
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -782,14 +814,17 @@ def learn(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text",
         words = spark.read.schema(_KEPT_WORDS).parquet(f"{folder}/words")
         n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
         numbered = _numbered(blocks, buckets, word_shards, words, run)
-        asks, _ = _asks_to_shards(numbered, _ask_grams(order, shards, n_tokens, n_texts), _merge_asks(order, shards), _ASKED, shards, buckets, run, "grams")
+        hot_from = _hot_from(n_tokens)
+        asks, _ = _asks_to_shards(numbered, _ask_grams(order, shards, hot_from, n_texts), _merge_asks(order, shards), _ASKED, shards, buckets, run, "grams")
         asks.groupBy("part").applyInPandas(_keep_grams(order), _KEPT_TRIE).write.parquet(f"{folder}/tries")
-        totals = (order, shards, word_shards, n_texts, n_tokens, n_words)
+        totals = (order, shards, word_shards, n_texts, n_tokens, n_words, hot_from)
         spark.createDataFrame([totals], _TOTALS).coalesce(1).write.parquet(f"{folder}/totals")
     return Model(spark, folder)
 
 
-_TOTALS = "order int, shards int, word_shards int, n_texts long, n_tokens long, n_words long"
+_TOTALS = "order int, shards int, word_shards int, n_texts long, n_tokens long, n_words long, hot_from long"
+#: HOT_COUNT of models whose totals do not tell it.
+FORMER_HOT_COUNT = 2_000_000
 
 
 class Model:
@@ -798,7 +833,9 @@ class Model:
     def __init__(self, spark: SparkSession, folder: str):
         self.words = spark.read.schema(_KEPT_WORDS).parquet(f"{folder}/words")
         self.tries = spark.read.schema(_KEPT_TRIE).parquet(f"{folder}/tries")
-        self.order, self.shards, self.word_shards, self.n_texts, self.n_tokens, self.n_words = spark.read.schema(_TOTALS).parquet(f"{folder}/totals").first()
+        totals = spark.read.schema(_TOTALS).parquet(f"{folder}/totals").first()
+        self.order, self.shards, self.word_shards, self.n_texts, self.n_tokens, self.n_words, hot_from = totals
+        self.hot_from = hot_from or _hot_from(self.n_tokens, FORMER_HOT_COUNT)  # the shards were dealt by it
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
         """id, n_tokens, n_known, train_tokens, base_score and score of every text; none is learned from."""
@@ -806,10 +843,10 @@ class Model:
             texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("held"), F.col(text_col).cast("string").alias("text"))
             blocks, _, buckets, _ = _in_blocks(texts, run)
             numbered = _numbered(blocks, buckets, self.word_shards, self.words, run)
-            args = (self.order, self.shards, self.n_tokens, self.n_texts)
+            args = (self.order, self.shards, self.hot_from, self.n_texts)
             route = (_ask_grams(*args), _look_up_grams(self.order), _merge_asks(self.order, self.shards), _deal_answers(self.order))
             answered, _ = _answers(numbered, route, (_ASKED, _ANSWERED), self.shards, buckets, run, "answers", self.tries)
-            found = _sums(numbered, answered, buckets, _hot_kinds(self.tries), self.n_words, args)
+            found = _sums(numbered, answered, buckets, _hot_kinds(self.tries), self.n_tokens, self.n_words, args)
             out = found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(self.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
             return out if scratch else run.settled(out)[0]
 
@@ -823,10 +860,10 @@ def _scored(docs: DataFrame, order: int, id_col: str, text_col: str, out: Column
     own, words = _answers(blocks, route, (_WORDS_ASKED, _WORDS), word_shards, buckets, scratch, "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     numbered = _with_words(blocks, own, buckets)
-    args = (order, shards, n_tokens, n_texts)
+    args = (order, shards, _hot_from(n_tokens), n_texts)
     route = (_ask_grams(*args), _answer_grams(order), _merge_asks(order, shards), _deal_answers(order))
     answered, hot = _answers(numbered, route, (_ASKED, _ANSWERED), shards, buckets, scratch, "answers")
-    scored = _sums(numbered, answered, buckets, _hot_kinds(hot), n_words, args)
+    scored = _sums(numbered, answered, buckets, _hot_kinds(hot), n_tokens, n_words, args)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -835,7 +872,7 @@ def _in_blocks(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int,
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     tokens = size[0] // 6 + size[1]  # about
     shards, buckets = max(1, math.ceil(tokens / SHARD_GRAMS)), min(MOST_BUCKETS, max(1, math.ceil(tokens / BLOCK_TOKENS)))
-    blocks = scratch.write_bucketed(texts.mapInArrow(_blocks, _BLOCK), "blocks", "block", buckets)
+    blocks = scratch.write_bucketed(texts.mapInArrow(_blocks(BLOCK_TOKENS), _BLOCK), "blocks", "block", buckets)
     n_texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     return blocks, shards, buckets, n_texts
 
@@ -852,6 +889,11 @@ def _numbered(blocks: DataFrame, buckets: int, word_shards: int, words: DataFram
     return _with_words(blocks, _answers(blocks, route, (_WORDS_ASKED, _WORDS), word_shards, buckets, scratch, "numbers", words)[0], buckets)
 
 
+def _hot_from(n_tokens: int, count: int | None = None) -> int:
+    """Occurrences from which on a first word is dealt further."""
+    return max(count or HOT_COUNT, int(n_tokens * HOT_SHARE))
+
+
 def _hot_kinds(hot: DataFrame) -> dict[int, int]:
     """How many different words follow the words that are dealt further: at most 1 / HOT_SHARE words."""
     kinds: dict[int, int] = {}
@@ -861,11 +903,11 @@ def _hot_kinds(hot: DataFrame) -> dict[int, int]:
     return kinds
 
 
-def _sums(numbered: DataFrame, answered: DataFrame, buckets: int, kinds: dict[int, int], n_words: int, args: tuple) -> DataFrame:
+def _sums(numbered: DataFrame, answered: DataFrame, buckets: int, kinds: dict[int, int], n_tokens: int, n_words: int, args: tuple) -> DataFrame:
     back = answered.repartition(buckets, "block")
     replies = back.groupBy("block").agg(F.collect_list(F.struct("part", "alpha", "gamma")).alias("answers"))
     kinds = numbered.sparkSession.sparkContext.broadcast(kinds)
-    return numbered.join(replies, "block", "left").mapInArrow(_score(kinds, n_words, *args), _SCORE)
+    return numbered.join(replies, "block", "left").mapInArrow(_score(kinds, n_tokens, n_words, *args), _SCORE)
 
 
 def _asks_to_shards(blocks: DataFrame, ask, merge, kind: str, shards: int, n_blocks: int, scratch: Scratch, name: str) -> tuple[DataFrame, tuple | None]:

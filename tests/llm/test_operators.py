@@ -3,8 +3,10 @@
 import base64
 import json
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,49 @@ def test_language_model_without_rows(docs):
     assert ngram_trie.score(docs, out=F.lit(True)).filter("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_language_model_kept_by_other_bounds(spark, docs, monkeypatch, tmp_path):
+    """A kept model answers by the bound that its shards were dealt by, also one whose totals do not tell it."""
+    columns = ("n_tokens", "n_known", "base_score", "score")
+    monkeypatch.setattr(ngram_trie, "SHARD_GRAMS", 500)
+    monkeypatch.setattr(ngram_trie, "HOT_COUNT", 3)
+    model = ngram_trie.learn(docs, str(tmp_path / "model"))
+    assert model.hot_from == 3
+    want = by_id(model.score(docs), "doc_id", *columns)
+    monkeypatch.setattr(ngram_trie, "HOT_COUNT", 500_000)
+    got = by_id(ngram_trie.Model(spark, str(tmp_path / "model")).score(docs), "doc_id", *columns)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    totals = spark.read.parquet(str(tmp_path / "model/totals")).drop("hot_from")
+    spark.createDataFrame(totals.collect(), totals.schema).write.mode("overwrite").parquet(str(tmp_path / "model/totals"))
+    monkeypatch.setattr(ngram_trie, "FORMER_HOT_COUNT", 3)
+    got = by_id(ngram_trie.Model(spark, str(tmp_path / "model")).score(docs), "doc_id", *columns)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_language_model_memory():
+    """The arrays of a task: a block of the size that blocks have, and a shard of as many n-grams as one may get, most of them different."""
+    def row(block: int, n: int) -> dict:
+        tokens = np.minimum(np.random.default_rng(block).zipf(1.2, n), 20_000).astype(np.uint32) - 1
+        words = np.arange(1, 20_001, dtype=np.uint64)
+        known = {"part": 0, "counts": ngram_trie._pack(np.bincount(tokens, minlength=len(words)).astype(np.uint64)), "numbers": ngram_trie._pack_numbers(words + 16)}
+        texts = {"ids": [*range(n // 500)], "held": [False] * (n // 500), "lengths": [500] * (n // 500)}
+        return {"block": block, **texts, "vocabulary": ngram_trie._pack(words), "tokens": ngram_trie._pack(tokens), "words": [known]}
+
+    def megabytes(run, n: int, most: int) -> float:
+        """Of ``most``, by those of ``n``."""
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / n * most / 1e6
+        finally:
+            tracemalloc.stop()
+
+    n = 100_000
+    asked = pd.concat([ngram_trie.Grams(row(i, n // 4), 3, 1, n, n // 500).asks(1).to_pandas() for i in range(4)])
+    assert megabytes(lambda: ngram_trie._answer_grams(3)(asked), n, ngram_trie.SHARD_GRAMS + ngram_trie.HOT_COUNT) < 250
+    whole = row(0, n)
+    assert megabytes(lambda: ngram_trie.Grams(whole, 3, 1, n, n // 500), n, ngram_trie.BLOCK_TOKENS) < 90
+
+
 # ---------------------------------------------------------------- 2
 
 def plain_difference(sizes, k):
