@@ -11,9 +11,10 @@ Links are pairs of documents whose sets of distinct word n-grams have
    windows of sizes overlap so that every pair of sizes that can link shares one.  A task offers a
    value once for SLICE_VALUES of them: later rows of the slice that hold it meet the first one
    there, so a block of many rows reaches the shuffle once a slice.
-2. Rows that meet are bounded before they are compared: by their sizes, and by a sketch of SKETCH
-   parity bits, one flip a column, of which two rows cannot differ in more bits than columns.
-   First every row meets the centre (first member) of each of its blocks, which joins groups of
+2. Rows that meet are bounded before they are compared: by their sizes, and by a sketch of parity
+   bits, one flip a column, of which two rows cannot differ in more bits than columns.  A sketch has
+   half as many bits as its row has columns at least (SKETCH, and at most WIDEST), as a narrower one
+   is full and bounds nothing; of two widths the wider is folded.  First every row meets the centre (first member) of each of its blocks, which joins groups of
    near copies in about as many pairs as members.
 3. Blocks of three rows and more that still hold several groups are met in tiles of bounded size;
    the pairs across groups that the bounds leave join these.
@@ -44,8 +45,8 @@ from pyspark.sql import functions as F
 from .common import Given, Scratch, WordHashes, fresh, in_slices, join_with_hot, mix, table
 from .components import connected_components
 
-#: Rows of one block in a tile; bits of a row's sketch.
-TILE, SKETCH = 1024, 512
+#: Rows of one block in a tile; fewest and most bits of a row's sketch; words of sketches compared at a time.
+TILE, SKETCH, WIDEST, WORDS = 1024, 512, 1 << 16, 1 << 20
 #: Rows and columns' entries of one side of a tile whose links are counted; columns of its product at a time.
 COUNTED, ENTRIES, COLUMNS = 512, 2_000_000, 4096
 #: Rows whose names are broadcast to fetch their texts again or to leave them out; beyond it a shuffled join does.
@@ -127,8 +128,9 @@ def _rows_of(texts: list[bytes | None], width: int, hashes: WordHashes) -> list[
 
 
 def sketch(row: np.ndarray) -> bytes:
-    """Parity of the columns of each of SKETCH residues."""
-    return np.packbits((np.bincount((row & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Parity of the columns of each residue; there is a power of two of them."""
+    bits = min(WIDEST, max(SKETCH, 1 << (len(row) - 1).bit_length() >> 1))
+    return np.packbits((np.bincount((row & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 class _Slice:
@@ -218,8 +220,38 @@ def within_bounds(n_a, n_b, bits_a: np.ndarray, bits_b: np.ndarray, percent: int
     return fits & (np.bitwise_count(bits_a ^ bits_b).sum(axis=-1) <= most)
 
 
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one width as rows of so many 64-bit words: the residues of half as many are the sum of both halves."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] > words:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def _held_bytes(column) -> np.ndarray:
+    return np.array(column.to_pylist() + [None], dtype=object)[:-1]
+
+
+def _words(sketches: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+
+
+def can_link(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the rows a (their sizes and sketches) the bounds allow to link with which of the rows b, as a matrix."""
+    out, w_a, w_b = np.zeros((len(a), len(b)), dtype=bool), _words(a), _words(b)
+    for u in np.unique(w_a):
+        i = np.flatnonzero(w_a == u)
+        for v in np.unique(w_b):
+            j = np.flatnonzero(w_b == v)
+            if 100 * min(n_a[i].max(), n_b[j].max()) < percent * max(n_a[i].min(), n_b[j].min()):
+                continue
+            x, y = folded(a[i], min(u, v)), folded(b[j], min(u, v))
+            step = max(1, WORDS // y.size)
+            for at in range(0, len(i), step):
+                some = i[at : at + step]
+                out[np.ix_(some, j)] = within_bounds(n_a[some][:, None], n_b[j], x[at : at + step][:, None], y, percent)
+    return out
 
 
 def _bounded_pairs(percent: int):
@@ -229,7 +261,11 @@ def _bounded_pairs(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n = [batch.column(i).to_numpy() for i in (1, 4)]
-                keep = within_bounds(*n, _bits(batch.column(2)), _bits(batch.column(5)), percent)
+                bits = [_held_bytes(batch.column(i)) for i in (2, 5)]
+                words, keep = [_words(b) for b in bits], np.zeros(batch.num_rows, dtype=bool)
+                for u, v in np.unique(np.stack(words), axis=1).T:
+                    at = np.flatnonzero((words[0] == u) & (words[1] == v))
+                    keep[at] = within_bounds(n[0][at], n[1][at], *[folded(b[at], min(u, v)) for b in bits], percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -241,17 +277,24 @@ def _tile_pairs(percent: int):
     Side 0 meets side 1, or itself where a tile has one side; a tile has at most 2 * TILE rows.
     """
 
-    def products(tile, side, short, n, component, bits):
-        out_a, out_b = [component[:0]], [component[:0]]
+    def products(tile, side, short, n, component, sketches):
+        out_a, out_b, words = [component[:0]], [component[:0]], _words(sketches)
+        bits = np.zeros((len(sketches), SKETCH // 64), np.uint64)
+        bits[words == SKETCH // 64] = folded(sketches[words == SKETCH // 64], SKETCH // 64) if (words == SKETCH // 64).any() else 0
         first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         for lo, hi in zip(first, [*first[1:], len(tile)]):
             left = np.arange(lo, hi)
             right = left[side[lo:hi] == 1]
             left = left[side[lo:hi] == 0]
+            few = (words[lo:hi] == SKETCH // 64).all()
             for i in range(0, len(left), 64):
                 x = left[i : i + 64]
                 y = right if len(right) else left[i:]
-                ok = (component[x][:, None] != component[y]) & within_bounds(n[x][:, None], n[y], bits[x][:, None], bits[y], percent)
+                if few:
+                    ok = within_bounds(n[x][:, None], n[y], bits[x][:, None], bits[y], percent)
+                else:
+                    ok = can_link(n[x], sketches[x], n[y], sketches[y], percent)
+                ok &= component[x][:, None] != component[y]
                 j, k = np.nonzero(ok)
                 out_a.append(component[x[j]])
                 out_b.append(component[y[k]])
@@ -264,7 +307,7 @@ def _tile_pairs(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(5)] + [_bits(batch.column(5))]
+            cols = [batch.column(i).to_numpy() for i in range(5)] + [_held_bytes(batch.column(5))]
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -329,28 +372,26 @@ def stars(link: np.ndarray, same: bool) -> np.ndarray:
 
 
 def _count_links(percent: int):
-    """Rows component, lo, hi, side, short, copies, n, sketch, grams sorted by tile (the first three): a, b, links.
+    """Rows component, lo, hi, side, short, copies, n, grams sorted by tile (the first three): a, b, links.
 
     Side 0 meets side 1, or itself where lo = hi.  Rows out: links counted at a, or (b not null) a link.
     """
 
-    def tile(same, side, short, copies, n, bits, grams):
+    def tile(same, side, short, copies, n, grams):
         # repeated rows of one id bring their set again
         once = np.unique(np.stack([side, short]), axis=1, return_index=True)[1]
-        side, short, copies, n, bits, grams = (c[once] for c in (side, short, copies, n, bits, grams))
+        side, short, copies, n, grams = (c[once] for c in (side, short, copies, n, grams))
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        bits = np.array([sketch(s) for s in sets] + [None], dtype=object)[:-1]
         of = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
         x, y = (of[0], of[0]) if same else of
         links = np.zeros(len(short), np.int64)
-        ok = np.zeros((len(x), len(y)), dtype=bool)
-        for i in range(0, len(x), 64):
-            part = x[i : i + 64]
-            ok[i : i + 64] = within_bounds(n[part][:, None], n[y], bits[part][:, None], bits[y], percent)
+        ok = can_link(n[x], bits[x], n[y], bits[y], percent)
         if same:
             ok = np.triu(ok, 1)
         some = np.zeros(0, np.int64)
         first = some
         if ok.any():
-            sets = [np.frombuffer(g, np.uint64) for g in grams]
             link = linked([sets[i] for i in x], [sets[i] for i in y], ok, percent)
             links[x] += link @ copies[y]
             links[y] += copies[x] @ link
@@ -369,7 +410,7 @@ def _count_links(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(7)] + [_bits(batch.column(7)), np.array(batch.column(8).to_pylist() + [None], dtype=object)[:-1]]
+            cols = [batch.column(i).to_numpy() for i in range(7)] + [_held_bytes(batch.column(7))]
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             if rest is not None:
                 if all(r[0] == c[0] for r, c in zip(rest[:3], cols)):
@@ -393,7 +434,7 @@ def _count_links(percent: int):
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_shingles, n_links (other rows it links with) and component_id (smallest id reachable by links) of every row; ids are integers."""
-    with Given(scratch, docs.sparkSession, "jaccard") as run:
+    with Given(scratch, docs.sparkSession, "jaccard", tidy=True) as run:
         rows, classes = _classes(docs, width, percent, id_col, text_col, run)
         joined = join_with_hot(rows, classes.drop("class", "members"), "set", F.col("copies"), rows.count())
         out = joined.select(
@@ -415,6 +456,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         "sets",
     )
     met = scratch.write(_meetings(matrix), "met")
+    rows = scratch.write(matrix.select("id", "told", "set", "n"), "rows")
+    scratch.remove("matrix")  # most of it is what was offered
     known = sets.select("short", "n", "sketch")
     groups = connected_components(_centre_pairs(met, known, percent), scratch, "near")
     more = scratch.write(_open_pairs(met, groups, known, percent).distinct(), "more")
@@ -437,7 +480,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         "set", "copies", "n_links", F.coalesce("component", "short").alias("class"), F.coalesce("least", "rep").alias("component_id"),
         F.coalesce("members", "copies").alias("members"),
     )
-    return matrix.select("id", "told", "set", "n"), scratch.write(classes, "classes")
+    return rows, scratch.write(classes, "classes")
 
 
 def _meetings(matrix: DataFrame) -> DataFrame:
@@ -509,13 +552,13 @@ def _links(texts: DataFrame, sets: DataFrame, groups: DataFrame, width: int, per
     total = members.count()
     sized = join_with_hot(members, size.select("component", "size", parts.alias("parts")), "component", F.col("size"), total)
     part = F.pmod(F.xxhash64("short"), F.col("parts")).cast("int").alias("part")
-    wanted = sized.select("at.id", "at.told", "set", "short", "component", "parts", part, "copies", "n", "sketch")
-    kinds = "short long, component long, parts int, part int, copies long, n long, sketch binary"
+    wanted = sized.select("at.id", "at.told", "set", "short", "component", "parts", part, "copies", "n")  # sketches are made anew
+    kinds = "short long, component long, parts int, part int, copies long, n long"
     fetched = _held(texts, wanted, total <= BROADCAST_ROWS).mapInArrow(_fetch(width), f"{kinds}, grams binary")
     dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = dealt.select(
         "component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"),
-        "short", "copies", "n", "sketch", "grams",
+        "short", "copies", "n", "grams",
     )
     tiles = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side", "short")
     return tiles.mapInArrow(_count_links(percent), "a long, b long, links long")
@@ -526,7 +569,7 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "
 
     Of rows without words, and of rows that repeat id and text, every wordless one and one of the repeats stays.
     """
-    with Given(scratch, docs.sparkSession, "keep") as run:
+    with Given(scratch, docs.sparkSession, "keep", tidy=True) as run:
         rows, classes = _classes(docs, width, percent, id_col, text_col, run)
         several = classes.filter("members > 1")
         named = join_with_hot(rows, several.select("set", "class", "copies"), "set", F.col("copies"), rows.count())

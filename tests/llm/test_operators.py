@@ -787,6 +787,67 @@ def test_blocks_meet():
             assert jaccard_join.within_bounds(np.array(len(a)), np.array(len(b)), *bits, 85)
 
 
+def test_jaccard_bounds_long_rows():
+    """Unrelated long rows are told apart by their sketches, whatever the widths; a row and its near copy are not."""
+    rng = np.random.default_rng(11)
+    columns = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
+    for n in (300, 1020, 2050, 5000, 30_000, 120_000):
+        a = columns(n)
+        near = np.unique(np.concatenate([a[n // 20 :], columns(n // 25)]))
+        n_a, n_b = np.array([len(a)] * 2), np.array([len(near), len(b := columns(n + n // 20))])
+        got = jaccard_join.can_link(n_a, np.array([jaccard_join.sketch(a)] * 2, object), n_b, np.array([jaccard_join.sketch(x) for x in (near, b)], object), 85)
+        assert got.tolist() == [[True, False]] * 2, n
+
+
+def test_jaccard_of_long_copies(spark, monkeypatch):
+    """Families of long texts of about the sizes where sketches grow wider, which all share lines: every link, and no group of strangers."""
+    rng = random.Random(14)
+    rows, shared = [], [f"line {i} that many texts share here" for i in range(150)]
+    for family in range(14):
+        base = [f"f{family}w{i}" for i in range(rng.choice((1020, 1350, 1360, 2040, 2060, 2500)))]
+        for line in shared:
+            at = rng.randrange(len(base))
+            base[at:at] = line.split()
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randrange(len(base) // 30)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(6)}"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.randrange(30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda texts, sets, near, *a: (groups.append(near.groupBy("component").count().agg(F.max("count")).first()[0]), links(texts, sets, near, *a))[1])
+    got = by_id(jaccard_join.join(df), "doc_id", "n_shingles", "component_id", "n_links")
+    want, counts = brute.jaccard_classes(rows), link_counts(rows)
+    assert got == {k: (*v, counts[k]) for k, v in want.items()} and len(set(counts.values())) > 2
+    assert groups == [4]
+
+
+def test_jaccard_leaves_no_shuffle_files(spark):
+    """What a step has shuffled goes with it, and the setting is as it was."""
+    from pathlib import Path
+
+    def held():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p.name: p.stat().st_size for d in dirs for p in Path(str(d)).rglob("shuffle_*.data")}
+
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(300))) for i in range(100)]
+    rows += [(100 + i, t + " and more") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    before, seen, write = held(), [], jaccard_join.Scratch.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        seen.append((name, sum(size for f, size in held().items() if f not in before)))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join.Scratch, "write", watched)
+        assert jaccard_join.join(df).count() == 120
+    assert "met" in [n for n, _ in seen] and max(size for _, size in seen) < 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 # ---------------------------------------------------------------- 9
 
 ITEMS = [(7, " ".join(f"shared{i}" for i in range(20, 45))), (70, "The CAT sat"), (8, None), (9, "..."), (None, "one"), (10, PASSAGE), (11, "x" * 50)]
