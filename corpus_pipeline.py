@@ -7,7 +7,8 @@
 5. tokens: the ids of each text, their digest, and that of the bytes they decode to, in place of the text.
 
 ``STAGES`` are called with the documents that the stage before left, written as Parquet and read
-again; ``run`` does so itself, and deletes what a stage was given once its result is written.
+again; ``run`` does so itself, and deletes what a stage was given, and what writing it has shuffled, once its
+result is written.
 
 Defined cases: very long texts go through every stage whole; a null or empty text is no copy of another and stays to the end, with no ids; of rows
 that repeat id and text one stays; rows that repeat only an id are documents of their own; a null id
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = Scratch(spark, "pipeline")
+    kept = Scratch(spark, "pipeline", tidy=True)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = kept.write(stage(spark, docs, sf_dir), f"{i}-{name}")

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -822,23 +823,22 @@ def test_jaccard_of_long_copies(spark, monkeypatch):
     assert groups == [4]
 
 
-def test_jaccard_leaves_no_shuffle_files(spark):
-    """What a step has shuffled goes with it, and the setting is as it was."""
-    from pathlib import Path
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name: p.stat().st_size for d in dirs for p in Path(str(d)).rglob("shuffle_*.data")}
 
-    def held():
-        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
-        return {p.name: p.stat().st_size for d in dirs for p in Path(str(d)).rglob("shuffle_*.data")}
 
+def test_jaccard_leaves_no_shuffle_files(spark):
+    """What a step has shuffled goes with it, and the setting is as it was."""
     rng = random.Random(15)
     rows = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(300))) for i in range(100)]
     rows += [(100 + i, t + " and more") for i, t in rows[:20]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
-    before, seen, write = held(), [], jaccard_join.Scratch.write
+    before, seen, write = shuffle_files(spark), [], jaccard_join.Scratch.write
 
     def watched(self, df, name):
         out = write(self, df, name)
-        seen.append((name, sum(size for f, size in held().items() if f not in before)))
+        seen.append((name, sum(size for f, size in shuffle_files(spark).items() if f not in before)))
         return out
 
     with pytest.MonkeyPatch.context() as m:
@@ -848,6 +848,35 @@ def test_jaccard_leaves_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
 
 
+def test_near_copies_stage_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """So many rows go that they are told by a shuffled join of all texts: what it has shuffled goes with the stage."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("ngram_jaccard_join", corpus_pipeline.drop_near_copies)])
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(300))) for i in range(100)]
+    rows += [(100 + i, t + " and more") for i, t in rows[:20]]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    left, write = {}, Scratch.write
+
+    def watched(self, df, name):
+        before = shuffle_files(spark)
+        out = write(self, df, name)
+        left[name] = sum(size for f, size in shuffle_files(spark).items() if f not in before)
+        return out
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    kind = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(kind, "-1")
+    try:
+        kept = corpus_pipeline.run(spark, str(tmp_path))
+    finally:
+        spark.conf.unset(kind)
+    assert left["0-ngram_jaccard_join"] < 20_000
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == rows[:100]
+
+
 # ---------------------------------------------------------------- 9
 
 ITEMS = [(7, " ".join(f"shared{i}" for i in range(20, 45))), (70, "The CAT sat"), (8, None), (9, "..."), (None, "one"), (10, PASSAGE), (11, "x" * 50)]
